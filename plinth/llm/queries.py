@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,12 +17,34 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at")
 
 
+def _remainder(name: str, divisor: int) -> Column:
+    """crc32 of the id's decimal text, modulo ``divisor``."""
+    return F.crc32(F.col(name).cast("string")) % divisor
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = labels.where(_remainder("doc_id", 3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    model = learn(docs.select("doc_id", "text").join(fold, "doc_id"))
+    return score(docs, model).select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_table
 
     return quality_table(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs.where(_remainder("doc_id", 4) != 2))
+    return predict(docs, model).select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -37,7 +59,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
