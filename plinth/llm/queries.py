@@ -31,6 +31,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brownlm import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = fit(docs.where(_remainder("doc_id", 7) != 2).select("text"))
+    scored = score(docs, model, counts)
+    return scored.select("doc_id", (_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_table
 
@@ -60,6 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
