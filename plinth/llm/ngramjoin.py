@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .storage import discard, materialize
+from .storage import discard, materialize, small_side
 
 #: n-grams whose place in the order is known to all tasks.
 COMMON = 200_000
@@ -286,8 +286,8 @@ def similar_groups(docs: DataFrame, *, doc_id="doc_id", text="text", size: int =
     kept = materialize(flat.join(shared.select("h"), "h", "left_semi").select("dg").distinct(), "join-kept")
     discard(spark, second)
     classes = named.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    one = classes.join(kept, "dg", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    texts = slim.join(one, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    one = materialize(classes.join(kept, "dg", "left_semi").select(F.col("rep").alias("_rep")).distinct(), "join-texts")
+    texts = slim.join(small_side(one), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     links = class_links(texts, kept, size, percent)
     reached = components(links)
     with_rep = classes.join(reached.withColumnRenamed("node", "dg"), "dg", "left")

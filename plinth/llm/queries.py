@@ -27,10 +27,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = labels.where(_remainder("doc_id", 3) != 1).select("doc_id", F.col("toxic").alias("label"))
-    model = learn(docs.select("doc_id", "text").join(fold, "doc_id"))
+    model = learn(docs, fold)
     return score(docs, model).select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .brownlm import fit, score
 
@@ -75,6 +81,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -54,3 +55,13 @@ def discard(spark: SparkSession, *stored: str | DataFrame) -> None:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows of a stored table that may travel to every executor (some tens of MB).
+BROADCAST_ROWS = 200_000
+
+
+def small_side(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table for one side of a join: broadcast if its counted rows are few, else as
+    it is, which leaves a shuffled join.  Counting reads Parquet footers only."""
+    return F.broadcast(stored) if stored.count() <= most else stored
