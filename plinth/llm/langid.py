@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .sampling import labelled_texts
 from .subwords import Words, lowered, per_text, platt, sigmoid
 
 #: Families of some language codes.  Any other code is a family of its own.
@@ -167,14 +168,12 @@ def train(texts: list[str], langs: list[str], settings: Settings | None = None)
 
 def learn(labelled: DataFrame, settings: Settings | None = None) -> Model:
     """Fits columns ``text`` and ``lang``; null or letterless ones teach nothing."""
-    from pyspark.sql import Window
-
     s = settings or Settings()
-    clean = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
-    # a window limit keeps the first rows of each language in every task before the shuffle
-    ranked = clean.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= s.sample)
-    rows = sorted(((r["h"], r["lang"], r["text"]) for r in ranked.collect()), key=lambda r: r[:2])
-    return train([t for _, _, t in rows], [lang for _, lang, _ in rows], s)
+    clean = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = labelled_texts(clean.select("text", F.col("lang").cast("string").alias("label")), s.sample)
+    # languages take turns, so that every part of the rows has all of them
+    order = np.random.default_rng(5).permutation(len(rows))
+    return train([rows[i][0] for i in order], [rows[i][1] for i in order], s)
 
 
 def predict(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .sampling import bounded, cut
 from .subwords import Words, lowered, platt, sigmoid
 
 
@@ -82,17 +83,36 @@ def _largest(total: np.ndarray, count: np.ndarray, first: np.ndarray, size: int,
 def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
     """Joint training on whole texts; every fourth text is kept for the calibration."""
     s = settings
-    block = tk.Texts.of(lowered(pa.array(texts, pa.string())).to_pylist())
-    words = Words(block)
-    ids, word = words.features(s.sizes, s.buckets, True)
-    used, ids = np.unique(ids, return_inverse=True)
-    per_word = np.bincount(word, minlength=len(words.keys)).astype(np.float32)
-    first, own = words.first, words.own
+    # block by block, so that the work arrays of the text stay small
+    known = np.zeros(0, np.uint64)
+    tokens, lengths, ids, word = [], [], [], []
+    for _, block in tk.blocks(lowered(pa.array(texts, pa.string()))):
+        words = Words(block)
+        tokens.append(words.keys[words.which])
+        lengths.append(np.diff(words.first))
+        new = ~tk.member(words.keys, known)[1]
+        feature, of = words.features(s.sizes, s.buckets, True)
+        keep = new[of]
+        ids.append(feature[keep].astype(np.int32))
+        word.append(words.keys[of[keep]])
+        known = np.union1d(known, words.keys[new])
+    which = np.searchsorted(known, np.concatenate(tokens)).astype(np.int32)
+    word = np.searchsorted(known, np.concatenate(word)).astype(np.int32)
+    n_words = len(known)
+    del tokens, known
+    used, ids = np.unique(np.concatenate(ids), return_inverse=True)
+    ids = ids.astype(np.int32)
+    # n-grams in order of their word
+    order = np.argsort(word, kind="stable")
+    ids, word = ids[order], word[order]
+    per_word = np.bincount(word, minlength=n_words).astype(np.float32)
+    first = np.append(0, np.cumsum(np.concatenate(lengths)))
+    own = tk.owners(first)
     # disjoint windows, counted from each text's start
     chunk = np.unique(own.astype(np.int64) << 32 | (np.arange(len(own)) - first[own]) // s.window, return_inverse=True)
     doc_of, win = (chunk[0] >> 32).astype(np.int64), chunk[1].reshape(-1)
     n_win = len(doc_of)
-    size = np.bincount(win, weights=per_word[words.which], minlength=n_win).astype(np.float32)
+    size = np.bincount(win, weights=per_word[which], minlength=n_win).astype(np.float32)
     held = np.arange(len(texts)) % 4 == 3
     y = labels[doc_of].astype(np.float32)
     open_ = ~held[doc_of]
@@ -102,12 +122,13 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
     bias = np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
     # windows to words and words to n-grams as sorted index lists
-    by_word = np.argsort(words.which, kind="stable")
-    word_edge = np.searchsorted(words.which[by_word], np.arange(len(words.keys)))
-    by_id = np.argsort(ids, kind="stable")
+    by_word = np.argsort(which, kind="stable").astype(np.int32)
+    word_edge = np.searchsorted(which[by_word], np.arange(n_words))
+    by_id = np.argsort(ids, kind="stable").astype(np.int32)
     id_edge = np.searchsorted(ids[by_id], np.arange(len(used)))
-    word_sorted = np.argsort(word, kind="stable")
-    feat_edge = np.searchsorted(word[word_sorted], np.arange(len(words.keys)))
+    feat_edge = np.searchsorted(word, np.arange(n_words))
+    word_by_id, win_by_word = word[by_id], win[by_word].astype(np.int32)
+    del by_id, by_word, order
     win_edge = np.searchsorted(win, np.arange(n_win))
     for step in range(s.steps):
         if not n_win:
@@ -118,8 +139,8 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, doc_of, margin)
             open_ &= (y == 0) | (margin >= top[doc_of] - 0.1 * np.abs(top[doc_of])) & (margin > 0)
-        word_vec = np.add.reduceat(vectors[ids[word_sorted]], feat_edge, axis=0)
-        hidden = np.add.reduceat(word_vec[words.which], win_edge, axis=0) / size[:, None]
+        word_vec = np.add.reduceat(vectors[ids], feat_edge, axis=0)
+        hidden = np.add.reduceat(word_vec[which], win_edge, axis=0) / size[:, None]
         logits = hidden @ soft + bias
         p1 = sigmoid(logits[:, 1] - logits[:, 0]).astype(np.float32)
         share = max(1.0, float((y * open_).sum())), max(1.0, float(((1 - y) * open_).sum()))
@@ -128,8 +149,8 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
         d = np.stack([-d1, d1], 1)
         grad_soft, grad_bias = hidden.T @ d, d.sum(0)
         grad_hidden = (d @ soft.T) / size[:, None]
-        grad_word = np.add.reduceat(grad_hidden[win[by_word]], word_edge, axis=0)
-        grad_vec = np.add.reduceat(grad_word[word[by_id]], id_edge, axis=0)
+        grad_word = np.add.reduceat(grad_hidden[win_by_word], word_edge, axis=0)
+        grad_vec = np.add.reduceat(grad_word[word_by_id], id_edge, axis=0)
         for p, g, st, rate in ((vectors, grad_vec, state[0], 0.1), (soft, grad_soft, state[1], 0.1), (bias, grad_bias, state[2], 0.1)):
             st[0] += 0.1 * (g - st[0])
             st[1] += 0.02 * (g * g - st[1])
@@ -137,24 +158,27 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
     margins = np.zeros(s.buckets, np.float32)
     margins[used] = vectors @ (soft[:, 1] - soft[:, 0])
     model = Model(margins, float(bias[1] - bias[0]), 1.0, 0.0, s)
-    total, count = margins[used][ids], np.bincount(word, minlength=len(words.keys))
-    total = np.bincount(word, weights=total, minlength=len(words.keys))
-    doc_margin = _largest(total[words.which], count[words.which], first, s.window, model.offset)
+    total = np.bincount(word, weights=margins[used][ids], minlength=n_words)
+    doc_margin = _largest(total[which], per_word[which].astype(float), first, s.window, model.offset)
     use = held & np.isfinite(doc_margin)
     if use.any() and len(set(labels[use])) == 2:
         model.slope, model.shift = platt(doc_margin[use], labels[use].astype(float))
     return model
 
 
-def learn(labelled: DataFrame, settings: Settings | None = None) -> Model | None:
-    """Fits columns ``text`` and ``label`` (1: toxic); null labels and texts teach nothing.
-    Without rows of both labels there is nothing to learn and the result is None."""
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="label", settings: Settings | None = None) -> Model | None:
+    """Fits texts of ``docs`` by the labels (1: toxic, 0: clean) of their ids.
+
+    The sample is drawn from the labels alone; as it is bounded, it travels to the documents.
+    Null labels, ids and texts teach nothing.  Without rows of both labels there is nothing
+    to learn and the result is None.
+    """
     s = settings or Settings()
-    rows = []
-    clean = labelled.where("text is not null and label is not null")
-    for label in (0, 1):
-        mine = clean.where(F.col("label").cast("int") == label).select("text", F.xxhash64("text").alias("h"))
-        rows += [(r["text"], label) for r in mine.orderBy("h").limit(s.sample).collect()]
+    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).where("_id is not null and label in (0, 1)")
+    sample = F.broadcast(bounded(marks, s.sample, "_id"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    found = texts.join(sample, "_id").select(F.xxhash64("_id").alias("h"), "label", "text").collect()
+    rows = cut([tuple(r) for r in found], s.sample)
     if len({label for _, label in rows}) < 2:
         return None
     order = np.random.default_rng(s.seed).permutation(len(rows))
