@@ -104,7 +104,8 @@ def _template_rows(spark: SparkSession, found: list[Segment]) -> DataFrame:
         ) for s in found
     ]
     flat = spark.range(1).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    return flat.withColumn("grams", _shingles(F.col("words"), F.col("size"))).drop("words")
+    grams = F.transform(F.array(_shingles(F.col("words"), F.col("size"))), lambda g: F.struct(g.alias("grams")))
+    return flat.select("license", "segment", "width", "size", F.inline(grams))
 
 
 def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -137,18 +138,20 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
 
     screened = slim.where(F.get(F.transform(F.array("t"), any_anchor), 0))
     tokens = screened.select("doc_id", "h", F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)).alias("words")).distinct()
-    # windows of every class around the anchor words
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.array(*[F.lit(a) for a in anchors]), F.get("words", i)))
-    spots = tokens.where(F.size("words") > 0).withColumn("places", places).where(F.size("places") > 0)
-    shapes = sorted({(s.width, s.step, s.size) for s in found})
-
-    def starts(width: int, step: int, size: int) -> Column:
-        grid = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.ceil(F.greatest(p - width + 1, F.lit(0)) / step).cast("int"), F.floor(p / step).cast("int")))))
-        cut = lambda g: F.struct(F.lit(width).alias("width"), F.lit(size).alias("size"), (g * step).alias("start"), F.slice("words", g * step + 1, F.lit(width)).alias("w"))
-        return F.filter(F.transform(F.filter(grid, lambda g: g >= 0), cut), lambda x: F.size(x["w"]) >= size)
-
-    windows = spots.select("doc_id", "h", F.explode(F.flatten(F.array(*[starts(*s) for s in shapes]))).alias("x")).select("doc_id", "h", "x.*")
-    hashed = windows.withColumn("grams", _shingles(F.col("w"), F.col("size"))).drop("w").withColumn("sig", _signature(F.col("grams"), bands))
+    # the words around each anchor word; exploding at each step keeps expressions apart, or
+    # the optimizer would write one into the other many times over
+    reach = max(s.width for s in found)
+    marked = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.array(*[F.lit(a) for a in anchors]), F.get("words", i)))
+    around = F.transform(marked, lambda p: F.struct(p.alias("p"), F.greatest(p - reach, F.lit(0)).alias("base"), F.slice("words", F.greatest(p - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near")))
+    spots = tokens.where(F.size("words") > 0).select("doc_id", "h", F.inline(around))
+    # windows of every class that hold the anchor word, on the class's grid
+    shapes = [F.struct(F.lit(w).alias("width"), F.lit(t).alias("step"), F.lit(z).alias("size")) for w, t, z in sorted({(s.width, s.step, s.size) for s in found})]
+    classed = spots.select("*", F.inline(F.array(*shapes)))
+    grid = F.sequence(F.ceil(F.greatest(F.col("p") - F.col("width") + 1, F.lit(0)) / F.col("step")).cast("int"), F.floor(F.col("p") / F.col("step")).cast("int"))
+    placed = classed.select("*", F.explode(grid).alias("g")).select("doc_id", "h", "width", "size", (F.col("g") * F.col("step")).alias("start"), F.slice("near", F.col("g") * F.col("step") - F.col("base") + 1, F.col("width")).alias("w"))
+    windows = placed.where(F.size("w") >= F.col("size")).groupBy("doc_id", "h", "width", "size", "start").agg(F.first("w").alias("w"))
+    signed = F.transform(F.array(_shingles(F.col("w"), F.col("size"))), lambda g: F.struct(g.alias("grams"), _signature(g, bands).alias("sig")))
+    hashed = windows.select("doc_id", "h", "width", "size", "start", F.inline(signed))
     table = _template_rows(spark, found)
     sides = table.withColumn("sig", _signature(F.col("grams"), bands)).select("license", "segment", "width", "size", F.col("grams").alias("own"), F.posexplode("sig").alias("band", "value"))
     # a window meets a segment once for each band they share
