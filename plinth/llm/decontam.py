@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .storage import materialize, small_side
 
 #: Consecutive item words that make a window; a shorter item is one window.
 WINDOW = 13
@@ -270,7 +271,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", tex
     """
     key = F.struct(F.col(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
     keyed = docs.select(key.alias("_k"), F.col(text).alias("_t"))
-    bad = verdicts(matches(keyed, benchmark, doc_id="_k", text="_t", **options)).where("contaminated").select(F.col("doc_id").alias("_k")).distinct()
+    bad = verdicts(matches(keyed, benchmark, doc_id="_k", text="_t", **options)).where("contaminated").select(F.col("doc_id").alias("_k"))
     marked = docs.withColumn("_ki", F.col(doc_id)).withColumn("_kh", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    gone = bad.select(F.col("_k.i").alias("_bi"), F.col("_k.h").alias("_bh"))
-    return marked.join(gone, F.col("_ki").eqNullSafe(F.col("_bi")) & (F.col("_kh") == F.col("_bh")), "left_anti").drop("_ki", "_kh")
+    gone = materialize(bad.select(F.col("_k.i").alias("_bi"), F.col("_k.h").alias("_bh")).distinct(), "contaminated")
+    return marked.join(small_side(gone), F.col("_ki").eqNullSafe(F.col("_bi")) & (F.col("_kh") == F.col("_bh")), "left_anti").drop("_ki", "_kh")
