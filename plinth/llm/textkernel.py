@@ -19,6 +19,7 @@ import pyarrow as pa
 #: Bytes of text handled at once.  Bounds the work arrays (about 40 bytes per text byte);
 #: a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 21
+_ROWS = 512
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,19 +126,20 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[slice,
     """Splits a string column into runs of rows of at most ``limit`` bytes (or one row)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    n = len(column)
-    if not n:
-        return
-    _, raw_offsets, data = column.buffers()
-    offsets = np.frombuffer(raw_offsets, np.int64)[column.offset : column.offset + n + 1]
-    flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
-        yield slice(lo, hi), Texts(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        lo = hi
+    # a few hundred rows at a time, as the conversion copies them
+    step = _ROWS if limit < 1 << 40 else max(1, len(column))
+    for base in range(0, len(column), step):
+        part = column.slice(base, step).cast(pa.large_binary()).fill_null(b"")
+        n = len(part)
+        _, raw_offsets, data = part.buffers()
+        offsets = np.frombuffer(raw_offsets, np.int64)[part.offset : part.offset + n + 1]
+        flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+            hi = min(hi, n)
+            yield slice(base + lo, base + hi), Texts(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            lo = hi
 
 
 def owners(first: np.ndarray) -> np.ndarray:
