@@ -93,7 +93,7 @@ def chunks(path: str, text: str, revision: str) -> list[tuple]:
         starts.append(start)
         floor = k + 1
     out = []
-    for (_, name), a, b in zip(found, starts, [*starts[1:], len(lines)], strict=True):
+    for (_, name), a, b in zip(found, starts, [*starts[1:], len(lines)][: len(starts)], strict=True):
         body = "".join(lines[a:b])
         out.append((f"src:{path}:{a + 1}:{b}", revision, path, a + 1, b, name, body, hashlib.sha256(body.encode()).hexdigest()))
     return out

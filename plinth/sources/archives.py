@@ -40,7 +40,7 @@ def members(path: str) -> Iterator[tuple[str, bytes]]:
                 if info.is_dir():
                     continue
                 mode = info.external_attr >> 16
-                if mode and not stat.S_ISREG(mode):
+                if stat.S_IFMT(mode) not in (0, stat.S_IFREG):
                     raise UnsafeMember(info.filename)
                 check_member(info.filename, seen)
                 yield info.filename, z.read(info)
