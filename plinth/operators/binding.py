@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BLOCKED_BINDING, PlinthError
-from ..functions.text import ends_with_name, module_path, parent_name
+from ..functions.text import module_path, parent_name
 
 _PLACE = ["source_path", "source_start_line", "source_end_line"]
 
@@ -24,6 +24,12 @@ def bind_unique(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return out.withColumnsRenamed({"a": "source_start_line", "b": "source_end_line"}).select(*nodes.columns)
 
 
+def _endings(name):
+    """The name and all that follows each of its dots."""
+    parts = F.split(name, r"\.")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+
+
 def bind_by_suffix(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Archive binding: chunks of the module's file whose hint ends the full name.
 
@@ -36,12 +42,14 @@ def bind_by_suffix(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     bare = keyed.join(chunks.select("_path").distinct(), "_path", "left_anti").first()
     if bare is not None:
         raise PlinthError(BLOCKED_BINDING, f"no source for module {bare['module']}")
-    pairs = keyed.join(chunks, "_path")
-    if (other := pairs.where("source_revision != _rev").first()) is not None:
+    revisions = chunks.select("_path", "_rev").distinct()
+    if (other := keyed.join(revisions, "_path").where("source_revision != _rev").first()) is not None:
         raise PlinthError(BLOCKED_BINDING, f"revision differs for {other['id']}")
-    direct = pairs.where(ends_with_name(F.col("full_name"), F.col("hint")))
+    # the hint is one of the name's dotted endings, which are keys of an equi-join
+    ended = keyed.withColumn("hint", F.explode(_endings(F.col("full_name"))))
+    direct = ended.join(chunks, ["_path", "hint"])
     rest = keyed.join(direct.select("id").distinct(), "id", "left_anti")
-    parent = rest.withColumn("_parent", parent_name(F.col("full_name"))).join(chunks, "_path").where(ends_with_name(F.col("_parent"), F.col("hint")))
+    parent = rest.withColumn("_parent", parent_name(F.col("full_name"))).where("_parent is not null").withColumn("hint", F.explode(_endings(F.col("_parent")))).join(chunks, ["_path", "hint"])
     member = F.regexp_like("text", F.concat(F.lit(r"(?m)^[ \t]*\Q"), F.element_at(F.split("full_name", r"\."), -1), F.lit(r"\E[ \t]*:")))
     found = direct.unionByName(parent.where(member).drop("_parent"))
     several = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").first()
