@@ -46,7 +46,7 @@ class Settings:
     """``sample`` bounds the labelled texts that are fitted, per language; they are those of
     the lowest hash of their text."""
 
-    sample: int = 500
+    sample: int = 400
     sizes: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 13
     cost: float = 10.0
