@@ -2,9 +2,9 @@
 
 1. Documents with equal n-gram sets are one class, known by a digest of the set; only
    classes are compared.
-2. Exact prefix filters leave out classes that can link with nothing.  A first pass uses the
-   order of n-gram hashes; the n-grams that many prefixes share go to the end of the order
-   of the second pass (a list of bounded size, which only affects speed).
+2. An exact filter leaves out classes that can link with nothing: of the n-grams whose hash
+   is in a fixed part of the hash range, a class may miss no more than a link allows in all
+   its n-grams, and n-grams that no other class has are missed.
 3. The remaining n-grams get a global order that keeps the n-grams of similar classes side
    by side, and the order is cut into fragments.  Each fragment counts partial overlaps of
    the classes' segments separately.
@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +31,10 @@ from . import textkernel as tk
 from .components import components
 from .storage import discard, materialize, small_side
 
-#: n-grams whose place in the order is known to all tasks.
-COMMON = 200_000
+#: The part of the hash range that the filter looks at, against what a link may miss.
+PART = 4 / 3
 #: n-gram occurrences a fragment is to hold, and segments in a block of a large fragment.
-FRAGMENT = 500_000
+FRAGMENT = 300_000
 BLOCK = 20_000
 
 
@@ -72,58 +71,42 @@ class Sets:
         digest = tk.mix(tk.mix(a) + b + self.sizes.astype(np.uint64)) | np.uint64(1)
         return np.where(self.sizes > 0, digest, np.uint64(0))
 
-    def prefixes(self, percent: int, common: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
-        """The n-grams of which two linked sets must share one: the first in the order
-        (uncommon ones by hash, then common ones by count)."""
-        length = np.where(self.sizes > 0, self.sizes - -(-percent * self.sizes // 100) + 1, 0)
-        place, is_common = tk.member(self.keys, common[0])
-        rank = np.where(is_common, common[1][place] if len(common[1]) else 0, 0)
-        if is_common.any():
-            order = np.lexsort((self.keys, rank, self.own))
-        else:
-            order = np.arange(len(self.keys))
-        within = np.arange(len(self.keys)) - self.first[:-1][self.own]
-        taken = order[within < length[self.own]]
-        edge = np.append(0, np.cumsum(length)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(edge), pa.array(tk.signed(self.keys[taken])))
-
-
-def _prefix_rows(slim: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    def sampled(self, percent: int) -> pa.ListArray:
+        """The n-grams of the fixed part of the hash range."""
+        inside = self.keys <= np.uint64(min(1.0, PART * (100 - percent) / 100) * (2**64 - 2**12))
+        edge = np.append(0, np.cumsum(inside))[self.first].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edge), pa.array(tk.signed(self.keys[inside])))
+
+
+def _class_rows(slim: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per document: doc_id, n (set size), dg (digest of the set) and the sampled n-grams."""
     kind = slim.schema["doc_id"].dataType.simpleString()
-    handle = slim.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in tk.blocks(batch.column(1)):
                 sets = Sets(texts, size)
                 ids = batch.column(0)[rows.start : rows.stop]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets.sizes.astype(np.int64)), pa.array(tk.signed(sets.digests())), sets.prefixes(percent, handle.value)], names=["doc_id", "n", "dg", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sets.sizes.astype(np.int64)), pa.array(tk.signed(sets.digests())), sets.sampled(percent)], names=["doc_id", "n", "dg", "part"])
 
-    return slim.mapInArrow(make, f"doc_id {kind}, n long, dg long, prefix array<long>")
+    return slim.mapInArrow(make, f"doc_id {kind}, n long, dg long, part array<long>")
 
 
-def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Prefix n-grams by class, and those of at least two classes with their counts."""
-    flat = rows.select(F.explode("prefix").alias("h"), "dg")
-    by = flat.groupBy("h").agg(F.min("dg").alias("lo"), F.max("dg").alias("hi"), F.count("*").alias("c"))
-    return flat, by.where("lo != hi").select("h", "c")
+def _able(n, percent: int):
+    """Least overlap that a set of this size needs for any link."""
+    return F.floor((F.lit(percent) * n + 99) / 100)
 
 
-def _common(shared: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` n-grams by falling count, ascending by hash, with their counts."""
-    scale = shared.groupBy(F.floor(F.log("c") * 20).alias("b")).count().orderBy(F.desc("b")).collect()
-    cut, room = None, most
-    for r in scale:
-        room -= r["count"]
-        if room < 0:
-            break
-        cut = r["b"]
-    if cut is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found = shared.where(F.floor(F.log("c") * 20) >= cut).toPandas()
-    keys = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], found["c"].to_numpy(np.int64)[order]
+def _kept(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All classes (dg, n, rep, c documents), and of them those that may link."""
+    classes = rows.where("n > 0").groupBy("dg").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first(F.size("part")).alias("s"))
+    flat = rows.select("dg", F.explode("part").alias("h"))
+    shared = flat.groupBy("h").agg(F.min("dg").alias("lo"), F.max("dg").alias("hi")).where("lo != hi").select("h")
+    # equal sets have equal samples, so counts over a class are c times those of its set
+    counts = flat.join(shared, "h", "left_semi").groupBy("dg").agg(F.count("*").alias("k"))
+    least = F.col("s") - (F.col("n") - _able(F.col("n"), percent))
+    kept = classes.join(counts, "dg", "left").where(F.coalesce("k", F.lit(0)) >= F.col("c") * least)
+    return classes, kept.select("dg", "rep")
 
 
 def _need(n, m, percent: int):
@@ -160,31 +143,31 @@ class _Forest:
         return out
 
 
-def settle(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def settle(frame: pa.Table, percent: int) -> pa.Table:
     """Partial overlaps of one fragment (or of two of its blocks).
 
     ``frame``: block, dg, n (set size), r (n-grams that some other class has), seg (those in
     this fragment), lead (how many of them, at the front, are in the class's prefix).
     Returns sure links as a forest (sure = True) and pairs that need the other fragments.
     """
-    frame = frame.sort_values(["block", "dg"], ignore_index=True)
-    m = len(frame)
-    n, block = frame["n"].to_numpy(), frame["block"].to_numpy()
+    frame = frame.combine_chunks()
+    m = frame.num_rows
+    n, r, block, dg, lead_n = (frame.column(c).to_numpy() for c in ("n", "r", "block", "dg", "lead"))
+    seg = pa.concat_arrays(frame.column("seg").chunks) if m else pa.array([], pa.list_(pa.int64()))
     two = len(np.unique(block)) > 1
-    dg = frame["dg"].to_numpy()
-    length = frame["seg"].map(len).to_numpy()
-    flat = np.concatenate(frame["seg"].to_list()) if m else np.zeros(0, np.int64)
+    flat = seg.flatten().to_numpy()
+    length = np.diff(seg.offsets.to_numpy()).astype(np.int64)
     _, token = np.unique(flat, return_inverse=True)
     first = np.append(0, np.cumsum(length))
     own = np.repeat(np.arange(m), length)
-    lead = (np.arange(len(flat)) - first[:-1][own]) < frame["lead"].to_numpy()[own]
-    rest = frame["r"].to_numpy() - length
+    lead = (np.arange(len(flat)) - first[:-1][own]) < lead_n[own]
+    rest = r - length
     order = np.lexsort((own, token))
     posting, edge = own[order], np.searchsorted(token[order], np.arange(token.max(initial=-1) + 2))
     lead_order = order[lead[order]]
     lead_posting, lead_edge = own[lead_order], np.searchsorted(token[lead_order], np.arange(token.max(initial=-1) + 2))
     forest = _Forest(m)
-    sure, unsure = [], []
+    sure, unsure, held = [], [], 0
     for x in range(m):
         mine = token[first[x] : first[x + 1]]
         front = mine[lead[first[x] : first[x + 1]]]
@@ -206,6 +189,13 @@ def settle(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         open_ = ~linked & (overlap + np.minimum(rest[x], rest[ys]) >= need)
         if open_.any():
             unsure.append(np.stack([np.full(int(open_.sum()), x), ys[open_]], 1))
+            held += len(unsure[-1])
+            if held > 500_000:
+                # what has come together meanwhile needs no more counting
+                late = np.concatenate(unsure)
+                root = forest.roots()
+                unsure = [late[root[late[:, 0]] != root[late[:, 1]]]]
+                held = 0
     pairs = np.array(sure, np.int64).reshape(-1, 2)
     if unsure:
         late = np.concatenate(unsure)
@@ -214,13 +204,13 @@ def settle(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     else:
         late = np.zeros((0, 2), np.int64)
     both = np.concatenate([pairs, late])
-    return pd.DataFrame({"x": dg[both[:, 0]], "y": dg[both[:, 1]], "sure": np.arange(len(both)) < len(pairs)})
+    return pa.table({"x": dg[both[:, 0]], "y": dg[both[:, 1]], "sure": np.arange(len(both)) < len(pairs)})
 
 
 def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, fragment: int = FRAGMENT, block: int = BLOCK) -> DataFrame:
     """Links (x, y) between the classes in ``kept`` (column dg) that span their components.
 
-    ``texts`` has columns t and dg_of for at least one text of each of these classes.
+    ``texts`` has a column t with at least one text of each of these classes.
     """
     spark = texts.sparkSession
 
@@ -235,27 +225,31 @@ def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, f
     rows = materialize(rows, "join-sets")
     grams = rows.select("dg", "n", F.explode("grams").alias("h"))
     stats = grams.groupBy("h").agg(F.count("*").alias("df"), F.min("dg").alias("near")).where("df > 1")
-    # per class: n-grams that others have too, the rarest first, and the smallest class near
-    some = grams.join(stats, "h").groupBy("dg").agg(F.first("n").alias("n"), F.count("*").alias("r"), F.min("near").alias("near"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("grams"))
-    able = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    some = materialize(some.where(F.col("r") >= able), "join-able")
+    # per class: n-grams that others have too, the rarest first, each with its smallest class
+    some = grams.join(stats, "h").groupBy("dg").agg(F.first("n").alias("n"), F.count("*").alias("r"), F.array_sort(F.collect_list(F.struct("df", "h", "near"))).alias("grams"))
+    able = _able(F.col("n"), percent)
+    some = some.where(F.col("r") >= able).withColumn("lead", (F.col("r") - able + 1).cast("int"))
+    # what a class is near to is told by its rarest n-grams; common ones would draw all that
+    # have them to one place
+    some = some.withColumn("near", F.array_min(F.transform(F.slice("grams", 1, F.col("lead")), lambda g: g["near"])))
+    some = materialize(some.withColumn("grams", F.col("grams.h")), "join-able")
+    discard(spark, rows)
     mass = some.agg(F.sum("r")).first()[0] or 0
     cuts = max(1, -(-mass // fragment))
-    lead = F.col("n") - able + 1 - (F.col("n") - F.col("r"))
-    flat = some.select("dg", "n", "r", "near", lead.alias("lead"), F.posexplode("grams").alias("pos", "g")).select("dg", "n", "r", "near", F.col("g.h").alias("h"), "pos", (F.col("pos") < F.col("lead")).alias("lead"))
+    flat = some.select("dg", "n", "r", "near", "lead", F.posexplode("grams").alias("pos", "h")).select("dg", "n", "r", "near", "h", "pos", (F.col("pos") < F.col("lead")).alias("lead"))
     # the global order: by the smallest class near an n-gram; fragments are ranges of it
     order = flat.groupBy("h").agg(F.min("near").alias("near"))
     part = F.floor(F.shiftrightunsigned("near", 33) * F.lit(cuts) / F.lit(float(1 << 31)))
     placed = flat.drop("near").join(order, "h").select("dg", "n", "r", "h", "pos", "lead", part.alias("part"))
     segs = placed.groupBy("part", "dg").agg(F.first("n").alias("n"), F.first("r").alias("r"), F.sum(F.col("lead").cast("int")).alias("lead"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("seg"))
     segs = materialize(segs.withColumn("seg", F.col("seg.h")), "join-segments")
-    discard(spark, rows)
+    discard(spark, some)
     # large fragments are dealt out as pairs of blocks
     counts = segs.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     dealt = segs.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("dg"), F.col("blocks")).cast("int"))
     other = F.explode(F.expr("sequence(0, cast(blocks as int) - 1)"))
     dealt = dealt.withColumn("with", other).withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
-    found = dealt.select("part", "lo", "hi", "block", "dg", "n", "r", "lead", "seg").groupBy("part", "lo", "hi").applyInPandas(lambda f: settle(f, percent), "x long, y long, sure boolean")
+    found = dealt.select("part", "lo", "hi", "block", "dg", "n", "r", "lead", "seg").groupBy("part", "lo", "hi").applyInArrow(lambda f: settle(f, percent), "x long, y long, sure boolean")
     found = materialize(found, "join-found")
     pairs = found.where("not sure").select("x", "y").distinct()
     mine = segs.select(F.col("dg").alias("x"), "part", F.col("n").alias("nx"), F.col("seg").alias("sx"))
@@ -276,19 +270,12 @@ def similar_groups(docs: DataFrame, *, doc_id="doc_id", text="text", size: int =
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first = materialize(_prefix_rows(slim, size, percent, nothing), "join-first")
-    common = _common(_shared(first)[1], COMMON)
-    named = materialize(first.select("doc_id", "n", "dg"), "join-classes")
-    discard(spark, first)
-    second = materialize(_prefix_rows(slim, size, percent, common).where("n > 0").select("dg", "prefix"), "join-second")
-    flat, shared = _shared(second)
-    kept = materialize(flat.join(shared.select("h"), "h", "left_semi").select("dg").distinct(), "join-kept")
-    discard(spark, second)
-    classes = named.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    one = materialize(classes.join(kept, "dg", "left_semi").select(F.col("rep").alias("_rep")).distinct(), "join-texts")
-    texts = slim.join(small_side(one), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    links = class_links(texts, kept, size, percent)
+    rows = materialize(_class_rows(slim, size, percent), "join-classes")
+    named = rows.select("doc_id", "n", "dg")
+    classes, able = _kept(rows, percent)
+    kept = materialize(able, "join-kept")
+    texts = slim.join(small_side(kept.select(F.col("rep").alias("_rep")).distinct()), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    links = class_links(texts, kept.select("dg"), size, percent)
     reached = components(links)
     with_rep = classes.join(reached.withColumnRenamed("node", "dg"), "dg", "left")
     # only classes of several documents or with links need a name other than the document's
@@ -307,9 +294,16 @@ def keep_one(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> Dat
     Rows that repeat the smallest id of their group differ in nothing that could tell them
     apart and are kept once; documents without words are all kept.
     """
-    groups = similar_groups(docs, doc_id=doc_id, text=text, **options)
-    gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
-    again = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(doc_id)
+    groups = materialize(similar_groups(docs, doc_id=doc_id, text=text, **options), "join-groups")
+    gone = materialize(groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
+    rest = docs.join(small_side(gone), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    again = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_again"))
+    again = materialize(again, "join-again")
+    if again.isEmpty():
+        return rest
+    # only rows of repeated ids are ordered, to keep the first
+    twice = rest.join(small_side(again), F.col(doc_id).eqNullSafe(F.col("_again")), "left_semi")
+    once = rest.join(small_side(again), F.col(doc_id).eqNullSafe(F.col("_again")), "left_anti")
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return rest.withColumn("_again", F.row_number().over(again)).where((F.col("_again") == 1) | wordless).drop("_again")
+    number = F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(doc_id))
+    return once.unionByName(twice.withColumn("_n", number).where((F.col("_n") == 1) | wordless).drop("_n"))
