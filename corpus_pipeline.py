@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import decontam, langid, linedup, ngramjoin, packing
-from plinth.llm.storage import materialize
+from plinth.llm.storage import materialize, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,9 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents themselves.
     """
     model = langid.learn(docs)
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h"), "lang", "source", "n_chars", "text"))
-    named = langid.predict(keyed, model, doc_id="_key").where(F.col("lang_pred") != langid.UNDETERMINED)
-    kept = named.select("doc_id.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    named = langid.annotate(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED)
+    kept = named.withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(*COLUMNS)
 
 
@@ -54,13 +53,18 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("best_fit_packing", best_fit_packing),
-]
+def _staged(name: str, apply, before: str | None):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage(spark, name, before):
+            return apply(spark, docs, sf_dir)
+
+    run_stage.__name__, run_stage.__doc__ = name, apply.__doc__
+    return run_stage
+
+
+_ORDER = [language_id, line_dedup, near_duplicates, decontamination, best_fit_packing]
+#: Each stage is given what the one before it has stored.
+STAGES = [(f.__name__, _staged(f.__name__, f, g and g.__name__)) for f, g in zip(_ORDER, [None, *_ORDER], strict=False)]
 
 #: No SQL form: trained models, fuzzy components and packing are not expressible.
 ORACLE_SQL = None
@@ -68,6 +72,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, apply in STAGES[:-1]:
+        docs = materialize(apply(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textkernel as tk
 from .sampling import labelled_texts
@@ -196,3 +197,27 @@ def predict(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text") -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows.start : rows.stop], pa.array(lang, pa.string()), pa.array(np.where(has, score, 1.0))], names=["doc_id", "lang_pred", "score"])
 
     return slim.mapInArrow(apply, f"doc_id {kind}, lang_pred string, score double")
+
+
+def annotate(docs: DataFrame, model: Model, *, text="text") -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score; columns so named are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index(text)
+    handle = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                has = np.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], bool)
+                langs, scores = [], []
+                for _, texts in tk.blocks(lowered(batch.column(at))):
+                    lang, score = handle.value.predict(texts)
+                    langs += lang
+                    scores.append(score)
+                langs = [name if ok else UNDETERMINED for name, ok in zip(langs, has, strict=True)]
+                columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(np.where(has, np.concatenate(scores), 1.0))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(apply, schema)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_stage: list[str] | None = None
+_of_stage: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/plinth/{name}-{uuid.uuid4().hex}"
     atexit.register(discard, spark, path)
+    if _stage is not None:
+        _stage.append(path)
     return path
 
 
+@contextlib.contextmanager
+def stage(spark: SparkSession, name: str, before: str | None):
+    """A pipeline stage: notes what it writes and, as the stage before has been stored by
+    then, deletes what that one left."""
+    global _stage
+    discard(spark, *_of_stage.pop(before, []))
+    _stage = _of_stage.setdefault(name, [])
+    try:
+        yield
+    finally:
+        _stage = None
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet and returns the stored table."""
     spark = df.sparkSession
