@@ -4,12 +4,14 @@ Lines are compared in a normal form (lower-cased, digits as 0, white space and m
 collapsed).  Equal normal forms are one line class; only distinct classes go on:
 
 1. character shingles of each class give a one-permutation MinHash signature,
-2. bands of the signature propose candidates: each member of a band's bucket is held against
-   the bucket's smallest and largest member, so a bucket of n lines proposes 2 n pairs and
-   never all of them; a line like neither end has its other bands, and with ``rounds`` over
-   1 lines without a match meet again without those that matched,
+2. bands of the signature propose candidates: each member of a band's bucket is first held
+   against the bucket's smallest and largest member,
 3. the exact Jaccard similarity of the shingle sets verifies each pair,
-4. components of the verified links are found by star contraction.
+4. components of the verified links are found by star contraction,
+5. buckets that still hold several components are compared whole: every pair of members of
+   different components, in blocks of bounded size, until no bucket can give another link.
+
+So the components are those of all pairs that share a bucket and are similar enough.
 
 Of each component the first occurrence in the corpus (smallest doc_id, then line) stays; all
 its other lines go.  Lines under ``min_chars`` in normal form always stay.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -31,6 +33,8 @@ from .storage import discard, materialize, small_side
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 _BINS = BANDS * ROWS
+#: Lines and bytes of a slot; buckets over either are compared slot by slot.
+_SLOT_LINES, _SLOT_BYTES = 1024, 2 << 20
 
 #: Normal form by byte: 0 ends a word, digits are one, letters are lower-cased.
 _FORM = tk.LOWER.copy()
@@ -214,16 +218,145 @@ def _distinct(keys: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((order[fresh] >> np.uint64(50)).astype(np.int64), minlength=n)
 
 
+def _sketches(forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per line the number of its distinct shingles and a bitmap of them (2048 bits)."""
+    sizes, bits = [np.zeros(0, np.int64)], [np.zeros((0, 32), np.uint64)]
+    for _, texts in tk.blocks(forms):
+        keys, own = shingles(texts)
+        flags = np.zeros((len(texts), 2048), bool)
+        flags[own, (keys >> np.uint64(53)).astype(np.int64)] = True
+        sizes.append(_distinct(keys, own, len(texts)))
+        bits.append(np.packbits(flags, axis=1).view(np.uint64))
+    return np.concatenate(sizes), np.concatenate(bits)
+
+
+def _similar(forms: pa.Array, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the shingle sets of the lines at ``x`` and ``y`` reach the similarity."""
+    n = len(x)
+    both = pa.concat_arrays([forms.take(pa.array(x)), forms.take(pa.array(y))])
+    for _, texts in tk.blocks(both, 1 << 62):
+        keys, own = shingles(texts)
+        size = _distinct(keys, own, 2 * n)
+        union = _distinct(keys, own % n, n)
+        return 100 * (size[:n] + size[n:] - union) >= percent * union
+    return np.zeros(0, bool)
+
+
+def _joined(group: np.ndarray, across: np.ndarray, slot: np.ndarray, comp: np.ndarray, forms: pa.Array, percent: int) -> list[tuple[int, int]]:
+    """Links between components of lines that are similar and of one group; as many as join
+    what all such pairs would.  A group's lines are in a row; where ``across``, only lines
+    of different slots are compared.
+
+    A shingle of one line whose bit the other lacks is not shared, so counting bits bounds
+    the similarity from above and drops no pair that reaches it."""
+    sizes, bits = _sketches(forms)
+    links: list[tuple[int, int]] = []
+    now = comp.copy()
+    held: list[np.ndarray] = []
+
+    def settle() -> None:
+        x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        held.clear()
+        for lo in range(0, len(x), 256):
+            a, b = x[lo : lo + 256], y[lo : lo + 256]
+            apart = now[a] != now[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                continue
+            good = _similar(forms, a, b, percent)
+            for i, j in zip(a[good], b[good], strict=True):
+                if now[i] != now[j]:
+                    links.append((int(comp[i]), int(comp[j])))
+                    now[now == now[j]] = now[i]
+
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    last = np.repeat(np.append(edge[1:], len(group)), np.diff(np.append(edge, len(group))))
+    x = np.arange(len(group))
+    step = 1
+    while True:
+        x = x[x + step < last[x]]
+        if not len(x):
+            break
+        y = x + step
+        pick = (now[x] != now[y]) & ~(across[x] & (slot[x] == slot[y]))
+        pick &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+        a, b = x[pick], y[pick]
+        if len(a):
+            most = np.minimum(sizes[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(1, dtype=np.int64), sizes[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(1, dtype=np.int64))
+            near = 100 * most >= percent * (sizes[a] + sizes[b] - most)
+            if near.any():
+                held.append(np.stack([a[near], b[near]]))
+                if sum(h.shape[1] for h in held) >= 256:
+                    settle()
+        step += 1
+    if held:
+        settle()
+    return links
+
+
+def _within(spark: SparkSession, near: DataFrame, reached: DataFrame, forms: DataFrame, percent: int) -> DataFrame | None:
+    """Stored links (x, y) between the components of lines that share a bucket and are similar
+    enough; None if no bucket is open.  ``near``: key, bands; ``reached``: key, component."""
+    own = near.join(small_side(reached, 500_000), "key", "left").select("key", F.coalesce("component", "key").alias("comp"), "bands")
+    banded = _bands(own, "comp")
+    # of three members or fewer the two ends leave no pair untried
+    open_ = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("n > 3 and a != b").select("band")
+    open_ = materialize(open_, "line-open")
+    if open_.isEmpty():
+        discard(spark, open_)
+        return None
+    held = materialize(banded.join(small_side(open_, 1_000_000), "band", "left_semi"), "line-held")
+    sized = held.join(forms, "key")
+    slots = sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / _SLOT_LINES, F.sum(F.length("form")) / _SLOT_BYTES)).cast("int").alias("slots"))
+    slots = materialize(slots, "line-slots")
+    dealt = held.join(small_side(slots, 1_000_000), "band").withColumn("slot", F.pmod(F.xxhash64("key", "band"), "slots").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("t")
+    blocks = dealt.select("band", "key", "comp", "slot", other).select("key", "comp", "slot", "band", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"))
+    blocks = blocks.join(forms, "key").select("band", "i", "j", "slot", "comp", "form")
+    blocks = blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(part: pa.RecordBatch) -> pa.RecordBatch:
+            band, i, j, slot, comp = (part.column(k).to_numpy() for k in range(5))
+            group = np.cumsum(np.append(0, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            found = _joined(group, i != j, slot, comp, part.column(5).cast(pa.large_binary()), percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+        # the last group of a batch may go on in the next one
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, i, j = (batch.column(k).to_numpy() for k in range(3))
+            change = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if rest:
+                tail = rest[-1].slice(rest[-1].num_rows - 1)
+                if (tail.column(0)[0].as_py(), tail.column(1)[0].as_py(), tail.column(2)[0].as_py()) != (band[0], i[0], j[0]):
+                    yield links(pa.concat_batches(rest))
+                    rest = []
+            if len(change):
+                yield links(pa.concat_batches([*rest, batch.slice(0, int(change[-1]))]))
+                rest = [batch.slice(int(change[-1]))]
+            else:
+                rest.append(batch)
+        if rest:
+            yield links(pa.concat_batches(rest))
+
+    out = materialize(blocks.mapInArrow(compare, "x long, y long"), "line-links")
+    discard(spark, open_, held, slots)
+    return out
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
 
 
-def _bands(rows: DataFrame) -> DataFrame:
+def _bands(rows: DataFrame, *more: str) -> DataFrame:
     at = F.posexplode("bands").alias("pos", "value")
-    return rows.select("key", at).select("key", (F.col("value").cast("long") * BANDS + F.col("pos")).alias("band"))
+    return rows.select("key", *more, at).select("key", *more, (F.col("value").cast("long") * BANDS + F.col("pos")).alias("band"))
 
 
-def line_groups(slim: DataFrame, *, min_chars: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+def line_groups(slim: DataFrame, *, min_chars: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of rows (row, t): the stored lines (row, keys) and the stored map from line classes
     with a fuzzy link to their component (key, component)."""
     spark = slim.sparkSession
@@ -233,35 +366,32 @@ def line_groups(slim: DataFrame, *, min_chars: int, percent: int, rounds: int) -
     pairs = materialize(_propose(_bands(classes)), "line-pairs")
     # one occurrence of each class that has a pair gives its text
     tried = materialize(_ends(pairs), "line-tried")
-    near = materialize(classes.join(small_side(tried, 1_000_000), "key", "left_semi"), "line-near")
-    held = near.groupBy("key").agg(F.min("row").alias("row")).groupBy("row").agg(F.collect_list("key").alias("want"))
-    wanted = materialize(held, "line-wanted")
+    near = classes.join(small_side(tried, 1_000_000), "key", "left_semi")
+    near = materialize(near.groupBy("key").agg(F.min(F.struct("row", "bands")).alias("one")).select("key", "one.row", "one.bands"), "line-near")
+    wanted = materialize(near.groupBy("row").agg(F.collect_list("key").alias("want")), "line-wanted")
     forms = materialize(_line_texts(slim, wanted, min_chars), "line-forms")
-    links = [materialize(_verified(pairs, forms, percent), "line-links")]
-    discard(spark, pairs, wanted)
-    # lines that match neither end of a bucket meet again without those that did
-    open_ = near.select("key", "bands")
-    for _ in range(rounds - 1):
-        open_ = materialize(open_.join(_ends(links[-1]), "key", "left_anti"), "line-open")
-        again = materialize(_propose(_bands(open_)), "line-pairs")
-        if again.isEmpty():
-            break
-        links.append(materialize(_verified(again, forms, percent), "line-links"))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionAll(more)
-    reached = materialize(components(every).withColumnRenamed("node", "key"), "line-components")
-    discard(spark, near, forms, tried, *links)
+    links = materialize(_verified(pairs, forms, percent), "line-links")
+    discard(spark, pairs, wanted, tried)
+    reached = materialize(components(links).withColumnRenamed("node", "key"), "line-components")
+    more = _within(spark, near.select("key", "bands"), reached, forms, percent)
+    discard(spark, near, forms, links)
+    if more is not None and not more.isEmpty():
+        first = reached
+        every = first.select(F.col("key").alias("x"), F.col("component").alias("y")).unionAll(more)
+        reached = materialize(components(every).withColumnRenamed("node", "key"), "line-components")
+        discard(spark, first)
+    if more is not None:
+        discard(spark, more)
     return lines.select("row", "keys"), reached
 
 
-def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", min_chars: int = 24, percent: int = 80, rounds: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", min_chars: int = 24, percent: int = 80) -> DataFrame:
     """Stored rows (row, removed): places, from 0, of the lines that go, for rows with any.
 
     ``row`` is the struct of :func:`row_key`.
     """
     slim = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("t"))
-    lines, reached = line_groups(slim, min_chars=max(min_chars, SHINGLE), percent=percent, rounds=rounds)
+    lines, reached = line_groups(slim, min_chars=max(min_chars, SHINGLE), percent=percent)
     flat = lines.select("row", F.posexplode("keys").alias("pos", "key")).where("key != 0")
     often = flat.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     # classes of several lines or with links, and the component of each

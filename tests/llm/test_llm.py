@@ -131,6 +131,22 @@ def test_line_dedup(spark):
     assert linedup.dedup_lines(docs(spark, texts).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("slot", [1024, 16])
+def test_line_dedup_compares_large_buckets_whole(spark, monkeypatch, slot):
+    # lines of one template share min-hashes; the near copies lie anywhere in the buckets
+    monkeypatch.setattr(linedup, "_SLOT_LINES", slot, raising=False)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("bcdfghklmnprst") for _ in range(n))
+    head, one, two = word(220), [word(40) for _ in range(12)], [word(40) for _ in range(12)]
+    ones = [f"{head} {a} {b}" for a in one for b in two]
+    texts = [*ones, *[o + "xyz" for o in ones]]
+    got = {x["doc_id"]: x["n_removed"] for x in linedup.dedup_lines(docs(spark, texts)).collect()}
+
+    grams = [{t[k : k + 8] for k in range(len(t) - 7)} for t in texts]
+    want = {j: int(any(100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]) for i in range(j))) for j in range(len(texts))}
+    assert got == want and sum(want.values()) == len(ones)
+
+
 def test_signature_agreement_follows_similarity():
     a = textkernel.Texts.of([prose(3, 200), prose(3, 190) + " " + prose(99, 10), prose(77, 200)])
     sig = linedup.signatures(*linedup.shingles(a), 3)
