@@ -9,8 +9,11 @@ Everything runs as DataFrame expressions inside the JVM.
   in more of its shingles than a match may miss.  Windows are laid around anchor words only.
 * Each window's shingles get a MinHash signature with bands of one row; the number of bands
   is chosen so that a window with a match collides with a chance of at least ``SURE``.
-* Candidates are verified by exact shingle containment, first per segment and then over
-  the whole template.
+* A band hit of any segment makes the text a candidate for its template.  Candidates are
+  verified by exact containment of the whole template's shingles in the whole text.
+
+However a text's misses are spread, a segment keeps at least its share of the rest, which
+bounds what a segment may miss.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 SHINGLE = 5
 PERCENT = 80
 SURE = 0.9999
@@ -48,17 +53,25 @@ def words_of(text: str) -> list[str]:
     return re.findall(_WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
 
 
+def _grams(words: list[str]) -> set[tuple[str, ...]]:
+    size = min(SHINGLE, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def _may_miss(grams: set) -> int:
+    return len(grams) - -(-PERCENT * len(grams) // 100)
+
+
 class Segment:
     """A template's segment and the shape of the windows that look for it."""
 
-    def __init__(self, template: str, number: int, words: list[str]):
+    def __init__(self, template: str, number: int, words: list[str], may_miss: int | None = None):
         self.template, self.number, self.words = template, number, words
         self.size = min(SHINGLE, len(words))
         slack = len(words) // 4 if len(words) > SHINGLE + 2 else 0
         self.width, self.step = len(words) + slack, slack + 1
-        grams = {tuple(words[i : i + self.size]) for i in range(len(words) - self.size + 1)}
-        self.grams = grams
-        may_miss = len(grams) - -(-PERCENT * len(grams) // 100)
+        grams = self.grams = _grams(words)
+        may_miss = _may_miss(grams) if may_miss is None else may_miss
         # anchors: long words first, until more shingles hold one than a match may miss
         self.anchors: list[str] = []
         for word in sorted(set(words), key=lambda w: (-len(w), w)):
@@ -83,7 +96,11 @@ def segments(templates: dict[str, str]) -> list[Segment]:
             continue
         size = 2 * _STEP
         starts = sorted({*range(0, len(words) - size + 1, _STEP), len(words) - size})
-        out += [Segment(name, k, words[a : a + size]) for k, a in enumerate(starts)]
+        parts = [words[a : a + size] for a in starts]
+        # of a text's misses, wherever they are, some segment has no more than the average
+        cover = Counter(g for part in parts for g in _grams(part))
+        most = sum(n for _, n in cover.most_common(_may_miss(_grams(words)))) // len(parts)
+        out += [Segment(name, k, part, most) for k, part in enumerate(parts)]
     return out
 
 
@@ -112,8 +129,7 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
     """One row per document and license found in it.
 
     Columns: doc_id, license, containment (share of the template's shingles that the
-    document's matching windows hold, at least 0.8), first_word (where the first matching
-    window starts).  Rows that repeat id and text give one result; null, empty and clean
+    document holds, at least 0.8), first_word (place of the first of them).  Rows that repeat id and text give one result; null, empty and clean
     texts give none, and without templates there are no rows.
     """
     spark = docs.sparkSession
@@ -123,12 +139,6 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
         return slim.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).where("false")
     anchors = sorted({a for s in found for a in s.anchors})
     bands = max(s.bands for s in found)
-    totals = Counter()
-    whole: dict[str, set] = {}
-    for s in found:
-        whole.setdefault(s.template, set()).update(s.grams)
-    totals.update({k: len(v) for k, v in whole.items()})
-
     # the lower-cased text is a lambda's variable, so that it is made once for all anchors
     def any_anchor(t: Column) -> Column:
         hit = F.lit(False)
@@ -138,6 +148,7 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
 
     screened = slim.where(F.get(F.transform(F.array("t"), any_anchor), 0))
     tokens = screened.select("doc_id", "h", F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)).alias("words")).distinct()
+    tokens = materialize(tokens, "license-texts")
     # the words around each anchor word; exploding at each step keeps expressions apart, or
     # the optimizer would write one into the other many times over
     reach = max(s.width for s in found)
@@ -157,28 +168,27 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
     # a window meets a segment once for each band they share
     rows = hashed.select("doc_id", "h", "start", "width", "size", "grams", F.posexplode("sig").alias("band", "value"))
     met = rows.join(F.broadcast(sides), ["width", "size", "band", "value"])
-    shared = met.withColumn("hit", F.array_intersect("grams", "own")).where(100 * F.size("hit") >= PERCENT * F.size("own"))
-    hits = shared.select("doc_id", "h", "license", "start", F.explode("hit").alias("gram"))
-    each = hits.groupBy("doc_id", "h", "license", "gram").agg(F.min("start").alias("start"))
-    total = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(v))])
-    per = each.groupBy("doc_id", "h", "license").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_word"))
-    return per.withColumn("containment", F.col("n") / total[F.col("license")]).where(F.col("containment") * 100 >= PERCENT).select("doc_id", "license", "containment", "first_word")
+    candidates = met.select("doc_id", "h", "license").distinct()
+    wholes = _template_rows(spark, [Segment(name, 0, words_of(text)) for name, text in sorted((TEMPLATES if templates is None else templates).items()) if words_of(text)])
+    wholes = wholes.select("license", F.col("size").alias("n"), F.col("grams").alias("own"))
+    # the text's shingles that the template has, and the place of the first of them
+    asked = candidates.join(tokens.withColumnsRenamed({"doc_id": "_id", "h": "_h"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).join(F.broadcast(wholes), "license")
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.col("n")), " ")))
+    asked = asked.where(F.size("words") >= F.col("n")).select("doc_id", "license", "own", F.explode(F.array(grams)).alias("all"))
+    held = asked.select("doc_id", "license", "own", "all", F.explode(F.array(F.array_intersect("all", "own"))).alias("hit")).where(100 * F.size("hit") >= PERCENT * F.size("own"))
+    first = F.array_position(F.transform("all", lambda g: F.array_contains("own", g)), True) - 1
+    return held.select("doc_id", "license", (F.size("hit") / F.size("own")).alias("containment"), first.alias("first_word"))
 
 
 def scan_brute(texts: list[tuple[object, str | None]], templates: dict[str, str] | None = None) -> set[tuple[object, str]]:
-    """The licenses that whole texts hold, segment by segment without windows' hashing."""
+    """The licenses whose shingles a text holds to the least share, template by template."""
+    wanted = {name: words_of(text) for name, text in (TEMPLATES if templates is None else templates).items()}
     out = set()
     for key, text in texts:
         words = words_of((text or "").lower())
-        got: dict[str, set] = {}
-        for s in segments(TEMPLATES if templates is None else templates):
-            for a in range(0, max(1, len(words)), s.step):
-                w = words[a : a + s.width]
-                inside = {tuple(w[i : i + s.size]) for i in range(len(w) - s.size + 1)} & s.grams
-                if 100 * len(inside) >= PERCENT * len(s.grams):
-                    got.setdefault(s.template, set()).update(inside)
-        for name, grams in got.items():
-            n = len(set().union(*[s.grams for s in segments({name: (TEMPLATES if templates is None else templates)[name]})]))
-            if 100 * len(grams) >= PERCENT * n:
+        for name, template in wanted.items():
+            grams, n = _grams(template), min(SHINGLE, len(template))
+            inside = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} & grams
+            if grams and n and 100 * len(inside) >= PERCENT * len(grams):
                 out.add((key, name))
     return out

@@ -182,6 +182,33 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, texts), templates={}).count() == 0
 
 
+def test_licenses_with_changed_words(spark):
+    # changes that spoil segments but leave the whole template similar enough
+    r = random.Random(6)
+    texts = [licenses.TEMPLATES["gpl-text"].replace("version 3", "version 2")]
+    for name in ["gpl-text", "mit-text", "apache-2.0-text", "bsd-text"]:
+        for changes in (1, 2, 3, 3):
+            for _ in range(12):
+                w = licenses.TEMPLATES[name].split()
+                for p in r.sample(range(len(w)), changes):
+                    w[p] = r.choice(["zzz", w[p] + " more", ""])
+                texts.append(" ".join([prose(len(texts), 9), *w, "tail"]))
+    held = {}
+    for k, t in enumerate(texts):
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        for name, template in licenses.TEMPLATES.items():
+            q = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(template))
+            n = min(5, len(q))
+            own = {tuple(q[i : i + n]) for i in range(len(q) - n + 1)}
+            places = [i for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in own]
+            both = len({tuple(words[i : i + n]) for i in places})
+            if 100 * both >= 80 * len(own):
+                held[k, name] = (both / len(own), places[0])
+    got = {(x["doc_id"], x["license"]): (x["containment"], x["first_word"]) for x in licenses.scan(docs(spark, texts)).collect()}
+    assert got == held and held[0, "gpl-text"][0] == 33 / 38
+    assert set(got) == licenses.scan_brute(list(enumerate(texts)))
+
+
 # ------------------------------------------------------------ 5
 
 
