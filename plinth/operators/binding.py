@@ -9,6 +9,7 @@ from ..errors import BLOCKED_BINDING, PlinthError
 from ..functions.text import module_path, parent_name
 
 _PLACE = ["source_path", "source_start_line", "source_end_line"]
+_SALTS = 32
 
 
 def bind_unique(nodes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -68,7 +69,10 @@ def restrict_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _first_unique(pairs: DataFrame, keys: list[str], value: str, tiers: dict[str, object]) -> DataFrame:
     """Per key: the value of the first tier that exactly one pair is in."""
     counts = [F.count_if(c).alias(f"n_{t}") for t, c in tiers.items()] + [F.min(F.when(c, F.col(value))).alias(f"v_{t}") for t, c in tiers.items()]
-    out = pairs.groupBy(*keys).agg(*counts)
+    return _pick(pairs.groupBy(*keys).agg(*counts), keys, value, list(tiers))
+
+
+def _pick(out: DataFrame, keys: list[str], value: str, tiers: list[str]) -> DataFrame:
     pick = F.coalesce(*[F.when(F.col(f"n_{t}") == 1, F.col(f"v_{t}")) for t in tiers])
     tier = F.coalesce(*[F.when(F.col(f"n_{t}") == 1, F.lit(t)) for t in tiers])
     return out.select(*keys, pick.alias(value), tier.alias("tier"))
@@ -96,10 +100,26 @@ def hit_to_declaration(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_to_chunk(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """id of the node and chunk_id: the one chunk of the node's file that contains its start,
-    else the file's only chunk, else the one named like it in its (or its module's) file."""
-    chunks = sources.select(F.col("source_path").alias("cp"), F.col("source_start_line").alias("ca"), F.col("source_end_line").alias("cb"), "declaration_hint", F.col("id").alias("chunk_id"))
-    keyed = nodes.select("id", "name", F.col("source_start_line").alias("na"), F.coalesce("source_path", module_path(F.col("module"))).alias("cp"), F.col("source_path").isNotNull().alias("placed"))
-    pairs = keyed.join(chunks, "cp")
-    inside = F.col("placed") & F.col("na").between(F.col("ca"), F.col("cb"))
-    tiers = {"inside": inside, "only": F.col("placed"), "named": F.col("declaration_hint") == F.col("name")}
-    return _first_unique(pairs, ["id"], "chunk_id", {k: F.coalesce(v, F.lit(False)) for k, v in tiers.items()})
+    else the file's only chunk, else the one named like it in its (or its module's) file.
+
+    Nodes of a file without chunks go.  Equal intervals count once, with their number."""
+    lines = [F.col(f"source_{c}_line").cast("long").alias(a) for c, a in (("start", "ca"), ("end", "cb"))]
+    chunks = sources.select(F.col("source_path").alias("cp"), *lines, F.col("declaration_hint").alias("name"), F.col("id").alias("chunk_id"))
+    keyed = nodes.select("id", "name", F.col("source_start_line").cast("long").alias("na"), F.coalesce("source_path", module_path(F.col("module"))).alias("cp"), F.col("source_path").isNotNull().alias("placed"))
+    counted = [F.count("*").alias("n"), F.min("chunk_id").alias("v")]
+    # an interval is in one or two blocks of the first power of two that it fits in; a place
+    # meets it in its own block of that size, so no file's nodes and chunks all meet
+    spans = chunks.where("ca <= cb").groupBy("cp", "ca", "cb").agg(*counted).withColumn("level", F.length(F.bin(F.col("cb") - F.col("ca"))))
+    spans = spans.withColumn("block", F.explode(F.expr("sequence(shiftright(ca, level), shiftright(cb, level))")))
+    levels = spans.agg(F.collect_set("level").alias("levels"))
+    starts = keyed.where("placed and na is not null").select("id", "cp", "na").crossJoin(F.broadcast(levels)).select("id", "cp", "na", F.explode("levels").alias("level"))
+    inside = starts.withColumn("block", F.expr("shiftright(na, level)")).join(spans, ["cp", "level", "block"]).where("na between ca and cb")
+    # a file of very many nodes is dealt over several keys
+    salted = keyed.withColumn("salt", F.pmod(F.hash("id"), F.lit(_SALTS)))
+    files = chunks.groupBy("cp").agg(*counted).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    only = salted.join(files, ["cp", "salt"]).select("id", F.when(F.col("placed"), F.col("n")).otherwise(0).alias("n"), F.when(F.col("placed"), F.col("v")).alias("v"))
+    named = keyed.join(chunks.groupBy("cp", "name").agg(*counted), ["cp", "name"])
+    tiers = {"inside": inside, "only": only, "named": named}
+    found = [part.select("id", F.lit(t).alias("t"), "n", "v") for t, part in tiers.items()]
+    mine = [F.sum(F.when(F.col("t") == t, F.col("n")).otherwise(0)).alias(f"n_{t}") for t in tiers] + [F.min(F.when(F.col("t") == t, F.col("v"))).alias(f"v_{t}") for t in tiers]
+    return _pick(found[0].unionAll(found[1]).unionAll(found[2]).groupBy("id").agg(*mine), ["id"], "chunk_id", list(tiers))

@@ -125,6 +125,12 @@ def node_to_chunk(spark, d):
     return binding.node_to_chunk(nodes, frame(spark, d, fx.CHUNKS))
 
 
+@query()
+def node_to_chunk_all(spark, d):
+    """The former over all nodes; its SQL would pair all nodes and chunks of a file."""
+    return binding.node_to_chunk(frame(spark, d, fx.NODES), frame(spark, d, fx.CHUNKS))
+
+
 _HEAD = "^(The|Of|And|In|For) "
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import tarfile
 import zipfile
 
@@ -11,6 +12,7 @@ from plinth.errors import PlinthError
 from plinth.functions import text as tx
 from plinth.operators import binding, chunking, fingerprint, graph, integrity, normalize, resolve, search
 from plinth.operators.generations import InputError, StateError, Store, check_input
+from plinth.plans import queries
 from plinth.sources import archives, artifact, readers
 
 EDGES = [("A", "B"), ("A", "D"), ("B", "C"), ("D", "C"), ("C", "A")]
@@ -112,6 +114,42 @@ def test_bind_and_integrity(spark):
     assert fingerprint.fingerprint(bound).first() == fingerprint.fingerprint(bound.repartition(3)).first()
 
 
+def test_node_to_chunk(spark):
+    r = random.Random(3)
+    some = lambda *x: r.choice(x)
+    chunks = []
+    for k in range(160):
+        a = r.randint(-5, 90)
+        chunks.append((f"s{k:03}", some("F.lean", "F.lean", "G.lean", "H.lean"), some(a, a, a, None), a + some(0, 0, 1, 2, 7, 40, -3), some("a", "b", f"n{k}", None)))
+    chunks += [("t0", "One.lean", 4, 6, "z"), ("t1", "M/N.lean", 1, 2, "a"), chunks[0][:1] + chunks[0][1:]]
+    nodes = [(f"d{k}", some("a", "b", f"n{r.randint(0, 159)}", None), "M.N", some("F.lean", "G.lean", "H.lean", "One.lean", "No.lean", None), some(None, *range(-6, 95))) for k in range(400)]
+    nodes += [nodes[0], ("many", "a", "M.N", "F.lean", 2**31 - 1)]
+    n = spark.createDataFrame(nodes, "id string, name string, module string, source_path string, source_start_line int")
+    s = spark.createDataFrame(chunks, "id string, source_path string, source_start_line int, source_end_line int, declaration_hint string")
+    want = {}
+    for key in {x[0] for x in nodes}:
+        met = [(c, x[3] is not None, x[1], x[4]) for x in nodes if x[0] == key for c in chunks if c[1] == (x[3] or "M/N.lean")]
+        inside = [c[0] for c, placed, _, at in met if placed and None not in (at, c[2], c[3]) and c[2] <= at <= c[3]]
+        tiers = {"inside": inside, "only": [c[0] for c, placed, _, _ in met if placed], "named": [c[0] for c, _, name, _ in met if name is not None and c[4] == name]}
+        if met:
+            want[key] = next(((ids[0], t) for t, ids in tiers.items() if len(ids) == 1), (None, None))
+    out = binding.node_to_chunk(n, s)
+    assert {x["id"]: (x["chunk_id"], x["tier"]) for x in out.collect()} == want and out.columns == ["id", "chunk_id", "tier"]
+    assert {t for _, t in want.values()} == {"inside", "only", "named", None}
+
+
+def test_node_to_chunk_meets_few_chunks(spark):
+    # a file of many nodes and chunks; a join of all of them would not end in time
+    n = spark.range(100_000).selectExpr("concat('d', id) as id", "'x' as name", "'M' as module", "'M.lean' as source_path", "cast(3 * id + 1 as int) as source_start_line")
+    s = spark.range(100_000).selectExpr("concat('s', id) as id", "'M.lean' as source_path", "cast(3 * id as int) as source_start_line", "cast(3 * id + 2 as int) as source_end_line", "'x' as declaration_hint")
+    out = binding.node_to_chunk(n, s)
+    assert out.where("tier = 'inside' and substr(chunk_id, 2) = substr(id, 2)").count() == 100_000
+
+
+def test_node_to_chunk_is_registered_over_all_nodes():
+    assert "node_to_chunk_all" in queries.QUERIES and "node_to_chunk_all" not in queries.ORACLE_SQL
+
+
 def test_artifact(spark, tmp_path):
     n = spark.createDataFrame([("lean:M.a", "M.a", "a", "thm", "M", None, None, None, "r")], "id string, full_name string, name string, kind string, module string, source_path string, source_start_line int, source_end_line int, source_revision string")
     e = spark.createDataFrame([], "source_id string, target_id string, relation string, evidence_grade string, producer string")
