@@ -15,13 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .storage import discard, materialize
 
 #: Character classes: a-z, A-Z, digits, space and tab, line breaks, sentence marks,
 #: other ASCII, letters and marks beyond ASCII (counted once by their first byte).
@@ -38,20 +36,22 @@ _CLASS[0x80:0xC0] = 255
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
+#: Kinds of counts, and how many a task holds before it hands them on.
+_CLASSES, _WORDS, _TOTAL = range(3)
+_HELD = 1 << 20
+
 BASE_COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 class Rules:
     """Parameters of the verdict.
 
-    common_words: size of a language's word list.  min_share: a word enters the counts of
-    a block of text only with at least this share of the block's words (lossy counting; a
-    count is low by at most this share).  max_class, max_word: largest accepted distances.
-    min_words, min_chars: shorter texts pass both divergence rules.
+    common_words: size of a language's word list.  max_class, max_word: largest accepted
+    distances.  min_words, min_chars: shorter texts pass both divergence rules.
     """
 
-    def __init__(self, common_words=64, min_share=0.0005, max_class=0.27, max_word=0.46, min_words=60, min_chars=300):
-        self.common_words, self.min_share = common_words, min_share
+    def __init__(self, common_words=64, max_class=0.27, max_word=0.46, min_words=60, min_chars=300):
+        self.common_words = common_words
         self.max_class, self.max_word = max_class, max_word
         self.min_words, self.min_chars = min_words, min_chars
 
@@ -71,47 +71,57 @@ def _class_counts(texts: tk.Texts) -> np.ndarray:
     return np.stack([texts.count(kind == k) for k in range(CLASS_COUNT)], 1).astype(float)
 
 
-def references(docs: DataFrame, text: str, lang: str, rules: Rules) -> pd.DataFrame:
-    """One row per language: summed class counts, common words with counts, words in all.
+def references(docs: DataFrame, text: str, lang: str, rules: Rules) -> list[tuple[str, np.ndarray, dict[int, int], int]]:
+    """Per language, in order: its name, summed class counts, common words (by hash) with
+    counts, words in all.
 
-    Null languages teach nothing.  The result has one bounded row per language.
+    Every word of every labelled document counts; equally frequent words rank by hash.  Null
+    languages teach nothing.  What reaches the driver is bounded per language.
     """
-    share = rules.min_share
+
+    def rows_of(held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for (name, kind), parts in held.items():
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, place, np.concatenate([c for _, c in parts]))
+            for lo in range(0, len(keys), 1 << 16):
+                some = keys[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(np.full(len(some), kind, np.int32)), pa.array(tk.signed(some)), pa.array(n[lo : lo + len(some)])], names=["lang", "kind", "key", "n"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for rows, texts in tk.blocks(batch.column(0)):
                 starts, ends, first = texts.spans(tk.SPACE)
-                lowered = texts.lower()
-                keys = lowered.hashes(starts, ends)
+                keys = texts.lower().hashes(starts, ends)
                 own = tk.owners(first)
                 counts = _class_counts(texts)
-                out: list[tuple] = []
                 for name in sorted(set(langs[rows])):
                     mine = langs[rows] == name
-                    out.append((name, None, *counts[mine].sum(0).tolist(), 0))
-                    pick = np.flatnonzero(mine[own])
-                    if not len(pick):
-                        continue
-                    _, at, n = np.unique(keys[pick], return_index=True, return_counts=True)
-                    out.append((name, None, *[0.0] * CLASS_COUNT, len(pick)))
-                    for i in np.flatnonzero(n >= max(2, share * len(pick))):
-                        w = pick[at[i]]
-                        out.append((name, lowered.part(starts[w], ends[w]).decode("utf-8", "replace"), *[0.0] * CLASS_COUNT, int(n[i])))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["lang", "word", *[f"c{k}" for k in range(CLASS_COUNT)], "n"]).astype({"n": "int64", "word": "object"}), schema=schema, preserve_index=False)
-
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), *[(f"c{k}", pa.float64()) for k in range(CLASS_COUNT)], ("n", pa.int64())])
-    ddl = "lang string, word string, " + ", ".join(f"c{k} double" for k in range(CLASS_COUNT)) + ", n long"
+                    held.setdefault((name, _CLASSES), []).append((np.arange(CLASS_COUNT, dtype=np.uint64), counts[mine].sum(0).astype(np.int64)))
+                    words, n = np.unique(keys[mine[own]], return_counts=True)
+                    if len(words):
+                        held.setdefault((name, _WORDS), []).append((words, n))
+                        held.setdefault((name, _TOTAL), []).append((np.zeros(1, np.uint64), n.sum(keepdims=True)))
+                    size += len(words) + CLASS_COUNT + 1
+                if size > _HELD:
+                    yield from rows_of(held)
+                    held, size = {}, 0
+        yield from rows_of(held)
+
     seen = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("l is not null and t is not null")
-    grouped = seen.mapInArrow(learn, ddl).groupBy("lang", "word").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(CLASS_COUNT)], F.sum("n").alias("n"))
-    stored = materialize(grouped, "quality-references")
-    totals = stored.where("word is null").drop("word")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    words = stored.where("word is not null").withColumn("r", rank).where(F.col("r") <= rules.common_words)
-    words = words.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "word")), False).alias("words"))
-    out = totals.join(words, "lang", "left").orderBy("lang").toPandas()
-    discard(docs.sparkSession, stored)
+    grouped = seen.mapInArrow(learn, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
+    top = grouped.withColumn("r", rank).where(F.col("r") <= max(rules.common_words, CLASS_COUNT)).toPandas()
+    out = []
+    for name, part in top.groupby("lang"):
+        of = {kind: part[part.kind == kind] for kind in (_CLASSES, _WORDS, _TOTAL)}
+        counts = np.zeros(CLASS_COUNT)
+        counts[of[_CLASSES].key.to_numpy()] = of[_CLASSES].n.to_numpy()
+        words = of[_WORDS][of[_WORDS].r <= rules.common_words]
+        out.append((name, counts, dict(zip(words.key.tolist(), words.n.tolist(), strict=True)), int(of[_TOTAL].n.sum())))
     return out
 
 
@@ -126,17 +136,13 @@ def quality_table(docs: DataFrame, *, doc_id="doc_id", text="text", lang="lang",
     rules = rules or Rules()
     refs = references(docs, text, lang, rules)
     class_refs, word_refs = [], []
-    for r in refs.itertuples():
-        counts = np.array([getattr(r, f"c{k}") for k in range(CLASS_COUNT)])
-        if not counts.sum() or not r.words:
+    for _, counts, words, total in refs:
+        if not counts.sum() or not words:
             continue
-        words = {x["word"]: x["n"] for x in r.words}
-        total = max(int(r.n), sum(words.values()), 1)
         class_refs.append(counts / counts.sum())
-        keys = tk.Texts.of(sorted(words))
-        hashes = keys.hashes(keys.offsets[:-1], keys.offsets[1:])
+        hashes = np.array(list(words), np.int64).view(np.uint64)
         order = np.argsort(hashes)
-        share = np.array([words[w] for w in sorted(words)])[order] / total
+        share = np.array(list(words.values()))[order] / total
         word_refs.append((hashes[order], np.append(share, max(0.0, 1 - share.sum()))))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

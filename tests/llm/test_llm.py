@@ -317,6 +317,16 @@ def test_quality(spark):
     assert quality.quality_table(docs(spark, texts).where("false")).count() == 0
 
 
+def test_references_count_every_word(spark):
+    # of the rare language no word repeats within a block
+    rare = [" ".join(f"w{k}" if k < 70 else f"v{d}x{k}" for k in range(140)) for d in range(8)]
+    texts = [*[prose(k, 120) for k in range(60)], *rare]
+    d = docs(spark, texts).withColumn("lang", quality.F.expr("case when doc_id >= 60 then 'xx' else 'en' end"))
+    got = [{x["doc_id"]: tuple(x) for x in quality.quality_table(d.repartitionByRange(n, "doc_id")).collect()} for n in (1, 5, 68)]
+    assert got[0] == got[1] == got[2]
+    assert all(x[-1] for x in got[0].values())
+
+
 # ------------------------------------------------------------ 9
 
 
