@@ -1,8 +1,9 @@
 """Benchmark decontamination with suffix arrays over training shards.
 
 Every block of training text (a shard) gets a word-level suffix array.  Every suffix of
-every test item is binary-searched in it, which gives the longest verbatim match and, for
-runs of at least ``window`` words, all places where they occur.  A shard never leaves the
+every test item is binary-searched in it, which gives each training suffix's two neighbours and so
+every document's longest verbatim match and, for runs of at least ``window`` words, all
+places where they occur.  A shard never leaves the
 task that reads it, so the documents are neither shuffled nor collected.
 
 The arrays are sparse: only suffixes that begin with a word pair of the test text (or with
@@ -145,19 +146,23 @@ class SuffixArray:
             hi[open_[~below]] = mid[~below]
         return lo
 
-    def longest(self, table: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Longest verbatim match of each pattern, and the place of one occurrence."""
-        best, where = np.zeros(len(table), np.int64), np.full(len(table), -1)
-        if not len(self.suffixes):
-            return best, where
+    def longest(self, table: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Longest verbatim match of each suffix with any pattern; the patterns are sorted.
+
+        A suffix shares most with one of the two patterns that it stands between."""
+        best = np.zeros(len(self.suffixes), np.int64)
+        if not len(best) or not len(table):
+            return best
         spot = self.bound(table, length, False)
-        for near in (spot - 1, spot):
-            ok = np.flatnonzero((near >= 0) & (near < len(self.suffixes)))
-            at = self.suffixes[near[ok]]
-            _, common = self._compare(at, table[ok], length[ok])
-            better = common > best[ok]
-            best[ok[better]], where[ok[better]] = common[better], at[better]
-        return best, where
+        after = np.searchsorted(spot, np.arange(len(best)), side="right")
+        rows = max(1, _CELLS // table.shape[1])
+        for near in (after - 1, after):
+            every = np.flatnonzero((near >= 0) & (near < len(table)))
+            for lo in range(0, len(every), rows):
+                ok = every[lo : lo + rows]
+                _, common = self._compare(self.suffixes[ok], table[near[ok]], length[near[ok]])
+                best[ok] = np.maximum(best[ok], common)
+        return best
 
 
 def _search(tests: TestSet, texts: tk.Texts) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set], np.ndarray, np.ndarray]:
@@ -170,11 +175,13 @@ def _search(tests: TestSet, texts: tk.Texts) -> tuple[np.ndarray, list[list[tupl
     array = SuffixArray(words, first, tests)
     if len(array.suffixes):
         own = tk.owners(first)
-        best, at = array.longest(tests.suffixes, tests.lengths)
-        for k in np.flatnonzero(best > 1):
-            d = own[at[k]]
-            if best[k] > longest[d]:
-                longest[d], where[d] = best[k], at[k] - first[d]
+        best = array.longest(tests.suffixes, tests.lengths)
+        some = np.flatnonzero(best > 1)
+        at = array.suffixes[some]
+        # of each document the longest match, and the first of several
+        order = np.lexsort((at, -best[some], own[at]))
+        docs, lead = np.unique(own[at[order]], return_index=True)
+        longest[docs], where[docs] = best[some[order[lead]]], at[order[lead]] - first[docs]
         lo = array.bound(tests.window_table, tests.window_size, False)
         hi = array.bound(tests.window_table, tests.window_size, True)
         hit = np.zeros(len(words) + 1, np.int64)
@@ -184,7 +191,6 @@ def _search(tests: TestSet, texts: tk.Texts) -> tuple[np.ndarray, list[list[tupl
             hit[found] += 1
             np.subtract.at(hit, found + size, 1)
             docs = np.unique(own[found])
-            longest[docs] = np.maximum(longest[docs], size)
             for d in docs.tolist():
                 items[d].update(tests.window_items[k])
         covered = np.cumsum(hit)[: len(words)] > 0

@@ -75,6 +75,21 @@ def test_decontamination(spark, block):
     assert decontam.matches(docs(spark, texts), bench.where("false")).where("size(items) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [16 << 20, 200])
+def test_longest_match_of_each_document(spark, block):
+    items = [prose(1, 40), prose(2, 25), "lonelyword", "Short Item here", prose(1, 40) + " stone"]
+    w = items[0].split()
+    texts = [*EDGE, *[f"{prose(50 + k, k)} zz {items[0]}" for k in range(4)], *[" ".join(w[k : k + n]) + " qq " + " ".join(w[:2]) for k, n in [(0, 5), (3, 5), (3, 12), (9, 20), (20, 20)]], items[4], "a lonelyword", prose(9, 300)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    pat = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    grams = {tuple(q[a:b]) for q in (pat.findall(low(i)) for i in items) for a in range(len(q)) for b in range(a + 2, len(q) + 1)}
+    got = {x["doc_id"]: (x["longest"], x["longest_at"]) for x in decontam.matches(docs(spark, texts), bench, block_bytes=block).collect()}
+    for k, t in enumerate(texts):
+        own = pat.findall(low(t))
+        n = next((n for n in range(41, 1, -1) if any(tuple(own[a : a + n]) in grams for a in range(len(own) - n + 1))), 0)
+        assert got[k] == (n, next((a for a in range(len(own)) if n and tuple(own[a : a + n]) in grams), None)), t[:80]
+
+
 # ------------------------------------------------------------ 2 and 8
 
 
