@@ -285,12 +285,13 @@ def write_archives(roles: DataFrame, folder: str, *, archive_bytes: int = 256 <<
 READ = "path string, offset long, length long, page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary, gap_reason string"
 
 
-def read_archives(paths: DataFrame, *, payloads: bool = True) -> DataFrame:
+def read_archives(paths: DataFrame, *, payloads: bool = True, complete: bool = False) -> DataFrame:
     """Records and quarantined gaps of the archives in column ``path``.
 
     A gap has a null record_type and a gap_reason.  payload_bytes and payload_digest are of
     the full payload, for revisits as their headers tell.  ``payloads=False`` leaves the
-    payload column null.
+    payload column null.  With ``complete``, an archive that does not yield as many records
+    as column ``records`` says makes the reading fail.
     """
     spark = paths.sparkSession
     n = max(1, min(paths.count(), 10_000))
@@ -310,19 +311,22 @@ def read_archives(paths: DataFrame, *, payloads: bool = True) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, size, found = [], 0, 0
                 with _open(path, "r") as file:
                     for x in salvage(file):
                         rows.append(row(path, x))
+                        found += isinstance(x, Record)
                         size += len(rows[-1][9] or b"") + 100
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
                             rows, size = [], 0
+                if records is not None and found != records:
+                    raise ValueError(f"{path} holds {found} of {records} records")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
-    return paths.select("path").repartition(n, "path").mapInArrow(read, READ)
+    return paths.select("path", (F.col("records") if complete else F.lit(None)).cast("long").alias("records")).repartition(n, "path").mapInArrow(read, READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **columns) -> DataFrame:
@@ -330,8 +334,9 @@ def round_trip(spark: SparkSession, pages: DataFrame, **columns) -> DataFrame:
 
     Columns: page_id (of its own type), payload_bytes, payload_digest, record_type,
     refers_to.  A null html has an empty payload; an empty table gives no rows.
+    A page that can't be read back makes the whole fail.
     """
     kind = pages.schema[columns.get("page_id", "page_id")].dataType
     manifest = write_archives(with_roles(pages, **columns), new_path(spark, "warc"))
-    back = read_archives(manifest, payloads=False).where("record_type is not null")
+    back = read_archives(manifest, payloads=False, complete=True).where("record_type is not null")
     return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))

@@ -373,6 +373,14 @@ def test_salvage(compress):
     assert [type(x) for x in warc.salvage(io.BytesIO(b"junk" * 1000))] == [warc.Gap]
 
 
+def test_warc_lost_record_fails(spark, monkeypatch):
+    # the manifest names one record more than an archive yields
+    monkeypatch.setattr(warc, "write_archives", lambda roles, folder, write=warc.write_archives: write(roles, folder).withColumn("records", warc.F.col("records") + 1))
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>a</p>" * k) for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    with pytest.raises(Exception, match="holds . of . records"):
+        warc.round_trip(spark, pages).collect()
+
+
 # ------------------------------------------------------------ 10
 
 
