@@ -14,8 +14,8 @@
 5. Links are joined to components.
 
 No step lists all pairs of a group: a fragment emits at most a forest and the pairs between
-different trees that it can't settle.  A fragment with many segments is dealt out as pairs
-of bounded blocks.
+different trees that it can't settle.  A fragment with more than ``BLOCK`` segments is dealt
+out as pairs of blocks, so no task compares more than two blocks at once.
 """
 
 from __future__ import annotations
@@ -24,18 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .storage import discard, materialize, small_side
+from .storage import discard, is_small, materialize, small_side, spread_join, unused
 
 #: The part of the hash range that the filter looks at, against what a link may miss.
 PART = 4 / 3
 #: n-gram occurrences a fragment is to hold, and segments in a block of a large fragment.
 FRAGMENT = 300_000
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 class Sets:
@@ -79,17 +79,17 @@ class Sets:
 
 
 def _class_rows(slim: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per document: doc_id, n (set size), dg (digest of the set) and the sampled n-grams."""
+    """Per document: doc_id, h, n (set size), dg (digest of the set) and the sampled n-grams."""
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in tk.blocks(batch.column(1)):
+            for rows, texts in tk.blocks(batch.column(2)):
                 sets = Sets(texts, size)
-                ids = batch.column(0)[rows.start : rows.stop]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets.sizes.astype(np.int64)), pa.array(tk.signed(sets.digests())), sets.sampled(percent)], names=["doc_id", "n", "dg", "part"])
+                ids = [batch.column(k)[rows.start : rows.stop] for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sets.sizes.astype(np.int64)), pa.array(tk.signed(sets.digests())), sets.sampled(percent)], names=["doc_id", "h", "n", "dg", "part"])
 
-    return slim.mapInArrow(make, f"doc_id {kind}, n long, dg long, part array<long>")
+    return slim.select("doc_id", "h", "t").mapInArrow(make, f"doc_id {kind}, h long, n long, dg long, part array<long>")
 
 
 def _able(n, percent: int):
@@ -259,6 +259,28 @@ def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, f
     return found.where("sure").select("x", "y").unionAll(summed.select("x", "y"))
 
 
+class _Groups:
+    """Documents and classes of one join: ``rows`` (doc_id, h: hash of the text, n, dg) of
+    every document and ``lookup`` (dg, group) of classes of several documents or with links."""
+
+    def __init__(self, slim: DataFrame, size: int, percent: int):
+        rows = materialize(_class_rows(slim, size, percent), "join-classes")
+        self.rows = rows.select("doc_id", "h", "n", "dg")
+        classes, able = _kept(rows, percent)
+        kept = materialize(able, "join-kept")
+        wanted = materialize(kept.select(F.col("rep").alias("_rep")).distinct(), "join-wanted")
+        texts = slim.join(small_side(wanted), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+        reached = components(class_links(texts, kept.select("dg"), size, percent))
+        linked = classes.join(reached.withColumnRenamed("node", "dg"), "dg", "left")
+        # only classes of several documents or with links need a name other than the document's
+        self.several = linked.where("c > 1 or component is not null").select("dg", "rep", "c", F.coalesce("component", "dg").alias("group"))
+        self.lookup = materialize(self.several.select("dg", "group", "c"), "join-lookup")
+
+
+def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
+
+
 def similar_groups(docs: DataFrame, *, doc_id="doc_id", text="text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
@@ -266,44 +288,43 @@ def similar_groups(docs: DataFrame, *, doc_id="doc_id", text="text", size: int =
     ``size``-word shingles over lower-cased (A-Z) words; a component is what links reach and
     is named by its smallest doc_id.  A null or wordless text has an empty set and is its
     own component.  Repeated rows stay; a null doc_id names a component only if all its ids
-    are null.
+    are null.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    rows = materialize(_class_rows(slim, size, percent), "join-classes")
-    named = rows.select("doc_id", "n", "dg")
-    classes, able = _kept(rows, percent)
-    kept = materialize(able, "join-kept")
-    texts = slim.join(small_side(kept.select(F.col("rep").alias("_rep")).distinct()), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    links = class_links(texts, kept.select("dg"), size, percent)
-    reached = components(links)
-    with_rep = classes.join(reached.withColumnRenamed("node", "dg"), "dg", "left")
-    # only classes of several documents or with links need a name other than the document's
-    group = F.coalesce("component", "dg")
-    several = with_rep.where("c > 1 or component is not null").withColumn("group", group)
-    names = several.groupBy("group").agg(F.min("rep").alias("component_id"))
-    lookup = several.select("dg", "group").join(names, "group").select("dg", "component_id")
-    alone = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    rest = named.where("n > 0").join(lookup, "dg", "left")
-    return rest.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).unionAll(alone)
-
-
-def keep_one(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
-    """One row of each group of similar documents, that of the smallest id, with all columns.
-
-    Rows that repeat the smallest id of their group differ in nothing that could tell them
-    apart and are kept once; documents without words are all kept.
+    found = _Groups(_slim(docs, doc_id, text), size, percent)
+    names = found.several.groupBy("group").agg(F.min("rep").alias("component_id"))
+    lookup = materialize(found.lookup.join(names, "group").select("dg", "component_id", "c"), "join-names")
+    plain = lambda rows, name: rows.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
+    if is_small(lookup):
+        return plain(found.rows.join(F.broadcast(lookup.drop("c")), "dg", "left"), F.coalesce("component_id", "doc_id"))
+    # classes of one document without links take no part in the join
+    named = plain(spread_join(found.rows, lookup, "dg", ["doc_id", "h"], count="c"), F.col("component_id"))
+    return named.unionAll(plain(found.rows.join(lookup.select("dg"), "dg", "left_anti"), F.col("doc_id")))
+
+
+def keep_one(docs: DataFrame, *, doc_id="doc_id", text="text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of similar documents, with all its columns.
+
+    Groups are of texts, so rows that share an id, or have none, but not their text are
+    judged apart.  The row of the smallest id stays (null ids last, of equal ids the one
+    with the smallest hash of its text); rows that repeat id and text stay once.  Documents
+    without words are all kept.  Columns of any name are kept as they are.
     """
-    groups = materialize(similar_groups(docs, doc_id=doc_id, text=text, **options), "join-groups")
-    gone = materialize(groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    rest = docs.join(small_side(gone), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
-    again = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_again"))
-    again = materialize(again, "join-again")
+    found = _Groups(_slim(docs, doc_id, text), size, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    # classes of one document have nothing that could go
+    mine = spread_join(found.rows.where("n > 0"), found.lookup, "dg", ["doc_id", "h"], count="c").groupBy("group", "doc_id", "h").agg(F.count("*").alias("c"))
+    mine = materialize(mine.withColumn("place", place), "join-members")
+    first = mine.groupBy("group").agg(F.min("place").alias("first"))
+    judged = materialize(mine.join(first, "group").select("doc_id", "h", "c", F.col("place").eqNullSafe(F.col("first")).alias("stays")), "join-judged")
+    i, h, a, b, n = unused(docs, "_i", "_h", "_a", "_b", "_n")
+    keyed = docs.withColumns({i: F.col(doc_id), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    met = F.col(i).eqNullSafe(F.col(a)) & (F.col(h) == F.col(b))
+    side = lambda rows, name: small_side(materialize(rows.select(F.col("doc_id").alias(a), F.col("h").alias(b)), name))
+    rest = keyed.join(side(judged.where("not stays"), "join-gone"), met, "left_anti")
+    again = judged.where("stays and c > 1")
     if again.isEmpty():
-        return rest
-    # only rows of repeated ids are ordered, to keep the first
-    twice = rest.join(small_side(again), F.col(doc_id).eqNullSafe(F.col("_again")), "left_semi")
-    once = rest.join(small_side(again), F.col(doc_id).eqNullSafe(F.col("_again")), "left_anti")
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    number = F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(doc_id))
-    return once.unionByName(twice.withColumn("_n", number).where((F.col("_n") == 1) | wordless).drop("_n"))
+        return rest.drop(i, h)
+    # rows that repeat differ in other columns only; one of them stays, by partial aggregation
+    again = side(again, "join-again")
+    once = rest.join(again, met, "left_semi").groupBy(i, h).agg(F.first(F.struct(*docs.columns)).alias(n)).select(f"{n}.*")
+    return rest.join(again, met, "left_anti").drop(i, h).unionByName(once)
