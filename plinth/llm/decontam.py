@@ -10,9 +10,10 @@ The arrays are sparse: only suffixes that begin with a word pair of the test tex
 the word of a one-word item) are sorted, because no other suffix can match two words.  They
 are ordered by as many words as the longest test item has, beyond which no comparison goes.
 
-The test items travel to the tasks in blocks of at most ``block_bytes`` of text, so what is
-broadcast has a fixed bound whatever the size of the benchmark; further blocks make further
-passes whose results are merged per document.
+The test items travel to the tasks in blocks of at most ``block_bytes`` of text (a longer item
+is a block of its own) as numbered words and places in them, so what is broadcast has a fixed
+bound whatever the size of the benchmark; further blocks make further passes whose results
+are merged per document.
 """
 
 from __future__ import annotations
@@ -25,16 +26,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .storage import materialize, small_side
+from .storage import materialize, small_side, unused
 
 #: Consecutive item words that make a window; a shorter item is one window.
 WINDOW = 13
+#: Bytes of test text in a block.  A block travels as about ten times as many bytes.
+BLOCK_BYTES = 8 << 20
 _NONE = np.int32(-1)
-_CELLS = 1 << 21
+
+
+def _suffix_ranks(words: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rank of the suffix at each word among all that end with their item (``end``: end of
+    each word's item); equal suffixes share a rank.  Prefix doubling, linear memory."""
+    n = len(words)
+    rank = np.unique(words, return_inverse=True)[1].reshape(-1).astype(np.int64) if n else np.zeros(0, np.int64)
+    at, step = np.arange(n), 1
+    longest = int((end - at).max(initial=0))
+    while step < longest:
+        after = np.where(at + step < end, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        rank = np.unique(rank * np.int64(n + 2) + after, return_inverse=True)[1].reshape(-1).astype(np.int64)
+        step *= 2
+    return rank
 
 
 class TestSet:
-    """One block of test items, ready for search."""
+    """One block of test items, ready for search.
+
+    Suffixes and windows are places in one array of word numbers, so the whole takes some
+    fifty bytes a word however long an item is.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         texts = tk.Texts.of([t for _, t in items]).lower()
@@ -44,33 +64,33 @@ class TestSet:
         words = np.searchsorted(self.vocabulary, hashes).astype(np.int32)
         length = np.diff(first)
         self.depth = int(length.max(initial=1))
+        self.words = np.append(words, _NONE)
         own = tk.owners(first)
-        left = first[1:][own] - np.arange(len(words))
-        whole = length[own] <= window
-        # suffixes of the items, padded; equal ones once
-        table = np.full((len(words), self.depth), _NONE, np.int32)
-        for k in range(self.depth):
-            has = np.flatnonzero(left > k)
-            table[has, k] = words[has + k]
-        self.suffixes, back = np.unique(table, axis=0, return_inverse=True) if len(words) else (table, np.zeros(0, np.int64))
-        self.lengths = (self.suffixes != _NONE).sum(1)
-        # windows: for each suffix, the size that counts as a hit (0: none) and its items
-        at_start = np.arange(len(words)) == first[:-1][own]
-        size = np.where(whole, np.where(at_start, length[own], 0), np.where(left >= window, window, 0))
-        back = back.reshape(-1)
-        pairs = sorted({(int(size[i]), tuple(table[i, : size[i]].tolist()), items[own[i]][0]) for i in np.flatnonzero(size)}, key=lambda x: (x[0], x[1], x[2] or ""))
-        grams: dict[tuple, list] = {}
-        for _, gram, item in pairs:
-            grams.setdefault(gram, []).append(item)
-        self.windows = list(grams)
-        self.window_size = np.array([len(g) for g in self.windows], np.int64)
-        self.window_items = [sorted({x for x in grams[g] if x is not None}) for g in self.windows]
-        self.window_table = np.full((len(self.windows), max(1, int(self.window_size.max(initial=1)))), _NONE, np.int32)
-        for k, g in enumerate(self.windows):
-            self.window_table[k, : len(g)] = g
+        at = np.arange(len(words))
+        left = first[1:][own] - at
+        # distinct suffixes in order
+        _, self.suffixes = np.unique(_suffix_ranks(words, first[1:][own]), return_index=True)
+        self.lengths = left[self.suffixes]
+        # windows: the places that begin one, equal ones once, and the items of each
+        begin = (left >= window) | ((length[own] < window) & (at == first[:-1][own]))
+        place = np.flatnonzero(begin)
+        size = np.minimum(left[place], window)
+        key = np.zeros(len(place), np.uint64)
+        for k in range(window):
+            more = size > k
+            key[more] = tk.mix(key[more] + hashes[place[more] + k])
+        key = tk.mix(key ^ size.astype(np.uint64))
+        _, lead, back = np.unique(key, return_index=True, return_inverse=True)
+        self.windows, self.window_size = place[lead], size[lead]
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        named = np.array([number.get(i, -1) for i, _ in items], np.int64)[own[place]] if len(place) else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([back.reshape(-1), named], 1)[named >= 0], axis=0) if len(place) else np.zeros((0, 2), np.int64)
+        self.item_edge = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        self.items = pairs[:, 1].astype(np.int32)
         two = np.flatnonzero(left >= 2)
         self.seeds = np.unique(words[two].astype(np.int64) << 32 | words[two + 1] if len(two) else np.zeros(0, np.int64))
-        self.single = np.unique(words[np.flatnonzero((length[own] == 1))])
+        self.single = np.unique(words[np.flatnonzero(length[own] == 1)])
 
     def shard_words(self, texts: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = texts.spans(tk.NON_ALNUM)
@@ -82,7 +102,7 @@ class SuffixArray:
     """Sorted suffixes of one shard; a suffix ends with its document."""
 
     def __init__(self, words: np.ndarray, first: np.ndarray, tests: TestSet):
-        self.depth = tests.depth
+        self.depth, self.tests = tests.depth, tests
         # room to read past the end, and -2 for words that no item has
         self.words = np.append(words, np.full(self.depth + 1, _NONE - 1, np.int32))
         self.end = np.repeat(first[1:], np.diff(first))
@@ -120,48 +140,45 @@ class SuffixArray:
         place = np.minimum(at + k, len(self.words) - 1)
         return np.where(at + k < self.end[at], self.words[place], _NONE).astype(np.int64)
 
-    def _compare(self, at: np.ndarray, table: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sign of suffix minus pattern over the pattern's length, and the common prefix."""
+    def _compare(self, at: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sign of suffix minus pattern (``length`` test words from ``begin``) over the
+        pattern's length, and the common prefix."""
         sign, common = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        active = np.arange(len(at))
-        for k in range(table.shape[1]):
-            active = active[length[active] > k]
-            if not len(active):
-                break
-            d = self._word(at[active], k) - table[active, k]
+        active, k = np.arange(len(at)), 0
+        while len(active := active[length[active] > k]):
+            d = self._word(at[active], k) - self.tests.words[begin[active] + k]
             same = d == 0
             sign[active[~same]] = np.sign(d[~same])
             active = active[same]
-            common[active] = k + 1
+            k += 1
+            common[active] = k
         return sign, common
 
-    def bound(self, table: np.ndarray, length: np.ndarray, right: bool) -> np.ndarray:
+    def bound(self, begin: np.ndarray, length: np.ndarray, right: bool) -> np.ndarray:
         """Binary search of all patterns at once: first suffix not below (right: above)."""
-        lo, hi = np.zeros(len(table), np.int64), np.full(len(table), len(self.suffixes))
+        lo, hi = np.zeros(len(begin), np.int64), np.full(len(begin), len(self.suffixes))
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
-            sign, _ = self._compare(self.suffixes[mid], table[open_], length[open_])
+            sign, _ = self._compare(self.suffixes[mid], begin[open_], length[open_])
             below = sign <= 0 if right else sign < 0
             lo[open_[below]] = mid[below] + 1
             hi[open_[~below]] = mid[~below]
         return lo
 
-    def longest(self, table: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Longest verbatim match of each suffix with any pattern; the patterns are sorted.
+    def longest(self) -> np.ndarray:
+        """Longest verbatim match of each suffix with any test suffix, which are sorted.
 
-        A suffix shares most with one of the two patterns that it stands between."""
+        A suffix shares most with one of the two test suffixes that it stands between."""
+        begin, length = self.tests.suffixes, self.tests.lengths
         best = np.zeros(len(self.suffixes), np.int64)
-        if not len(best) or not len(table):
+        if not len(best) or not len(begin):
             return best
-        spot = self.bound(table, length, False)
+        spot = self.bound(begin, length, False)
         after = np.searchsorted(spot, np.arange(len(best)), side="right")
-        rows = max(1, _CELLS // table.shape[1])
         for near in (after - 1, after):
-            every = np.flatnonzero((near >= 0) & (near < len(table)))
-            for lo in range(0, len(every), rows):
-                ok = every[lo : lo + rows]
-                _, common = self._compare(self.suffixes[ok], table[near[ok]], length[near[ok]])
-                best[ok] = np.maximum(best[ok], common)
+            ok = np.flatnonzero((near >= 0) & (near < len(begin)))
+            _, common = self._compare(self.suffixes[ok], begin[near[ok]], length[near[ok]])
+            best[ok] = np.maximum(best[ok], common)
         return best
 
 
@@ -175,24 +192,24 @@ def _search(tests: TestSet, texts: tk.Texts) -> tuple[np.ndarray, list[list[tupl
     array = SuffixArray(words, first, tests)
     if len(array.suffixes):
         own = tk.owners(first)
-        best = array.longest(tests.suffixes, tests.lengths)
+        best = array.longest()
         some = np.flatnonzero(best > 1)
         at = array.suffixes[some]
         # of each document the longest match, and the first of several
         order = np.lexsort((at, -best[some], own[at]))
         docs, lead = np.unique(own[at[order]], return_index=True)
         longest[docs], where[docs] = best[some[order[lead]]], at[order[lead]] - first[docs]
-        lo = array.bound(tests.window_table, tests.window_size, False)
-        hi = array.bound(tests.window_table, tests.window_size, True)
+        lo = array.bound(tests.windows, tests.window_size, False)
+        hi = array.bound(tests.windows, tests.window_size, True)
         hit = np.zeros(len(words) + 1, np.int64)
         for k in np.flatnonzero(hi > lo):
             size = int(tests.window_size[k])
             found = array.suffixes[lo[k] : hi[k]]
             hit[found] += 1
             np.subtract.at(hit, found + size, 1)
-            docs = np.unique(own[found])
-            for d in docs.tolist():
-                items[d].update(tests.window_items[k])
+            mine = tests.items[tests.item_edge[k] : tests.item_edge[k + 1]].tolist()
+            for d in np.unique(own[found]).tolist():
+                items[d].update(mine)
         covered = np.cumsum(hit)[: len(words)] > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
         # documents stand next to each other, so an interval may have to be cut at a border
@@ -205,7 +222,7 @@ def _search(tests: TestSet, texts: tk.Texts) -> tuple[np.ndarray, list[list[tupl
     return np.diff(first), spans, items, longest, where
 
 
-MATCHES = "doc_id {kind}, row string, n_words long, spans array<array<long>>, items array<string>, longest long, longest_at long"
+MATCHES = "doc_id {kind}, h long, n_words long, spans array<array<long>>, items array<string>, longest long, longest_at long"
 
 
 def _pass(slim: DataFrame, tests: TestSet) -> DataFrame:
@@ -218,13 +235,13 @@ def _pass(slim: DataFrame, tests: TestSet) -> DataFrame:
             for rows, texts in tk.blocks(batch.column(2)):
                 n_words, spans, items, longest, where = _search(handle.value, texts.lower())
                 cut = slice(rows.start, rows.stop)
-                found = [pa.array(n_words), pa.array(spans, out.field(1).type), pa.array([sorted(x) for x in items], out.field(2).type), pa.array(longest), pa.array(where, mask=where < 0)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[cut], batch.column(1)[cut], *found], names=["doc_id", "row", *out.names])
+                found = [pa.array(n_words), pa.array(spans, out.field(1).type), pa.array([sorted(handle.value.names[i] for i in x) for x in items], out.field(2).type), pa.array(longest), pa.array(where, mask=where < 0)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[cut], batch.column(1)[cut], *found], names=["doc_id", "h", *out.names])
 
     return slim.mapInArrow(scan, MATCHES.format(kind=kind))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: words, hit word intervals, items with windows in it, longest match.
 
     Columns: doc_id, n_words, spans (array of [start, end) in words, merged), items (sorted
@@ -237,20 +254,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="tex
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     volume = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n_blocks = max(1, -(-volume // block_bytes))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.lit("") if n_blocks == 1 else F.expr("uuid()")).alias("row"), F.col(text).alias("t"))
+    h = F.lit(0).cast("long") if n_blocks == 1 else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), h.alias("h"), F.col(text).alias("t"))
     parts = []
     for b in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n_blocks)) == b)
-        rows = sorted({(r["item"], r["t"]) for r in block.collect()}, key=lambda x: (x[0] or "", x[1]))
-        parts.append(_pass(slim, TestSet(rows, window)))
+        rows = sorted({(r["item"], r["t"]) for r in block.distinct().collect()}, key=lambda x: (x[0] or "", x[1]))
+        parts.append(_pass(slim, TestSet(rows, window)).withColumn("b", F.lit(b)))
     if n_blocks == 1:
-        return parts[0].drop("row")
+        return parts[0].drop("h", "b")
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
+    # rows of equal id and text have equal results: once per block, then the blocks together
+    values = ["n_words", "spans", "items", "longest", "longest_at"]
+    once = whole.groupBy("doc_id", "h", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in values])
     key = F.struct("longest", (-F.col("longest_at")).alias("m"))
-    merged = whole.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+    merged = once.groupBy("doc_id", "h").agg(
+        F.max("c").alias("c"), F.max("n_words").alias("n_words"),
         F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max(key).alias("k"),
@@ -259,7 +280,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="tex
         "aggregate(spans, cast(array() as array<array<bigint>>), (acc, s) -> if(size(acc) > 0 and s[0] <= element_at(acc, -1)[1],"
         " concat(slice(acc, 1, size(acc) - 1), array(array(element_at(acc, -1)[0], greatest(element_at(acc, -1)[1], s[1])))), concat(acc, array(s))))"
     )
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", F.col("k.longest").alias("longest"), (-F.col("k.m")).alias("longest_at"))
+    rows = merged.select(F.explode(F.sequence(F.lit(1), F.col("c"))), "*")
+    return rows.select("doc_id", "n_words", joined.alias("spans"), "items", F.col("k.longest").alias("longest"), (-F.col("k.m")).alias("longest_at"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -271,13 +293,14 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns.
+    """The documents that are not contaminated, with all their columns, whatever their names.
 
-    Rows with a null id are judged by a row of their own text, as ids need not be unique.
+    Rows are judged by id and text, as ids may repeat or be null.
     """
-    key = F.struct(F.col(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    keyed = docs.select(key.alias("_k"), F.col(text).alias("_t"))
-    bad = verdicts(matches(keyed, benchmark, doc_id="_k", text="_t", **options)).where("contaminated").select(F.col("doc_id").alias("_k"))
-    marked = docs.withColumn("_ki", F.col(doc_id)).withColumn("_kh", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    gone = materialize(bad.select(F.col("_k.i").alias("_bi"), F.col("_k.h").alias("_bh")).distinct(), "contaminated")
-    return marked.join(small_side(gone), F.col("_ki").eqNullSafe(F.col("_bi")) & (F.col("_kh") == F.col("_bh")), "left_anti").drop("_ki", "_kh")
+    h, a, b, i = unused(docs, "_h", "_a", "_b", "_i")
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.select(F.struct(F.col(doc_id).alias("i"), digest.alias("h")).alias("k"), F.col(text).alias("t"))
+    bad = verdicts(matches(keyed, benchmark, doc_id="k", text="t", **options)).where("contaminated")
+    gone = materialize(bad.select(F.col("doc_id.i").alias(a), F.col("doc_id.h").alias(b)).distinct(), "contaminated")
+    marked = docs.withColumns({i: F.col(doc_id), h: digest})
+    return marked.join(small_side(gone), F.col(i).eqNullSafe(F.col(a)) & (F.col(h) == F.col(b)), "left_anti").drop(i, h)
