@@ -44,8 +44,8 @@ _SCALE = 30.0
 
 @dataclass
 class Settings:
-    """``sample`` bounds the labelled texts that are fitted, per language; they are those of
-    the lowest hash of their text."""
+    """``sample`` bounds the labelled texts that are fitted, per language; they are the
+    distinct texts of the lowest hash."""
 
     sample: int = 400
     sizes: tuple[int, ...] = (1, 2, 3)

@@ -1,4 +1,8 @@
-"""Bounded samples of labelled texts for fitting classifiers on the driver."""
+"""Bounded samples of labelled texts for fitting classifiers on the driver.
+
+Copies of a text count once, so a page that repeats a million times neither floods the driver
+nor fills a label's sample.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +12,12 @@ from pyspark.sql import functions as F
 _SPAN = 1 << 30
 
 
-def bounded(rows: DataFrame, limit: int, key: str) -> DataFrame:
-    """Of each value of column label, about ``limit`` rows: those whose hash of ``key`` is in
-    the label's share of the hash range.  Labels are counted over all rows first."""
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
-    place = F.pmod(F.xxhash64(key), F.lit(_SPAN))
-    # a quarter more than the share, as a hash range holds more or fewer rows by chance
+def bounded(rows: DataFrame, limit: int) -> DataFrame:
+    """Of each value of column label, about ``limit`` of its distinct values of column h (a
+    hash): those in the label's share of the hash range.  Rows that repeat both may stay."""
+    counts = rows.select("label", "h").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()
+    place = F.pmod("h", F.lit(_SPAN))
+    # a quarter more than the share, as a hash range holds more or fewer by chance
     taken = [F.when((F.col("label") == F.lit(r["label"])) & (place <= F.lit(int(_SPAN * min(1.0, 1.25 * limit / r["n"])))), True) for r in counts]
     return rows.where(F.coalesce(*taken, F.lit(False)))
 
@@ -27,6 +31,9 @@ def cut(rows: list[tuple[int, object, str]], limit: int) -> list[tuple[str, obje
 
 
 def labelled_texts(rows: DataFrame, limit: int) -> list[tuple[str, object]]:
-    """At most ``limit`` (text, label) pairs of each label; columns text and label, no nulls."""
-    found = bounded(rows, limit, "text").select(F.xxhash64("text").alias("h"), "label", "text").collect()
+    """At most ``limit`` (text, label) pairs of each label: its distinct texts of the lowest
+    hashes.  Columns text and label, no nulls."""
+    hashed = rows.select("label", F.xxhash64("text").alias("h"), "text")
+    # one of each text's copies, picked before anything moves
+    found = bounded(hashed, limit).groupBy("label", "h").agg(F.first("text").alias("text")).select("h", "label", "text").collect()
     return cut([tuple(r) for r in found], limit)

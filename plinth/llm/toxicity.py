@@ -27,8 +27,8 @@ from .subwords import Words, lowered, platt, sigmoid
 
 @dataclass
 class Settings:
-    """``sample`` bounds the labelled rows that are fitted, per label; they are the rows of
-    the lowest hash of their id and label.  ``window`` is in words."""
+    """``sample`` bounds the labelled documents that are fitted, per label; they are those of
+    the lowest hash of their id.  ``window`` is in words."""
 
     sample: int = 2000
     sizes: tuple[int, ...] = (3, 4, 5)
@@ -170,15 +170,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", l
     """Fits texts of ``docs`` by the labels (1: toxic, 0: clean) of their ids.
 
     The sample is drawn from the labels alone; as it is bounded, it travels to the documents.
+    An id counts once per label, with the text of the lowest hash where it has several.
     Null labels, ids and texts teach nothing.  Without rows of both labels there is nothing
     to learn and the result is None.
     """
     s = settings or Settings()
-    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).where("_id is not null and label in (0, 1)")
-    sample = F.broadcast(bounded(marks, s.sample, "_id"))
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    found = texts.join(sample, "_id").select(F.xxhash64("_id").alias("h"), "label", "text").collect()
-    rows = cut([tuple(r) for r in found], s.sample)
+    marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    sample = F.broadcast(bounded(marks.withColumn("h", F.xxhash64("id")), s.sample).distinct())
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    met = texts.join(sample, "id").groupBy("id", "label", "h").agg(F.min(F.struct(F.xxhash64("text").alias("place"), "text")).alias("one"))
+    rows = cut([tuple(r) for r in met.select("h", "label", "one.text").collect()], s.sample)
     if len({label for _, label in rows}) < 2:
         return None
     order = np.random.default_rng(s.seed).permutation(len(rows))
