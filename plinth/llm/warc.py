@@ -26,10 +26,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, new_path
+from .storage import materialize, new_path, spread_join
 
 _GZIP = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+[ \t]*\r?\n")
 _STEP = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -41,21 +41,50 @@ def sha1_base32(payload: bytes) -> str:
 # ---------------------------------------------------------------- records
 
 
+class Headers(dict):
+    """Header fields by name, whatever its case; as written they are in the values."""
+
+    def __init__(self, fields: list[tuple[str, str]]):
+        super().__init__((name.lower(), value) for name, value in fields)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+    @classmethod
+    def parse(cls, raw: bytes) -> Headers:
+        """Fields of ``name: value`` lines; space around a value is free, and a line that
+        begins with space goes on with the field before it."""
+        fields: list[tuple[str, str]] = []
+        for line in raw.decode().replace("\r\n", "\n").split("\n"):
+            if line[:1] in (" ", "\t") and fields:
+                fields[-1] = fields[-1][0], f"{fields[-1][1]} {line.strip()}"
+                continue
+            name, colon, value = line.partition(":")
+            if not colon or not name or name != name.strip():
+                raise ValueError(f"no header field: {line}")
+            fields.append((name, value.strip()))
+        return cls(fields)
+
+
 @dataclass
 class Record:
-    """One record as read back; ``offset`` and ``length`` are its bytes in the archive."""
+    """One record as read back; ``offset`` and ``length`` are its bytes in the archive (of a
+    gzip member with several records, the member's)."""
 
     offset: int
     length: int
-    headers: dict[str, str]
+    headers: Headers
     block: bytes = field(repr=False)
 
     @property
-    def http(self) -> tuple[dict[str, str], bytes]:
+    def http(self) -> tuple[Headers, bytes]:
         """HTTP header fields and the payload behind them."""
         head, _, payload = self.block.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        return fields, payload
+        lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+        return Headers([(name, value.strip()) for name, colon, value in (x.partition(":") for x in lines) if colon]), payload
 
 
 @dataclass
@@ -116,91 +145,127 @@ class _Bad(Exception):
     pass
 
 
-def _member(stream: _Stream, at: int, limit: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``."""
+def _member(stream: _Stream, at: int, limit: int) -> tuple[bytes, int | None, str]:
+    """What decompressed of the gzip member at ``at``, its end, and what is wrong with it (the
+    end is None then)."""
     opener, out, size, pos = zlib.decompressobj(31), [], 0, at
     while not opener.eof:
         data = stream.get(pos, _STEP)
         if not data:
-            raise _Bad("gzip member is cut off")
-        try:
-            out.append(opener.decompress(data, limit - size + 1))
-        except zlib.error as e:
-            raise _Bad("gzip data is invalid") from e
-        size += len(out[-1])
-        if size > limit:
-            raise _Bad("record is over the size limit")
-        pos += len(data) - len(opener.unconsumed_tail)
-    return b"".join(out), pos - len(opener.unused_data)
-
-
-def _parse(raw: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record that ``raw`` begins with."""
-    if not _VERSION.match(raw):
+            return b"".join(out), None, "gzip member is cut off"
+        # in small steps, so that what stands before damaged bytes is kept
+        for lo in range(0, len(data), 1 << 12):
+            some = data[lo : lo + (1 << 12)]
+            try:
+                out.append(opener.decompress(some, limit - size + 1))
+            except zlib.error:
+                return b"".join(out), None, "gzip data is invalid"
+            size += len(out[-1])
+            if size > limit:
+                return b"".join(out), None, "record is over the size limit"
+            pos += len(some) - len(opener.unused_data)
+            if opener.eof:
+                break
+    return b"".join(out), pos, ""
+
+
+def _parse(raw: bytes, at: int = 0) -> tuple[Headers, bytes, int]:
+    """Headers, block and end of the record that begins at ``at``."""
+    version = _VERSION.match(raw, at)
+    if not version:
         raise _Bad("no version line")
-    stop = raw.find(b"\r\n\r\n")
+    ends = [(raw.find(gap, at), len(gap)) for gap in (b"\r\n\r\n", b"\n\n")]
+    stop, gap = min((e for e in ends if e[0] >= 0), default=(-1, 0))
     if stop < 0:
         raise _Bad("header does not end")
     try:
-        headers = dict(line.split(": ", 1) for line in raw[:stop].decode().split("\r\n")[1:])
+        headers = Headers.parse(raw[version.end() : stop])
         length = int(headers["Content-Length"])
     except (ValueError, KeyError) as e:
         raise _Bad("header is malformed") from e
-    end = stop + 4 + length
+    end = stop + gap + length
     if length < 0 or len(raw) < end + 4:
         raise _Bad("record is cut off")
-    if raw[end : end + 4] != b"\r\n\r\n" or (whole and len(raw) != end + 4):
+    if raw[end : end + 4] != b"\r\n\r\n":
         raise _Bad("record does not end at its length")
-    block = raw[stop + 4 : end]
-    digest = headers.get("WARC-Block-Digest", "")
-    if digest.startswith("sha1:") and digest[5:] != sha1_base32(block):
+    block = raw[stop + gap : end]
+    kind, _, digest = headers.get("WARC-Block-Digest", "").partition(":")
+    if kind.lower() == "sha1" and digest.upper() != sha1_base32(block):
         raise _Bad("block digest differs")
     return headers, block, end + 4
 
 
-def _at(stream: _Stream, at: int, limit: int) -> Record:
+def _inside(raw: bytes, sound: bool) -> tuple[list[tuple[Headers, bytes]], str]:
+    """Records of a member's content, and the first failed check.
+
+    In a damaged member (not ``sound``) the last record doesn't count, as no check tells that
+    it is whole; nor does what is no record.
+    """
+    found, at, reason = [], 0, ""
+    while at < len(raw):
+        try:
+            headers, block, end = _parse(raw, at)
+        except _Bad as e:
+            reason = reason or str(e)
+            later = _VERSION.search(raw, at + 1)
+            if later is None:
+                break
+            at = later.start()
+            continue
+        at = end
+        if sound or _VERSION.match(raw, at):
+            found.append((headers, block))
+    return found, reason
+
+
+def _at(stream: _Stream, at: int, limit: int) -> tuple[list[Record], int | None, str]:
+    """Records that begin at ``at``, the end of what is sound there (None if nothing tells),
+    and the failed check."""
     if stream.get(at, 3) == _GZIP:
-        raw, end = _member(stream, at, limit)
-        headers, block, _ = _parse(raw, whole=True)
-        return Record(at, end - at, headers, block)
+        raw, end, reason = _member(stream, at, limit)
+        found, inner = _inside(raw, end is not None)
+        size = 0 if end is None else end - at
+        if not found and not inner and not reason:
+            inner = "no version line"
+        return [Record(at, size, h, b) for h, b in found], end, reason or inner
     want = _STEP
     while True:
         raw = stream.get(at, want)
         if not _VERSION.match(raw):
-            raise _Bad("no gzip member or version line")
+            return [], None, "no gzip member or version line"
         try:
-            headers, block, size = _parse(raw, whole=False)
-            return Record(at, size, headers, block)
+            headers, block, size = _parse(raw)
+            return [Record(at, size, headers, block)], at + size, ""
         except _Bad as e:
             # a longer record or header than what was looked at
             if str(e) not in ("record is cut off", "header does not end") or len(raw) < want or want > limit:
-                raise
+                return [], None, str(e)
             want *= 4
 
 
 def salvage(file, limit: int = 1 << 30) -> Iterator[Record | Gap]:
     """Reads records from a binary file; damaged bytes come out as gaps, in file order.
 
-    ``limit`` bounds a record's decompressed size.  An empty file yields nothing.
+    A gzip member may hold several records; of a damaged one the records before the damage
+    are recovered, and its bytes are a gap all the same.  ``limit`` bounds what a member, or
+    a record outside of one, decompresses to.  An empty file yields nothing.
     """
     stream, at = _Stream(file), 0
     start, reason = None, ""
     while stream.get(at, 1):
-        try:
-            record = _at(stream, at, limit)
-        except _Bad as e:
+        records, end, why = _at(stream, at, limit)
+        if end is not None and not why and start is not None:
+            yield Gap(start, at, reason)
+            start = None
+        yield from records
+        if end is None or why:
             if start is None:
-                start, reason = at, str(e)
-            at = _next(stream, at + 1)
+                start, reason = at, why
+            at = end if end is not None else _next(stream, at + 1)
             if at is None:
                 break
-            stream.trim(at)
-            continue
-        if start is not None:
-            yield Gap(start, at, reason)
-            start = None
-        yield record
-        at += record.length
+        else:
+            at = end
         stream.trim(at)
     if start is not None:
         yield Gap(start, stream.base + len(stream.buffer), reason)
@@ -246,8 +311,9 @@ def with_roles(pages: DataFrame, *, page_id="page_id", url="url", html="html", l
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     slim = pages.select(F.col(page_id).alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     firsts = slim.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1 and refers_to is not null").drop("n")
-    revisits = slim.join(firsts, "digest").where("not (page_id <=> refers_to)").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    firsts = materialize(firsts.where("n > 1 and refers_to is not null"), "warc-payloads")
+    met = spread_join(slim.select("page_id", "digest"), firsts, "digest", ["page_id"], count="n")
+    revisits = met.where("not (page_id <=> refers_to)").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     return rows.join(revisits, same, "left").select("page_id", "url", "payload", "refers_to")
 
