@@ -14,7 +14,7 @@ collapsed).  Equal normal forms are one line class; only distinct classes go on:
 So the components are those of all pairs that share a bucket and are similar enough.
 
 Of each component the first occurrence in the corpus (smallest doc_id, then line) stays; all
-its other lines go.  Lines under ``min_chars`` in normal form always stay.
+its other lines go.  Lines under ``min_chars`` characters in normal form always stay.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .storage import discard, materialize, small_side
+from .storage import discard, materialize, small_side, spread_join, unused
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
@@ -64,19 +64,46 @@ def normal_lines(texts: tk.Texts) -> tuple[tk.Texts, np.ndarray]:
     return tk.Texts(flat[~drop], np.append(kept[lo], kept[hi[-1]]) if len(hi) else np.zeros(1, np.int64)), first
 
 
+def _points(flat: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes."""
+    return np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def char_counts(lines: tk.Texts) -> np.ndarray:
+    """Characters of each line."""
+    return lines.count((lines.flat & 0xC0) != 0x80)
+
+
 def shingles(lines: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Byte shingles of eight bytes (as numbers, scrambled one to one) and their lines.
+    """Shingles of eight characters (as scrambled numbers) and their lines.
 
-    Lines are longer than a shingle; shorter ones have none.
+    Lines are longer than a shingle; shorter ones have none.  Eight ASCII characters are
+    their bytes as a number; other characters stand for a scrambled one, turned by its place.
     """
-    n = len(lines.flat) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     raw = np.ascontiguousarray(lines.flat)
-    keys = tk.mix(np.ndarray(n, "<u8", raw, strides=(1,)).copy())
-    own = tk.owners(lines.offsets)[:n]
-    inside = np.arange(n) + SHINGLE <= lines.offsets[1:][own]
-    return keys[inside], own[inside]
+    if not (raw >= 0x80).any():
+        n = len(raw) - SHINGLE + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, edge = np.ndarray(n, "<u8", raw, strides=(1,)).copy(), lines.offsets
+    else:
+        points = _points(raw).astype(np.uint64)
+        edge = np.append(0, np.cumsum(char_counts(lines)))
+        n = len(points) - SHINGLE + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        far = points >= 0x80
+        points[far] = tk.mix(points[far])
+        two = points[:-1] ^ _turned(points[1:], 8)
+        four = two[:-2] ^ _turned(two[2:], 16)
+        keys = (four[:-4] ^ _turned(four[4:], 32))[:n]
+    own = tk.owners(edge)[:n]
+    inside = np.arange(n) + SHINGLE <= edge[1:][own]
+    return tk.mix(keys[inside]), own[inside]
 
 
 def signatures(keys: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
@@ -149,7 +176,7 @@ def line_rows(slim: DataFrame, min_chars: int) -> DataFrame:
 
 def line_keys(lines: tk.Texts, min_chars: int) -> np.ndarray:
     keys = lines.hashes(lines.offsets[:-1], lines.offsets[1:]) | np.uint64(1)
-    return np.where(np.diff(lines.offsets) >= min_chars, keys, np.uint64(0))
+    return np.where(char_counts(lines) >= min_chars, keys, np.uint64(0))
 
 
 def _take(lines: tk.Texts, pick: np.ndarray) -> tk.Texts:
@@ -181,9 +208,9 @@ def _line_texts(slim: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame
 
 def _propose(banded: DataFrame) -> DataFrame:
     """Pairs (x, y) of each bucket member with the bucket's smallest and largest member."""
-    low = banded.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most")
-    low = small_side(materialize(low, "line-buckets"), 1_000_000)
-    pairs = banded.join(low, "band").select(F.explode(F.array(F.struct(F.col("least").alias("x"), F.col("key").alias("y")), F.struct(F.col("key").alias("x"), F.col("most").alias("y")))).alias("p"))
+    low = banded.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("c")).where("least != most")
+    low = materialize(low, "line-buckets")
+    pairs = spread_join(banded, low, "band", ["key"], count="c", most=1_000_000).select(F.explode(F.array(F.struct(F.col("least").alias("x"), F.col("key").alias("y")), F.struct(F.col("key").alias("x"), F.col("most").alias("y")))).alias("p"))
     return pairs.select("p.x", "p.y").where("x != y").distinct()
 
 
@@ -393,14 +420,14 @@ def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", min_chars: i
     slim = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("t"))
     lines, reached = line_groups(slim, min_chars=max(min_chars, SHINGLE), percent=percent)
     flat = lines.select("row", F.posexplode("keys").alias("pos", "key")).where("key != 0")
-    often = flat.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    often = flat.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     # classes of several lines or with links, and the component of each
-    group = often.join(reached, "key", "full_outer").select("key", F.coalesce("component", "key").alias("component"))
+    group = often.join(reached, "key", "full_outer").select("key", F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("component", "key").alias("component"))
     group = materialize(group, "line-classes")
-    some = flat.join(small_side(group, 500_000), "key")
-    best = some.groupBy("component").agg(F.min(F.struct("row", "pos")).alias("best"))
+    some = spread_join(flat, group, "key", ["row", "pos"], count="c", most=500_000)
+    best = some.groupBy("component").agg(F.min(F.struct("row", "pos")).alias("best"), F.count("*").alias("c"))
     best = materialize(best, "line-best")
-    gone = some.join(small_side(best, 500_000), "component")
+    gone = spread_join(some, best, "component", ["row", "pos"], count="c", most=500_000)
     gone = gone.where(~((F.col("row") == F.col("best.row")) & (F.col("pos") == F.col("best.pos"))))
     return materialize(gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "lines-removed")
 
@@ -417,13 +444,15 @@ def dedup_lines(docs: DataFrame, *, doc_id="doc_id", text="text", **options) ->
     whose lines all go is empty.  Rows that repeat id and text are cleaned alike.  Columns
     of the input that are named like the added ones are replaced.
     """
-    gone = removed_lines(docs, doc_id=doc_id, text=text, **options).select(F.col("row").alias("_key"), F.col("removed").alias("_gone"))
-    joined = docs.withColumn("_row", row_key(doc_id, text)).join(small_side(gone), F.col("_row").eqNullSafe(F.col("_key")), "left")
+    row, key, lost = unused(docs, "_row", "_key", "_gone")
+    gone = removed_lines(docs, doc_id=doc_id, text=text, **options)
+    side = small_side(gone).select(F.col("row").alias(key), F.col("removed").alias(lost))
+    joined = docs.withColumn(row, row_key(doc_id, text)).join(side, F.col(row).eqNullSafe(F.col(key)), "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(lost, i)), "\n")
     out = joined.withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"),
-        "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept),
+        "n_removed": F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long"),
+        text: F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept),
     })
-    return out.drop("_row", "_key", "_gone")
+    return out.drop(row, key, lost)
