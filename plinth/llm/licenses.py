@@ -5,8 +5,9 @@ Everything runs as DataFrame expressions inside the JVM.
 * Templates are cut into segments (a short template is one).  Segments of a length share a
   class of text windows, somewhat wider than the segment and so dense that every occurrence
   lies whole in one window.
-* An exact screen keeps the texts that hold an anchor word: for each segment, words that are
-  in more of its shingles than a match may miss.  Windows are laid around anchor words only.
+* An exact screen keeps the texts that hold an anchor word of some template: words that are in
+  more of its shingles than a match may miss.  Segments have anchors too, and windows are laid
+  around those only.
 * Each window's shingles get a MinHash signature with bands of one row; the number of bands
   is chosen so that a window with a match collides with a chance of at least ``SURE``.
 * A band hit of any segment makes the text a candidate for its template.  Candidates are
@@ -32,17 +33,51 @@ PERCENT = 80
 SURE = 0.9999
 _LONG, _STEP = 24, 8
 
-#: License notices and the opening passages of common licenses.
+#: License notices and the whole texts of short licenses, without their
+#: copyright lines.
 TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "mit": "Released under the MIT License.",
     "all-rights-reserved": "All rights reserved.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "mit-opening": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "apache-2.0-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
@@ -62,6 +97,17 @@ def _may_miss(grams: set) -> int:
     return len(grams) - -(-PERCENT * len(grams) // 100)
 
 
+def anchors(grams: set[tuple[str, ...]], may_miss: int) -> list[str]:
+    """Words of which a match holds at least one: long ones first, until more shingles hold
+    one than a match may miss."""
+    out: list[str] = []
+    for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+        out.append(word)
+        if sum(any(a in g for a in out) for g in grams) > may_miss:
+            break
+    return out
+
+
 class Segment:
     """A template's segment and the shape of the windows that look for it."""
 
@@ -72,12 +118,7 @@ class Segment:
         self.width, self.step = len(words) + slack, slack + 1
         grams = self.grams = _grams(words)
         may_miss = _may_miss(grams) if may_miss is None else may_miss
-        # anchors: long words first, until more shingles hold one than a match may miss
-        self.anchors: list[str] = []
-        for word in sorted(set(words), key=lambda w: (-len(w), w)):
-            self.anchors.append(word)
-            if sum(any(a in g for a in self.anchors) for g in grams) > may_miss:
-                break
+        self.anchors = anchors(grams, may_miss)
         # least Jaccard similarity of a window with a match
         least = len(grams) - may_miss
         self.similarity = least / (self.width - self.size + 1 + len(grams) - least)
@@ -137,12 +178,14 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("t"), F.xxhash64(text).alias("h"))
     if not found:
         return slim.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).where("false")
-    anchors = sorted({a for s in found for a in s.anchors})
+    wanted = {name: words for name, template in (TEMPLATES if templates is None else templates).items() if (words := words_of(template))}
+    marks = sorted({a for s in found for a in s.anchors})
+    screen = {a for words in wanted.values() for a in anchors(_grams(words), _may_miss(_grams(words)))}
     bands = max(s.bands for s in found)
     # the lower-cased text is a lambda's variable, so that it is made once for all anchors
     def any_anchor(t: Column) -> Column:
         hit = F.lit(False)
-        for a in sorted(anchors, key=lambda a: (len(a), a), reverse=True):
+        for a in sorted(screen, key=lambda a: (len(a), a), reverse=True):
             hit = hit | F.contains(t, F.lit(a))
         return hit
 
@@ -152,7 +195,7 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
     # the words around each anchor word; exploding at each step keeps expressions apart, or
     # the optimizer would write one into the other many times over
     reach = max(s.width for s in found)
-    marked = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.array(*[F.lit(a) for a in anchors]), F.get("words", i)))
+    marked = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.array(*[F.lit(a) for a in marks]), F.get("words", i)))
     around = F.transform(marked, lambda p: F.struct(p.alias("p"), F.greatest(p - reach, F.lit(0)).alias("base"), F.slice("words", F.greatest(p - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near")))
     spots = tokens.where(F.size("words") > 0).select("doc_id", "h", F.inline(around))
     # windows of every class that hold the anchor word, on the class's grid
@@ -169,7 +212,7 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
     rows = hashed.select("doc_id", "h", "start", "width", "size", "grams", F.posexplode("sig").alias("band", "value"))
     met = rows.join(F.broadcast(sides), ["width", "size", "band", "value"])
     candidates = met.select("doc_id", "h", "license").distinct()
-    wholes = _template_rows(spark, [Segment(name, 0, words_of(text)) for name, text in sorted((TEMPLATES if templates is None else templates).items()) if words_of(text)])
+    wholes = _template_rows(spark, [Segment(name, 0, words) for name, words in sorted(wanted.items())])
     wholes = wholes.select("license", F.col("size").alias("n"), F.col("grams").alias("own"))
     # the text's shingles that the template has, and the place of the first of them
     asked = candidates.join(tokens.withColumnsRenamed({"doc_id": "_id", "h": "_h"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).join(F.broadcast(wholes), "license")
@@ -178,17 +221,3 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates: dict[str,
     held = asked.select("doc_id", "license", "own", "all", F.explode(F.array(F.array_intersect("all", "own"))).alias("hit")).where(100 * F.size("hit") >= PERCENT * F.size("own"))
     first = F.array_position(F.transform("all", lambda g: F.array_contains("own", g)), True) - 1
     return held.select("doc_id", "license", (F.size("hit") / F.size("own")).alias("containment"), first.alias("first_word"))
-
-
-def scan_brute(texts: list[tuple[object, str | None]], templates: dict[str, str] | None = None) -> set[tuple[object, str]]:
-    """The licenses whose shingles a text holds to the least share, template by template."""
-    wanted = {name: words_of(text) for name, text in (TEMPLATES if templates is None else templates).items()}
-    out = set()
-    for key, text in texts:
-        words = words_of((text or "").lower())
-        for name, template in wanted.items():
-            grams, n = _grams(template), min(SHINGLE, len(template))
-            inside = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} & grams
-            if grams and n and 100 * len(inside) >= PERCENT * len(grams):
-                out.add((key, name))
-    return out
