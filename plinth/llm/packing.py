@@ -10,7 +10,9 @@ that problem, the tasks only look their places up:
    programme with column generation, rounded down, and the rest is packed first-fit,
 3. actual sizes take the rounded slots, which leaves gaps,
 4. small sizes, largest first, go to the tightest gap that holds them; new sequences open
-   for what is left.
+   for what is left,
+5. loose sequences, which the rounding up leaves, are opened and fitted anew where that saves
+   sequences.
 
 The solution is a list of runs: ``count`` consecutive sequences with the same sizes.  A
 document finds its place by its rank among the documents of its size; ranks come from
@@ -228,7 +230,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int | None
         for q in queue:
             for s, n in q:
                 left[s] += n
-    # the rest of the large sizes and all small ones: tightest gap first
+    # the rest of the large sizes and all small ones
+    runs = best_fit(left, runs, capacity)
+    # rounding sizes up leaves loose sequences; what they hold is fitted anew where that helps
+    for slack in sorted({capacity >> k for k in range(4, 10)}):
+        tight = [r for r in runs if r.gap <= slack]
+        loose: dict[int, int] = defaultdict(int)
+        for r in runs:
+            if r.gap > slack:
+                for s in r.sizes:
+                    loose[s] += r.count
+        again = best_fit(loose, tight, capacity)
+        if sum(r.count for r in again) < sum(r.count for r in runs):
+            runs = again
+    merged: dict[tuple[int, ...], int] = defaultdict(int)
+    for r in runs:
+        merged[tuple(sorted(r.sizes, reverse=True))] += r.count
+    return [Run(sizes, n, capacity) for sizes, n in sorted(merged.items(), reverse=True)]
+
+
+def best_fit(left: dict[int, int], runs: list[Run], capacity: int) -> list[Run]:
+    """``runs`` with the sizes in ``left`` added, largest first, each in the tightest gap that
+    holds it; new sequences open for what has none."""
     by_gap: dict[int, list[Run]] = defaultdict(list)
     for r in runs:
         by_gap[r.gap].append(r)
@@ -241,8 +264,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int | None
             if gaps:
                 run = by_gap[gaps[0]].pop()
             else:
-                run = Run((), need, capacity)
-            each = max(1, min(run.gap // s, need // run.count)) if need >= run.count else 1
+                # as many new sequences as the size fills, or one for the rest
+                run = Run((), max(1, need // (capacity // s)), capacity)
+            each = max(1, min(run.gap // s, need // run.count))
             n = min(run.count, need // each)
             if n < run.count:
                 rest = Run(run.sizes, run.count - n, capacity)
@@ -252,11 +276,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int | None
             if full.gap >= s and full.gap not in gaps:
                 gaps = sorted({*gaps, full.gap})
             need -= each * n
-    merged: dict[tuple[int, ...], int] = defaultdict(int)
-    for rs in by_gap.values():
-        for r in rs:
-            merged[tuple(sorted(r.sizes, reverse=True))] += r.count
-    return [Run(sizes, n, capacity) for sizes, n in sorted(merged.items(), reverse=True)]
+    return [r for rs in by_gap.values() for r in rs if r.count]
 
 
 class Places:
