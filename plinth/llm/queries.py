@@ -97,4 +97,73 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _lower(text: str) -> str:
+    return _LOWER.format(text)
+
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+
+def _words(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({_lower(f"coalesce({text}, '')")}, '{pattern}')"
+
+
+#: Windows by size and text, the words they hit, and longest runs of equal words on a diagonal.
+_OP1 = f"""
+WITH d AS (SELECT doc_id, {_words('text', _ALNUM)} AS w FROM documents), i AS (SELECT item_id, {_words('text', _ALNUM)} AS q FROM benchmark),
+iw AS (SELECT item_id, least(13, len(q)) AS n, unnest(list_transform(range(1, greatest(1, len(q) - 12) + 1), lambda a: array_to_string(q[a : a + least(13, len(q)) - 1], ' '))) AS g FROM i WHERE len(q) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS a, unnest(list_transform(range(1, len(w) - n + 2), lambda a: array_to_string(w[a : a + n - 1], ' '))) AS g FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT doc_id, n, a, item_id FROM dw JOIN (SELECT DISTINCT item_id, n, g FROM iw) USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(a, a + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hits GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM d), ip AS (SELECT item_id, unnest(range(0, len(q))) AS o, unnest(q) AS x FROM i),
+pairs AS (SELECT doc_id, item_id, p, p - o AS diagonal FROM dp JOIN ip USING (x)),
+runs AS (SELECT doc_id, min(p) AS begin_at, count(*) AS n_run FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS island FROM pairs) GROUP BY doc_id, item_id, diagonal, island HAVING count(*) > 1),
+best AS (SELECT doc_id, max(n_run) AS longest, arg_min(begin_at, begin_at - n_run * 100000000) AS longest_at FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_at AS BIGINT) AS longest_at
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+def _op4() -> str:
+    from .licenses import PERCENT, SHINGLE, TEMPLATES, words_of
+
+    rows = []
+    for name, text in sorted(TEMPLATES.items()):
+        words = words_of(text)
+        n = min(SHINGLE, len(words))
+        rows += [f"('{name}', {n}, '{g}')" for g in sorted({" ".join(words[k : k + n]) for k in range(len(words) - n + 1)})]
+    return f"""
+WITH t(license, n, g) AS (VALUES {', '.join(rows)}), size AS (SELECT license, count(*) AS total FROM t GROUP BY license), ns AS (SELECT DISTINCT n FROM t),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_ALNUM}') AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS a, unnest(list_transform(range(1, len(w) - n + 2), lambda a: array_to_string(w[a : a + n - 1], ' '))) AS g FROM d, ns WHERE len(w) >= n)
+SELECT doc_id, license, count(DISTINCT g) / CAST(any_value(total) AS DOUBLE) AS containment, CAST(min(a) AS INT) AS first_word
+FROM dw JOIN t USING (n, g) JOIN size USING (license) GROUP BY doc_id, license HAVING 100 * count(DISTINCT g) >= {PERCENT} * any_value(total)"""
+
+
+#: Pairs of distinct sets that share a shingle, and what links reach.
+_OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words('text', _SPACED)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(unnest(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda a: array_to_string(w[a : a + 3], ' ')))) AS g FROM d WHERE len(w) > 0),
+k AS (SELECT doc_id, count(*) AS n, md5(string_agg(CAST(g AS VARCHAR), ',' ORDER BY g)) AS dg FROM s GROUP BY doc_id),
+r AS (SELECT dg, min(doc_id) AS rep, any_value(n) AS n FROM k GROUP BY dg),
+c AS (SELECT rep, n, g FROM s JOIN r ON r.rep = s.doc_id),
+p AS (SELECT a.rep AS x, b.rep AS y FROM c a JOIN c b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach AS (SELECT rep AS node, rep AS seen FROM r UNION SELECT node, y FROM reach JOIN e ON e.x = seen),
+least_of AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (dg) LEFT JOIN least_of ON node = rep"""
+
+#: Five bits of the digest a letter.
+_BITS = "array_to_string(list_transform(string_split(sha1(x), ''), lambda c: lpad(bin(CAST('0x' || c AS INT)), 4, '0')), '')"
+_OP9 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages), b AS (SELECT page_id, x, {_BITS} AS bits FROM p), f AS (SELECT x, min(page_id) AS one FROM p GROUP BY x)
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(CAST(('0b' || substr(bits, CAST(5 * k + 1 AS BIGINT), 5)) AS VARCHAR) AS INT)]), '') AS payload_digest,
+  CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> one THEN one END AS refers_to FROM b JOIN f USING (x)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": _OP1, "op4_license_scan": _op4(), "op6_ngram_jaccard_join": _OP6, "op9_warc": _OP9}
