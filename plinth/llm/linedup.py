@@ -64,9 +64,11 @@ def normal_lines(texts: tk.Texts) -> tuple[tk.Texts, np.ndarray]:
     return tk.Texts(flat[~drop], np.append(kept[lo], kept[hi[-1]]) if len(hi) else np.zeros(1, np.int64)), first
 
 
-def _points(flat: np.ndarray) -> np.ndarray:
-    """Code points of UTF-8 bytes."""
-    return np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+#: One byte for each character of one or two UTF-8 bytes: those that normal forms have of ASCII
+#: stay, the others share what is left, neighbours in a script apart.
+_FREE = np.array([b for b in range(256) if b not in (0x20, 0x30, *range(0x61, 0x7B))], np.uint8)
+_NARROW = _FREE[np.arange(0x800) % len(_FREE)]
+_NARROW[:0x80] = np.arange(0x80)
 
 
 def _turned(x: np.ndarray, bits: int) -> np.ndarray:
@@ -75,34 +77,60 @@ def _turned(x: np.ndarray, bits: int) -> np.ndarray:
 
 def char_counts(lines: tk.Texts) -> np.ndarray:
     """Characters of each line."""
-    return lines.count((lines.flat & 0xC0) != 0x80)
+    size = np.diff(lines.offsets)
+    more = (lines.flat & 0xC0) == 0x80
+    return size - lines.count(more) if more.any() else size
 
 
 def shingles(lines: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of eight characters (as scrambled numbers) and their lines.
 
-    Lines are longer than a shingle; shorter ones have none.  Eight ASCII characters are
-    their bytes as a number; other characters stand for a scrambled one, turned by its place.
+    Lines are longer than a shingle; shorter ones have none.  A shingle is the number of its
+    characters' bytes; a character of three or four UTF-8 bytes stands for a scrambled number
+    that is turned by its place.
     """
-    raw = np.ascontiguousarray(lines.flat)
-    if not (raw >= 0x80).any():
-        n = len(raw) - SHINGLE + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, edge = np.ndarray(n, "<u8", raw, strides=(1,)).copy(), lines.offsets
-    else:
-        points = _points(raw).astype(np.uint64)
+    wide = lines.flat >= 0xE0
+    if not wide.any():
+        return _narrow_shingles(lines)
+    has = lines.count(wide) > 0
+    few, many = np.flatnonzero(~has), np.flatnonzero(has)
+    keys, own = _narrow_shingles(_take(lines, few))
+    more, other = _wide_shingles(_take(lines, many))
+    return np.concatenate([keys, more]), np.concatenate([few[own], many[other]])
+
+
+def _narrow_shingles(lines: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
+    raw, edge = np.ascontiguousarray(lines.flat), lines.offsets
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        keep = (raw & 0xC0) != 0x80
         edge = np.append(0, np.cumsum(char_counts(lines)))
-        n = len(points) - SHINGLE + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        far = points >= 0x80
-        points[far] = tk.mix(points[far])
-        two = points[:-1] ^ _turned(points[1:], 8)
-        four = two[:-2] ^ _turned(two[2:], 16)
-        keys = (four[:-4] ^ _turned(four[4:], 32))[:n]
-    own = tk.owners(edge)[:n]
-    inside = np.arange(n) + SHINGLE <= edge[1:][own]
+        raw = raw.copy()
+        raw[lead] = _NARROW[(raw[lead].astype(np.int64) & 0x1F) << 6 | raw[lead + 1] & 0x3F]
+        raw = raw[keep]
+    n = len(raw) - SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return _of_lines(np.ndarray(n, "<u8", raw, strides=(1,)).copy(), edge)
+
+
+def _wide_shingles(lines: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(lines.flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    n = len(points) - SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    value = _NARROW[np.minimum(points, 0x7FF)].astype(np.uint64)
+    far = points >= 0x800
+    value[far] = tk.mix(points[far].astype(np.uint64))
+    two = value[:-1] ^ _turned(value[1:], 8)
+    four = two[:-2] ^ _turned(two[2:], 16)
+    return _of_lines(four[:-4] ^ _turned(four[4:], 32), np.append(0, np.cumsum(char_counts(lines))))
+
+
+def _of_lines(keys: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that lie within a line, scrambled, and their lines."""
+    own = tk.owners(edge)[: len(keys)]
+    inside = np.arange(len(keys)) + SHINGLE <= edge[1:][own]
     return tk.mix(keys[inside]), own[inside]
 
 

@@ -110,7 +110,7 @@ def _hadoop(spark: SparkSession, path: str):
 #: Rows and bytes (as stored) of a table that may travel to every executor.  The tables hold
 #: ids and hashes, which Parquet hardly shrinks, so what is stored tells what travels.
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 48 << 20
 
 
 def is_small(stored: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
