@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Codes, and the statuses that their first words stand for.
 BLOCKED_ARTIFACT = "BLOCKED_ARTIFACT_INTEGRITY"
 BLOCKED_PROJECTION = "BLOCKED_PROJECTION_INTEGRITY"
 BLOCKED_BINDING = "BLOCKED_SOURCE_BINDING"

@@ -24,11 +24,13 @@ def _marks() -> tuple[str, str]:
 
 
 _WITH, _BARE = _marks()
+#: Marks that stand behind their letter in decomposed text.
+_COMBINING = "".join(chr(c) for c in range(0x300, 0x370))
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(c), _WITH, _BARE)
+    """Lower case without diacritics, also those of decomposed text."""
+    return F.translate(F.lower(c), _WITH + _COMBINING, _BARE)
 
 
 def tokens(c: Column) -> Column:
@@ -37,7 +39,7 @@ def tokens(c: Column) -> Column:
 
 
 def fold_text(text: str) -> str:
-    return text.lower().translate(str.maketrans(_WITH, _BARE))
+    return text.lower().translate(str.maketrans(_WITH, _BARE, _COMBINING))
 
 
 def token_list(text: str) -> list[str]:
@@ -90,10 +92,16 @@ def token_estimate(chars: Column) -> Column:
 
 
 def module_path(module: Column) -> Column:
-    """Path of a module's file: dots outside «» part folders, the quotes go."""
+    """Path of a module's file: dots outside «» part folders, the quotes go.
+
+    Quotes that nest or lack their other half raise.
+    """
     parts = F.split(module, "«|»")
     joined = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit("."), F.lit("/"))).otherwise(x)), "")
-    return F.concat(joined, F.lit(".lean"))
+    path = F.concat(joined, F.lit(".lean"))
+    quoted = F.instr(module, "«") + F.instr(module, "»") > 0
+    broken = ~F.rlike(module, F.lit("^[^«»]*(«[^«»]*»[^«»]*)*$"))
+    return F.when(quoted & broken, F.raise_error(F.concat(F.lit("BLOCKED_ARTIFACT_INTEGRITY: quotes of module "), module)).cast("string")).otherwise(path)
 
 
 def candidate_id(source: Column, declaration: Column, row: Column) -> Column:
@@ -118,7 +126,29 @@ def is_hex64(c: Column) -> Column:
     return c.rlike("^[0-9a-f]{64}$")
 
 
+def is_commit(c: Column) -> Column:
+    return c.rlike("^[0-9a-f]{40}$")
+
+
+def is_repository(c: Column) -> Column:
+    """owner/name."""
+    return c.rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")
+
+
 def repository_name(url: Column) -> Column:
-    """owner/name of a hosted git address in any of its usual spellings."""
-    bare = F.regexp_replace(url, r"^(https://|ssh://git@|git@)github\.com[:/]", "")
-    return F.regexp_replace(F.regexp_replace(bare, "/+$", ""), r"\.git$", "")
+    """owner/name of a hosted git address in any of its usual spellings, else null."""
+    text = F.regexp_replace(F.trim(url), r"\.git$", "")
+    hosted = F.regexp_extract(text, r"^(?:https://github\.com/|ssh://git@github\.com/|git@github\.com:)(.*)$", 1)
+    bare = text.contains("/") & ~text.contains("://") & ~text.contains("@")
+    return F.when(hosted != "", hosted).when(bare, text)
+
+
+def is_inside(path: Column) -> Column:
+    """A normal relative path: not absolute, no empty, ``.`` or ``..`` part, no odd mark."""
+    return (path != "") & ~path.rlike(r"(^/)|(^|/)\.{1,2}(/|$)|//|/$|\\|\x00")
+
+
+def is_plain_https(url: Column) -> Column:
+    """An absolute https address without user, password or fragment."""
+    part = lambda name: F.try_parse_url(url, F.lit(name))
+    return F.coalesce((part("PROTOCOL") == "https") & (F.length(F.coalesce(part("HOST"), F.lit(""))) > 0) & part("USERINFO").isNull() & part("REF").isNull(), F.lit(False))

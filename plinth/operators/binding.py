@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BLOCKED_BINDING, PlinthError
+from ..errors import BLOCKED_MISMATCH, PlinthError
 from ..functions.text import module_path, parent_name
+from ..scratch import store
 
 _PLACE = ["source_path", "source_start_line", "source_end_line"]
 _SALTS = 32
@@ -15,14 +16,15 @@ _SALTS = 32
 def bind_unique(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Nodes with the place of the one chunk of their module's file that has their name.
 
-    None or several matching chunks leave the node unbound.
+    None or several matching chunks leave the node unbound; a node with a path keeps its place.
     """
     by = sources.where("declaration_hint is not null").groupBy("source_path", F.col("declaration_hint").alias("name"))
     one = by.agg(F.count("*").alias("c"), F.first("source_start_line").alias("a"), F.first("source_end_line").alias("b")).where("c = 1").drop("c")
-    keyed = nodes.drop(*_PLACE).withColumn("_path", module_path(F.col("module")))
-    one = one.withColumnRenamed("source_path", "_path").withColumn("source_path", F.col("_path"))
-    out = keyed.join(one, ["_path", "name"], "left").drop("_path")
-    return out.withColumnsRenamed({"a": "source_start_line", "b": "source_end_line"}).select(*nodes.columns)
+    keyed = nodes.withColumn("_path", module_path(F.col("module")))
+    out = keyed.join(one.withColumnRenamed("source_path", "_path"), ["_path", "name"], "left")
+    free = F.col("source_path").isNull()
+    place = {"source_start_line": F.when(free, F.col("a")).otherwise(F.col("source_start_line")), "source_end_line": F.when(free, F.col("b")).otherwise(F.col("source_end_line")), "source_path": F.when(free & F.col("a").isNotNull(), F.col("_path")).otherwise(F.col("source_path"))}
+    return out.withColumns(place).select(*nodes.columns)
 
 
 def _endings(name):
@@ -40,22 +42,23 @@ def bind_by_suffix(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """
     keyed = nodes.drop(*_PLACE).withColumn("_path", module_path(F.col("module")))
     chunks = sources.select(F.col("source_path").alias("_path"), F.col("declaration_hint").alias("hint"), "text", F.col("source_start_line").alias("a"), F.col("source_end_line").alias("b"), F.col("source_revision").alias("_rev"))
+    chunks = chunks.where("hint is not null")
     bare = keyed.join(chunks.select("_path").distinct(), "_path", "left_anti").first()
     if bare is not None:
-        raise PlinthError(BLOCKED_BINDING, f"no source for module {bare['module']}")
-    revisions = chunks.select("_path", "_rev").distinct()
-    if (other := keyed.join(revisions, "_path").where("source_revision != _rev").first()) is not None:
-        raise PlinthError(BLOCKED_BINDING, f"revision differs for {other['id']}")
-    # the hint is one of the name's dotted endings, which are keys of an equi-join
+        raise PlinthError(BLOCKED_MISMATCH, f"no source for module {bare['module']}")
+    # the hint is one of the name's dotted endings, which are keys of an equi-join; what is
+    # found is stored, as two checks and the result read it
     ended = keyed.withColumn("hint", F.explode(_endings(F.col("full_name"))))
     direct = ended.join(chunks, ["_path", "hint"])
     rest = keyed.join(direct.select("id").distinct(), "id", "left_anti")
     parent = rest.withColumn("_parent", parent_name(F.col("full_name"))).where("_parent is not null").withColumn("hint", F.explode(_endings(F.col("_parent")))).join(chunks, ["_path", "hint"])
     member = F.regexp_like("text", F.concat(F.lit(r"(?m)^[ \t]*\Q"), F.element_at(F.split("full_name", r"\."), -1), F.lit(r"\E[ \t]*:")))
-    found = direct.unionByName(parent.where(member).drop("_parent"))
+    found = store(direct.unionByName(parent.where(member).drop("_parent")).drop("text"), "bound")
     several = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").first()
     if several is not None:
-        raise PlinthError(BLOCKED_BINDING, f"several chunks for {several['id']}")
+        raise PlinthError(BLOCKED_MISMATCH, f"several chunks for {several['id']}")
+    if (other := found.where(~F.col("_rev").eqNullSafe(F.col("source_revision"))).first()) is not None:
+        raise PlinthError(BLOCKED_MISMATCH, f"revision differs for {other['id']}")
     placed = found.withColumn("source_path", F.col("_path")).withColumnsRenamed({"a": "source_start_line", "b": "source_end_line"})
     return placed.select(*nodes.columns)
 
@@ -66,35 +69,33 @@ def restrict_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*edges.columns)
 
 
-def _first_unique(pairs: DataFrame, keys: list[str], value: str, tiers: dict[str, object]) -> DataFrame:
-    """Per key: the value of the first tier that exactly one pair is in."""
-    counts = [F.count_if(c).alias(f"n_{t}") for t, c in tiers.items()] + [F.min(F.when(c, F.col(value))).alias(f"v_{t}") for t, c in tiers.items()]
-    return _pick(pairs.groupBy(*keys).agg(*counts), keys, value, list(tiers))
-
-
 def _pick(out: DataFrame, keys: list[str], value: str, tiers: list[str]) -> DataFrame:
     pick = F.coalesce(*[F.when(F.col(f"n_{t}") == 1, F.col(f"v_{t}")) for t in tiers])
     tier = F.coalesce(*[F.when(F.col(f"n_{t}") == 1, F.lit(t)) for t in tiers])
     return out.select(*keys, pick.alias(value), tier.alias("tier"))
 
 
-def hit_to_declaration(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+def hit_to_declaration(hits: DataFrame, nodes: DataFrame, *, within: list[str] | None = None) -> DataFrame:
     """Hits (with source_path, source_start_line, source_end_line, declaration_hint) and the
-    declaration_id they stand for, or null.
+    declaration_id they stand for, or null, and the tier that told.
 
     Among the nodes named like the hint: exactly this place, else starting within the chunk,
-    else in the same file, else anywhere; each only if one node qualifies.
+    else in the same file, else anywhere; each only if one node qualifies.  Hits meet nodes of
+    their name and file; all nodes of a name are counted once for the last tier.  ``within``
+    names columns, such as the corpus, that must agree.
     """
-    n = nodes.select(F.col("name").alias("declaration_hint"), F.col("id").alias("declaration_id"), F.col("source_path").alias("np"), F.col("source_start_line").alias("na"), F.col("source_end_line").alias("nb"))
-    same = F.col("source_path") == F.col("np")
-    tiers = {
-        "exact": same & (F.col("source_start_line") == F.col("na")) & (F.col("source_end_line") == F.col("nb")),
-        "inside": same & F.col("na").between(F.col("source_start_line"), F.col("source_end_line")),
-        "file": same,
-        "global": F.lit(True),
-    }
-    keys = ["source_path", "source_start_line", "source_end_line", "declaration_hint"]
-    found = _first_unique(hits.select(*keys).distinct().join(n, "declaration_hint"), keys, "declaration_id", tiers)
+    same = within or []
+    keys = [*same, "source_path", "source_start_line", "source_end_line", "declaration_hint"]
+    named = nodes.select(*same, F.col("name").alias("declaration_hint"), F.col("id").alias("declaration_id"), "source_path", F.col("source_start_line").alias("na"), F.col("source_end_line").alias("nb"))
+    asked = hits.select(*keys).distinct()
+    at = F.col("na").eqNullSafe(F.col("source_start_line")) & F.col("nb").eqNullSafe(F.col("source_end_line"))
+    tiers = {"exact": at, "inside": F.coalesce(F.col("na").between(F.col("source_start_line"), F.col("source_end_line")), F.lit(False)), "file": F.lit(True)}
+    near = asked.join(named, [*same, "source_path", "declaration_hint"])
+    counts = [F.count_if(c).alias(f"n_{t}") for t, c in tiers.items()] + [F.min(F.when(c, F.col("declaration_id"))).alias(f"v_{t}") for t, c in tiers.items()]
+    local = near.groupBy(*keys).agg(*counts)
+    wanted = asked.select(*same, "declaration_hint").distinct()
+    everywhere = named.join(wanted, [*same, "declaration_hint"], "left_semi").groupBy(*same, "declaration_hint").agg(F.count("*").alias("n_global"), F.min("declaration_id").alias("v_global"))
+    found = _pick(asked.join(local, keys, "left").join(everywhere, [*same, "declaration_hint"], "left"), keys, "declaration_id", [*tiers, "global"])
     return hits.join(found, keys, "left")
 
 

@@ -20,60 +20,56 @@ MODIFIERS = ["protected", "private", "noncomputable", "unsafe"]
 KEYWORDS = ["theorem", "lemma", "def", "abbrev", "structure", "class", "inductive", "instance"]
 _NAME = r"[^\W\d][\w']*"
 _DECLARATION = re.compile(rf"\s*(?:(?:{'|'.join(MODIFIERS)})\s+)*(?:{'|'.join(KEYWORDS)})\s+({_NAME}(?:\.{_NAME})*)")
-_MARK = re.compile(r'--|/-|-/|"|\\.|\n', re.S)
+_MARK = re.compile(r'--|/-|-/|"|\n')
+_IN_STRING = re.compile(r'\\[^\n]|"|\n')
 
 SCHEMA = "id string, source_revision string, source_path string, source_start_line int, source_end_line int, declaration_hint string, text string, content_sha256 string"
 
 
 def mask_comments(text: str) -> tuple[str, list[bool]]:
-    """The text with comments blanked, and for each line whether it is all comment.
+    """The text with comments blanked, and for each line whether a comment comes first in it.
 
-    Jumps from mark to mark.  Block comments nest; a string ends with its line.
+    That is a line that begins within a block comment, whatever follows, or whose first mark
+    behind white space opens a comment.  Jumps from mark to mark.  Block comments nest; a
+    string ends with its line.
     """
-    out, flags = [], []
+    out: list[str] = []
+    flags: list[bool] = []
     depth, in_string, in_line = 0, False, False
+    first, coded = False, False  # of this line: begins as a comment; has code so far
     at = 0
-    commented, coded = False, False
 
-    def take(piece: str) -> None:
-        nonlocal commented, coded
-        hidden = depth > 0 or in_line
-        commented |= hidden
+    def take(piece: str, hidden: bool) -> None:
+        nonlocal coded
         coded |= not hidden and bool(piece.strip())
-        out.append(re.sub(r"[^\n]", " ", piece) if hidden else piece)
+        out.append(" " * len(piece) if hidden else piece)
 
-    for m in _MARK.finditer(text):
-        take(text[at : m.start()])
-        mark = m.group()
-        at = m.end()
+    while True:
+        m = (_IN_STRING if in_string else _MARK).search(text, at)
+        hidden = depth > 0 or in_line
+        take(text[at : m.start() if m else len(text)], hidden)
+        if m is None:
+            break
+        mark, at = m.group(), m.end()
         if mark == "\n":
             out.append("\n")
-            flags.append(commented and not coded)
+            flags.append(first)
             in_line = in_string = False
-            commented, coded = depth > 0, False
-        elif in_line or (mark[0] == "\\" and not in_string) or (in_string and mark != '"'):
-            take(mark.rstrip("\n"))
-            if mark.endswith("\n"):
-                out.append("\n")
-                flags.append(commented and not coded)
-                in_line = in_string = False
-                commented, coded = depth > 0, False
-        elif mark == '"' and depth == 0:
-            take(mark)
-            in_string = not in_string
-        elif mark == "--" and depth == 0:
-            in_line = True
-            take(mark)
-        elif mark == "/-":
-            depth += 1
-            take(mark)
-        elif mark == "-/" and depth:
-            take(mark)
-            depth -= 1
+            first, coded = depth > 0, False
+        elif in_line:
+            take(mark, True)
+        elif depth:
+            take(mark, True)
+            depth += {"/-": 1, "-/": -1}.get(mark, 0)
+        elif mark in ("--", "/-"):
+            first |= not coded
+            in_line, depth = mark == "--", int(mark == "/-")
+            take(mark, True)
         else:
-            take(mark)
-    take(text[at:])
-    flags.append(commented and not coded)
+            take(mark, False)
+            if mark == '"':
+                in_string = not in_string
+    flags.append(first)
     return "".join(out), flags
 
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import last_component
+from ..sources.contract import HEX64, Document, parsed
 
 PROOF_CORPUS = "PROOF_CORPUS"
+#: What a corpus may declare itself to be.
+CORPUS_CLASSES = [PROOF_CORPUS, "PARTIAL_PROOF_CORPUS", "STATEMENT_CORPUS", "BENCHMARK_CORPUS"]
 UNKNOWN_PROOF, NOT_PROOF, CANDIDATE_PROOF = "UNKNOWN_NOT_PROOF_EVIDENCE", "NOT_PROOF_EVIDENCE", "CANDIDATE_FOR_PROOF_VERIFICATION"
 UNFINISHED = "sorryAx"
+MOST_EVIDENCE, MOST_OUTPUT = 64 << 10, 1 << 20
+SIDECAR = "plinth.proof-evidence-sidecar.v1"
+_SORRY = re.compile(r".+:[0-9]+:[0-9]+: warning: declaration uses `sorry`")
 
 
 def eligibility(corpus_class: Column, observed: Column, allowed: Column) -> Column:
@@ -23,16 +32,207 @@ def eligibility(corpus_class: Column, observed: Column, allowed: Column) -> Colu
     )
 
 
-def probe_state(kind: Column, n: Column, mode: Column) -> Column:
-    """State of a smoke probe by its kind and its number of hits or edges."""
+def eligible(corpus_class: str | None, observed: list[str] | None, allowed: list[str] | None = None) -> str:
+    """:func:`eligibility` of one declaration."""
+    if corpus_class is not None and corpus_class not in CORPUS_CLASSES:
+        raise ValueError(f"unknown corpus class {corpus_class}")
+    if any(not isinstance(a, str) or not a for a in [*(observed or []), *(allowed or [])]):
+        raise ValueError("axioms must be texts")
+    if corpus_class is None or observed is None:
+        return UNKNOWN_PROOF
+    sound = corpus_class == PROOF_CORPUS and not any(a.rsplit(".", 1)[-1] == UNFINISHED for a in observed) and set(observed) <= set(allowed or [])
+    return CANDIDATE_PROOF if sound else NOT_PROOF
+
+
+def replay_claim(declared: Column, claimed: Column, has_class: Column) -> Column:
+    """Eligibility of a replay by the class it declares; a claim beyond that raises.
+
+    A replay carries no axiom report, so a proof corpus stays unknown, and a replay without a
+    class may claim nothing else.
+    """
+    fail = lambda what: F.raise_error(F.lit(what)).cast("string")
+    allowed = F.when(declared == PROOF_CORPUS, UNKNOWN_PROOF).otherwise(NOT_PROOF)
+    return (
+        F.when(declared.isNull() & (has_class | (claimed.isNotNull() & (claimed != UNKNOWN_PROOF))), fail("incomplete replay evidence claim"))
+        .when(declared.isNull(), UNKNOWN_PROOF)
+        .when(~declared.isin(CORPUS_CLASSES), fail("unsupported corpus class"))
+        .when(~claimed.eqNullSafe(allowed), fail("the replay claims more than its class allows"))
+        .otherwise(allowed)
+    )
+
+
+def replay_evidence(replay: dict) -> dict[str, str | None]:
+    """:func:`replay_claim` of one replay document."""
+    declared, claimed = replay.get("corpus_class"), replay.get("proof_evidence")
+    if declared is None:
+        if "corpus_class" in replay or claimed not in (None, UNKNOWN_PROOF) or ("proof_evidence" in replay and claimed is None):
+            raise ValueError("incomplete replay evidence claim")
+        return {"declared_corpus_class": None, "proof_eligibility": UNKNOWN_PROOF}
+    allowed = eligible(declared, None if declared == PROOF_CORPUS else [])
+    if claimed != allowed:
+        raise ValueError("the replay claims more than its class allows")
+    return {"declared_corpus_class": declared, "proof_eligibility": allowed}
+
+
+# ---------------------------------------------------------------- axiom reports
+
+
+def report_details(line: Column, declaration: Column) -> Column:
+    """What a report line says of a declaration; null if it is no report of it."""
+    start = F.concat(F.lit("'"), declaration, F.lit("' "))
+    return F.when(F.startswith(line, start), F.substring(line, F.length(start) + 1, F.length(line)))
+
+
+def report_axioms(details: Column) -> Column:
+    """The axioms that the details list; null if they are malformed or repeat a name."""
+    listed = F.regexp_extract(details, r"^depends on axioms: \[(.*)\]$", 1)
+    names = F.split(listed, ", ")
+    good = (listed != "") & (F.size(F.array_distinct(names)) == F.size(names)) & ~F.exists(names, lambda n: (n == "") | (F.trim(n) != n))
+    return F.when(details == "does not depend on any axioms", F.array().cast("array<string>")).when(good, names)
+
+
+def axiom_reports(lines: DataFrame, declarations: DataFrame) -> DataFrame:
+    """declaration, axioms, n_lines of tool output lines (column line).
+
+    The name ends with the quote before one of the two sentences that a report may be, as
+    names may hold quotes themselves; so it is the key of an equi-join.
+    """
+    name = F.regexp_extract("line", r"^'(.+)' (?:depends on axioms: \[.*\]|does not depend on any axioms)$", 1)
+    named = lines.withColumn("declaration", name).where("declaration != ''")
+    axioms = report_axioms(report_details(F.col("line"), F.col("declaration")))
+    per = named.withColumn("axioms", axioms).groupBy("declaration").agg(F.min("axioms").alias("axioms"), F.count("*").alias("n_lines"))
+    return declarations.select("declaration").distinct().join(per, "declaration", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+
+
+def exact_reports(spark: SparkSession, output: bytes, declarations: list[str], *, exit_code: int, expected_sha256: str | None) -> DataFrame:
+    """declaration, axioms: one report for each expected declaration of a pinned output.
+
+    Other lines than reports and the one known warning, missing, doubled or malformed reports
+    and an output that is not what was pinned raise.
+    """
+    if exit_code != 0:
+        raise ValueError("EXECUTION_FAILED: nonzero exit")
+    if expected_sha256 is None or not HEX64.fullmatch(expected_sha256):
+        raise ValueError("UNPINNED_STDOUT: no digest to hold the output against")
+    if not 0 < len(output) <= MOST_OUTPUT:
+        raise ValueError("the output is empty or too long")
+    if hashlib.sha256(output).hexdigest() != expected_sha256:
+        raise ValueError("STDOUT_DIGEST_MISMATCH")
+    if not declarations or len(set(declarations)) != len(declarations) or any(not d or set(d) & set("\n\r\0") for d in declarations):
+        raise ValueError("expected declarations must be different names")
+    try:
+        text = output.decode()
+    except UnicodeDecodeError as e:
+        raise ValueError("the output is no UTF-8") from e
+    if not text.endswith("\n") or set(text) & set("\r\0"):
+        raise ValueError("the output is malformed")
+    lines = text.removesuffix("\n").split("\n")
+    warned = sum(1 for x in lines if _SORRY.fullmatch(x))
+    # bounded by the output's size
+    asked = spark.createDataFrame([(d,) for d in declarations], "declaration string")
+    told = spark.createDataFrame([(k, x) for k, x in enumerate(lines) if not _SORRY.fullmatch(x)], "n int, line string")
+    met = told.join(F.broadcast(asked), report_details(F.col("line"), F.col("declaration")).isNotNull(), "left")
+    per_line = met.groupBy("n").agg(F.count("declaration").alias("c"), F.first("line").alias("line"))
+    if (row := per_line.where("c != 1").first()) is not None:
+        raise ValueError(f"unrequested or ambiguous line: {row['line']}")
+    details = report_details(F.col("line"), F.col("declaration"))
+    reports = met.select("declaration", details.alias("details"), report_axioms(details).alias("axioms"))
+    counts = asked.join(reports, "declaration", "left").groupBy("declaration").agg(F.count("details").alias("c"), F.count("axioms").alias("good"))
+    if (row := counts.where("c != 1 or good != 1").first()) is not None:
+        raise ValueError(f"{row['c']} reports for {row['declaration']}, {row['good']} well-formed")
+    if warned and reports.where(F.exists("axioms", lambda a: a.contains(UNFINISHED))).isEmpty():
+        raise ValueError("a warning that no report explains")
+    return reports.select("declaration", "axioms")
+
+
+def bound_evidence(spark: SparkSession, artifact, sidecar: bytes | None, transcript: bytes | None, expected_sha256: str | None) -> str:
+    """Eligibility by a detached report that is pinned by digest to artifact, declaration and
+    transcript.  Without a sidecar it is unknown; anything incomplete or incoherent raises."""
+    if sidecar is None:
+        if transcript is not None or expected_sha256 is not None:
+            raise ValueError("INCOMPLETE_EVIDENCE: no sidecar")
+        return UNKNOWN_PROOF
+    if transcript is None:
+        raise ValueError("INCOMPLETE_EVIDENCE: no transcript")
+    if expected_sha256 is None or not HEX64.fullmatch(expected_sha256):
+        raise ValueError("UNPINNED_EVIDENCE: no digest of the sidecar")
+    for name, data in (("sidecar", sidecar), ("transcript", transcript)):
+        if len(data) > MOST_EVIDENCE:
+            raise ValueError(f"EVIDENCE_TOO_LARGE: {name} exceeds {MOST_EVIDENCE} bytes")
+    if hashlib.sha256(sidecar).hexdigest() != expected_sha256:
+        raise ValueError("SIDECAR_DIGEST_MISMATCH")
+    root = parsed(sidecar, "sidecar", ValueError).exactly("schema", "artifact", "corpus_class", "declaration", "lean_audit")
+    root.among("schema", [SIDECAR])
+    declaration, klass = root.text("declaration"), root.among("corpus_class", CORPUS_CLASSES)
+    source = root.inner("artifact").exactly("identity", "source_revision")
+    audit = root.inner("lean_audit").exactly("toolchain", "command", "transcript_sha256", "observed_axioms", "allowed_axioms")
+    audit.text("toolchain")
+    if audit.text("command") != f"#print axioms {declaration}":
+        raise ValueError("the audit's command is of another declaration")
+    if audit.text("transcript_sha256", HEX64) != hashlib.sha256(transcript).hexdigest():
+        raise ValueError("the transcript differs from its digest")
+    observed, allowed = (_names(audit, x) for x in ("observed_axioms", "allowed_axioms"))
+    found = exact_reports(spark, transcript, [declaration], exit_code=0, expected_sha256=audit.value["transcript_sha256"]).first()
+    if transcript.count(b"\n") != 1 or observed != list(found["axioms"]):
+        raise ValueError("the audit's axioms are not the transcript's")
+    if source.text("identity") != artifact.identity or source.text("source_revision") != artifact.revision:
+        raise ValueError("the evidence is of another artifact")
+    if artifact.nodes.where(F.col("full_name") == declaration).isEmpty():
+        raise ValueError("the artifact lacks the declaration")
+    return eligible(klass, observed, allowed)
+
+
+def _names(d: Document, name: str) -> list[str]:
+    value = d.value.get(name)
+    if not isinstance(value, list) or any(not isinstance(x, str) or not x or x.strip() != x for x in value) or len(set(value)) != len(value):
+        raise ValueError(f"{name} must be different names")
+    return value
+
+
+def consume_witness(spark: SparkSession, files: dict[str, bytes], expected: dict, declarations: dict[str, str]) -> dict[str, str]:
+    """Verdicts of a recorded run.
+
+    ``files``: receipt.json, stdout.txt and stderr.txt.  ``expected``: what the receipt must
+    say in source, run and execution, from elsewhere than the receipt.  ``declarations``: the
+    verdict that each must get; any other raises.
+    """
+    receipt = parsed(files["receipt.json"], "witness", ValueError).exactly("schema", "source", "run", "execution")
+    for section, want in expected.items():
+        have = receipt.inner(section)
+        for name, value in want.items():
+            if have.value.get(name) != value:
+                raise ValueError(f"the witness differs in {section}.{name}")
+    execution = receipt.inner("execution")
+    for name, data in (("stdout_sha256", files["stdout.txt"]), ("stderr_sha256", files["stderr.txt"])):
+        if execution.text(name, HEX64) != hashlib.sha256(data).hexdigest():
+            raise ValueError(f"the witness differs in {name}")
+    if files["stderr.txt"]:
+        raise ValueError("the run wrote errors")
+    reports = exact_reports(spark, files["stdout.txt"], list(declarations), exit_code=execution.whole("exit_code"), expected_sha256=execution.value["stdout_sha256"])
+    verdicts = {r["declaration"]: eligible(PROOF_CORPUS, list(r["axioms"])) for r in reports.collect()}
+    if verdicts != declarations:
+        raise ValueError(f"verdicts are {verdicts}")
+    return verdicts
+
+
+# ---------------------------------------------------------------- probes
+
+
+def probe_state(kind: Column, n: Column, mode: Column, error: Column | None = None) -> Column:
+    """State of a smoke probe by its kind, its number of hits or edges, and the code of the
+    error it met."""
+    error = F.lit(None).cast("string") if error is None else error
     search = F.when(n == 0, "NO_SIGNAL").when(mode == "evidence", "FOUND_USEFUL_STRUCTURE").otherwise("CANDIDATE_SIGNAL")
-    graph = F.when(n.isNull(), "UNKNOWN_WITHIN_CURRENT_CONTRACT").when(n > 0, "FOUND_USEFUL_STRUCTURE").otherwise("NO_SIGNAL")
+    graph = F.when(error == "UNKNOWN", "UNKNOWN_WITHIN_CURRENT_CONTRACT").when(error.isNotNull(), "DEGRADED").when(n > 0, "FOUND_USEFUL_STRUCTURE").otherwise("NO_SIGNAL")
     return F.when(kind == "search", search).when(kind.isin("deps", "rdeps"), graph).otherwise("CORPUS_BOUNDARY")
 
 
-def regression(guard: Column, n: Column, least: Column, required: Column, observed: Column) -> Column:
-    missing = F.size(F.array_except(F.coalesce(required, F.array().cast("array<string>")), F.coalesce(observed, F.array().cast("array<string>")))) > 0
-    return F.coalesce(guard, F.lit(False)) & ((F.coalesce(n, F.lit(0)) < F.coalesce(least, F.lit(0))) | missing)
+def regression(guard: Column, n: Column, least: Column, required: Column, observed: Column, error: Column | None = None) -> Column:
+    """Whether a guarded probe met an error, found too little or lacks what it must find."""
+    none = F.array().cast("array<string>")
+    missing = F.size(F.array_except(F.coalesce(required, none), F.coalesce(observed, none))) > 0
+    failed = F.lit(False) if error is None else error.isNotNull()
+    return F.coalesce(guard, F.lit(False)) & (failed | (F.coalesce(n, F.lit(0)) < F.coalesce(least, F.lit(0))) | missing)
 
 
 def disposition(probes: DataFrame) -> DataFrame:
@@ -44,15 +244,3 @@ def disposition(probes: DataFrame) -> DataFrame:
         F.when(bad, "DEGRADED").when(useful, "FOUND_USEFUL_STRUCTURE").when(has("CORPUS_BOUNDARY"), "CORPUS_BOUNDARY").when(has("NO_SIGNAL"), "NO_SIGNAL").otherwise("UNKNOWN_WITHIN_CURRENT_CONTRACT").alias("disposition"),
         F.count("*").alias("n_probes"),
     )
-
-
-def axiom_reports(lines: DataFrame, declarations: DataFrame) -> DataFrame:
-    """declaration, axioms, n_lines of tool output lines (column line).
-
-    A report line begins with the quoted declaration, so the quoted name is an equi-join key.
-    """
-    named = lines.withColumn("declaration", F.regexp_extract("line", r"^'([^']+)' (?:depends on axioms: |does not depend on any axioms)", 1)).where("declaration != ''")
-    listed = F.regexp_extract("line", r"depends on axioms: \[(.*)\]", 1)
-    axioms = F.when(listed == "", F.array().cast("array<string>")).otherwise(F.split(listed, ", "))
-    per = named.withColumn("axioms", axioms).groupBy("declaration").agg(F.min("axioms").alias("axioms"), F.count("*").alias("n_lines"))
-    return declarations.select("declaration").distinct().join(per, "declaration", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import store
+
 
 def row_digests(df: DataFrame, *columns: str) -> DataFrame:
     """A digest per row over the named columns; nulls differ from empty texts."""
@@ -15,16 +17,29 @@ def row_digests(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.sha2(F.concat_ws("\x1f", *cells), 256).alias("digest"))
 
 
-def fingerprint(df: DataFrame, *columns: str, buckets: int = 4096) -> DataFrame:
+#: Rows that a bucket is to hold, and buckets that are joined to one in a step.
+_BUCKET_ROWS, _FAN = 1 << 16, 4096
+
+
+def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     """One row (rows, fingerprint).
 
-    Digests are sorted and hashed within fixed buckets of their leading bits, then the
-    buckets' hashes in order, so no task holds more than a bucket.
+    Digests are sorted and hashed within buckets of their leading bits, then the buckets'
+    hashes in order, in as many steps as keep every list short: the number of buckets grows
+    with the rows, so no task holds more than a bucket.
     """
-    bucket = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % buckets
-    per = row_digests(df, *columns).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("d"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"].cast("string"), F.lit(":"), x["d"])), ",")
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(joined, 256).alias("fingerprint"))
+    spark = df.sparkSession
+    digests = store(row_digests(df, *columns), "digests")
+    rows, levels = digests.count(), 1
+    while _FAN**levels * _BUCKET_ROWS < rows:
+        levels += 1
+    lead = F.conv(F.substring("digest", 1, 3 * levels), 16, 10).cast("long")
+    state = digests.groupBy(lead.alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("d"))
+    for _ in range(levels):
+        parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: F.concat((x["b"] % _FAN).cast("string"), F.lit(":"), x["d"])), ",")
+        state = state.groupBy(F.floor(F.col("b") / _FAN).alias("up")).agg(F.sha2(parts, 256).alias("d")).withColumnRenamed("up", "b")
+    empty = spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256).alias("empty"))
+    return empty.join(F.broadcast(state.select("d")), F.lit(True), "left").select(F.lit(rows).cast("long").alias("rows"), F.coalesce("d", "empty").alias("fingerprint"))
 
 
 def canonical_json(value: object) -> str:
@@ -43,6 +58,11 @@ def artifact_identity(manifest: dict) -> str:
     return digest({k: manifest[k] for k in keys})
 
 
-def catalog_digest(corpora: list[dict]) -> str:
-    """Independent of the order of corpora and of their keys."""
-    return digest(sorted(corpora, key=lambda c: c["source_id"]))
+def catalog_digest(catalog: dict) -> str:
+    """Independent of the order of corpora and of keys."""
+    return digest({**catalog, "corpora": sorted(catalog["corpora"], key=lambda c: c["source_id"])})
+
+
+def tree_digest(members: list[tuple[str, str]]) -> str:
+    """Of (path, sha256) pairs, whatever their order."""
+    return digest(sorted(map(list, members)))

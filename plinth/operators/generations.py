@@ -1,9 +1,12 @@
 """Published generations: immutable snapshots, a guarded READY step and compare-and-swap.
 
-A generation is a folder that is written as BUILDING and frozen by a marker file.  The
-active generation is the highest numbered pointer file; pointers are created exclusively, so
-of two writers who saw the same predecessor one loses.  All files go through the Hadoop
-file system of the root, whatever store it is.
+A generation is a folder.  Writers stage rows under a name of their own; READY freezes the list
+of staged tables that it counted in a marker, and readers read just those.  So a writer that
+is there before READY is in it, and one that comes later is not, whatever it still writes.
+Markers and pointers are files that are created exclusively and come whole, by a rename of a
+staged file; the active generation is the highest numbered pointer, so of two writers who saw
+the same predecessor one loses.  Files go through the Hadoop file system of the root, whose
+rename must not replace a file, as those of local disks, HDFS and its kin don't.
 """
 
 from __future__ import annotations
@@ -11,13 +14,19 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = "repo-search-query-v1"
+from ..functions.text import is_hex64
+from ..scratch import hadoop, read_text, write_text
+
+SCHEMA_VERSION = "plinth.query.v1"
 MOST_CHARS, MOST_TERMS, MOST_ROWS = 512, 16, 100
+#: What a corpus of a generation may be.
+AVAILABILITY = ["SEARCHABLE", "UNAVAILABLE"]
 
 
 class StateError(ValueError):
@@ -35,7 +44,7 @@ def check_input(query: str | None, limit: int, mode: str) -> list[str]:
     terms = [t for t in re.split(r"[^\w]+", query.strip().lower()) if t]
     if not terms or len(terms) > MOST_TERMS:
         raise InputError("query must have 1..16 terms")
-    if not 1 <= limit <= MOST_ROWS:
+    if limit is None or not 1 <= limit <= MOST_ROWS:
         raise InputError("limit must be 1..100")
     if mode not in ("discovery", "evidence"):
         raise InputError("unknown mode")
@@ -44,13 +53,19 @@ def check_input(query: str | None, limit: int, mode: str) -> list[str]:
 
 def generation_hits(docs: DataFrame, query: str, limit: int = 20, mode: str = "discovery") -> DataFrame:
     """Rows of one generation that hold any (discovery) or all (evidence) terms or are exactly
-    the query; exact rows first, then by corpus and candidate, without ranking."""
+    the query, without ranking.
+
+    Exact rows come first, then the others, and rows whose exact identity is null last; among
+    each by corpus and candidate.  So it is for the limit and in the result.
+    """
     terms = check_input(query, limit, mode)
     have = F.split(F.lower("body_text"), r"[^\p{L}\p{N}_]+")
     want = F.array(*[F.lit(t) for t in terms])
     lexical = F.arrays_overlap(have, want) if mode == "discovery" else F.size(F.array_except(want, have)) == 0
-    exact = F.coalesce(F.col("exact_identity") == query, F.lit(False)) | (F.col("candidate_id") == query)
-    rows = docs.where(lexical | exact).withColumn("is_exact", exact).withColumn("match_kind", F.when(exact, "exact").otherwise("lexical"))
+    # null where neither is the query and the identity is null
+    exact = (F.col("exact_identity") == query) | (F.col("candidate_id") == query)
+    rows = docs.where(lexical | F.coalesce(exact, F.lit(False))).withColumn("is_exact", exact)
+    rows = rows.withColumn("match_kind", F.when(F.col("is_exact"), "exact").otherwise("lexical"))
     return rows.orderBy(F.desc_nulls_last("is_exact"), "source_id", "candidate_id").limit(limit)
 
 
@@ -60,43 +75,84 @@ def availability(corpora: DataFrame) -> DataFrame:
     return corpora.groupBy("generation_id").agg(F.count_if(F.col("availability") == "SEARCHABLE").alias("searchable"), F.array_sort(F.collect_list(gone)).alias("unavailable"))
 
 
+def corpus_violations(corpora: DataFrame, docs: DataFrame) -> DataFrame:
+    """rule, key of what breaks the keys and references of a generation's tables."""
+    row = lambda df, rule, key: df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
+    keys = ["generation_id", "source_id"]
+    twice = corpora.groupBy(*keys).count().where("count > 1")
+    again = docs.groupBy(*keys, "candidate_id").count().where("count > 1")
+    digests = [c for c in ("artifact_sha256", "source_descriptor_sha256") if c in corpora.columns]
+    bad = ~F.col("availability").isin(AVAILABILITY)
+    for c in digests:
+        bad = bad | ~is_hex64(F.coalesce(F.col(c), F.lit("")))
+    return (
+        row(twice, "corpus occurs twice", F.col("source_id")).unionAll(row(again, "candidate occurs twice", F.col("candidate_id")))
+        .unionAll(row(docs.join(corpora.select(*keys).distinct(), keys, "left_anti"), "document without corpus", F.col("candidate_id")))
+        .unionAll(row(corpora.where(bad), "corpus is malformed", F.col("source_id"))).unionAll(row(docs.where("source_line <= 0"), "line is not positive", F.col("candidate_id")))
+    )
+
+
+def envelope_hits(docs: DataFrame, term: str, limit: int = 10, *, descending: bool = False) -> DataFrame:
+    """One row: candidates whose text holds the term, in order and joined by commas, and the
+    first ``limit`` of them as a list.
+
+    Bounds: 64 characters, 4 words, 10 results.
+    """
+    if not term or not term.strip() or len(term) > 64 or len(term.split()) > 4:
+        raise InputError("term must have 1..64 characters and 1..4 words")
+    if limit is None or not 1 <= limit <= 10:
+        raise InputError("limit must be 1..10")
+    order = "desc" if descending else "asc"
+    rows = docs.where(F.contains("body_text", F.lit(term)))
+    listed = F.expr(f"listagg(candidate_id, ',') within group (order by candidate_id {order})")
+    return rows.agg(F.coalesce(listed, F.lit("")).alias("listed")).select("listed", F.filter(F.slice(F.split("listed", ","), 1, limit), lambda x: x != "").alias("hits"))
+
+
 class Store:
     """Generations under one root folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
 
     def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return hadoop(self.spark, f"{self.root}/{name}")
 
     def _create(self, name: str, value: dict) -> bool:
-        """Writes a small file only if it does not exist."""
+        """Puts a small file in place, whole, only if it does not exist."""
+        target, fs = self._path(name)
+        if fs.exists(target):
+            return False
+        staged = f"{self.root}/.staged/{uuid.uuid4().hex}"
+        write_text(self.spark, staged, json.dumps(value, sort_keys=True))
+        fs.mkdirs(target.getParent())
         try:
-            out = self._fs().create(self._path(name), False)
+            # an exclusive claim first: of two, one creates it, and only that one renames
+            claim = hadoop(self.spark, f"{self.root}/.claims/{name.replace('/', '~')}")[0]
+            fs.create(claim, False).close()
+            done = fs.rename(hadoop(self.spark, staged)[0], target)
         except Exception as e:
-            if self._fs().exists(self._path(name)):
+            if "FileAlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise OSError(f"{name} can't be written") from e
-        out.write(json.dumps(value, sort_keys=True).encode())
-        out.close()
+        finally:
+            fs.delete(hadoop(self.spark, staged)[0], False)
+        if not done:
+            raise OSError(f"{name} can't be written")
         return True
 
     def _read(self, name: str) -> dict | None:
-        if not self._fs().exists(self._path(name)):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0])
+        text = read_text(self.spark, f"{self.root}/{name}")
+        return None if text is None else json.loads(text)
 
     def _names(self, folder: str) -> list[str]:
-        if not self._fs().exists(self._path(folder)):
+        path, fs = self._path(folder)
+        if not fs.exists(path):
             return []
-        return sorted(s.getPath().getName() for s in self._fs().listStatus(self._path(folder)))
+        return sorted(s.getPath().getName() for s in fs.listStatus(path))
 
-    def begin(self, generation: str, content: str, catalog: str) -> None:
-        if not self._create(f"{generation}/meta.json", {"generation_id": generation, "generation_content_sha256": content, "catalog_sha256": catalog, "projection_schema_version": SCHEMA_VERSION}):
+    def begin(self, generation: str, content: str, catalog: str, version: str = SCHEMA_VERSION) -> None:
+        """A new generation; its identity never changes."""
+        if not self._create(f"{generation}/meta.json", {"generation_id": generation, "generation_content_sha256": content, "catalog_sha256": catalog, "projection_schema_version": version}):
             raise StateError("generation exists")
 
     def state(self, generation: str) -> str | None:
@@ -104,26 +160,49 @@ class Store:
             return None
         return "READY" if self._read(f"{generation}/ready.json") else "BUILDING"
 
-    def write(self, generation: str, table: str, rows: DataFrame) -> None:
+    def write(self, generation: str, table: str, rows: DataFrame, *, attempt: str | None = None) -> None:
+        """Stages rows of a BUILDING generation.  A named attempt that is made again replaces
+        what it staged before.  Raises if the generation became READY without the rows."""
         if self.state(generation) != "BUILDING":
             raise StateError("only a BUILDING generation takes rows")
         other = rows.where(~F.col("generation_id").eqNullSafe(F.lit(generation)))
         if not other.isEmpty():
             raise StateError("rows belong to another generation")
-        rows.write.mode("append").parquet(f"{self.root}/{generation}/{table}")
+        name = attempt or uuid.uuid4().hex
+        staged, fs = self._path(f"{generation}/.staged/{name}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/{generation}/.staged/{name}")
+        place, _ = self._path(f"{generation}/{table}/{name}")
+        fs.mkdirs(place.getParent())
+        fs.delete(place, True)
+        if not fs.rename(staged, place):
+            raise OSError("rows can't be put in place")
+        ready = self._read(f"{generation}/ready.json")
+        if ready is not None and name not in ready["tables"].get(table, []):
+            fs.delete(place, True)
+            raise StateError("the generation became READY without these rows")
 
     def table(self, generation: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{generation}/{table}")
+        """The frozen rows of a READY generation, or all staged ones of a BUILDING one."""
+        ready = self._read(f"{generation}/ready.json")
+        names = self._names(f"{generation}/{table}") if ready is None else ready["tables"].get(table, [])
+        if not names:
+            raise StateError(f"generation has no {table}")
+        return self.spark.read.parquet(*[f"{self.root}/{generation}/{table}/{n}" for n in names])
 
     def mark_ready(self, generation: str, catalog: str, corpora: int) -> None:
+        """Freezes a BUILDING generation with just so many corpora and sound references."""
         if self.state(generation) != "BUILDING":
             raise StateError("generation is not BUILDING")
         if self._read(f"{generation}/meta.json")["catalog_sha256"] != catalog:
             raise StateError("catalog differs")
-        found = self.table(generation, "corpora").count()
-        if corpora < 1 or found != corpora:
+        tables = {t: self._names(f"{generation}/{t}") for t in ("corpora", "search_docs")}
+        read = lambda t: self.spark.read.parquet(*[f"{self.root}/{generation}/{t}/{n}" for n in tables[t]])
+        found = read("corpora").count() if tables["corpora"] else 0
+        if corpora is None or corpora < 1 or found != corpora:
             raise StateError(f"{found} corpora instead of {corpora}")
-        if not self._create(f"{generation}/ready.json", {"ready_at": time.time()}):
+        if tables["search_docs"] and (bad := corpus_violations(read("corpora"), read("search_docs")).first()) is not None:
+            raise StateError(f"{bad['rule']}: {bad['key']}")
+        if not self._create(f"{generation}/ready.json", {"ready_at": time.time(), "tables": tables}):
             raise StateError("generation is READY already")
 
     def active(self) -> str | None:
@@ -147,6 +226,9 @@ class Store:
         return True
 
     def reference(self, generation: str, holder: str) -> None:
+        """Keeps a generation from being collected."""
+        if self.state(generation) is None:
+            raise StateError("generation does not exist")
         self._create(f"references/{generation}/{holder}.json", {"holder": holder})
 
     def collect_garbage(self, generation: str, content: str) -> None:
@@ -155,7 +237,15 @@ class Store:
             raise StateError("generation is in use or not READY")
         if self._read(f"{generation}/meta.json")["generation_content_sha256"] != content:
             raise StateError("content differs")
-        self._fs().delete(self._path(generation), True)
+        path, fs = self._path(generation)
+        fs.delete(path, True)
+
+    def try_collect(self, generation: str, content: str) -> bool:
+        try:
+            self.collect_garbage(generation, content)
+        except StateError:
+            return False
+        return True
 
     def search(self, query: str, limit: int = 20, mode: str = "discovery", generation: str | None = None) -> DataFrame:
         """One envelope row of a READY generation (the active one if none is named): metadata,
@@ -168,16 +258,30 @@ class Store:
         if meta["projection_schema_version"] not in VERSIONS:
             raise StateError("unknown schema version")
         hits = VERSIONS[meta["projection_schema_version"]](self.table(generation, "search_docs"), query, limit, mode)
-        packed = F.sort_array(F.collect_list(F.struct((~F.col("is_exact")).alias("later"), "source_id", "candidate_id", "match_kind", "declaration_id", "source_path", "source_line")))
+        later = F.when(F.col("is_exact"), 0).when(F.col("is_exact").isNull(), 2).otherwise(1)
+        packed = F.sort_array(F.collect_list(F.struct(later.alias("later"), "source_id", "candidate_id", "match_kind", "declaration_id", "source_row_id", "source_path", "source_line")))
         corpora = availability(self.table(generation, "corpora")).drop("generation_id")
-        return self.spark.range(1).select(F.lit(generation).alias("generation_id"), F.lit(meta["catalog_sha256"]).alias("catalog_sha256")).crossJoin(corpora).crossJoin(hits.agg(packed.alias("hits")))
+        named = [F.lit(meta[k]).alias(k) for k in ("generation_id", "catalog_sha256", "generation_content_sha256", "projection_schema_version")]
+        return self.spark.range(1).select(*named).crossJoin(corpora).crossJoin(hits.agg(packed.alias("hits")))
+
+    def envelope(self, term: str, limit: int = 10) -> DataFrame:
+        """One row: metadata and availability of the active generation with the candidates
+        that hold the term; none while nothing is active."""
+        active = self.active()
+        if active is None:
+            return self.spark.createDataFrame([], "generation_id string, hits array<string>")
+        meta = self._read(f"{active}/meta.json")
+        named = [F.lit(meta[k]).alias(k) for k in ("generation_id", "catalog_sha256", "generation_content_sha256", "projection_schema_version")]
+        corpora = availability(self.table(active, "corpora")).drop("generation_id")
+        hits = envelope_hits(self.table(active, "search_docs"), term, limit).drop("listed")
+        return self.spark.range(1).select(*named).join(F.broadcast(corpora), F.lit(True), "left").crossJoin(hits)
 
     def status(self) -> dict:
         """The active generation with its metadata; all null before the first activation."""
         active = self.active()
         meta = self._read(f"{active}/meta.json") if active else {}
-        return {"active": active, "state": self.state(active) if active else None, "catalog_sha256": meta.get("catalog_sha256")}
+        return {"active": active, "state": self.state(active) if active else None, **{k: meta.get(k) for k in ("catalog_sha256", "generation_content_sha256", "projection_schema_version")}}
 
 
-#: Old generations keep the search of their version.
+#: Old generations keep the search of their version; new versions are added beside it.
 VERSIONS: dict[str, Callable[..., DataFrame]] = {SCHEMA_VERSION: generation_hits}

@@ -1,8 +1,8 @@
 """Bounded traversal of the dependency graph.
 
-Levels are joins of the edges with the frontier; the frontier is small next to the edges and
-AQE broadcasts it when its measured size allows.  Depth is at most five, so a traversal is
-one unrolled plan without a loop on results.
+Each level joins the edges with the frontier alone, the nodes that the level before reached
+first; it is stored, so a level costs one pass over the edges and a traversal ends as soon as
+nothing new is reached.  Depth is at most five.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UNAVAILABLE_GRADE, UNKNOWN, PlinthError
+from ..scratch import store
 
 MAX_DEPTH = 5
+_PATH = "array<struct<relation:string,target_id:string,source_id:string,producer:string>>"
 
 
 def check_depth(depth: int) -> None:
@@ -28,15 +30,15 @@ def require_elaborated(producer_kind: str) -> None:
 def distances(edges: DataFrame, start: str, depth: int, *, reverse: bool = False) -> DataFrame:
     """node, dist of all nodes within ``depth`` edges of the start (itself at 0)."""
     check_depth(depth)
-    spark = edges.sparkSession
     here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
-    near = spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("dist"))
-    for _ in range(depth):
-        # each level refers to the one before once, so the plan grows with the depth only
-        both = F.array(F.struct("node", "dist"), F.struct(F.col("next").alias("node"), (F.col("dist") + 1).alias("dist")))
-        reached = near.join(steps, "node", "left").select(F.inline(both)).where("node is not null")
-        near = reached.groupBy("node").agg(F.min("dist").alias("dist"))
+    steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next"))
+    near = frontier = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("dist"))
+    for k in range(1, depth + 1):
+        reached = frontier.select("node").join(steps, "node").select(F.col("next").alias("node")).distinct()
+        frontier = store(reached.join(near.select("node"), "node", "left_anti").withColumn("dist", F.lit(k)), "level")
+        if frontier.isEmpty():
+            break
+        near = near.unionAll(frontier)
     return near
 
 
@@ -61,18 +63,22 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = M
     """One row: found, hops and the path as an array of edges.
 
     Of the shortest paths it is the one whose edge keys (relation, target, source, producer)
-    come first; a level keeps the least path of each node, so rows never multiply.
+    come first; a level keeps the least path of each node it reaches first, so rows never
+    multiply.
     """
     check_depth(max_depth)
     spark = edges.sparkSession
-    key = F.struct("relation", "target_id", "source_id", "producer")
-    steps = edges.groupBy("source_id", "target_id").agg(F.min(key).alias("edge"))
-    empty = F.array().cast("array<struct<relation:string,target_id:string,source_id:string,producer:string>>")
-    near = spark.range(1).select(F.lit(source).alias("node"), F.struct(F.lit(0).alias("hops"), empty.alias("edges")).alias("path"))
-    for _ in range(max_depth):
-        longer = F.struct((F.col("path.hops") + 1).alias("hops"), F.concat("path.edges", F.array("edge")).alias("edges"))
-        both = F.array(F.struct("node", "path"), F.struct(F.col("target_id").alias("node"), longer.alias("path")))
-        reached = near.join(steps, F.col("node") == F.col("source_id"), "left").select(F.inline(both)).where("node is not null")
-        near = reached.groupBy("node").agg(F.min("path").alias("path"))
-    best = near.where(F.col("node") == target).agg(F.min("path").alias("best")).select(F.col("best.edges").alias("path"))
-    return best.select(F.col("path").isNotNull().alias("found"), F.when(F.col("path").isNotNull(), F.size("path")).alias("hops"), F.coalesce("path", F.array().cast("array<struct<relation:string,target_id:string,source_id:string,producer:string>>")).alias("path"))
+    frontier = spark.range(1).select(F.lit(source).alias("node"), F.array().cast(_PATH).alias("path"))
+    met, seen = frontier.where(F.col("node") == target), frontier.select("node")
+    for _ in range(0 if source == target else max_depth):
+        longer = F.concat("path", F.array(F.struct("relation", "target_id", "source_id", "producer")))
+        steps = frontier.join(edges, F.col("node") == F.col("source_id")).select(F.col("target_id").alias("next"), longer.alias("path"))
+        reached = steps.groupBy(F.col("next").alias("node")).agg(F.min("path").alias("path"))
+        frontier = store(reached.join(seen, "node", "left_anti"), "level")
+        met = frontier.where(F.col("node") == target)
+        if not met.isEmpty() or frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier.select("node"))
+    best = met.agg(F.first("path").alias("path"))
+    found = F.col("path").isNotNull()
+    return best.select(found.alias("found"), F.when(found, F.size("path")).alias("hops"), F.coalesce("path", F.array().cast(_PATH)).alias("path"))

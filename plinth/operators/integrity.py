@@ -45,17 +45,13 @@ def hash_violations(sources: DataFrame) -> DataFrame:
     return _rows(sources, "V11", F.col("id"), hex_digest(F.col("text")) != F.col("content_sha256"), "content hash differs")
 
 
-def location_violations(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Locations are whole or absent, in the module's file, and of exactly one chunk."""
-    path, a, b = F.col("source_path"), F.col("source_start_line"), F.col("source_end_line")
-    given = path.isNotNull().cast("int") + a.isNotNull().cast("int") + b.isNotNull().cast("int")
-    partial = _rows(nodes, "V12", F.col("id"), ~given.isin(0, 3), "location is partial")
-    full = nodes.where(given == 3)
-    wrong = _rows(full, "V12", F.col("id"), (a < 1) | (b < a) | (path != module_path(F.col("module"))), "location is wrong")
+def unbound_violations(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Nodes with a place that is not one chunk's; nothing where there are no chunks at all."""
     keys = ["source_path", "source_start_line", "source_end_line", "name"]
-    n = sources.groupBy("source_path", "source_start_line", "source_end_line", F.col("declaration_hint").alias("name")).agg(F.count("*").alias("n"))
-    loose = _rows(full.join(n, keys, "left"), "V12", F.col("id"), F.coalesce("n", F.lit(0)) != 1, "not one chunk")
-    return partial.unionAll(wrong).unionAll(loose)
+    n = sources.where("declaration_hint is not null").groupBy(*keys[:3], F.col("declaration_hint").alias("name")).agg(F.count("*").alias("n"))
+    placed = nodes.where("source_path is not null and source_start_line is not null and source_end_line is not null")
+    some = F.broadcast(sources.select(F.lit(True).alias("some")).limit(1))
+    return _rows(placed.join(n, keys, "left").crossJoin(some), "V12", F.col("id"), F.coalesce("n", F.lit(0)) != 1, "not one chunk")
 
 
 def edge_violations(edges: DataFrame, producer: str) -> DataFrame:
@@ -83,13 +79,46 @@ def member_violations(found: DataFrame, expected: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state")).where("state is not null")
 
 
-def artifact_violations(nodes: DataFrame, edges: DataFrame, sources: DataFrame, *, roots: list[str], revision: str, producer: str) -> DataFrame:
-    """All row rules over the three relations."""
+def field_differences(actual: Column, expected: list[str]) -> tuple[Column, Column]:
+    """Fields that are missing and that are unknown, of an array of names."""
+    want = F.array(*[F.lit(x) for x in sorted(expected)])
+    return F.array_sort(F.array_except(want, actual)), F.array_sort(F.array_except(actual, want))
+
+
+def _rules(df: DataFrame, key: Column, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """Rows of rule, key, detail for every broken rule, by one pass."""
+    broken = [F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(detail).alias("detail"))) for rule, bad, detail in rules]
+    return df.select(F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def artifact_violations(nodes: DataFrame, edges: DataFrame, sources: DataFrame, *, roots: list[str], revision: str, producer: str, authoritative_archive: bool = False) -> DataFrame:
+    """All row rules over the three relations: one pass of each, a count of keys each, and the
+    joins between them.
+
+    The nodes of an authoritative archive must all have a place, which is checked against a
+    new binding and not against single chunks.
+    """
+    full, path, a, b = (F.col(c) for c in ("full_name", "source_path", "source_start_line", "source_end_line"))
+    given = path.isNotNull().cast("int") + a.isNotNull().cast("int") + b.isNotNull().cast("int")
+    whole = given == 3
+    canonical = (F.col("id") == F.concat(F.lit(ID_PREFIX), full)) & (full != "") & ((full == F.col("name")) | F.endswith(full, F.concat(F.lit("."), "name")))
+    grades = F.create_map(*[F.lit(x) for pair in RELATIONS.values() for x in pair])
+    node_rules = [
+        ("V7", ~canonical, "id is not canonical"), ("V8", F.col("source_revision") != revision, "revision differs"), ("V9", ~in_scope(F.col("module"), roots), "module out of scope"),
+        ("V12", ~given.isin(0, 3), "location is partial"), ("V12", whole & ((a < 1) | (b < a) | (path != module_path(F.col("module")))), "location is wrong"),
+    ]
+    if authoritative_archive:
+        node_rules.append(("V13", ~whole, "node of an authoritative archive has no place"))
+    source_rules = [
+        ("V8", F.col("source_revision") != revision, "revision differs"), ("V10", (a < 1) | (b < a), "line range is empty"), ("V11", hex_digest(F.col("text")) != F.col("content_sha256"), "content hash differs"),
+    ]
+    edge_rules = [("V15", ~((F.col("producer") == producer) & (grades[F.col("relation")] == F.col("evidence_grade"))), "producer, relation or grade is wrong")]
     parts = [
-        unique_violations(nodes, "V6", ["id"]), unique_violations(edges, "V6", EDGE_KEY), unique_violations(sources, "V6", ["id"]),
-        id_violations(nodes), revision_violations(nodes, revision), revision_violations(sources, revision), scope_violations(nodes, roots),
-        range_violations(sources), hash_violations(sources), location_violations(nodes, sources), edge_violations(edges, producer), dangling_violations(edges, nodes),
+        _rules(nodes, F.col("id"), node_rules), _rules(sources, F.col("id"), source_rules), _rules(edges, F.concat_ws("|", *EDGE_KEY), edge_rules),
+        unique_violations(nodes, "V6", ["id"]), unique_violations(edges, "V6", EDGE_KEY), unique_violations(sources, "V6", ["id"]), dangling_violations(edges, nodes),
     ]
+    if not authoritative_archive:
+        parts.append(unbound_violations(nodes, sources))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -100,5 +129,6 @@ def require(violations: DataFrame, code: str = BLOCKED_ARTIFACT) -> None:
 
 
 def when_whole(check: Callable[[], DataFrame], result: DataFrame) -> DataFrame:
+    """``result`` if ``check`` finds nothing, which is run first."""
     require(check())
     return result

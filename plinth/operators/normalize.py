@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..errors import BLOCKED_ARTIFACT, PlinthError
 from ..functions.text import in_scope
-from ..schemas import ID_PREFIX, RELATIONS
+from ..schemas import EDGE_KEY, ID_PREFIX, RELATIONS
+from ..scratch import store
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -31,47 +32,69 @@ def resolve_endpoints(raw_nodes: DataFrame, endpoints: DataFrame) -> DataFrame:
     A full name wins; else a short name that one node has; else, of several, the node whose
     full name is its module, a dot and the endpoint.  Three equi-joins on the name.
     """
+    wanted = endpoints.select("endpoint").distinct()
     full = raw_nodes.select(F.col("fullName").alias("endpoint"), F.col("fullName").alias("exact")).distinct()
-    short = raw_nodes.groupBy(F.col("name").alias("endpoint")).agg(F.collect_set("fullName").alias("all"))
-    own = raw_nodes.where(F.col("fullName") == F.concat("module", F.lit("."), "name")).groupBy(F.col("name").alias("endpoint")).agg(F.collect_set("fullName").alias("own"))
-    joined = endpoints.select("endpoint").distinct().join(full, "endpoint", "left").join(short, "endpoint", "left").join(own, "endpoint", "left")
-    one = lambda c: F.when(F.size(c) == 1, F.get(c, 0))
-    count = F.when(F.col("exact").isNotNull(), 1).otherwise(F.coalesce(F.when(F.size("all") > 0, F.size("all")), F.lit(0)))
-    return joined.select("endpoint", F.coalesce("exact", one("all"), one("own")).alias("full_name"), count.alias("n_candidates"))
+    met = wanted.join(full, "endpoint", "left")
+    # only what is no full name is looked for among short names, counted and not listed
+    named = raw_nodes.select(F.col("name").alias("endpoint"), "fullName", (F.col("fullName") == F.concat("module", F.lit("."), "name")).alias("own")).join(met.where("exact is null").select("endpoint"), "endpoint", "left_semi")
+    per = named.groupBy("endpoint", "fullName").agg(F.max("own").alias("own")).groupBy("endpoint")
+    only = lambda c: F.when(F.count_if(c) == 1, F.min(F.when(c, F.col("fullName"))))
+    short = per.agg(F.coalesce(only(F.lit(True)), only(F.col("own"))).alias("short"), F.count("*").cast("int").alias("n"))
+    count = F.when(F.col("exact").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0)))
+    return met.join(short, "endpoint", "left").select("endpoint", F.coalesce("exact", "short").alias("full_name"), count.alias("n_candidates"))
+
+
+def _ends(raw_nodes: DataFrame, raw_edges: DataFrame) -> DataFrame:
+    """endpoint, full_name and module of all edge ends; both null for unknown ones."""
+    ends = raw_edges.select(F.explode(F.array("source", "target")).alias("endpoint"))
+    known = resolve_endpoints(raw_nodes, ends).select("endpoint", "full_name")
+    modules = raw_nodes.select(F.col("fullName").alias("full_name"), "module").dropDuplicates(["full_name"])
+    return known.join(modules, "full_name", "left")
 
 
 def scoped_edges(raw_nodes: DataFrame, raw_edges: DataFrame, roots: list[str], producer: str) -> tuple[DataFrame, DataFrame]:
     """The canonical edges, and the raw edges that break a rule (unknown kind or endpoint).
 
     The raw source is the dependency and the raw target depends on it; canonical edges go
-    from the dependent to its dependency.
+    from the dependent to its dependency.  The resolved ends are stored once for both.
     """
-    ends = raw_edges.select(F.explode(F.array("source", "target")).alias("endpoint"))
-    known = resolve_endpoints(raw_nodes, ends).select("endpoint", "full_name")
-    modules = raw_nodes.select(F.col("fullName").alias("full_name"), "module").dropDuplicates(["full_name"])
-    known = known.join(modules, "full_name", "left")
+    known = store(_ends(raw_nodes, raw_edges), "ends")
     side = lambda p: known.select(F.col("endpoint").alias({"dep": "source", "own": "target"}[p]), F.col("full_name").alias(f"{p}_name"), F.col("module").alias(f"{p}_module"))
     kinds = F.create_map(*[x for k, (rel, grade) in RELATIONS.items() for x in (F.lit(k), F.struct(F.lit(rel).alias("relation"), F.lit(grade).alias("grade")))])
-    joined = raw_edges.join(side("dep"), "source", "left").join(side("own"), "target", "left").withColumn("as", kinds[F.col("kind")])
-    bad = joined.where("as is null or dep_name is null or own_name is null").select("source", "target", "kind")
+    lost = known.where("full_name is null").select("endpoint")
+    unknown = raw_edges.where(~F.col("kind").isin(*RELATIONS) | F.col("kind").isNull()).select("source", "target", "kind")
+    for c in ("source", "target"):
+        unknown = unknown.unionAll(raw_edges.join(lost.withColumnRenamed("endpoint", c), c, "left_semi").select("source", "target", "kind"))
+    joined = raw_edges.join(side("dep"), "source").join(side("own"), "target").withColumn("as", kinds[F.col("kind")])
     kept = joined.where(in_scope(F.col("dep_module"), roots) & in_scope(F.col("own_module"), roots) & F.col("as").isNotNull())
     edges = kept.select(
         F.concat(F.lit(ID_PREFIX), "own_name").alias("source_id"), F.concat(F.lit(ID_PREFIX), "dep_name").alias("target_id"),
         F.col("as.relation").alias("relation"), F.col("as.grade").alias("evidence_grade"), F.lit(producer).alias("producer"),
     ).distinct()
-    return edges, bad
-
-
-def normalize(raw_nodes: DataFrame, raw_edges: DataFrame, roots: list[str], *, producer: str, revision: str) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges; raises before anything is returned if the raw graph breaks a rule."""
-    blank = lambda *names: F.greatest(*[F.coalesce(F.col(n), F.lit("")) == "" for n in names])
-    if not raw_nodes.where(blank("name", "module", "kind", "fullName")).isEmpty():
-        raise PlinthError(BLOCKED_ARTIFACT, "a raw node has an empty field")
-    if not raw_edges.where(blank("source", "target", "kind")).isEmpty():
-        raise PlinthError(BLOCKED_ARTIFACT, "a raw edge has an empty field")
-    if not duplicates(raw_nodes, "fullName").isEmpty():
-        raise PlinthError(BLOCKED_ARTIFACT, "a full name occurs twice")
+    return edges, unknown.distinct()
+
+
+def _blank(*names: str):
+    return F.greatest(*[F.coalesce(F.col(n), F.lit("")) == "" for n in names])
+
+
+def raw_violations(raw_nodes: DataFrame, raw_edges: DataFrame) -> list[str]:
+    """What is wrong with the raw relations, by one aggregate over each."""
+    n = raw_nodes.agg(F.count_if(_blank("name", "module", "kind", "fullName")).alias("blank"), F.count("fullName").alias("names"), F.countDistinct("fullName").alias("distinct")).first()
+    e = raw_edges.agg(F.count_if(_blank("source", "target", "kind")).alias("blank"), F.count_if(~F.col("kind").isin(*RELATIONS)).alias("kinds")).first()
+    found = {"a raw node has an empty field": n["blank"], "a full name occurs twice": n["names"] - n["distinct"], "a raw edge has an empty field": e["blank"], "a raw edge is of unknown kind": e["kinds"]}
+    return [f"{what} ({count})" for what, count in found.items() if count]
+
+
+def normalize(raw_nodes: DataFrame, raw_edges: DataFrame, roots: list[str], *, producer: str, revision: str, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges; raises before anything is returned if the raw graph breaks a rule.
+
+    ``ordered`` sorts them by their keys, as canonical members are.
+    """
+    if broken := raw_violations(raw_nodes, raw_edges):
+        raise PlinthError(BLOCKED_ARTIFACT, "; ".join(broken))
     edges, bad = scoped_edges(raw_nodes, raw_edges, roots, producer)
     if (row := bad.first()) is not None:
         raise PlinthError(BLOCKED_ARTIFACT, f"edge can't be resolved: {row['source']} -> {row['target']} ({row['kind']})")
-    return scoped_nodes(raw_nodes, roots, revision), edges
+    nodes = scoped_nodes(raw_nodes, roots, revision)
+    return (nodes.orderBy("id"), edges.orderBy(*EDGE_KEY)) if ordered else (nodes, edges)

@@ -6,8 +6,12 @@ same rows.  ``{name}`` stands for a table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import scratch
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "conversations", "pages"]
 
 _KEYED = """
@@ -56,7 +60,7 @@ UNION ALL SELECT t, s, kind FROM ({_PAIRS}) f WHERE t LIKE '%2'
 UNION ALL SELECT 'Geo.Region.R0', 'Extra.X' || n_nationkey, 'type' FROM {{nation}}
 """
 CORPORA = """
-SELECT 'doc-' || doc_id AS id, source AS source_id, source || '/' || doc_id AS source_path, 1 AS source_start_line, lang || ' ' || source AS declaration_hint, text FROM {documents}
+SELECT 'doc-' || doc_id AS id, 'r1' AS source_revision, source AS source_id, source || '/' || doc_id AS source_path, 1 AS source_start_line, 1 AS source_end_line, lang || ' ' || source AS declaration_hint, text FROM {documents}
 """
 GENERATION_DOCS = """
 SELECT lang AS generation_id, source AS source_id, source || '::' || doc_id AS candidate_id, CAST(NULL AS STRING) AS declaration_id, 'doc-' || doc_id AS source_row_id,
@@ -64,14 +68,57 @@ SELECT lang AS generation_id, source AS source_id, source || '::' || doc_id AS c
 """
 
 
+#: One declaration per document; in two corpora one is named like a word that texts have, in a
+#: third two are.
+DECLARATIONS = """
+SELECT source AS source_id, 'lean:' || source || '.' || name AS id, source || '.' || name AS full_name, name, 'thm' AS kind, source AS module, source || '/' || doc_id AS source_path, 1 AS source_start_line, 1 AS source_end_line, 'r1' AS source_revision
+FROM (SELECT source, doc_id, CASE WHEN place = 1 AND source IN ('src1', 'src2', 'src4') OR place = 2 AND source = 'src4' THEN CASE WHEN place = 2 THEN 'Sub.heon' ELSE 'heon' END ELSE 'D' || doc_id END AS name
+  FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM {documents}) p) q
+"""
+#: Members of structures, which only their parent's chunk declares.
+BOUND_CHUNKS = f"""
+SELECT 'src:' || replace(module, '.', '/') || '.lean:' || (k * 2 + 1) || ':' || (k * 2 + 2) AS id, 'r1' AS source_revision, replace(module, '.', '/') || '.lean' AS source_path,
+  CAST(k * 2 + 1 AS INT) AS source_start_line, CAST(k * 2 + 2 AS INT) AS source_end_line, name AS declaration_hint, 'structure ' || name || chr(10) || CASE WHEN k % 3 = 0 THEN '  field : x' ELSE 'x field' END AS text
+FROM ({_KEYED}) g WHERE k % 5 <> 0
+"""
+BOUND_NODES = f"""
+SELECT id, full_name, name, kind, module, source_revision FROM ({NODES}) n
+UNION ALL SELECT id || '.field', full_name || '.field', 'field', kind, module, source_revision FROM ({NODES}) m
+"""
+
+#: Relations that queries read as stored tables, as a query of the engine reads an artifact.
+STORED = {NODES, EDGES, CHUNKS, RAW_NODES, RAW_EDGES, CORPORA, GENERATION_DOCS, DECLARATIONS, BOUND_CHUNKS, BOUND_NODES}
+_made: dict[tuple[str, str, str], str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
+    """The folder of something that is made once per session and tables; made anew if the
+    folder is gone."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    path = _made.get(key)
+    if path is not None:
+        target, fs = scratch.hadoop(spark, path)
+        if fs.exists(target):
+            return path
+    path = scratch.new_path(spark, "fixture")
+    make(path)
+    _made[key] = path
+    return path
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The relation as a DataFrame; tables are bound by name, without any global view."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+
+    def made() -> DataFrame:
+        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
+
+    if sql not in STORED:
+        return made()
+    return spark.read.parquet(kept(spark, sf_dir, sql, lambda path: made().write.parquet(path)))
 
 
 def oracle(sql: str) -> str:

@@ -1,12 +1,14 @@
 """A data source for members of zip and tar.gz archives.
 
 ``spark.read.format("archive_members").load(path)`` yields archive, path, content, sha256 and
-bytes.  An archive is one partition and is read member by member.
+bytes.  An archive is one partition and is read member by member; a member longer than option
+``mostBytes`` fails instead of filling the memory.  Paths are addresses of any file system
+that Arrow knows, or local ones; a folder or a pattern stands for its files.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import hashlib
 import posixpath
 import stat
@@ -14,56 +16,112 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+MOST_BYTES = 1 << 30
+
 
 class UnsafeMember(ValueError):
     pass
 
 
+class Names:
+    """Names seen so far; refuses ones that could leave the target or hide another member."""
+
+    def __init__(self):
+        self._files: set[str] = set()
+        self._folders: set[str] = set()
+
+    def check(self, name: str) -> None:
+        if not name or "\\" in name or "\0" in name or name.startswith("/") or ".." in name.split("/") or posixpath.normpath(name) != name:
+            raise UnsafeMember(name)
+        above = name.split("/")
+        folders = {"/".join(above[:k]) for k in range(1, len(above))}
+        if name in self._files or name in self._folders or folders & self._files:
+            raise UnsafeMember(f"{name} occurs twice or as a folder too")
+        self._files.add(name)
+        self._folders |= folders
+
+
 def check_member(name: str, seen: set[str]) -> None:
-    """Refuses names that could leave the target or hide another member."""
-    if "\\" in name or "\0" in name or name.startswith("/") or ".." in name.split("/") or posixpath.normpath(name) != name:
-        raise UnsafeMember(name)
-    if name in seen or any(posixpath.commonpath([name, s]) in (name, s) for s in seen if s.startswith(name + "/") or name.startswith(s + "/")):
-        raise UnsafeMember(f"{name} occurs twice or as a folder too")
+    """:class:`Names` over a set of names."""
+    names = Names()
+    for other in seen:
+        names.check(other)
+    names.check(name)
     seen.add(name)
 
 
-def members(path: str) -> Iterator[tuple[str, bytes]]:
-    """Regular files of an archive; links and special files are refused."""
-    seen: set[str] = set()
-    if zipfile.is_zipfile(path):
-        with zipfile.ZipFile(path) as z:
-            for info in z.infolist():
-                if info.is_dir():
+def opened(path: str):
+    """A file and its size, from an address or a local path."""
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return system.open_input_file(inner)
+
+
+def listed(path: str) -> list[str]:
+    """The files that a path, a folder or a pattern of names in a folder stands for."""
+    scheme, inner = (path.split("://", 1)[0] + "://", path) if "://" in path else ("", path.removeprefix("file:"))
+    system, inner = fs.FileSystem.from_uri(path) if scheme and not set("*?[") & set(path) else (fs.FileSystem.from_uri(path.rsplit("/", 1)[0])[0] if scheme else fs.LocalFileSystem(), inner)
+    if set("*?[") & set(inner):
+        folder, pattern = inner.rsplit("/", 1)
+        base = fs.FileSystem.from_uri(folder)[1] if scheme else folder
+        found = [f.path for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and fnmatch.fnmatchcase(f.base_name, pattern)]
+    else:
+        info = system.get_file_info(inner)
+        found = [inner] if info.is_file else [f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file]
+    prefix = "file://" if scheme == "file://" else scheme
+    return sorted(prefix + f if scheme else f for f in found)
+
+
+def _read(file, name: str, most: int) -> bytes:
+    content = file.read(most + 1)
+    if len(content) > most:
+        raise UnsafeMember(f"{name} is longer than {most} bytes")
+    return content
+
+
+def members(path: str, most: int = MOST_BYTES) -> Iterator[tuple[str, bytes]]:
+    """Regular files of an archive; links, special files and names whose kind contradicts
+    their mark are refused."""
+    names = Names()
+    with opened(path) as file:
+        if zipfile.is_zipfile(file):
+            file.seek(0)
+            with zipfile.ZipFile(file) as z:
+                for info in z.infolist():
+                    kind = stat.S_IFMT(info.external_attr >> 16)
+                    if kind not in (0, stat.S_IFREG, stat.S_IFDIR) or (kind == stat.S_IFDIR) > info.is_dir() or (kind == stat.S_IFREG and info.is_dir()):
+                        raise UnsafeMember(info.filename)
+                    if info.is_dir():
+                        if ".." in info.filename.split("/") or info.filename.startswith("/") or "\\" in info.filename:
+                            raise UnsafeMember(info.filename)
+                        continue
+                    names.check(info.filename)
+                    with z.open(info) as member:
+                        yield info.filename, _read(member, info.filename, most)
+            return
+        file.seek(0)
+        with tarfile.open(fileobj=file, mode="r:*") as t:
+            for info in t:
+                if info.isdir():
                     continue
-                mode = info.external_attr >> 16
-                if stat.S_IFMT(mode) not in (0, stat.S_IFREG):
-                    raise UnsafeMember(info.filename)
-                check_member(info.filename, seen)
-                yield info.filename, z.read(info)
-        return
-    with tarfile.open(path, "r:*") as t:
-        for info in t:
-            if info.isdir():
-                continue
-            if not info.isreg():
-                raise UnsafeMember(info.name)
-            check_member(info.name, seen)
-            yield info.name, t.extractfile(info).read()
+                if not info.isreg():
+                    raise UnsafeMember(info.name)
+                names.check(info.name)
+                yield info.name, _read(t.extractfile(info), info.name, most)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.paths = sorted(glob.glob(path))
+    def __init__(self, path: str, most: int):
+        self.paths, self.most = listed(path), most
 
     def partitions(self):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        for name, content in members(partition.value):
+        for name, content in members(partition.value, self.most):
             yield partition.value, name, content, hashlib.sha256(content).hexdigest(), len(content)
 
 
@@ -76,7 +134,7 @@ class ArchiveMembers(DataSource):
         return "archive string, path string, content binary, sha256 string, bytes long"
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("mostBytes", MOST_BYTES)))
 
 
 def register(spark: SparkSession) -> None:

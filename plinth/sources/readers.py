@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..errors import BLOCKED_ARTIFACT, BLOCKED_CATALOG, BLOCKED_MISMATCH, PlinthError
-from ..functions.text import without_prefixes
+from ..errors import BLOCKED_ARTIFACT, BLOCKED_BINDING, BLOCKED_MISMATCH, PlinthError
+from ..functions.text import is_hex64, is_inside, without_prefixes
 from ..schemas import RAW_GRAPH
+from .contract import strict_json
 
-
-def strict_json(text: str) -> object:
-    """JSON without duplicate keys, NaN or infinities."""
-
-    def once(pairs: list[tuple[str, object]]) -> dict:
-        out = dict(pairs)
-        if len(out) != len(pairs):
-            raise ValueError("duplicate key")
-        return out
-
-    def no(name: str):
-        raise ValueError(f"{name} is not JSON")
-
-    return json.loads(text, object_pairs_hook=once, parse_constant=no)
+__all__ = ["read_bounded", "read_listed", "read_raw_graph", "read_rows", "read_tree", "strict_json", "strict_json_rows"]
 
 
 def strict_json_rows(rows: DataFrame, column: str) -> DataFrame:
@@ -35,8 +22,13 @@ def strict_json_rows(rows: DataFrame, column: str) -> DataFrame:
 
 
 def read_raw_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Raw nodes and edges of graph documents, one JSON object per file."""
+    """Raw nodes and edges of graph documents, one JSON object with both lists per file."""
+    roots = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^[\s\x{FEFF}]+", "")), 1, 1).alias("c"))
+    if roots.where("c is null or c != '{'").limit(1).count():
+        raise PlinthError(BLOCKED_ARTIFACT, "the root of a graph document must be an object")
     doc = spark.read.schema(RAW_GRAPH).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if doc.where("nodes is null or edges is null").limit(1).count():
+        raise PlinthError(BLOCKED_ARTIFACT, "nodes and edges of a graph document must be lists")
     return doc.select(F.inline("nodes")), doc.select(F.inline("edges"))
 
 
@@ -49,59 +41,81 @@ def read_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return rows
 
 
+def _relative(root: str):
+    """Path of a file below ``root``, from the column path."""
+    clean = re.escape(re.sub(r"^file:/*", "/", root.rstrip("/")))
+    return F.regexp_replace("path", f"^(file:/*)?/?{clean.lstrip('/')}/", "")
+
+
 def read_tree(spark: SparkSession, root: str, *, suffix: str = ".lean", excluded: list[str] | None = None, listed: DataFrame | None = None, most_bytes: int | None = None) -> DataFrame:
     """source_path, text, sha256, bytes of all files below a folder.
 
     Build folders are skipped.  ``listed`` (column source_path), such as a version control
-    listing, restricts the files; ``most_bytes`` leaves longer files unread.
+    listing, restricts the files; it goes before contents are read.  A file longer than
+    ``most_bytes`` raises.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
-    clean = re.escape(re.sub(r"^file:/*", "/", root.rstrip("/")))
-    rel = raw.withColumn("source_path", F.regexp_replace("path", f"^(file:/*)?/?{clean.lstrip('/')}/", ""))
+    rel = raw.withColumn("source_path", _relative(root))
     rel = rel.where(~F.col("source_path").rlike(r"(^|/)\.lake/")).where(without_prefixes(F.col("source_path"), excluded or []))
-    if most_bytes is not None:
-        rel = rel.where(F.col("length") <= most_bytes)
     if listed is not None:
-        rel = rel.join(listed.select("source_path").distinct(), "source_path", "left_semi")
-    return rel.select("source_path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+        wanted = listed.select("source_path").distinct()
+        names = rel.select("path", "source_path").join(wanted, "source_path", "left_semi")
+        return _contents(spark, [r["path"] for r in names.select("path").collect()], root, most_bytes)
+    return _told(rel, most_bytes)
 
 
-def read_listed(spark: SparkSession, root: str, members: DataFrame, *, excluded: list[str] | None = None) -> DataFrame:
-    """Files named by a manifest (source_path, sha256); unlisted files are left alone.
+def _told(rel: DataFrame, most_bytes: int | None) -> DataFrame:
+    content = F.col("content")
+    if most_bytes is not None:
+        content = F.when(F.col("length") > most_bytes, F.raise_error(F.concat(F.lit("EVIDENCE_TOO_LARGE: "), "source_path")).cast("binary")).otherwise(content)
+    utf8 = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.raise_error(F.concat(F.lit(f"{BLOCKED_MISMATCH}: no UTF-8: "), "source_path")).cast("string"))
+    return rel.select("source_path", utf8.alias("text"), F.sha2(content, 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def _contents(spark: SparkSession, paths: list[str], root: str, most_bytes: int | None) -> DataFrame:
+    """Of named files alone; the listing of names is small next to their contents."""
+    if not paths:
+        return spark.createDataFrame([], "source_path string, text string, sha256 string, bytes long")
+    return _told(spark.read.format("binaryFile").load(paths).withColumn("source_path", _relative(root)), most_bytes)
+
+
+def read_bounded(spark: SparkSession, path: str, most: int) -> bytes:
+    """A file's bytes; of a longer one no more than ``most`` + 1 are read before it raises."""
+    from ..scratch import hadoop
 
-    Unsafe or repeated paths, missing files and other contents raise.
+    target, system = hadoop(spark, path)
+    stream = system.open(target)
+    try:
+        data = bytes(stream.readNBytes(most + 1))
+    finally:
+        stream.close()
+    if len(data) > most:
+        raise ValueError(f"EVIDENCE_TOO_LARGE: {path} exceeds {most} bytes")
+    return data
+
+
+def read_listed(spark: SparkSession, root: str, members: DataFrame, *, suffix: str = ".lean", excluded: list[str] | None = None) -> DataFrame:
+    """Files named by a manifest (source_path, sha256); no other file is opened.
+
+    Members without source_path, with another ending or below an excluded prefix are left
+    out.  Unsafe or repeated paths, digests that are none, missing files, other contents and
+    contents that are no UTF-8 raise.
     """
-    named = members.where("source_path is not null").where(without_prefixes(F.col("source_path"), excluded or []))
-    unsafe = named.where(F.col("source_path").rlike(r"(^/)|(^|/)\.\.(/|$)|\\|\x00|(^|/)\.(/|$)|//")).first()
-    if unsafe is not None:
-        raise PlinthError(BLOCKED_MISMATCH, f"unsafe path {unsafe['source_path']}")
+    named = members.where("source_path is not null")
+    bad = named.where(~is_inside(F.col("source_path"))).first()
+    if bad is not None:
+        raise PlinthError(BLOCKED_BINDING, f"unsafe path {bad['source_path']}")
     if not named.groupBy("source_path").count().where("count > 1").isEmpty():
-        raise PlinthError(BLOCKED_MISMATCH, "a path is listed twice")
-    files = read_tree(spark, root, suffix="", listed=named).withColumnRenamed("sha256", "found")
-    both = named.select("source_path", "sha256").join(files, "source_path", "left")
-    if (bad := both.where("found is null or found != sha256").first()) is not None:
-        raise PlinthError(BLOCKED_MISMATCH, f"{bad['source_path']} is missing or differs")
-    return both.select("source_path", "text", "sha256", "bytes")
-
-
-_CORPUS = ["source_id", "source_descriptor", "release_tag", "asset", "receipt_asset", "artifact_identity", "fingerprint_sha256"]
-
-
-def load_catalog(text: str, fields: list[str] = _CORPUS) -> list[dict]:
-    """Corpora of a catalog document, with exact fields and unique identities."""
-    data = strict_json(text)
-    if not isinstance(data, dict) or set(data) != {"schema", "release_repository", "corpora"}:
-        raise PlinthError(BLOCKED_CATALOG, "catalog fields differ")
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+", str(data["release_repository"])):
-        raise PlinthError(BLOCKED_CATALOG, "repository must be owner/name")
-    rows = data["corpora"]
-    for k, row in enumerate(rows):
-        if set(row) != set(fields) or not all(isinstance(v, str) and v for v in row.values()):
-            raise PlinthError(BLOCKED_CATALOG, f"corpus {k} has other fields")
-        for name in fields:
-            if name.endswith(("identity", "sha256")) and not re.fullmatch(r"[0-9a-f]{64}", row[name]):
-                raise PlinthError(BLOCKED_CATALOG, f"corpus {k}: {name} is no digest")
-    for name in ("source_id", "release_tag", "artifact_identity"):
-        if name in fields and len({r[name] for r in rows}) != len(rows):
-            raise PlinthError(BLOCKED_CATALOG, f"{name} occurs twice")
-    return rows
+        raise PlinthError(BLOCKED_BINDING, "a path is listed twice")
+    wanted = named.where(F.endswith("source_path", F.lit(suffix))).where(without_prefixes(F.col("source_path"), excluded or [])).select("source_path", "sha256")
+    if (bad := wanted.where(~is_hex64(F.coalesce("sha256", F.lit("")))).first()) is not None:
+        raise PlinthError(BLOCKED_BINDING, f"no digest for {bad['source_path']}")
+    names = {r["source_path"] for r in wanted.select("source_path").collect()}
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path", _relative(root).alias("source_path"))
+    paths = {r["source_path"]: r["path"] for r in found.collect() if r["source_path"] in names}
+    if lost := sorted(names - set(paths)):
+        raise PlinthError(BLOCKED_MISMATCH, f"{lost[0]} is missing")
+    files = _contents(spark, list(paths.values()), root, None).withColumnRenamed("sha256", "found")
+    both = wanted.join(files, "source_path")
+    differs = F.raise_error(F.concat(F.lit(f"{BLOCKED_MISMATCH}: differs: "), "source_path")).cast("string")
+    return both.select("source_path", F.when(F.col("found") == F.col("sha256"), F.col("text")).otherwise(differs).alias("text"), "sha256", "bytes")

@@ -13,7 +13,7 @@ from plinth.functions import text as tx
 from plinth.operators import binding, chunking, fingerprint, graph, integrity, normalize, resolve, search
 from plinth.operators.generations import InputError, StateError, Store, check_input
 from plinth.plans import queries
-from plinth.sources import archives, artifact, readers
+from plinth.sources import archives, readers, releases
 
 EDGES = [("A", "B"), ("A", "D"), ("B", "C"), ("D", "C"), ("C", "A")]
 
@@ -64,7 +64,11 @@ def test_ambiguous_names(spark):
         resolve.one(nodes, "x")
     assert resolve.one(nodes, "q.Y") == "lean:B.q.y"
     assert resolve.one(nodes, "nothing", soft=True) is None
-    assert resolve.one(nodes, "z", soft=True) == "lean:B.q.y"
+    assert resolve.one(nodes, "z", search=True, soft=True) == "lean:B.q.y"
+    # an underscore stands for any character in the search's rules alone
+    assert resolve.one(nodes, "q_Y", search=True) == "lean:B.q.y" and resolve.one(nodes, "q_y", soft=True) is None
+    with pytest.raises(PlinthError, match="not found"):
+        resolve.one(nodes, "lean:zz")
 
 
 def sources(spark, rows):
@@ -75,6 +79,8 @@ def test_search_modes(spark):
     s = sources(spark, [("lemmaR_tight_two", "rank trace tightness and ξ symmetry"), ("other", "rank"), ("truth", "école"), ("predicate", "x y")])
     assert search.lexical(s, "rank trace tightness").first()["declaration_hint"] == "lemmaR_tight_two"
     assert search.lexical(s, "ξ").count() == 1 and search.lexical(s, "ecole").count() == 1
+    assert search.lexical(s.withColumn("text", search.F.translate("text", "é", "e\u0301")), "école").count() <= 1
+    assert search.lexical(sources(spark, [("x", "e\u0301cole"), ("y", "e cole")]), "ecole").first()["declaration_hint"] == "x"
     assert search.lexical(s, "lemmaR_tight_two").count() == 1 and search.lexical(s, "tight_lemmaR").count() == 0
     assert search.lexical(s, "truth predicate").count() == 2 and search.lexical(s, "truth predicate", mode="evidence").count() == 0
     assert search.lexical(s, "_ rank", mode="evidence").count() == 0 and search.lexical(s, "rank", limit=0).count() == 0
@@ -99,6 +105,16 @@ def test_chunks():
     assert chunking.chunks("F.lean", "/- a\ntheorem x -/\n", "r") == []
 
 
+def test_comments_that_code_follows():
+    at = lambda text: [(c[3], c[4], c[5]) for c in chunking.chunks("F.lean", text, "r")]
+    assert at("def a\n/- doc\n-/ @[simp]\ntheorem x\n") == [(1, 1, "a"), (2, 4, "x")]
+    assert at("def a\n/- one -/ @[simp]\n\ntheorem x\n") == [(1, 1, "a"), (2, 4, "x")]
+    assert at("def a\n@[simp] /- one -/\ntheorem x\n") == [(1, 2, "a"), (3, 3, "x")]
+    assert at('def a := "\\\\"\n-- \\" c\ntheorem x\n') == [(1, 1, "a"), (2, 3, "x")]
+    assert at("/- a \\-/\ntheorem x\n") == [(1, 2, "x")] and at("/- /-/ -/\ntheorem x -/\n") == []
+    assert at("\\-- theorem no\ndef y\r\ndef z") == [(2, 2, "y"), (3, 3, "z")]
+
+
 def test_bind_and_integrity(spark):
     n = spark.createDataFrame([("lean:M.F.a", "M.F.a", "a", "thm", "M.F", None, None, None, "r"), ("lean:M.F.b", "M.F.b", "b", "thm", "M.F", None, None, None, "r")], "id string, full_name string, name string, kind string, module string, source_path string, source_start_line int, source_end_line int, source_revision string")
     body = "theorem a\n"
@@ -147,26 +163,18 @@ def test_node_to_chunk_meets_few_chunks(spark):
 
 
 def test_node_to_chunk_is_registered_over_all_nodes():
-    assert "node_to_chunk_all" in queries.QUERIES and "node_to_chunk_all" not in queries.ORACLE_SQL
-
-
-def test_artifact(spark, tmp_path):
-    n = spark.createDataFrame([("lean:M.a", "M.a", "a", "thm", "M", None, None, None, "r")], "id string, full_name string, name string, kind string, module string, source_path string, source_start_line int, source_end_line int, source_revision string")
-    e = spark.createDataFrame([], "source_id string, target_id string, relation string, evidence_grade string, producer string")
-    s = spark.createDataFrame([], "id string, source_revision string, source_path string, source_start_line int, source_end_line int, declaration_hint string, text string, content_sha256 string")
-    meta = {"schema": "x.v1", "source": {"repo": "o/n"}, "producer": {"kind": "p"}, "scope": {"root_modules": ["M"]}, "revision": "r"}
-    target = f"file://{tmp_path}/art"
-    made = artifact.write_artifact({"nodes": n, "edges": e, "sources": s}, target, **meta)
-    loaded, tables = artifact.load_artifact(spark, target)
-    assert loaded["artifact_identity"] == made["artifact_identity"] and tables["nodes"].count() == 1
-    with pytest.raises(PlinthError):
-        artifact.write_artifact({"nodes": n, "edges": e, "sources": s}, target, **meta)
+    import inspect
+
+    # no part of its tables, and SQL over all of them
+    assert "where" not in inspect.getsource(queries.QUERIES["node_to_chunk"]) and "LIKE" not in queries.ORACLE_SQL["node_to_chunk"].split("FROM n JOIN f")[1]
 
 
 def test_generations(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/plane")
     docs = lambda g: spark.createDataFrame([(g, "z", "z::d", None, "s1", "F", 1, "D", "a needle lemma")], "generation_id string, source_id string, candidate_id string, declaration_id string, source_row_id string, source_path string, source_line int, exact_identity string, body_text string")
     corpora = lambda g: spark.createDataFrame([(g, "z", "SEARCHABLE", None), (g, "y", "UNAVAILABLE", "gone")], "generation_id string, source_id string, availability string, unavailable_reason string")
+    with pytest.raises(StateError):
+        store.reference("g0", "x")
     for g in ("g1", "g2"):
         store.begin(g, g, "cat")
         store.write(g, "search_docs", docs(g))
@@ -191,11 +199,49 @@ def test_generations(spark, tmp_path):
         check_input(" ", 10, "discovery")
 
 
+def test_rows_before_and_after_ready(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/plane")
+    doc = lambda k: spark.createDataFrame([("g", "z", f"z::{k}", "F", None, f"needle {k}")], "generation_id string, source_id string, candidate_id string, source_path string, exact_identity string, body_text string").selectExpr("*", "cast(null as string) as declaration_id", "'s' as source_row_id", "1 as source_line")
+    store.begin("g", "g", "cat")
+    store.write("g", "search_docs", doc(1))
+    store.write("g", "search_docs", doc(1), attempt="again")
+    store.write("g", "corpora", spark.createDataFrame([("g", "z", "SEARCHABLE", None)], "generation_id string, source_id string, availability string, unavailable_reason string"))
+    with pytest.raises(StateError, match="twice"):
+        store.mark_ready("g", "cat", 1)
+    store.write("g", "search_docs", doc(2), attempt="again")
+    # a writer that passed the state check before READY, and puts its rows in place after it
+    state = Store.state
+    late = iter(["BUILDING"])
+
+    def ready_meanwhile(self, g):
+        told = next(late, None)
+        if told is not None:
+            Store.state = state
+            self.mark_ready("g", "cat", 1)
+        return told or state(self, g)
+
+    monkeypatch.setattr(Store, "state", ready_meanwhile)
+    with pytest.raises(StateError, match="READY without"):
+        store.write("g", "search_docs", doc(3))
+    monkeypatch.setattr(Store, "state", state)
+    store.activate("g", None)
+    assert [h["candidate_id"] for h in store.search("needle").first()["hits"]] == ["z::1", "z::2"]
+    assert store.envelope("needle").first()["hits"] == ["z::1", "z::2"] and not store.try_collect("g", "g")
+
+
+def test_null_identities_come_last(spark):
+    from plinth.operators.generations import generation_hits
+
+    docs = spark.createDataFrame([("a", "a::1", None, "needle"), ("b", "b::1", "X", "needle"), ("c", "c::1", "needle", "none")], "source_id string, candidate_id string, exact_identity string, body_text string")
+    assert [r["candidate_id"] for r in generation_hits(docs, "needle", 3).collect()] == ["c::1", "b::1", "a::1"]
+    assert [r["candidate_id"] for r in generation_hits(docs, "needle", 2).collect()] == ["c::1", "b::1"]
+
+
 def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("d/x.lean", "theorem x")
-    (tmp_path / "b.tar.gz").write_bytes(artifact.deterministic_tar({"y": b"1", "x": b"2"}))
-    assert artifact.deterministic_tar({"x": b"2", "y": b"1"}) == artifact.deterministic_tar({"y": b"1", "x": b"2"})
+    (tmp_path / "b.tar.gz").write_bytes(releases.deterministic_tar({"y": b"1", "x": b"2"}))
+    assert releases.deterministic_tar({"x": b"2", "y": b"1"}) == releases.deterministic_tar({"y": b"1", "x": b"2"})
     archives.register(spark)
     rows = spark.read.format("archive_members").load(f"{tmp_path}/*").collect()
     assert sorted(r["path"] for r in rows) == ["d/x.lean", "x", "y"]
@@ -233,17 +279,34 @@ def test_text_functions():
     assert tx.token_list("Größe_foo's x²") == ["große", "foo", "s", "x²"]
     assert tx.query_terms("Größe a_b") == ["Größe", "a_b"]
     assert tx.phrases("lemmaR_tight _") == [["lemmar", "tight"], []]
+    assert tx.token_list("e\u0301cole") == ["ecole"]
 
 
-def test_streaming_ingest(spark, tmp_path):
+def test_streaming_ingest(spark, tmp_path, monkeypatch):
     from plinth.streaming import ingest
 
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("F.lean", "theorem needle : x\n")], "source_path string, text string").write.mode("overwrite").parquet(str(tmp_path / "in"))
     files = spark.readStream.schema("source_path string, text string").parquet(str(tmp_path / "in"))
     store = Store(spark, f"file://{tmp_path}/plane")
-    ingest.start(files, store, str(tmp_path / "cp"), source_id="s", revision="r", catalog="c").awaitTermination(120)
+    run = lambda: ingest.start(files, store, str(tmp_path / "cp"), source_id="s", revision="r", catalog="c").awaitTermination(120)
+    run()
     assert store.search("needle").first()["hits"][0]["source_id"] == "s"
+    first = store.active()
+    rows = [("G.lean", "theorem pin : x\n"), ("F.lean", "theorem thread : x\n")]
+    spark.createDataFrame(rows, "source_path string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    hits = lambda q: [h["source_path"] for h in store.search(q).first()["hits"]]
+    assert store.active() > first and hits("pin") == ["G.lean"] and hits("thread") == ["F.lean"] and hits("needle") == []
+    # a batch that is run again after it was frozen, but before it was activated
+    spark.createDataFrame([("H.lean", "theorem bead : x\n")], "source_path string, text string").createOrReplaceTempView("h")
+    batch, options = spark.table("h"), {"source_id": "s", "revision": "r", "catalog": "c"}
+    monkeypatch.setattr(Store, "activate", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        ingest.publish_batch(store, batch, 7, **options)
+    monkeypatch.undo()
+    ingest.publish_batch(store, batch, 7, **options)
+    assert hits("bead") == ["H.lean"] and hits("pin") == ["G.lean"]
 
 
 def test_entry_imports_without_the_corpus_subpackage():
