@@ -230,19 +230,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int | None
         for q in queue:
             for s, n in q:
                 left[s] += n
-    # the rest of the large sizes and all small ones
-    runs = best_fit(left, runs, capacity)
-    # rounding sizes up leaves loose sequences; what they hold is fitted anew where that helps
-    for slack in sorted({capacity >> k for k in range(4, 10)}):
-        tight = [r for r in runs if r.gap <= slack]
-        loose: dict[int, int] = defaultdict(int)
-        for r in runs:
-            if r.gap > slack:
-                for s in r.sizes:
-                    loose[s] += r.count
-        again = best_fit(loose, tight, capacity)
-        if sum(r.count for r in again) < sum(r.count for r in runs):
-            runs = again
+    # the rest of the large sizes and all small ones; rounding sizes up leaves loose sequences,
+    # so what they hold is fitted anew with the rest where that helps
+    grouped, runs = runs, best_fit(left, runs, capacity)
+    for start, rest in ((grouped, left), (None, {})):
+        for slack in sorted({capacity >> k for k in range(4, 10)}):
+            held = runs if start is None else start
+            loose: dict[int, int] = defaultdict(int, rest)
+            for r in held:
+                if r.gap > slack:
+                    for s in r.sizes:
+                        loose[s] += r.count
+            again = best_fit(loose, [r for r in held if r.gap <= slack], capacity)
+            if sum(r.count for r in again) < sum(r.count for r in runs):
+                runs = again
     merged: dict[tuple[int, ...], int] = defaultdict(int)
     for r in runs:
         merged[tuple(sorted(r.sizes, reverse=True))] += r.count
