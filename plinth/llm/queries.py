@@ -84,6 +84,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .veccodes import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import RULES, judge, rule_table
+
+    judged = judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark, RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +115,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_url_filter": op13_url_filter,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,4 +189,57 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages), b AS (SELECT pag
 SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(CAST(('0b' || substr(bits, CAST(5 * k + 1 AS BIGINT), 5)) AS VARCHAR) AS INT)]), '') AS payload_digest,
   CASE WHEN page_id = one THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> one THEN one END AS refers_to FROM b JOIN f USING (x)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": _OP1, "op4_license_scan": _op4(), "op6_ngram_jaccard_join": _OP6, "op9_warc": _OP9}
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and floored means over (vector, part, place, integer) rows."""
+    near = """(SELECT v.i, v.part, w.entry, v.d FROM (SELECT i, part, min(d) AS d FROM {d} GROUP BY i, part) v JOIN (SELECT i, part, d, min(entry) AS entry FROM {d} GROUP BY i, part, d) w USING (i, part, d))"""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"d{k} AS MATERIALIZED (SELECT i, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN b{k} USING (part, place) GROUP BY i, part, entry)")
+        steps.append(f"a{k} AS MATERIALIZED {near.format(d=f'd{k}')}")
+        if k < rounds:
+            steps.append(
+                f"b{k + 1} AS MATERIALIZED (SELECT part, entry, place, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT part, entry, place, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM x JOIN a{k} USING (i, part) GROUP BY part, entry, place) m USING (part, entry, place))"
+            )
+    last = rounds
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label, embedding, len(embedding) // {parts} AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT i, k // w AS part, k % w AS place, CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT) AS x FROM (SELECT i, w, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS y FROM e)),
+b0 AS MATERIALIZED (SELECT part, i AS entry, place, x AS c FROM x WHERE i < {entries}),
+{", ".join(steps)},
+s AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b{last}),
+t AS MATERIALIZED (SELECT i, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM t JOIN e USING (i) CROSS JOIN s"""
+
+
+#: CRC-32 of a text, byte by byte, over its table.
+_CRC_ROW = "list_reduce(list_prepend(CAST(k AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+_BYTES = "list_transform(range(0, strlen(g)), lambda j: CAST(('0x' || substr(hex(encode(g)), CAST(2 * j + 1 AS BIGINT), 2)) AS BIGINT))"
+_OP12 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_words('text', _ALNUM)} AS w FROM documents), q AS MATERIALIZED (SELECT {_words('text', _ALNUM)} AS w FROM benchmark),
+df AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda a: array_to_string(w[a : a + 1], ' ')), list_transform(range(1, len(w) - 1), lambda a: array_to_string(w[a : a + 2], ' ')))) AS g FROM d) GROUP BY doc_id, g),
+qf AS MATERIALIZED (SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda a: array_to_string(w[a : a + 1], ' ')), list_transform(range(1, len(w) - 1), lambda a: array_to_string(w[a : a + 2], ' ')))) AS g FROM q) GROUP BY g),
+crc AS MATERIALIZED (SELECT list({_CRC_ROW} ORDER BY k) AS t FROM (SELECT unnest(range(256)) AS k)),
+b AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda s, x: xor(t[CAST((xor(s, x) & 255) + 1 AS BIGINT)], s >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT g, {_BYTES} AS bytes FROM (SELECT g FROM df UNION SELECT g FROM qf)) CROSS JOIN crc),
+s AS MATERIALIZED (SELECT bucket, sum(n) AS s FROM df JOIN b USING (g) GROUP BY bucket), t AS MATERIALIZED (SELECT bucket, sum(n) AS t FROM qf JOIN b USING (g) GROUP BY bucket),
+gain AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM s) + 10000 AS DOUBLE) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM df JOIN b USING (g) JOIN gain USING (bucket) GROUP BY doc_id),
+r AS (SELECT d.doc_id, len(w) >= 20 AS large, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST(('0x' || substr(sha256('42:' || d.doc_id), 1, 8)) AS BIGINT) AS DOUBLE) + 5e-1) / 4294967296e0))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id)),
+p AS (SELECT *, row_number() OVER (ORDER BY large DESC, score DESC, doc_id) AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * (SELECT count(*) FROM r WHERE large) // 100 THEN CAST(place AS BIGINT) END AS rank FROM p"""
+
+
+def _op13() -> str:
+    from .urlrules import RULES
+
+    rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return f"""
+WITH r(h, p, v) AS (VALUES {rows}), u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+a AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM a JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM a LEFT JOIN m USING (page_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": _op11(), "op12_importance_resampling": _OP12, "op13_url_filter": _op13(), "op1_decontamination": _OP1, "op4_license_scan": _op4(), "op6_ngram_jaccard_join": _OP6, "op9_warc": _OP9}
