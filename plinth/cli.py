@@ -216,7 +216,7 @@ def path_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     index = Index(spark, address(a.index))
     graph.check_depth(a.max_depth)
     graph.require_elaborated(index.meta["producer_kind"])
-    row = graph.shortest_path(index.edges, one(index.nodes, a.source), one(index.nodes, a.target), a.max_depth).first()
+    row = graph.shortest_path(index.adjacency, one(index.nodes, a.source), one(index.nodes, a.target), a.max_depth).first()
     grades = dict(RELATIONS.values())
     edges = [{**e.asDict(), "evidence_grade": grades[e["relation"]], "depth": k} for k, e in enumerate(row["path"], 1)]
     return graph_payload(f"path:{a.source}->{a.target}", edges, index.meta, row["found"])
@@ -226,7 +226,7 @@ def context_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     index = Index(spark, address(a.index))
     graph.check_depth(a.depth)
     graph.require_elaborated(index.meta["producer_kind"])
-    rows = context.context_envelope(index.nodes, index.edges, index.sources, a.name, depth=a.depth, budget=a.token_budget, roots=index.meta["root_modules"], boundary=index.meta["dependency_boundary"])
+    rows = context.context_envelope(index.nodes, index.adjacency, index.sources, a.name, depth=a.depth, budget=a.token_budget, roots=index.meta["root_modules"], boundary=index.meta["dependency_boundary"])
     payload = told(rows)[0]
     payload["chunks"] = [{**named_revision(c, index.meta), "evidence_grade": "LEXICAL_HIT"} for c in payload["chunks"]]
     return {"status": "FOUND", **payload, **provenance(index.meta)}

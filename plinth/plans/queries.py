@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import binding, chunking, context, evidence, federation, fingerprint, generations, graph, integrity, normalize, resolve, search
+from ..operators.termindex import TermIndex
+from ..operators.termindex import build as build_terms
+from ..sources import adjacency
+from ..sources.adjacency import Adjacency
 from ..sources.index import Index, build
+from ..scratch import read_text, write_text
 from . import fixtures as fx
 from .fixtures import frame, oracle, table
 
@@ -32,6 +37,11 @@ def _index(spark: SparkSession, d: str) -> Index:
     return Index(spark, fx.kept(spark, d, "index", make))
 
 
+def _adjacent(spark: SparkSession, d: str) -> Adjacency:
+    """The edges as an index of the engine stores them, by either end."""
+    return Adjacency(spark, fx.kept(spark, d, "adjacency", lambda path: adjacency.build(frame(spark, d, fx.EDGES), path) and None))
+
+
 def _tok(c: str) -> str:
     return f"regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -300,21 +310,21 @@ def _walk(start: str, depth: int, reverse: bool = False) -> str:
     return f"WITH g AS MATERIALIZED (SELECT * FROM {_E}), " + ", ".join(f"l{k} AS MATERIALIZED ({s})" for k, s in enumerate(levels)) + ", near AS (SELECT node, min(dist) AS dist FROM (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(depth)) + f") GROUP BY node) SELECT e.source_id, e.target_id, e.relation, CAST(dist + 1 AS INT) AS depth FROM g e JOIN near ON e.{here} = node"
 
 
-@query(_walk(START, 3))
+@query(f"SELECT source_id, target_id, relation, depth FROM ({_walk(START, 3)}) w")
 def deps_depth3(spark, d):
-    return graph.dependencies(frame(spark, d, fx.EDGES), START, 3).select("source_id", "target_id", "relation", "depth")
+    return graph.dependencies(_adjacent(spark, d), START, 3).select("source_id", "target_id", "relation", "depth")
 
 
-@query(_walk(NATION, 2, reverse=True))
+@query(f"SELECT source_id, target_id, relation, depth FROM ({_walk(NATION, 2, reverse=True)}) w")
 def rdeps_depth2(spark, d):
-    return graph.dependencies(frame(spark, d, fx.EDGES), NATION, 2, reverse=True).select("source_id", "target_id", "relation", "depth")
+    return graph.dependencies(_adjacent(spark, d), NATION, 2, reverse=True).select("source_id", "target_id", "relation", "depth")
 
 
 @query(f"""WITH RECURSIVE g AS (SELECT * FROM {_E}), w AS (SELECT '{START}' AS node, 0 AS hops, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS path
 UNION ALL SELECT e.target_id, hops + 1, list_append(keys, e.relation || chr(1) || e.target_id || chr(1) || e.source_id), list_append(path, e.source_id || '>' || e.target_id) FROM w JOIN g e ON e.source_id = w.node WHERE hops < 5 AND w.node <> '{GOAL}')
 SELECT true AS found, CAST(hops AS INT) AS hops, array_to_string(path, ' ') AS path FROM w WHERE node = '{GOAL}' ORDER BY hops, keys LIMIT 1""")
 def shortest_path(spark, d):
-    row = graph.shortest_path(frame(spark, d, fx.EDGES), START, GOAL)
+    row = graph.shortest_path(_adjacent(spark, d), START, GOAL)
     return row.select("found", "hops", F.array_join(F.transform("path", lambda e: F.concat(e["source_id"], F.lit(">"), e["target_id"])), " ").alias("path"))
 
 
@@ -323,7 +333,7 @@ p AS (SELECT n.id, near.distance, c.source_path, c.source_start_line, c.text, co
 r AS (SELECT *, sum(length(text)) OVER (ORDER BY distance, source_path, source_start_line, id ROWS UNBOUNDED PRECEDING) AS chars FROM p WHERE c = 1)
 SELECT id AS declaration_id, CAST(distance AS INT) AS distance, source_path, source_start_line, CAST(chars AS BIGINT) AS chars FROM r WHERE ceil(chars / 4) <= 150""")
 def context_budget(spark, d):
-    rows = context.context(frame(spark, d, fx.NODES), frame(spark, d, fx.EDGES), frame(spark, d, fx.CHUNKS), "Sales.Order.O1", depth=2, budget=150)
+    rows = context.context(frame(spark, d, fx.NODES), _adjacent(spark, d), frame(spark, d, fx.CHUNKS), "Sales.Order.O1", depth=2, budget=150)
     return rows.select("declaration_id", "distance", "source_path", "source_start_line", "chars")
 
 
@@ -336,20 +346,64 @@ def _generation(query: str, terms: list[str], every: bool) -> str:
 SELECT source_id, candidate_id, CASE WHEN ex THEN 'exact' ELSE 'lexical' END AS match_kind FROM h WHERE ex OR ({words}) ORDER BY ex DESC NULLS LAST, source_id, candidate_id LIMIT 20"""
 
 
+def _terms(spark: SparkSession, d: str, version: str = generations.SCHEMA_VERSION) -> TermIndex:
+    """The term index that a frozen generation has, built once per session and tables."""
+    docs = frame(spark, d, fx.GENERATION_DOCS).where("generation_id = 'en'")
+    path = fx.kept(spark, d, f"terms {version}", lambda path: write_text(spark, f"{path}/layout", str(build_terms(docs, path, words=generations.VERSIONS[version].words)["buckets"])))
+    return TermIndex(spark, path, int(read_text(spark, f"{path}/layout")))
+
+
+def _generation_hits(spark, d, asked: str, mode: str, limit: int = 20) -> DataFrame:
+    terms = generations.check_input(asked, limit, mode)
+    return _terms(spark, d).hits(asked, terms, limit, mode).select("source_id", "candidate_id", "match_kind")
+
+
 @query(_generation("heon the", ["heon", "the"], True))
 def generation_search(spark, d):
+    return _generation_hits(spark, d, "heon the", "evidence")
+
+
+@query(_generation("heon the that", ["heon", "the", "that"], False))
+def generation_discovery(spark, d):
+    return _generation_hits(spark, d, "heon the that", "discovery")
+
+
+@query(_generation("heon the", ["heon", "the"], True))
+def generation_scan(spark, d):
+    """The same hits without an index, by one pass over the texts."""
     docs = frame(spark, d, fx.GENERATION_DOCS).where("generation_id = 'en'")
     return generations.generation_hits(docs, "heon the", 20, "evidence").select("source_id", "candidate_id", "match_kind")
 
 
-@query(_generation("D9", ["d9", "the"], False).replace("list_contains(w, 'd9') OR list_contains(w, 'the')", "list_contains(w, 'd9')"))
+@query(_generation("D9", ["d9"], False))
 def generation_exact(spark, d):
-    docs = frame(spark, d, fx.GENERATION_DOCS).where("generation_id = 'en'")
-    return generations.generation_hits(docs, "D9", 20).select("source_id", "candidate_id", "match_kind")
+    return _generation_hits(spark, d, "D9", "discovery")
+
+
+_LISTS = f"SELECT unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(body_text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))) AS term FROM {_G} WHERE generation_id = 'en'"
+
+
+@query(f"SELECT term, CAST(count(*) AS BIGINT) AS documents FROM ({_LISTS}) l GROUP BY term")
+def generation_lists(spark, d):
+    """The lengths of all posting lists of words."""
+    blocks = _terms(spark, d).blocks
+    return blocks.where(~F.startswith("term", F.lit("="))).groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("documents"))
+
+
+@query(f"""WITH one AS ({_generation("über the", ["über", "the"], False).replace(" LIMIT 20", "")}), two AS (SELECT source_id, candidate_id FROM {_G} WHERE generation_id = 'en' AND list_has_any({_tok('body_text')}, ['uber', 'the']))
+SELECT 'plinth.query.v1' AS version, source_id, candidate_id FROM (SELECT * FROM one LIMIT 20) UNION ALL SELECT 'plinth.query.v2', source_id, candidate_id FROM (SELECT t.* FROM two t JOIN {_G} g USING (source_id, candidate_id) ORDER BY exact_identity IS NULL, source_id, candidate_id LIMIT 20)""")
+def generation_versions(spark, d):
+    """One query over generations of two schema versions, each cut into terms its own way."""
+    out = None
+    for version in (generations.SCHEMA_VERSION, generations.FOLDED_VERSION):
+        terms = generations.check_input("über the", 20, "discovery", version)
+        rows = _terms(spark, d, version).hits("über the", terms, 20, "discovery").select(F.lit(version).alias("version"), "source_id", "candidate_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query(f"""WITH l AS (SELECT coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id DESC), '') AS listed FROM {_G} WHERE generation_id = 'en' AND position('heon' IN body_text) > 0)
-SELECT listed, array_to_string(string_split(listed, ',')[1:7], ' ') AS hits FROM l""")
+@query(f"""WITH l AS (SELECT list(candidate_id ORDER BY candidate_id DESC) AS c FROM {_G} WHERE generation_id = 'en' AND position('heon' IN body_text) > 0)
+SELECT array_to_string(c[1:7], ',') AS listed, array_to_string(c[1:7], ' ') AS hits FROM l""")
 def generation_listing(spark, d):
     docs = frame(spark, d, fx.GENERATION_DOCS).where("generation_id = 'en'")
     return generations.envelope_hits(docs, "heon", 7, descending=True).select("listed", F.array_join("hits", " ").alias("hits"))
@@ -523,7 +577,7 @@ r AS (SELECT *, sum(length(text)) OVER (ORDER BY distance, source_path, source_s
 SELECT 'Sales.Order.O1' AS query, '{START}' AS target_id, string_agg(id, ' ' ORDER BY distance, source_path, source_start_line, id) FILTER (WHERE ceil(chars / 4) <= 150) AS chunks, (SELECT count(*) FROM e) AS n_edges,
   CAST(ceil(max(chars) FILTER (WHERE ceil(chars / 4) <= 150) / 4) AS BIGINT) AS estimated_tokens, 'internal_only' AS dependency_boundary, true AS complete_within_scope FROM r""")
 def context_envelope(spark, d):
-    row = context.context_envelope(frame(spark, d, fx.NODES), frame(spark, d, fx.EDGES), frame(spark, d, fx.CHUNKS).withColumn("source_revision", F.lit("r1")), "Sales.Order.O1", depth=2, budget=150, roots=ROOTS)
+    row = context.context_envelope(frame(spark, d, fx.NODES), _adjacent(spark, d), frame(spark, d, fx.CHUNKS).withColumn("source_revision", F.lit("r1")), "Sales.Order.O1", depth=2, budget=150, roots=ROOTS)
     chunks = F.array_join(F.transform("chunks", lambda c: c["declaration_id"]), " ")
     return row.select("query", "target_id", chunks.alias("chunks"), F.size("graph_edges").cast("long").alias("n_edges"), "estimated_tokens", "dependency_boundary", "complete_within_scope")
 

@@ -75,7 +75,7 @@ def walk(index: Index, name: str, depth: int, *, reverse: bool = False) -> DataF
     """Dependencies of a name in an index whose graph is elaborated."""
     graph.check_depth(depth)
     graph.require_elaborated(index.meta["producer_kind"])
-    return graph.ordered(graph.dependencies(index.edges, one(index.nodes, name), depth, reverse=reverse))
+    return graph.ordered(graph.dependencies(index.adjacency, one(index.nodes, name), depth, reverse=reverse))
 
 
 def probe_table(index: Index, scenario: dict) -> DataFrame:
@@ -195,7 +195,7 @@ def run_replay(index: Index, loaded: art.Artifact, replay: Replay, receipt: byte
             need(ids <= set(row["met"]), f"{kind} of {name} lack {sorted(ids - set(row['met']))}")
             seen[f"{kind}:{name}"] = row["n"]
     for name, hint in replay.context.items():
-        rows = require_chunks(context.context(index.nodes, index.edges, index.sources, name))
+        rows = require_chunks(context.context(index.nodes, index.adjacency, index.sources, name))
         told = rows.join(index.sources.select(F.col("id").alias("chunk_id"), "declaration_hint"), "chunk_id") if "declaration_hint" not in rows.columns else rows
         need(not told.where(F.col("declaration_hint") == hint).isEmpty(), f"the context of {name} lacks {hint}")
     if replay.few_paths:

@@ -1,7 +1,8 @@
 """The stored search index: the relations, postings by term and statistics per corpus.
 
     meta.json                      key-values of the projection, with its fingerprint
-    nodes/ edges/ sources/         the relations; sources are numbered in order of path and line
+    nodes/ sources/                relations; sources are numbered in order of path and line
+    edges/                         the edges by either end
     postings/bucket=.../           corpus, term, doc, dl, col, positions; sorted by term
     corpora/                       corpus, documents, tokens
 
@@ -24,6 +25,8 @@ from ..operators import federation, search
 from ..operators.fingerprint import digest, fingerprint
 from ..operators.integrity import require
 from ..scratch import delete, read_text, write_text
+from . import adjacency
+from .adjacency import Adjacency
 from .publish import publish
 
 VERSION = "plinth.index.v1"
@@ -57,9 +60,10 @@ def build(relations: dict[str, DataFrame], target: str, *, meta: dict, corpus: s
 
 
 def _write(spark: SparkSession, relations: dict[str, DataFrame], folder: str, corpus: str | None) -> None:
-    for name in ("nodes", "edges"):
-        if name in relations:
-            relations[name].write.parquet(f"{folder}/{name}")
+    if "nodes" in relations:
+        relations["nodes"].write.parquet(f"{folder}/nodes")
+    if "edges" in relations:
+        adjacency.build(relations["edges"], f"{folder}/edges")
     own = F.col(corpus).cast("string") if corpus else F.lit("")
     order = [c for c in ("source_path", "source_start_line", "id") if c in relations["sources"].columns]
     numbered = relations["sources"].orderBy(*order).withColumn("doc", F.monotonically_increasing_id())
@@ -133,7 +137,14 @@ class Index:
             check_provenance(self.meta)
         self.buckets = json.loads(read_text(spark, f"{self.folder}/buckets.json") or '{"buckets": 1}')["buckets"]
 
+    @property
+    def adjacency(self) -> Adjacency:
+        """The edges by either end, for traversals."""
+        return Adjacency(self.spark, f"{self.folder}/edges")
+
     def table(self, name: str) -> DataFrame:
+        if name == "edges":
+            return self.adjacency.edges
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def __getattr__(self, name: str) -> DataFrame:
