@@ -245,6 +245,8 @@ def test_token_ids_are_the_tokenizers(name):
     texts += ["".join(r.choice("".join(scripts) + " " * 9) for _ in range(r.randint(0, 300))) for _ in range(400)]
     texts += ["<|endoftext|>", "a<|endoftext|>b <| endoftext", " " * 500, "a" * 5000]
     encoder = packing._Encoder.of("byte_bpe_50k")
+    marks = [*" \n\t\r\x0b'sdtrelvm.,!?<|>aZ09éß中🙂\xa0\x1c-", "  ", "<|endoftext|>", "'ll", ". ", "\u2003"]
+    texts += ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     assert len(texts) > 500 and all(encoder.ids(t).tolist() == x.ids for t, x in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
@@ -275,6 +277,50 @@ def test_plans_are_whole_and_near_the_bound(kind, n):
     assert sum(run.count for run in runs) <= 1.01 * max(bound, -(-sum(c for s, c in sizes.items() if s > 341) // 2)) + 2
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying all ways."""
+    best = [len(sizes)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= sizes[k]}:
+            at = rooms.index(room)
+            put(k + 1, [*rooms[:at], room - sizes[k], *rooms[at + 1 :]])
+        put(k + 1, [*rooms, capacity - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_small_plans_are_optimal():
+    r = random.Random(8)
+    over = 0
+    for k in range(150):
+        capacity = r.choice([16, 64, 1024])
+        sizes = sorted((r.randint(max(1, capacity // r.choice([3, 6, 12])), capacity) for _ in range(r.randint(0, 9))), reverse=True)
+        over += sum(x.count for x in packing.plan(dict(Counter(sizes)), capacity)) - fewest(sizes, capacity)
+    # now and then one sequence more
+    assert over <= 3
+
+
+def test_plans_come_from_their_configurations():
+    r = random.Random(5)
+    sizes = Counter(r.randint(128, 1023) for _ in range(20_000))
+    runs, left = packing.grouped(dict(sizes), 1024)
+    held = Counter(left)
+    for run in runs:
+        for s in run.sizes:
+            held[s] += run.count
+    assert held == sizes and sum(left.values()) <= 0.01 * 20_000
+    whole = Counter({r.sizes: r.count for r in packing.plan(dict(sizes))})
+    kept = sum(min(whole[tuple(sorted(r.sizes, reverse=True))], r.count) for r in runs)
+    assert kept >= 0.9 * sum(whole.values())
+
+
 def test_textkernel_blocks():
     import pyarrow as pa
 
