@@ -30,6 +30,8 @@ from .storage import materialize, new_path, spread_join
 
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+[ \t]*\r?\n")
+#: What a record may begin with, by which damaged bytes are searched.
+_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]")
 _STEP = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -277,9 +279,9 @@ def _next(stream: _Stream, at: int) -> int | None:
         data = stream.get(at, _STEP)
         if not data:
             return None
-        found = [i for i in (data.find(_GZIP), data.find(b"WARC/1.")) if i >= 0]
+        found = _BEGIN.search(data)
         if found:
-            return at + min(found)
+            return at + found.start()
         if len(data) < _STEP:
             # to the end, so that the gap ends with the file
             at += len(data)
@@ -392,7 +394,7 @@ def read_archives(paths: DataFrame, *, payloads: bool = True, complete: bool = F
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
-    return paths.select("path", (F.col("records") if complete else F.lit(None)).cast("long").alias("records")).repartition(n, "path").mapInArrow(read, READ)
+    return paths.select("path", (F.col("records") if complete else F.lit(None)).cast("long").alias("records")).repartition(n).mapInArrow(read, READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **columns) -> DataFrame:

@@ -88,3 +88,14 @@ def test_pages_of_null_and_repeated_ids(spark, html):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnsRenamed({}).selectExpr("*", "'x' as digest", "1 as payload", "2 as refers_to")
     got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark, pages).collect()]
     assert sorted(got, key=str) == sorted([(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "response", None), (None, "response", None), (3, "response", None)], key=str)
+
+
+@pytest.mark.parametrize("version", ["0.17", "0.18", "1.0", "1.1", "2.0"])
+def test_records_behind_damage_in_any_version(version):
+    import io
+
+    record = lambda k: f"WARC/{version}\r\nWARC-Type: resource\r\nX-Page-Id: {k}\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+    for damage in (b"\x00" * 8, b"WARC/", b"WARC/9", b"\x1f\x8b\x08 WARC/x"):
+        found = list(warc.salvage(io.BytesIO(record(1) + damage + record(2) + record(3) + damage)))
+        assert [x.headers["X-Page-Id"] for x in found if isinstance(x, warc.Record)] == ["1", "2", "3"]
+        assert [x.end - x.start for x in found if isinstance(x, warc.Gap)] == [len(damage)] * 2
