@@ -14,7 +14,9 @@ collapsed).  Equal normal forms are one line class; only distinct classes go on:
 So the components are those of all pairs that share a bucket and are similar enough.
 
 Of each component the first occurrence in the corpus (smallest doc_id, then line) stays; all
-its other lines go.  Lines under ``min_chars`` characters in normal form always stay.
+its other lines go.  Lines under ``min_chars`` characters in normal form are too short to tell
+what is similar: they are equal only if they are the same byte by byte, white space at either end
+apart.  Lines without a letter or digit always stay.
 """
 
 from __future__ import annotations
@@ -177,8 +179,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def line_rows(slim: DataFrame, min_chars: int) -> DataFrame:
-    """Per document row: keys of its lines (0: too short to compare); and of those classes
-    that a block of text shows first there, ``fresh`` keys with their bands in a row."""
+    """Per document row: keys of its lines (0: never goes); and of those long classes that a
+    block of text shows first there, ``fresh`` keys with their bands in a row."""
     kind = slim.schema["row"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +190,7 @@ def line_rows(slim: DataFrame, min_chars: int) -> DataFrame:
                 keys = line_keys(lines, min_chars)
                 _, pick = np.unique(keys, return_index=True)
                 pick = np.sort(pick[keys[pick] != 0])
+                keys = np.where(keys == 0, short_keys(texts, lines, keys == 0), keys)
                 grams, own = shingles(_take(lines, pick))
                 band = bands(signatures(grams, own, len(pick)))
                 edge = np.searchsorted(pick, first).astype(np.int32)
@@ -202,16 +205,39 @@ def line_rows(slim: DataFrame, min_chars: int) -> DataFrame:
     return slim.mapInArrow(make, f"row {kind}, keys array<long>, fresh array<long>, bands array<int>")
 
 
+def short_keys(texts: tk.Texts, lines: tk.Texts, short: np.ndarray) -> np.ndarray:
+    """Keys of the short lines with a letter or digit, by their own bytes; 0 for all others.
+    They are even, those of long lines odd."""
+    out = np.zeros(len(lines), np.uint64)
+    starts, ends, _ = texts.lines()
+    pick = np.flatnonzero(short & (np.diff(lines.offsets) > 0))
+    lo, hi = starts[pick], ends[pick]
+    blank = tk.SPACE[texts.flat]
+    for at, edge, step in ((lo, hi, 1), (hi, lo, -1)):
+        while True:  # as often as the longest margin
+            more = np.flatnonzero((at != edge) & blank[np.clip(at - (step < 0), 0, len(blank) - 1)])
+            if not len(more):
+                break
+            at[more] += step
+    some = _gather(texts.flat, lo, hi)
+    out[pick] = some.hashes(some.offsets[:-1], some.offsets[1:]) & ~np.uint64(1) | np.uint64(2)
+    return out
+
+
 def line_keys(lines: tk.Texts, min_chars: int) -> np.ndarray:
     keys = lines.hashes(lines.offsets[:-1], lines.offsets[1:]) | np.uint64(1)
     return np.where(char_counts(lines) >= min_chars, keys, np.uint64(0))
 
 
 def _take(lines: tk.Texts, pick: np.ndarray) -> tk.Texts:
-    length = np.diff(lines.offsets)[pick]
+    return _gather(lines.flat, lines.offsets[:-1][pick], lines.offsets[1:][pick])
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tk.Texts:
+    length = ends - starts
     edge = np.append(0, np.cumsum(length))
-    at = np.arange(edge[-1]) - np.repeat(edge[:-1], length) + np.repeat(lines.offsets[:-1][pick], length)
-    return tk.Texts(lines.flat[at], edge)
+    at = np.arange(edge[-1]) - np.repeat(edge[:-1], length) + np.repeat(starts, length)
+    return tk.Texts(flat[at], edge)
 
 
 def _line_texts(slim: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -441,7 +467,8 @@ def line_groups(slim: DataFrame, *, min_chars: int, percent: int) -> tuple[DataF
 
 
 def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", min_chars: int = 24, percent: int = 80) -> DataFrame:
-    """Stored rows (row, removed): places, from 0, of the lines that go, for rows with any.
+    """Stored rows (row, removed, n): for each line of a row with any that goes whether it
+    goes, up to the last one that does, and how many do.
 
     ``row`` is the struct of :func:`row_key`.
     """
@@ -457,7 +484,22 @@ def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", min_chars: i
     best = materialize(best, "line-best")
     gone = spread_join(some, best, "component", ["row", "pos"], count="c", most=500_000)
     gone = gone.where(~((F.col("row") == F.col("best.row")) & (F.col("pos") == F.col("best.pos"))))
-    return materialize(gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "lines-removed")
+    places = gone.groupBy("row").agg(F.collect_set("pos").alias("places"))
+    kind = places.schema["row"].dataType.simpleString()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            edge = column.offsets.to_numpy()
+            at = column.values.to_numpy()[edge[0] : edge[-1]]
+            edge = edge - edge[0]
+            last = np.maximum.reduceat(at, edge[:-1]) + 1 if len(at) else np.zeros(0, np.int64)
+            bounds = np.append(0, np.cumsum(last))
+            flags = np.zeros(bounds[-1], bool)
+            flags[np.repeat(bounds[:-1], np.diff(edge)) + at] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flags)), pa.array(np.diff(edge).astype(np.int64))], names=["row", "removed", "n"])
+
+    return materialize(places.mapInArrow(mark, f"row {kind}, removed array<boolean>, n long"), "lines-removed")
 
 
 def row_key(doc_id: str, text: str):
@@ -472,15 +514,16 @@ def dedup_lines(docs: DataFrame, *, doc_id="doc_id", text="text", **options) ->
     whose lines all go is empty.  Rows that repeat id and text are cleaned alike.  Columns
     of the input that are named like the added ones are replaced.
     """
-    row, key, lost = unused(docs, "_row", "_key", "_gone")
+    row, key, lost, many = unused(docs, "_row", "_key", "_gone", "_many")
     gone = removed_lines(docs, doc_id=doc_id, text=text, **options)
-    side = small_side(gone).select(F.col("row").alias(key), F.col("removed").alias(lost))
+    side = small_side(gone).select(F.col("row").alias(key), F.col("removed").alias(lost), F.col("n").alias(many))
     joined = docs.withColumn(row, row_key(doc_id, text)).join(side, F.col(row).eqNullSafe(F.col(key)), "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(lost, i)), "\n")
+    # a look at one place of an array for each line
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.coalesce(F.get(F.col(lost), i), F.lit(False))), "\n")
     out = joined.withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"),
-        "n_removed": F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long"),
+        "n_removed": F.coalesce(F.col(many), F.lit(0)).cast("long"),
         text: F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept),
     })
-    return out.drop(row, key, lost)
+    return out.drop(row, key, lost, many)

@@ -73,6 +73,7 @@ def test_null_ids_repeats_and_names(spark):
     assert out.columns == [*d.columns, "n_lines", "n_removed"]
     got = {r["_gone"]: (r["text"], r["n_removed"], r["_row"], r["_key"]) for r in out.collect()}
     assert got[4] == (f"{line}\nshort", 1, "x", 1)
+    assert linedup.dedup_lines(d.where("false")).count() == 0
     assert [got[k][0] for k in (0, 1, 2, 3, 5, 6)] == ["", "", "", "", None, ""]
 
 
@@ -96,3 +97,41 @@ def test_a_text_of_several_blocks(spark):
     assert len(big) > 3 << 20
     out = {x["doc_id"]: x for x in linedup.dedup_lines(docs(spark, [lines[7], big, lines[0] + "\nend"], [9, 5, 6])).collect()}
     assert out[9]["text"] == "" and out[6]["text"] == "end" and out[5]["n_lines"] == 40_000 and out[5]["n_removed"] == 40_000 - len(set(lines))
+
+
+def short_brute(texts):
+    """Texts without later short lines that are the same but for white space at the ends."""
+    seen, out = set(), []
+    for text in texts:
+        kept = []
+        for line in (text or "").split("\n"):
+            key = line.strip(" \t\n\x0b\x0c\r")
+            if any(c.isalnum() for c in key):
+                if key in seen:
+                    continue
+                seen.add(key)
+            kept.append(line)
+        out.append(None if text is None else "\n".join(kept))
+    return out
+
+
+def test_short_lines_go_only_if_they_are_the_same(spark):
+    r = random.Random(6)
+    some = ["Share this", " Share this\t", "share this", "Page 1", "Page 2", "---", "", "  ", "é", "é\r", "12", "one\ttwo", "one  two", "🙂 x"]
+    texts = ["\n".join(r.choice(some) for _ in range(r.randint(0, 7))) for _ in range(60)] + [None]
+    got = {x["doc_id"]: x["text"] for x in linedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == short_brute(texts)
+
+
+def test_many_lines_in_one_text(spark):
+    import time
+
+    lines = [f"{k % 5} and what belongs to it" for k in range(200_000)]
+    took = []
+    for n in (1, 100_000, 200_000):
+        began = time.time()
+        out = linedup.dedup_lines(docs(spark, ["\n".join(lines[:n])])).first()
+        took.append(time.time() - began)
+        # digits are one in normal form
+        assert out["n_removed"] == n - 1 and out["text"] == lines[0]
+    assert took[2] - took[0] < 4 * (took[1] - took[0]) + 10

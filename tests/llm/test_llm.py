@@ -141,7 +141,7 @@ def test_line_dedup(spark):
     out = {r["doc_id"]: r for r in linedup.dedup_lines(docs(spark, texts, [*range(len(texts) - 1), len(texts) - 2])).collect()}
     n = len(EDGE)
     assert out[0]["text"] is None and out[0]["n_lines"] == 0 and out[1]["n_lines"] == 1
-    assert out[n]["n_removed"] == 0 and out[n + 1]["text"] == f"{b}\nshort"
+    assert out[n]["n_removed"] == 0 and out[n + 1]["text"] == b
     assert out[n + 2]["text"] == prose(14, 20) and out[n + 3]["text"] == "" and out[n + 3]["n_removed"] == 1
     assert linedup.dedup_lines(docs(spark, texts).where("false")).count() == 0
 
