@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPAN = 1 << 30
+#: Texts of more bytes teach nothing, so that a sample has a bound in bytes too; and so many
+#: labels, the most frequent ones, are learned at most.
+LONGEST, MOST_LABELS = 1 << 17, 200
 
 
 def bounded(rows: DataFrame, limit: int) -> DataFrame:
     """Of each value of column label, about ``limit`` of its distinct values of column h (a
     hash): those in the label's share of the hash range.  Rows that repeat both may stay."""
-    counts = rows.select("label", "h").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()
+    counts = rows.select("label", "h").distinct().groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
     place = F.pmod("h", F.lit(_SPAN))
     # a quarter more than the share, as a hash range holds more or fewer by chance
     taken = [F.when((F.col("label") == F.lit(r["label"])) & (place <= F.lit(int(_SPAN * min(1.0, 1.25 * limit / r["n"])))), True) for r in counts]
@@ -31,9 +34,9 @@ def cut(rows: list[tuple[int, object, str]], limit: int) -> list[tuple[str, obje
 
 
 def labelled_texts(rows: DataFrame, limit: int) -> list[tuple[str, object]]:
-    """At most ``limit`` (text, label) pairs of each label: its distinct texts of the lowest
-    hashes.  Columns text and label, no nulls."""
-    hashed = rows.select("label", F.xxhash64("text").alias("h"), "text")
+    """At most ``limit`` (text, label) pairs of each of the most frequent labels: its distinct
+    texts of the lowest hashes, very long ones left out.  Columns text and label, no nulls."""
+    hashed = rows.where(F.octet_length("text") <= LONGEST).select("label", F.xxhash64("text").alias("h"), "text")
     # one of each text's copies, picked before anything moves
     found = bounded(hashed, limit).groupBy("label", "h").agg(F.first("text").alias("text")).select("h", "label", "text").collect()
     return cut([tuple(r) for r in found], limit)

@@ -21,16 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .sampling import bounded, cut
+from .sampling import LONGEST, bounded, cut
 from .subwords import Words, lowered, platt, sigmoid
 
 
 @dataclass
 class Settings:
     """``sample`` bounds the labelled documents that are fitted, per label; they are those of
-    the lowest hash of their id.  ``window`` is in words."""
+    the lowest hash of their id.  ``window`` is in words.  At ``threshold`` the score tells
+    toxic texts best: the calibration puts the cut with the largest F1 there."""
 
     sample: int = 2000
+    crossed: int = 1000
+    threshold: float = 0.7
     sizes: tuple[int, ...] = (3, 4, 5)
     buckets: int = 1 << 17
     dims: int = 4
@@ -81,7 +84,11 @@ def _largest(total: np.ndarray, count: np.ndarray, first: np.ndarray, size: int,
 
 
 def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
-    """Joint training on whole texts; every fourth text is kept for the calibration."""
+    """Joint training on whole texts; every fourth text is kept for the calibration.
+
+    A quarter of a small sample is too little to calibrate on: up to ``crossed`` texts, each
+    quarter is judged by a model of the other three, and the model itself learns from all.
+    """
     s = settings
     # block by block, so that the work arrays of the text stay small
     known = np.zeros(0, np.uint64)
@@ -113,14 +120,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
     doc_of, win = (chunk[0] >> 32).astype(np.int64), chunk[1].reshape(-1)
     n_win = len(doc_of)
     size = np.bincount(win, weights=per_word[which], minlength=n_win).astype(np.float32)
-    held = np.arange(len(texts)) % 4 == 3
     y = labels[doc_of].astype(np.float32)
-    open_ = ~held[doc_of]
-    rng = np.random.default_rng(s.seed)
-    vectors = (rng.standard_normal((len(used), s.dims)) * 0.1).astype(np.float32)
-    soft = (rng.standard_normal((s.dims, 2)) * 0.1).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
     # windows to words and words to n-grams as sorted index lists
     by_word = np.argsort(which, kind="stable").astype(np.int32)
     word_edge = np.searchsorted(which[by_word], np.arange(n_words))
@@ -130,54 +130,89 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
     word_by_id, win_by_word = word[by_id], win[by_word].astype(np.int32)
     del by_id, by_word, order
     win_edge = np.searchsorted(win, np.arange(n_win))
-    for step in range(s.steps):
-        if not n_win:
-            break
-        if step == s.warm:
-            # from here on a toxic document teaches only its most toxic windows
-            margin = (hidden @ (soft[:, 1] - soft[:, 0])) + bias[1] - bias[0]
-            top = np.full(len(texts), -np.inf)
-            np.maximum.at(top, doc_of, margin)
-            open_ &= (y == 0) | (margin >= top[doc_of] - 0.1 * np.abs(top[doc_of])) & (margin > 0)
-        word_vec = np.add.reduceat(vectors[ids], feat_edge, axis=0)
-        hidden = np.add.reduceat(word_vec[which], win_edge, axis=0) / size[:, None]
-        logits = hidden @ soft + bias
-        p1 = sigmoid(logits[:, 1] - logits[:, 0]).astype(np.float32)
-        share = max(1.0, float((y * open_).sum())), max(1.0, float(((1 - y) * open_).sum()))
-        weight = np.where(y > 0, 1 / share[0], 1 / share[1]) * open_ / 2
-        d1 = ((p1 - y) * weight).astype(np.float32)
-        d = np.stack([-d1, d1], 1)
-        grad_soft, grad_bias = hidden.T @ d, d.sum(0)
-        grad_hidden = (d @ soft.T) / size[:, None]
-        grad_word = np.add.reduceat(grad_hidden[win_by_word], word_edge, axis=0)
-        grad_vec = np.add.reduceat(grad_word[word_by_id], id_edge, axis=0)
-        for p, g, st, rate in ((vectors, grad_vec, state[0], 0.1), (soft, grad_soft, state[1], 0.1), (bias, grad_bias, state[2], 0.1)):
-            st[0] += 0.1 * (g - st[0])
-            st[1] += 0.02 * (g * g - st[1])
-            p -= rate * (st[0] / (1 - 0.9 ** (step + 1))) / (np.sqrt(st[1] / (1 - 0.98 ** (step + 1))) + 1e-8)
+    quarter = np.arange(len(texts)) % 4
+
+    def fitted(held: np.ndarray) -> tuple[np.ndarray, float]:
+        """Margins of the used buckets and the offset, from the texts that aren't held."""
+        open_ = ~held[doc_of]
+        rng = np.random.default_rng(s.seed)
+        vectors = (rng.standard_normal((len(used), s.dims)) * 0.1).astype(np.float32)
+        soft = (rng.standard_normal((s.dims, 2)) * 0.1).astype(np.float32)
+        bias = np.zeros(2, np.float32)
+        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
+        for step in range(s.steps):
+            if not n_win:
+                break
+            if step == s.warm:
+                # from here on a toxic document teaches only its most toxic windows
+                margin = (hidden @ (soft[:, 1] - soft[:, 0])) + bias[1] - bias[0]
+                top = np.full(len(texts), -np.inf)
+                np.maximum.at(top, doc_of, margin)
+                open_ &= (y == 0) | (margin >= top[doc_of] - 0.1 * np.abs(top[doc_of])) & (margin > 0)
+            word_vec = np.add.reduceat(vectors[ids], feat_edge, axis=0)
+            hidden = np.add.reduceat(word_vec[which], win_edge, axis=0) / size[:, None]
+            logits = hidden @ soft + bias
+            p1 = sigmoid(logits[:, 1] - logits[:, 0]).astype(np.float32)
+            share = max(1.0, float((y * open_).sum())), max(1.0, float(((1 - y) * open_).sum()))
+            weight = np.where(y > 0, 1 / share[0], 1 / share[1]) * open_ / 2
+            d1 = ((p1 - y) * weight).astype(np.float32)
+            d = np.stack([-d1, d1], 1)
+            grad_soft, grad_bias = hidden.T @ d, d.sum(0)
+            grad_hidden = (d @ soft.T) / size[:, None]
+            grad_word = np.add.reduceat(grad_hidden[win_by_word], word_edge, axis=0)
+            grad_vec = np.add.reduceat(grad_word[word_by_id], id_edge, axis=0)
+            for p, g, st, rate in ((vectors, grad_vec, state[0], 0.1), (soft, grad_soft, state[1], 0.1), (bias, grad_bias, state[2], 0.1)):
+                st[0] += 0.1 * (g - st[0])
+                st[1] += 0.02 * (g * g - st[1])
+                p -= rate * (st[0] / (1 - 0.9 ** (step + 1))) / (np.sqrt(st[1] / (1 - 0.98 ** (step + 1))) + 1e-8)
+        return vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
+
+    def judged(found: np.ndarray, offset: float) -> np.ndarray:
+        total = np.bincount(word, weights=found[ids], minlength=n_words)
+        return _largest(total[which], per_word[which].astype(float), first, s.window, offset)
+
+    doc_margin = np.full(len(texts), -np.inf)
+    for k in range(4) if len(texts) <= s.crossed else [3]:
+        held = quarter == k
+        found, offset = fitted(held)
+        doc_margin[held] = judged(found, offset)[held]
+    if len(texts) <= s.crossed:
+        found, offset = fitted(np.zeros(len(texts), bool))
     margins = np.zeros(s.buckets, np.float32)
-    margins[used] = vectors @ (soft[:, 1] - soft[:, 0])
-    model = Model(margins, float(bias[1] - bias[0]), 1.0, 0.0, s)
-    total = np.bincount(word, weights=margins[used][ids], minlength=n_words)
-    doc_margin = _largest(total[which], per_word[which].astype(float), first, s.window, model.offset)
-    use = held & np.isfinite(doc_margin)
+    margins[used] = found
+    model = Model(margins, offset, 1.0, 0.0, s)
+    use = np.isfinite(doc_margin)
     if use.any() and len(set(labels[use])) == 2:
-        model.slope, model.shift = platt(doc_margin[use], labels[use].astype(float))
+        model.slope, _ = platt(doc_margin[use], labels[use].astype(float))
+        model.shift = np.log(s.threshold / (1 - s.threshold)) - model.slope * _best_cut(doc_margin[use], labels[use])
     return model
 
 
+def _best_cut(margin: np.ndarray, label: np.ndarray) -> float:
+    """The cut, midway between two margins, above which toxic texts are told with the largest
+    F1; of equal ones the middle."""
+    order = np.argsort(margin, kind="stable")
+    ordered, toxic = margin[order], label[order] > 0
+    above = np.append(np.cumsum(toxic[::-1])[::-1], 0)  # toxic ones from each place on
+    places = np.flatnonzero(np.append(True, ordered[1:] > ordered[:-1]))
+    f1 = 2 * above[places] / (len(ordered) - places + toxic.sum())
+    best = places[np.flatnonzero(f1 >= f1.max() - 1e-12)]
+    k = int(best[len(best) // 2])
+    return float(ordered[k] if k == 0 else (ordered[k - 1] + ordered[k]) / 2)
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", label="label", settings: Settings | None = None) -> Model | None:
     """Fits texts of ``docs`` by the labels (1: toxic, 0: clean) of their ids.
 
     The sample is drawn from the labels alone; as it is bounded, it travels to the documents.
     An id counts once per label, with the text of the lowest hash where it has several.
-    Null labels, ids and texts teach nothing.  Without rows of both labels there is nothing
+    Null labels, ids and texts, and texts over 128 KB, teach nothing.  Without rows of both labels there is nothing
     to learn and the result is None.
     """
     s = settings or Settings()
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     sample = F.broadcast(bounded(marks.withColumn("h", F.xxhash64("id")), s.sample).distinct())
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= LONGEST)
     met = texts.join(sample, "id").groupBy("id", "label", "h").agg(F.min(F.struct(F.xxhash64("text").alias("place"), "text")).alias("one"))
     rows = cut([tuple(r) for r in met.select("h", "label", "one.text").collect()], s.sample)
     if len({label for _, label in rows}) < 2:

@@ -328,3 +328,18 @@ def test_textkernel_blocks():
     parts = list(textkernel.blocks(pa.array([None, "a", text, "", "b"])))
     assert [(s.start, s.stop) for s, _ in parts] == [(0, 2), (2, 3), (3, 5)]
     assert parts[1][1].part(0, 20).decode() == text.encode()[:20].decode()
+
+
+def test_toxicity_cut():
+    margin, label = np.array([-3.0, -1.0, 0.5, 1.0, 2.0]), np.array([0, 0, 1, 0, 1])
+    assert toxicity._best_cut(margin, label) == -0.25
+    assert toxicity._best_cut(np.array([1.0, 2.0]), np.array([1, 1])) == 1.0
+    assert toxicity._best_cut(np.array([0.0, 4.0]), np.array([0, 1])) == 2.0
+    # the cut scores the threshold, in a small sample too
+    words = [f"w{k}" for k in range(40)]
+    r = random.Random(3)
+    texts = [" ".join(r.choice(words) for _ in range(20)) + (" vilethug" if k % 5 == 0 else "") for k in range(120)]
+    model = toxicity.train(texts, np.array([int(k % 5 == 0) for k in range(120)]), toxicity.Settings())
+    score = model.score(textkernel.Texts.of([*texts, words[3] + " vilethugs", words[4] + " " + words[5]]))
+    hit = score >= 0.7
+    assert (hit[:120] == (np.arange(120) % 5 == 0)).mean() > 0.97 and hit[120] and not hit[121]
