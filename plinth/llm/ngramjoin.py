@@ -14,8 +14,9 @@
 5. Links are joined to components.
 
 No step lists all pairs of a group: a fragment emits at most a forest and the pairs between
-different trees that it can't settle.  A fragment with more than ``BLOCK`` segments is dealt
-out as pairs of blocks, so no task compares more than two blocks at once.
+different trees that it can't settle.  A fragment with more than ``BLOCK`` segments, or of
+more n-grams than ``BLOCK_GRAMS``, is dealt out as pairs of blocks, so no task compares more than
+two blocks at once.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ from .storage import discard, is_small, materialize, small_side, spread_join, un
 
 #: The part of the hash range that the filter looks at, against what a link may miss.
 PART = 4 / 3
-#: n-gram occurrences a fragment is to hold, and segments in a block of a large fragment.
+#: n-gram occurrences a fragment is to hold, and segments and n-grams in a block of a large
+#: fragment.
 FRAGMENT = 300_000
-BLOCK = 2_000
+BLOCK, BLOCK_GRAMS = 2_000, 8_000_000
 
 
 class Sets:
@@ -207,7 +209,7 @@ def settle(frame: pa.Table, percent: int) -> pa.Table:
     return pa.table({"x": dg[both[:, 0]], "y": dg[both[:, 1]], "sure": np.arange(len(both)) < len(pairs)})
 
 
-def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, fragment: int = FRAGMENT, block: int = BLOCK) -> DataFrame:
+def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, fragment: int = FRAGMENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Links (x, y) between the classes in ``kept`` (column dg) that span their components.
 
     ``texts`` has a column t with at least one text of each of these classes.
@@ -245,7 +247,7 @@ def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, f
     segs = materialize(segs.withColumn("seg", F.col("seg.h")), "join-segments")
     discard(spark, some)
     # large fragments are dealt out as pairs of blocks
-    counts = segs.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    counts = segs.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum(F.size("seg")) / F.lit(block_grams))).alias("blocks"))
     dealt = segs.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("dg"), F.col("blocks")).cast("int"))
     other = F.explode(F.expr("sequence(0, cast(blocks as int) - 1)"))
     dealt = dealt.withColumn("with", other).withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})

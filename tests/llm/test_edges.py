@@ -343,3 +343,26 @@ def test_toxicity_cut():
     score = model.score(textkernel.Texts.of([*texts, words[3] + " vilethugs", words[4] + " " + words[5]]))
     hit = score >= 0.7
     assert (hit[:120] == (np.arange(120) % 5 == 0)).mean() > 0.97 and hit[120] and not hit[121]
+
+
+@pytest.mark.parametrize(("block", "grams"), [(2_000, 60), (3, 8_000_000)])
+def test_ngram_join_in_small_blocks(spark, monkeypatch, block, grams):
+    monkeypatch.setitem(ngramjoin.class_links.__kwdefaults__, "block", block)
+    monkeypatch.setitem(ngramjoin.class_links.__kwdefaults__, "block_grams", grams)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        words[r.randrange(60)] = f"x{r.randrange(9)}"
+        texts.append(" ".join(words))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in ngramjoin.similar_groups(d, size=4, percent=85).collect()}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(57)} for t in texts]
+    want = list(range(40))
+    for _ in range(40):
+        for i in range(40):
+            for j in range(40):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert [got[k] for k in range(40)] == want

@@ -473,3 +473,23 @@ def test_pipeline(spark):
     bench.write.parquet(f"{folder}/benchmark.parquet")
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert kept == {k for k in range(25)} - {3}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    line = prose(5, 30)
+    rows = [(None, line, None, "s", 0, "x"), (None, line, "en", "s", 0, "x"), (3, line, "en", None, 0, "y"), (3, prose(6, 30), "en", "s", 0, "y"), (4, "", "en", "s", 0, "z"), (5, None, None, None, None, None), (6, "12 34", "en", "s", 0, "z"), (7, "word " * 50_000, "de", "s", 0, "z"), (7, "word " * 50_000, "de", "s", 0, "z")]
+    d = spark.createDataFrame(rows, DOC + ", row string")
+    spark.createDataFrame([(1, prose(8, 40)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, table in (("odd", d), ("none", d.where("false"))):
+        docs_ = table
+        for stage, apply in corpus_pipeline.STAGES:
+            docs_ = apply(spark, docs_, str(tmp_path))
+            docs_.write.parquet(f"{tmp_path}/{name}-{stage}")
+            docs_ = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            if stage != "best_fit_packing":
+                assert docs_.columns == corpus_pipeline.COLUMNS
+        ids = Counter(r["doc_id"] for r in docs_.where("piece = 0").collect())
+        # texts without a letter go, the line stays with id 3 and one of two equal rows stays
+        assert ids == (Counter({3: 2, 7: 1}) if name == "odd" else Counter())
