@@ -1,7 +1,9 @@
 """A pipeline of corpus operators over the documents table.
 
 Each stage reads all that the one before it kept, as stored, and its decisions take effect.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents; other columns are not read.  An empty
+table gives no rows in any of them.  Null and repeated ids are allowed: rows that share an id are
+told apart by their text.
 """
 
 from __future__ import annotations
@@ -33,23 +35,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that a former document has; a document that loses all its lines goes."""
+    """Takes lines out that a former document has; a document that loses all its lines goes.
+
+    Of equal lines the one of the smallest doc_id stays (null ids last).  A null text stays as it
+    is, and so does one that had no line of words before; very long texts are read in blocks.
+    """
     cleaned = linedup.dedup_lines(docs)
     return _columns(cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by the n-gram Jaccard join."""
+    """Keeps one document of each group linked by the n-gram Jaccard join.
+
+    The smallest doc_id stays (null ids last, of equal ids the smaller hash of the text), and rows
+    that repeat id and text stay once.  Texts without words, null among them, are all kept.
+    """
     return ngramjoin.keep_one(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold too much of a benchmark."""
+    """Drops documents that hold too much of a benchmark.
+
+    Null texts and texts without words hold none and stay.  Rows that repeat are judged alike.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token pieces of what is left."""
+    """Packs the token pieces of what is left.
+
+    A null or empty text is its end token alone.  Repeated rows are packed as often as they occur.
+    """
     return packing.pack(docs)
 
 
