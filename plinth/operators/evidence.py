@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import last_component
-from ..sources.contract import HEX64, Document, parsed
+from ..functions.text import is_hex64, last_component
+from .integrity import difference, require
 
 PROOF_CORPUS = "PROOF_CORPUS"
 #: What a corpus may declare itself to be.
@@ -18,7 +15,6 @@ UNKNOWN_PROOF, NOT_PROOF, CANDIDATE_PROOF = "UNKNOWN_NOT_PROOF_EVIDENCE", "NOT_P
 UNFINISHED = "sorryAx"
 MOST_EVIDENCE, MOST_OUTPUT = 64 << 10, 1 << 20
 SIDECAR = "plinth.proof-evidence-sidecar.v1"
-_SORRY = re.compile(r".+:[0-9]+:[0-9]+: warning: declaration uses `sorry`")
 
 
 def eligibility(corpus_class: Column, observed: Column, allowed: Column) -> Column:
@@ -104,115 +100,128 @@ def axiom_reports(lines: DataFrame, declarations: DataFrame) -> DataFrame:
     return declarations.select("declaration").distinct().join(per, "declaration", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
 
 
-def exact_reports(spark: SparkSession, output: bytes, declarations: list[str], *, exit_code: int, expected_sha256: str | None) -> DataFrame:
-    """declaration, axioms: one report for each expected declaration of a pinned output.
+#: Codes of outputs and evidence that may not be read on.
+EXECUTION, UNPINNED, MISMATCH = "LEAN_EXECUTION_FAILED", "UNPINNED_STDOUT", "LEAN_STDOUT_DIGEST_MISMATCH"
+INCOMPLETE, UNPINNED_SIDECAR, SIDECAR_MISMATCH, TOO_LARGE = "INCOMPLETE_EVIDENCE", "UNPINNED_EVIDENCE", "SIDECAR_DIGEST_MISMATCH", "EVIDENCE_TOO_LARGE"
+_SORRY = r"^.+:[0-9]+:[0-9]+: warning: declaration uses `sorry`$"
+_REPORT = r"(?s)^'(.+)' ((?:depends on axioms: \[.*\]|does not depend on any axioms))$"
+
+
+def _broken(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """key, rule of each rule (name: what breaks it) that a row breaks; an unknown breaks it."""
+    marks = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]))
+    return rows.select(key, F.explode(marks).alias("rule"))
+
+
+def output_lines(outputs: DataFrame) -> DataFrame:
+    """output_id, place, line, declaration, axioms of outputs (output_id, content binary).
 
-    Other lines than reports and the one known warning, missing, doubled or malformed reports
-    and an output that is not what was pinned raise.
+    ``declaration`` is null where the line is no report, ``axioms`` where the report is
+    malformed.  Known warnings have the declaration null and ``warning`` true.
     """
-    if exit_code != 0:
-        raise ValueError("EXECUTION_FAILED: nonzero exit")
-    if expected_sha256 is None or not HEX64.fullmatch(expected_sha256):
-        raise ValueError("UNPINNED_STDOUT: no digest to hold the output against")
-    if not 0 < len(output) <= MOST_OUTPUT:
-        raise ValueError("the output is empty or too long")
-    if hashlib.sha256(output).hexdigest() != expected_sha256:
-        raise ValueError("STDOUT_DIGEST_MISMATCH")
-    if not declarations or len(set(declarations)) != len(declarations) or any(not d or set(d) & set("\n\r\0") for d in declarations):
-        raise ValueError("expected declarations must be different names")
-    try:
-        text = output.decode()
-    except UnicodeDecodeError as e:
-        raise ValueError("the output is no UTF-8") from e
-    if not text.endswith("\n") or set(text) & set("\r\0"):
-        raise ValueError("the output is malformed")
-    lines = text.removesuffix("\n").split("\n")
-    warned = sum(1 for x in lines if _SORRY.fullmatch(x))
-    # bounded by the output's size
-    asked = spark.createDataFrame([(d,) for d in declarations], "declaration string")
-    told = spark.createDataFrame([(k, x) for k, x in enumerate(lines) if not _SORRY.fullmatch(x)], "n int, line string")
-    met = told.join(F.broadcast(asked), report_details(F.col("line"), F.col("declaration")).isNotNull(), "left")
-    per_line = met.groupBy("n").agg(F.count("declaration").alias("c"), F.first("line").alias("line"))
-    if (row := per_line.where("c != 1").first()) is not None:
-        raise ValueError(f"unrequested or ambiguous line: {row['line']}")
-    details = report_details(F.col("line"), F.col("declaration"))
-    reports = met.select("declaration", details.alias("details"), report_axioms(details).alias("axioms"))
-    counts = asked.join(reports, "declaration", "left").groupBy("declaration").agg(F.count("details").alias("c"), F.count("axioms").alias("good"))
-    if (row := counts.where("c != 1 or good != 1").first()) is not None:
-        raise ValueError(f"{row['c']} reports for {row['declaration']}, {row['good']} well-formed")
-    if warned and reports.where(F.exists("axioms", lambda a: a.contains(UNFINISHED))).isEmpty():
-        raise ValueError("a warning that no report explains")
-    return reports.select("declaration", "axioms")
-
-
-def bound_evidence(spark: SparkSession, artifact, sidecar: bytes | None, transcript: bytes | None, expected_sha256: str | None) -> str:
-    """Eligibility by a detached report that is pinned by digest to artifact, declaration and
-    transcript.  Without a sidecar it is unknown; anything incomplete or incoherent raises."""
-    if sidecar is None:
-        if transcript is not None or expected_sha256 is not None:
-            raise ValueError("INCOMPLETE_EVIDENCE: no sidecar")
-        return UNKNOWN_PROOF
-    if transcript is None:
-        raise ValueError("INCOMPLETE_EVIDENCE: no transcript")
-    if expected_sha256 is None or not HEX64.fullmatch(expected_sha256):
-        raise ValueError("UNPINNED_EVIDENCE: no digest of the sidecar")
-    for name, data in (("sidecar", sidecar), ("transcript", transcript)):
-        if len(data) > MOST_EVIDENCE:
-            raise ValueError(f"EVIDENCE_TOO_LARGE: {name} exceeds {MOST_EVIDENCE} bytes")
-    if hashlib.sha256(sidecar).hexdigest() != expected_sha256:
-        raise ValueError("SIDECAR_DIGEST_MISMATCH")
-    root = parsed(sidecar, "sidecar", ValueError).exactly("schema", "artifact", "corpus_class", "declaration", "lean_audit")
-    root.among("schema", [SIDECAR])
-    declaration, klass = root.text("declaration"), root.among("corpus_class", CORPUS_CLASSES)
-    source = root.inner("artifact").exactly("identity", "source_revision")
-    audit = root.inner("lean_audit").exactly("toolchain", "command", "transcript_sha256", "observed_axioms", "allowed_axioms")
-    audit.text("toolchain")
-    if audit.text("command") != f"#print axioms {declaration}":
-        raise ValueError("the audit's command is of another declaration")
-    if audit.text("transcript_sha256", HEX64) != hashlib.sha256(transcript).hexdigest():
-        raise ValueError("the transcript differs from its digest")
-    observed, allowed = (_names(audit, x) for x in ("observed_axioms", "allowed_axioms"))
-    found = exact_reports(spark, transcript, [declaration], exit_code=0, expected_sha256=audit.value["transcript_sha256"]).first()
-    if transcript.count(b"\n") != 1 or observed != list(found["axioms"]):
-        raise ValueError("the audit's axioms are not the transcript's")
-    if source.text("identity") != artifact.identity or source.text("source_revision") != artifact.revision:
-        raise ValueError("the evidence is of another artifact")
-    if artifact.nodes.where(F.col("full_name") == declaration).isEmpty():
-        raise ValueError("the artifact lacks the declaration")
-    return eligible(klass, observed, allowed)
-
-
-def _names(d: Document, name: str) -> list[str]:
-    value = d.value.get(name)
-    if not isinstance(value, list) or any(not isinstance(x, str) or not x or x.strip() != x for x in value) or len(set(value)) != len(value):
-        raise ValueError(f"{name} must be different names")
-    return value
-
-
-def consume_witness(spark: SparkSession, files: dict[str, bytes], expected: dict, declarations: dict[str, str]) -> dict[str, str]:
-    """Verdicts of a recorded run.
-
-    ``files``: receipt.json, stdout.txt and stderr.txt.  ``expected``: what the receipt must
-    say in source, run and execution, from elsewhere than the receipt.  ``declarations``: the
-    verdict that each must get; any other raises.
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"\n\z", "")
+    lines = outputs.select("output_id", F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    name, details = (F.regexp_extract("line", _REPORT, k) for k in (1, 2))
+    told = lines.withColumn("warning", F.col("line").rlike(_SORRY)).withColumn("declaration", F.when(~F.col("warning") & (name != ""), name))
+    return told.withColumn("axioms", F.when(F.col("declaration").isNotNull(), report_axioms(details)))
+
+
+def report_violations(outputs: DataFrame, expected: DataFrame) -> DataFrame:
+    """output_id, rule, key of whatever keeps outputs from being exact reports.
+
+    ``outputs``: output_id, content, exit_code, expected_sha256.  ``expected``: output_id,
+    declaration.  An output is sound if its run ended well, it is what was pinned, and its lines
+    are one well-formed report of each expected declaration and known warnings that a report
+    explains.  Any number of outputs are checked at once, by keys; an output of more than 1 MB is
+    only told to be too long.
+    """
+    content, size = F.col("content"), F.octet_length("content")
+    of_output = _broken(outputs, "output_id", {
+        EXECUTION: F.col("exit_code") != 0,
+        UNPINNED: ~is_hex64(F.col("expected_sha256")),
+        MISMATCH: F.sha2(content, 256) != F.col("expected_sha256"),
+        "output is empty or too long": (size < 1) | (size > MOST_OUTPUT),
+        "output is no text of whole lines": ~F.is_valid_utf8(content.cast("string")) | content.cast("string").rlike(r"[\r\x00]") | ~F.endswith(content.cast("string"), F.lit("\n")),
+    })
+    readable = outputs.where((size <= MOST_OUTPUT) & F.is_valid_utf8(content.cast("string")))
+    lines = output_lines(readable)
+    keys = ["output_id", "declaration"]
+    asked = expected.groupBy(*keys).agg(F.count("*").alias("n"))
+    named = F.col("declaration")
+    row = lambda df, rule, key: df.select("output_id", F.lit(rule).alias("rule"), key.alias("key"))
+    stray = lines.where("not warning").join(asked.select(*keys), keys, "left_anti")
+    reports = lines.where("declaration is not null").groupBy(*keys).agg(F.count("*").alias("lines"), F.count("axioms").alias("good"))
+    told = asked.join(reports, keys, "left").where("not (lines <=> 1 and good <=> 1)")
+    unfinished = lines.groupBy("output_id").agg(F.bool_or("warning").alias("warned"), F.coalesce(F.bool_or(F.exists("axioms", lambda a: F.contains(a, F.lit(UNFINISHED)))), F.lit(False)).alias("explained"))
+    return (
+        of_output.select("output_id", "rule", F.lit(None).cast("string").alias("key"))
+        .unionAll(row(outputs.join(expected, "output_id", "left_anti"), "nothing is expected", F.lit(None).cast("string")))
+        .unionAll(row(asked.where((F.col("n") > 1) | named.isNull() | ~named.rlike(r"^[^\n\r\x00]+$")), "expected names are malformed", named))
+        .unionAll(row(stray, "line is no expected report", F.col("line")))
+        .unionAll(row(told, "not one well-formed report", named))
+        .unionAll(row(unfinished.where("warned and not explained"), "warning without a report", F.lit(None).cast("string")))
+    )
+
+
+def exact_reports(outputs: DataFrame, expected: DataFrame) -> DataFrame:
+    """output_id, declaration, axioms: one report of each expected declaration.  Raises where
+    :func:`report_violations` has a row."""
+    require(report_violations(outputs, expected).select("rule", F.coalesce("key", F.col("output_id").cast("string")).alias("key")), "UNUSABLE_REPORT")
+    return output_lines(outputs).where("declaration is not null").select("output_id", "declaration", "axioms")
+
+
+#: The fields of a detached report.
+_SIDECAR = "struct<schema:string,artifact:struct<identity:string,source_revision:string>,corpus_class:string,declaration:string,lean_audit:struct<toolchain:string,command:string,transcript_sha256:string,observed_axioms:array<string>,allowed_axioms:array<string>>>"
+_FIELDS = {"$": ["schema", "artifact", "corpus_class", "declaration", "lean_audit"], "$.artifact": ["identity", "source_revision"], "$.lean_audit": ["toolchain", "command", "transcript_sha256", "observed_axioms", "allowed_axioms"]}
+
+
+def bound_evidence(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
+    """evidence_id, eligibility, broken of detached reports that are pinned by digest.
+
+    ``evidence``: evidence_id, sidecar and transcript (binary), expected_sha256, and identity and
+    revision of the artifact that they must be of.  ``nodes`` has the artifacts' identity and
+    full_name.  Rows with neither of the three are of unknown eligibility; all others are judged
+    if they break no rule, else ``broken`` has the rules in order of their names and eligibility
+    is null.
     """
-    receipt = parsed(files["receipt.json"], "witness", ValueError).exactly("schema", "source", "run", "execution")
-    for section, want in expected.items():
-        have = receipt.inner(section)
-        for name, value in want.items():
-            if have.value.get(name) != value:
-                raise ValueError(f"the witness differs in {section}.{name}")
-    execution = receipt.inner("execution")
-    for name, data in (("stdout_sha256", files["stdout.txt"]), ("stderr_sha256", files["stderr.txt"])):
-        if execution.text(name, HEX64) != hashlib.sha256(data).hexdigest():
-            raise ValueError(f"the witness differs in {name}")
-    if files["stderr.txt"]:
-        raise ValueError("the run wrote errors")
-    reports = exact_reports(spark, files["stdout.txt"], list(declarations), exit_code=execution.whole("exit_code"), expected_sha256=execution.value["stdout_sha256"])
-    verdicts = {r["declaration"]: eligible(PROOF_CORPUS, list(r["axioms"])) for r in reports.collect()}
-    if verdicts != declarations:
-        raise ValueError(f"verdicts are {verdicts}")
-    return verdicts
+    body = F.decode("sidecar", "UTF-8")
+    rows = evidence.withColumns({"body": body, "doc": F.from_json(body, _SIDECAR)})
+    exactly = F.lit(True)
+    for path, fields in _FIELDS.items():
+        inner = F.col("body") if path == "$" else F.get_json_object("body", path)
+        exactly = exactly & (F.array_sort(F.json_object_keys(inner)) == F.array(*[F.lit(f) for f in sorted(fields)]))
+    d, audit = F.col("doc"), F.col("doc.lean_audit")
+    text = F.decode("transcript", "UTF-8")
+    name, details = (F.regexp_extract(F.regexp_replace(text, r"\n\z", ""), _REPORT, k) for k in (1, 2))
+    names = lambda c: (F.size(F.array_distinct(c)) == F.size(c)) & ~F.exists(c, lambda x: x.isNull() | (x == "") | (F.trim(x) != x))
+    given = [F.col(c).isNotNull() for c in ("sidecar", "transcript", "expected_sha256")]
+    asked, whole = given[0] | given[1] | given[2], given[0] & given[1]
+    known = nodes.select(F.col("identity"), F.col("full_name").alias("declaration"), F.lit(True).alias("held")).distinct()
+    met = rows.withColumn("declaration", d["declaration"]).join(known, ["identity", "declaration"], "left")
+    # what follows from a missing part is not told again
+    rules = {
+        INCOMPLETE: ~whole,
+        UNPINNED_SIDECAR: whole & ~is_hex64(F.coalesce("expected_sha256", F.lit(""))),
+        SIDECAR_MISMATCH: whole & ~F.sha2("sidecar", 256).eqNullSafe(F.col("expected_sha256")),
+        TOO_LARGE: whole & ((F.octet_length("sidecar") > MOST_EVIDENCE) | (F.octet_length("transcript") > MOST_EVIDENCE)),
+        "sidecar is malformed": whole & ~F.coalesce(exactly & F.try_parse_json("body").isNotNull() & (d["schema"] == SIDECAR) & d["corpus_class"].isin(CORPUS_CLASSES) & (audit["toolchain"] != "") & names(audit["observed_axioms"]) & names(audit["allowed_axioms"]), F.lit(False)),
+        "audit is of another command": whole & ~(audit["command"].eqNullSafe(F.concat(F.lit("#print axioms "), d["declaration"]))),
+        "transcript differs from its digest": whole & ~audit["transcript_sha256"].eqNullSafe(F.sha2("transcript", 256)),
+        "transcript is no report of these axioms": whole & ~F.coalesce((name == d["declaration"]) & F.endswith(text, F.lit("\n")) & ~text.rlike(r"(?s)\n.*\n|[\r\x00]") & (report_axioms(details) == audit["observed_axioms"]), F.lit(False)),
+        "evidence is of another artifact": whole & ~(d["artifact"]["identity"].eqNullSafe(F.col("identity")) & d["artifact"]["source_revision"].eqNullSafe(F.col("revision"))),
+        "artifact lacks the declaration": whole & F.col("held").isNull(),
+    }
+    marks = F.array_sort(F.array_compact(F.array(*[F.when(asked & bad, F.lit(rule)) for rule, bad in rules.items()])))
+    judged = met.withColumn("broken", marks)
+    verdict = F.when(~asked, UNKNOWN_PROOF).when(F.size("broken") == 0, eligibility(d["corpus_class"], audit["observed_axioms"], audit["allowed_axioms"]))
+    return judged.select("evidence_id", verdict.alias("eligibility"), "broken")
+
+
+def verdict_differences(reports: DataFrame, expected: DataFrame) -> DataFrame:
+    """Rows (output_id, declaration, verdict, side) by which the verdicts of exact reports on a
+    proof corpus differ from the expected ones."""
+    verdict = eligibility(F.lit(PROOF_CORPUS), F.col("axioms"), F.array().cast("array<string>"))
+    return difference(reports.select("output_id", "declaration", verdict.alias("verdict")), expected.select("output_id", "declaration", "verdict"))
 
 
 # ---------------------------------------------------------------- probes

@@ -524,46 +524,66 @@ def test_listed_files_alone_are_read(spark, tmp_path):
 # ---------------------------------------------------------------- evidence
 
 
+OUTPUTS, ASKED = "output_id int, content binary, exit_code int, expected_sha256 string", "output_id int, declaration string"
+
+
 def test_axiom_reports_of_primed_names(spark):
     lines = ["'T.next'' depends on axioms: [propext, sorryAx]", "'T.next' does not depend on any axioms", "a.lean:1:2: warning: declaration uses `sorry`"]
     out = ("\n".join(lines) + "\n").encode()
-    pin = lambda b: {"exit_code": 0, "expected_sha256": hashlib.sha256(b).hexdigest()}
-    got = {r["declaration"]: list(r["axioms"]) for r in evidence.exact_reports(spark, out, ["T.next'", "T.next"], **pin(out)).collect()}
-    assert got == {"T.next'": ["propext", "sorryAx"], "T.next": []}
     told = evidence.axiom_reports(spark.createDataFrame([(x,) for x in lines], "line string"), spark.createDataFrame([("T.next'",), ("T.next",), ("gone",)], "declaration string"))
     assert {r["declaration"]: r["n_lines"] for r in told.collect()} == {"T.next'": 1, "T.next": 1, "gone": 0}
-    for bad, names in ((out + out, ["T.next'", "T.next"]), (out, ["T.next"]), (out, ["T.next'", "T.next", "gone"]), (b"'a' depends on axioms: []\n", ["a"]), (b"'a' depends on axioms: [x, x]\n", ["a"]), (b"hello\n", ["a"]), (b"'a' does not depend on any axioms", ["a"]), (("\n".join(lines[1:]) + "\n").encode(), ["T.next"])):
-        with pytest.raises(ValueError):
-            evidence.exact_reports(spark, bad, names, **pin(bad))
-    for pins in ({"exit_code": 1, "expected_sha256": HASH}, {"exit_code": 0, "expected_sha256": None}, {"exit_code": 0, "expected_sha256": HASH}):
-        with pytest.raises(ValueError):
-            evidence.exact_reports(spark, out, ["T.next'", "T.next"], **pins)
-    run_ = {"schema": "w", "source": {"commit": COMMIT}, "run": {"id": "1"}, "execution": {"exit_code": 0, "stdout_sha256": hashlib.sha256(out).hexdigest(), "stderr_sha256": hashlib.sha256(b"").hexdigest()}}
-    files = {"receipt.json": json.dumps(run_).encode(), "stdout.txt": out, "stderr.txt": b""}
-    want = {"T.next'": evidence.NOT_PROOF, "T.next": evidence.CANDIDATE_PROOF}
-    assert evidence.consume_witness(spark, files, {"source": {"commit": COMMIT}}, want) == want
-    for expected, verdicts in (({"source": {"commit": TOOL}}, want), ({}, {**want, "T.next": evidence.NOT_PROOF})):
-        with pytest.raises(ValueError):
-            evidence.consume_witness(spark, files, expected, verdicts)
-
-
-def test_bound_evidence(spark, made):
-    loaded = artifact.load_artifact(spark, f"file://{made}/artifact")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    both = ["T.next'", "T.next"]
+    # output, exit code, digest, what is expected, rules that are broken
+    cases = [
+        (out, 0, sha(out), both, []), (out + out, 0, sha(out + out), both, ["not one well-formed report"] * 2), (out, 0, sha(out), ["T.next"], ["line is no expected report"]), (out, 0, sha(out), [*both, "gone"], ["not one well-formed report"]),
+        (out, 1, HASH, both, [evidence.EXECUTION, evidence.MISMATCH]), (out, 0, None, both, [evidence.MISMATCH, evidence.UNPINNED]), (out, 0, sha(out), [], ["line is no expected report"] * 2 + ["nothing is expected"]), (out, 0, sha(out), [*both, "T.next"], ["expected names are malformed"]),
+    ]
+    texts = {b"'a' depends on axioms: []\n": "not one well-formed report", b"'a' depends on axioms: [x, x]\n": "not one well-formed report", b"'a' does not depend on any axioms": "output is no text of whole lines"}
+    cases += [(b, 0, sha(b), ["a"], [rule]) for b, rule in texts.items()]
+    cases += [(b, 0, sha(b), ["a"], ["line is no expected report", "not one well-formed report"]) for b in (b"hello\n", b"'b' does not depend on any axioms\n")]
+    cases += [(b"\xff\n", 0, sha(b"\xff\n"), ["a"], ["not one well-formed report", "output is no text of whole lines"]), (b"", 0, sha(b""), ["a"], ["line is no expected report", "not one well-formed report", "output is empty or too long", "output is no text of whole lines"])]
+    late = ("\n".join(lines[1:]) + "\n").encode()
+    cases.append((late, 0, sha(late), ["T.next"], ["warning without a report"]))
+    outputs = spark.createDataFrame([(k, bytearray(c[0]), c[1], c[2]) for k, c in enumerate(cases)], OUTPUTS)
+    asked = spark.createDataFrame([(k, n) for k, c in enumerate(cases) for n in c[3]], ASKED)
+    found = {k: [] for k in range(len(cases))}
+    for r in evidence.report_violations(outputs, asked).collect():
+        found[r["output_id"]].append(r["rule"])
+    for k, c in enumerate(cases):
+        assert sorted(found[k]) == sorted(c[4]), (k, c[0])
+    with pytest.raises(PlinthError, match="LEAN_EXECUTION_FAILED"):
+        evidence.exact_reports(outputs, asked)
+    reports = evidence.exact_reports(outputs.where("output_id = 0"), asked.where("output_id = 0"))
+    assert {r["declaration"]: list(r["axioms"]) for r in reports.collect()} == {"T.next'": ["propext", "sorryAx"], "T.next": []}
+    want = [(0, "T.next'", evidence.NOT_PROOF), (0, "T.next", evidence.CANDIDATE_PROOF)]
+    differs = lambda rows: evidence.verdict_differences(reports, spark.createDataFrame(rows, ASKED + ", verdict string")).count()
+    assert differs(want) == 0 and differs(want[:1]) == 1 and differs([want[0], (0, "T.next", evidence.NOT_PROOF)]) == 2
+
+
+def test_bound_evidence(spark):
     transcript = b"'Z.A.one' depends on axioms: [propext]\n"
-    body = {"schema": evidence.SIDECAR, "artifact": {"identity": loaded.identity, "source_revision": loaded.revision}, "corpus_class": "PROOF_CORPUS", "declaration": "Z.A.one", "lean_audit": {"toolchain": "l", "command": "#print axioms Z.A.one", "transcript_sha256": hashlib.sha256(transcript).hexdigest(), "observed_axioms": ["propext"], "allowed_axioms": ["propext"]}}
+    body = {"schema": evidence.SIDECAR, "artifact": {"identity": "i1", "source_revision": "r1"}, "corpus_class": "PROOF_CORPUS", "declaration": "Z.A.one", "lean_audit": {"toolchain": "l", "command": "#print axioms Z.A.one", "transcript_sha256": hashlib.sha256(transcript).hexdigest(), "observed_axioms": ["propext"], "allowed_axioms": ["propext"]}}
 
-    def verdict(change=None, audit=None, transcript=transcript):
+    def told(change=None, audit=None, transcript=transcript, pin=None):
         data = json.dumps({**body, **(change or {}), "lean_audit": {**body["lean_audit"], **(audit or {})}}).encode()
-        return evidence.bound_evidence(spark, loaded, data, transcript, hashlib.sha256(data).hexdigest())
-
-    assert verdict() == evidence.CANDIDATE_PROOF and verdict(audit={"allowed_axioms": []}) == evidence.NOT_PROOF and verdict({"corpus_class": "STATEMENT_CORPUS"}) == evidence.NOT_PROOF
-    assert evidence.bound_evidence(spark, loaded, None, None, None) == evidence.UNKNOWN_PROOF
-    for change, audit in (({"artifact": {"identity": HASH, "source_revision": loaded.revision}}, None), ({"schema": "x"}, None), ({"corpus_class": "x"}, None), (None, {"command": "x"}), (None, {"observed_axioms": []}), (None, {"transcript_sha256": HASH}), ({"declaration": "Z.A.two"}, None)):
-        with pytest.raises(ValueError):
-            verdict(change, audit)
-    for args in ((None, transcript, None), (b"{}", None, HASH), (b"{}", transcript, None), (b"{}", transcript, HASH), (b" " * 70_000, transcript, HASH)):
-        with pytest.raises(ValueError):
-            evidence.bound_evidence(spark, loaded, *args)
+        return bytearray(data), transcript and bytearray(transcript), pin or hashlib.sha256(data).hexdigest()
+
+    twice = b'{"schema": 1, ' + json.dumps(body).encode()[1:]
+    two = {"declaration": "Z.A.two"}
+    cases = [
+        (told(), evidence.CANDIDATE_PROOF, []), (told(audit={"allowed_axioms": []}), evidence.NOT_PROOF, []), (told({"corpus_class": "STATEMENT_CORPUS"}), evidence.NOT_PROOF, []), ((None, None, None), evidence.UNKNOWN_PROOF, []),
+        (told({"artifact": {"identity": HASH, "source_revision": "r1"}}), None, ["evidence is of another artifact"]), (told({"schema": "x"}), None, ["sidecar is malformed"]), (told({"corpus_class": "x"}), None, ["sidecar is malformed"]), (told({"more": 1}), None, ["sidecar is malformed"]),
+        (told(audit={"command": "x"}), None, ["audit is of another command"]), (told(audit={"observed_axioms": []}), None, ["transcript is no report of these axioms"]), (told(audit={"transcript_sha256": HASH}), None, ["transcript differs from its digest"]),
+        (told(two), None, ["artifact lacks the declaration", "audit is of another command", "transcript is no report of these axioms"]), ((bytearray(twice), bytearray(transcript), hashlib.sha256(twice).hexdigest()), None, ["sidecar is malformed"]),
+        ((None, bytearray(transcript), None), None, [evidence.INCOMPLETE]), ((None, None, HASH), None, [evidence.INCOMPLETE]), (told(pin=HASH), None, [evidence.SIDECAR_MISMATCH]), ((*told()[:2], None), None, [evidence.SIDECAR_MISMATCH, evidence.UNPINNED_SIDECAR]),
+        (told({"declaration": "Z.A.one" + " " * 70_000}), None, [evidence.TOO_LARGE, "artifact lacks the declaration", "audit is of another command", "transcript is no report of these axioms"]),
+    ]
+    rows = spark.createDataFrame([(k, *c[0], "i1", "r1") for k, c in enumerate(cases)], "evidence_id int, sidecar binary, transcript binary, expected_sha256 string, identity string, revision string")
+    nodes = spark.createDataFrame([("i1", "Z.A.one"), ("i1", "Z.A.one"), ("i2", "Z.A.two")], "identity string, full_name string")
+    got = {r["evidence_id"]: (r["eligibility"], list(r["broken"])) for r in evidence.bound_evidence(rows, nodes).collect()}
+    for k, (_, verdict, broken) in enumerate(cases):
+        assert got[k] == (verdict, sorted(broken)), (k, got[k])
 
 
 def test_replay_claims():
