@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..scratch import store
 
 
-def row_digests(df: DataFrame, *columns: str) -> DataFrame:
-    """A digest per row over the named columns; nulls differ from empty texts."""
+def row_digests(df: DataFrame, *columns: str, keep: str | None = None) -> DataFrame:
+    """A digest per row over the named columns (with the column ``keep`` as it is); nulls differ
+    from empty texts."""
     cells = [F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in (columns or sorted(df.columns))]
-    return df.select(F.sha2(F.concat_ws("\x1f", *cells), 256).alias("digest"))
+    return df.select(*([keep] if keep else []), F.sha2(F.concat_ws("\x1f", *cells), 256).alias("digest"))
 
 
 #: Rows that a bucket is to hold, and buckets that are joined to one in a step.

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import binding, chunking, context, evidence, federation, fingerprint, generations, graph, integrity, normalize, resolve, search
+from ..operators.fingertree import FingerTree
+from ..operators.fingertree import build as build_tree
 from ..operators.termindex import TermIndex
 from ..operators.termindex import build as build_terms
 from ..sources import adjacency
@@ -514,6 +516,22 @@ def relation_fingerprint(spark, d):
     return fingerprint.fingerprint(frame(spark, d, fx.EDGES))
 
 
+_BOUNDS = ["lean:Geo.", "lean:Item.Part.P3", "lean:Item.Part.P6", "lean:Party.Customer.", "lean:Party.Customer.C5", "lean:Party.Supplier.", "lean:Sales.", "lean:Sales.Order.O2", "lean:Sales.Order.O5"]
+_RANGE = "CAST(" + " + ".join(f"CAST({{0}} >= '{b}' AS INT)" for b in _BOUNDS) + " AS INT)"
+
+
+@query(f"""WITH a AS (SELECT {_RANGE.format('source_id')} AS node, source_id, target_id, relation FROM {_E}), b AS (SELECT node, source_id, CASE WHEN source_id LIKE 'lean:Party.Supplier.%' AND target_id LIKE '%N3' THEN target_id || '0' ELSE target_id END AS target_id, relation FROM a WHERE source_id NOT LIKE 'lean:Sales.Order.O3%1'),
+d AS (SELECT DISTINCT node FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)))
+SELECT node, (SELECT count(*) FROM a WHERE a.node = d.node) AS rows, (SELECT count(*) FROM b WHERE b.node = d.node) AS other_rows FROM d""")
+def fingerprint_drift(spark, d):
+    """Ranges of edges that differ between two states of the relation, by their trees."""
+    edges = frame(spark, d, fx.EDGES).select("source_id", "target_id", "relation")
+    moved = F.when(F.col("source_id").like("lean:Party.Supplier.%") & F.col("target_id").like("%N3"), F.concat("target_id", F.lit("0"))).otherwise(F.col("target_id"))
+    other = edges.withColumn("target_id", moved).where("source_id not like 'lean:Sales.Order.O3%1'")
+    trees = [FingerTree(spark, fx.kept(spark, d, f"tree {k}", lambda path, rows=rows: build_tree(rows, "source_id", path, bounds=_BOUNDS, fan=3) and None)) for k, rows in enumerate((edges, other))]
+    return trees[0].drift(trees[1]).select("node", "rows", "other_rows")
+
+
 _S = f"(SELECT id, source_start_line, source_end_line - (source_start_line % 3) AS source_end_line, text, CASE WHEN source_start_line % 4 = 1 THEN sha256(text) ELSE 'x' END AS content_sha256 FROM {_C})"
 
 

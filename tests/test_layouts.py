@@ -203,3 +203,33 @@ def test_stages_of_a_generation_recover(spark, tmp_path):
         assert store.active() is None
         store.activate("g", None)
         assert store.active() == "g" and not store.try_activate("g", None)
+
+
+# ---------------------------------------------------------------- fingerprint tree
+
+
+def test_drift_names_its_range(spark, tmp_path):
+    from plinth.operators import fingertree
+
+    rows = [(f"k{k:04}", k % 7, None if k % 5 else "x") for k in range(900)] + [(None, 1, "null key"), ("k0003", 3, "twice"), ("k0003", 3, "twice")]
+    df = spark.createDataFrame(rows, "id string, n int, t string")
+    tree = fingertree.build(df, "id", f"file://{tmp_path}/a", range_rows=40, fan=4)
+    assert len(tree.meta["bounds"]) > 15 and tree.levels >= 4
+    same = fingertree.build(df.repartition(7), "id", f"file://{tmp_path}/b", bounds=tree.meta["bounds"], fan=4)
+    assert tree.root == same.root and tree.drift(same).count() == 0
+    for change in (df.where("not id <=> 'k0500'"), df.withColumn("n", F.when(F.col("id") == "k0500", -1).otherwise(F.col("n"))), df.unionAll(df.where("id = 'k0500'"))):
+        other = fingertree.build(change, "id", f"file://{tmp_path}/c{change.count()}-{hash(change)}", bounds=tree.meta["bounds"], fan=4)
+        found = tree.drift(other).collect()
+        assert len(found) == 1 and found[0]["low"] <= "k0500" < found[0]["high"]
+        # one path is compared: of each level the children of one node
+        assert found[0]["rows"] == tree.within(df, [found[0]["node"]]).count()
+        read = other.update(df, spark.createDataFrame([("k0500",)], "id string"))
+        assert read == [found[0]["node"]] and other.root == tree.root and fingertree.FingerTree(spark, other.folder).root == tree.root
+    nulls = fingertree.build(df.where("id is not null"), "id", f"file://{tmp_path}/d", bounds=tree.meta["bounds"], fan=4)
+    assert [r["node"] for r in tree.drift(nulls).collect()] == [0]
+    nulls.update(df, spark.createDataFrame([(None,)], "id string"))
+    assert nulls.root == tree.root
+    with pytest.raises(Exception, match="ranges"):
+        tree.drift(fingertree.build(df, "id", f"file://{tmp_path}/e", bounds=["k"]))
+    none = fingertree.build(df.where("false"), "id", f"file://{tmp_path}/f")
+    assert none.root == "" and none.drift(fingertree.build(df.where("false"), "id", f"file://{tmp_path}/g")).count() == 0
