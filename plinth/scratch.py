@@ -59,19 +59,22 @@ def _sweep() -> None:
         delete(spark, path)
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file as text; None if there is none.  Read through its file system, without a
-    job."""
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, read through its file system, without a job."""
     target, system = hadoop(spark, path)
-    if not system.exists(target):
-        return None
     stream = system.open(target)
     try:
-        return bytes(stream.readAllBytes()).decode()
+        return bytes(stream.readAllBytes())
     finally:
         stream.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text; None if there is none."""
+    target, system = hadoop(spark, path)
+    return read_bytes(spark, path).decode() if system.exists(target) else None
+
+
 def write_text(spark: SparkSession, path: str, text: str, *, replace: bool = False) -> None:
     target, system = hadoop(spark, path)
     out = system.create(target, replace)

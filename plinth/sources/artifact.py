@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,7 @@ from ..operators.normalize import normalize
 from ..schemas import EDGE_KEY, EDGES, NODES, SOURCES
 from ..scratch import delete, hadoop, read_text, write_text
 from .contract import HEX64, Document, canonical_line, parsed
+from .linesink import write_lines
 from .publish import publish
 from .readers import read_raw_graph, read_rows
 
@@ -178,22 +178,11 @@ def _canonical_form(df: DataFrame, name: str, schema: str) -> DataFrame:
     return df.withColumnRenamed(REVISION[schema], "source_revision").select(*SCHEMAS[name].names)
 
 
-def canonical_lines(df: DataFrame, name: str, schema: str) -> DataFrame:
-    """Column line: rows as canonical JSON, in the member's order."""
+def write_member(df: DataFrame, name: str, schema: str, folder: str) -> list[dict]:
+    """Writes a member as canonical JSON lines in its order and returns the list of parts."""
     stored = _stored_form(df.select(*SCHEMAS[name].names), name, schema)
-    keys = sorted(stored.columns)
-    return stored.orderBy(*ORDER[name]).select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("line"))
-
-
-def write_lines(df: DataFrame, name: str, schema: str, file) -> str:
-    """Writes a member as JSON lines to an open file and returns the hash of its bytes.  Rows
-    come to the driver part by part."""
-    sha = hashlib.sha256()
-    for row in canonical_lines(df, name, schema).toLocalIterator(prefetchPartitions=True):
-        data = (row["line"] + "\n").encode()
-        sha.update(data)
-        file.write(data)
-    return sha.hexdigest()
+    line = F.to_json(F.struct(*sorted(stored.columns)), {"ignoreNullFields": "false"})
+    return write_lines(stored, line, ORDER[name], folder)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -322,16 +311,8 @@ def _same(a: DataFrame, b: DataFrame, columns: list[str], what: str) -> None:
         raise _blocked(what)
 
 
-def package_members(spark: SparkSession, folder: str) -> Iterator[tuple[str, bytes]]:
-    """Name and bytes of each file of an artifact as a package holds it."""
-    import io
-
-    loaded = load_artifact(spark, folder)
-    for name in member_names(loaded.manifest):
-        if name.endswith(".jsonl"):
-            relation = name.removesuffix(".jsonl")
-            file = io.BytesIO()
-            write_lines(getattr(loaded, relation), relation, loaded.schema, file)
-            yield name, file.getvalue()
-        else:
-            yield name, read_text(spark, f"{folder}/{name}").encode()
+def export_lines(loaded: Artifact, target: str) -> dict[str, list[dict]]:
+    """Writes the relations of an artifact as folders of JSON lines, ``nodes.jsonl`` and so on,
+    and returns their parts by name.  A loader reads such folders as it reads files."""
+    names = [n.removesuffix(".jsonl") for n in member_names(loaded.manifest) if n.endswith(".jsonl")]
+    return {f"{n}.jsonl": write_member(getattr(loaded, n), n, loaded.schema, f"{target.rstrip('/')}/{n}.jsonl") for n in names}

@@ -233,3 +233,47 @@ def test_drift_names_its_range(spark, tmp_path):
         tree.drift(fingertree.build(df, "id", f"file://{tmp_path}/e", bounds=["k"]))
     none = fingertree.build(df.where("false"), "id", f"file://{tmp_path}/f")
     assert none.root == "" and none.drift(fingertree.build(df.where("false"), "id", f"file://{tmp_path}/g")).count() == 0
+
+
+# ---------------------------------------------------------------- ordered sink
+
+
+def test_lines_in_order(spark, tmp_path):
+    from plinth.sources import linesink
+
+    rows = [(k * 7919 % 1000, f"line {k} é") for k in range(1000)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(6)
+    folder = f"file://{tmp_path}/l"
+    parts = linesink.write_lines(df, F.concat_ws("|", "k", "t"), ["k"], folder, parts=5)
+    want = [f"{k}|{t}" for k, t in sorted(rows)]
+    files = [(tmp_path / "l" / p["name"]).read_bytes() for p in parts]
+    assert b"".join(files).decode().splitlines() == want and sum(p["rows"] for p in parts) == 1000 and len(parts) > 2
+    import hashlib
+
+    assert all(hashlib.sha256(b).hexdigest() == p["sha256"] and len(b) == p["bytes"] for b, p in zip(files, parts, strict=True))
+    read = linesink.read_lines(spark, folder)
+    assert sorted(r["value"] for r in read.collect()) == sorted(want) and read.select("part").distinct().count() == len(parts)
+    with pytest.raises(Exception, match="already"):
+        linesink.write_lines(df, F.col("t"), ["k"], folder)
+    assert linesink.changed_parts(spark, folder).count() == 0
+    (tmp_path / "l" / parts[1]["name"]).write_bytes(files[1] + b"x\n")
+    (tmp_path / "l" / parts[2]["name"]).unlink()
+    assert sorted(r["name"] for r in linesink.changed_parts(spark, folder).collect()) == sorted([parts[1]["name"], parts[2]["name"]])
+    assert linesink.write_lines(df.where("false"), F.col("t"), ["k"], f"file://{tmp_path}/n") == [] and linesink.read_lines(spark, f"file://{tmp_path}/n").count() == 0
+
+
+def test_lines_of_a_failed_write_do_not_count(spark, tmp_path):
+    from plinth.sources import linesink
+
+    bad = spark.range(100).withColumn("t", F.when(F.col("id") == 90, F.raise_error(F.lit("broken")).cast("string")).otherwise("x"))
+    with pytest.raises(Exception, match="broken"):
+        linesink.write_lines(bad, F.col("t"), ["id"], f"file://{tmp_path}/l", parts=4)
+    assert not list((tmp_path / "l").glob("part-*")) if (tmp_path / "l").exists() else True
+    with pytest.raises(Exception, match="no committed"):
+        linesink.read_lines(spark, f"file://{tmp_path}/l")
+    # an attempt that nobody reported
+    (tmp_path / "l").mkdir(exist_ok=True)
+    (tmp_path / "l" / "part-000000-lost.txt").write_text("lost\n")
+    linesink.write_lines(spark.range(3).withColumn("t", F.lit("x")), F.col("t"), ["id"], f"file://{tmp_path}/l")
+    assert [r["value"] for r in linesink.read_lines(spark, f"file://{tmp_path}/l").collect()] == ["x"] * 3
+    assert not (tmp_path / "l" / "part-000000-lost.txt").exists()
