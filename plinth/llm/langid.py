@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text") -> D
                 lang = [name if ok else UNDETERMINED for name, ok in zip(lang, has, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows.start : rows.stop], pa.array(lang, pa.string()), pa.array(np.where(has, score, 1.0))], names=["doc_id", "lang_pred", "score"])
 
-    return slim.mapInArrow(apply, f"doc_id {kind}, lang_pred string, score double")
+    return slim.mapInArrow(tk.lean(apply), f"doc_id {kind}, lang_pred string, score double")
 
 
 def annotate(docs: DataFrame, model: Model, *, text="text") -> DataFrame:
@@ -220,4 +220,4 @@ def annotate(docs: DataFrame, model: Model, *, text="text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(tk.lean(apply), schema)

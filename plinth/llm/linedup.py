@@ -202,7 +202,7 @@ def line_rows(slim: DataFrame, min_chars: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "keys", "fresh", "bands"])
 
-    return slim.mapInArrow(make, f"row {kind}, keys array<long>, fresh array<long>, bands array<int>")
+    return slim.mapInArrow(tk.lean(make), f"row {kind}, keys array<long>, fresh array<long>, bands array<int>")
 
 
 def short_keys(texts: tk.Texts, lines: tk.Texts, short: np.ndarray) -> np.ndarray:
@@ -257,7 +257,7 @@ def _line_texts(slim: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame
                 form = pa.Array.from_buffers(pa.large_binary(), len(pick), [None, pa.py_buffer(some.offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(some.flat))])
                 yield pa.RecordBatch.from_arrays([pa.array(tk.signed(keys[pick])), form.cast(pa.binary())], names=["key", "form"])
 
-    return slim.join(small_side(wanted), "row").select("t", "want").mapInArrow(make, "key long, form binary").dropDuplicates(["key"])
+    return slim.join(small_side(wanted), "row").select("t", "want").mapInArrow(tk.lean(make), "key long, form binary").dropDuplicates(["key"])
 
 
 def _propose(banded: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _verified(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["x", "y"])
 
     a, b = forms.select(F.col("key").alias("x"), F.col("form").alias("fx")), forms.select(F.col("key").alias("y"), F.col("form").alias("fy"))
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy").mapInArrow(check, "x long, y long")
+    return pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy").mapInArrow(tk.lean(check), "x long, y long")
 
 
 def _distinct(keys: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
@@ -423,7 +423,7 @@ def _within(spark: SparkSession, near: DataFrame, reached: DataFrame, forms: Dat
         if rest:
             yield links(pa.concat_batches(rest))
 
-    out = materialize(blocks.mapInArrow(compare, "x long, y long"), "line-links")
+    out = materialize(blocks.mapInArrow(tk.lean(compare), "x long, y long"), "line-links")
     discard(spark, open_, held, slots)
     return out
 

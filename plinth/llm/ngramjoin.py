@@ -38,6 +38,8 @@ PART = 4 / 3
 #: fragment.
 FRAGMENT = 300_000
 BLOCK, BLOCK_GRAMS = 2_000, 8_000_000
+#: Bytes of a fragment after which a worker gives its memory back.
+_LARGE_FRAME = 4 << 20
 
 
 class Sets:
@@ -91,7 +93,7 @@ def _class_rows(slim: DataFrame, size: int, percent: int) -> DataFrame:
                 ids = [batch.column(k)[rows.start : rows.stop] for k in range(2)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(sets.sizes.astype(np.int64)), pa.array(tk.signed(sets.digests())), sets.sampled(percent)], names=["doc_id", "h", "n", "dg", "part"])
 
-    return slim.select("doc_id", "h", "t").mapInArrow(make, f"doc_id {kind}, h long, n long, dg long, part array<long>")
+    return slim.select("doc_id", "h", "t").mapInArrow(tk.lean(make), f"doc_id {kind}, h long, n long, dg long, part array<long>")
 
 
 def _able(n, percent: int):
@@ -223,7 +225,7 @@ def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, f
                 grams = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(tk.signed(s.keys)))
                 yield pa.RecordBatch.from_arrays([pa.array(tk.signed(s.digests())), pa.array(s.sizes.astype(np.int64)), grams], names=["dg", "n", "grams"])
 
-    rows = texts.select("t").mapInArrow(sets, "dg long, n long, grams array<long>").dropDuplicates(["dg"]).join(kept, "dg", "left_semi")
+    rows = texts.select("t").mapInArrow(tk.lean(sets), "dg long, n long, grams array<long>").dropDuplicates(["dg"]).join(kept, "dg", "left_semi")
     rows = materialize(rows, "join-sets")
     grams = rows.select("dg", "n", F.explode("grams").alias("h"))
     stats = grams.groupBy("h").agg(F.count("*").alias("df"), F.min("dg").alias("near")).where("df > 1")
@@ -251,7 +253,14 @@ def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, f
     dealt = segs.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("dg"), F.col("blocks")).cast("int"))
     other = F.explode(F.expr("sequence(0, cast(blocks as int) - 1)"))
     dealt = dealt.withColumn("with", other).withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
-    found = dealt.select("part", "lo", "hi", "block", "dg", "n", "r", "lead", "seg").groupBy("part", "lo", "hi").applyInArrow(lambda f: settle(f, percent), "x long, y long, sure boolean")
+
+    def settled(frame: pa.Table) -> pa.Table:
+        out = settle(frame, percent)
+        if frame.nbytes > _LARGE_FRAME:
+            tk.trim()
+        return out
+
+    found = dealt.select("part", "lo", "hi", "block", "dg", "n", "r", "lead", "seg").groupBy("part", "lo", "hi").applyInArrow(settled, "x long, y long, sure boolean")
     found = materialize(found, "join-found")
     pairs = found.where("not sure").select("x", "y").distinct()
     mine = segs.select(F.col("dg").alias("x"), "part", F.col("n").alias("nx"), F.col("seg").alias("sx"))

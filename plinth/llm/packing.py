@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
-from .textkernel import Texts, blocks, member
+from .textkernel import BLOCK_BYTES, Texts, blocks, lean, member
 
 CAPACITY = 1024
 END_ID = 2
@@ -57,8 +57,8 @@ _MARKS[[ord(c) for c in ".,;:!?"]] = True
 #: Texts that are encoded whole: with the mark of a special token, or with white space beyond
 #: ASCII, which may join runs.
 _WHOLE = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Different parts whose ids a worker remembers, some 50 bytes each.
-_REMEMBERED = 1 << 21
+#: Different parts whose ids a worker remembers, some 50 bytes each, and parts encoded at once.
+_REMEMBERED, _AT_ONCE = 1 << 20, 1 << 12
 
 
 def unit_starts(texts: Texts) -> np.ndarray:
@@ -113,7 +113,8 @@ class _Encoder:
         return cls._made[name]
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # some thousand at a time, as each comes back as an object of many lists
+        return [x.ids for lo in range(0, len(texts), _AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + _AT_ONCE], add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
         found = self._encoded(parts)
@@ -164,7 +165,7 @@ def pieces(docs: DataFrame, *, doc_id="doc_id", text="text", capacity: int = CAP
         encoder = _Encoder.of(tokenizer)
         end = np.array([END_ID], "<u4")
         for batch in batches:
-            for rows, block in blocks(batch.column(1)):
+            for rows, block in blocks(batch.column(1), BLOCK_BYTES // 4):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 take, piece, start, length, crc = [], [], [], [], []
                 for row, found in enumerate(encoder.block(block)):
@@ -177,7 +178,7 @@ def pieces(docs: DataFrame, *, doc_id="doc_id", text="text", capacity: int = CAP
                 columns = [part.column(0).take(pa.array(take, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return slim.mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(lean(encode), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # ---------------------------------------------------------------- the plan
@@ -453,4 +454,4 @@ def pack(docs: DataFrame, *, doc_id="doc_id", text="text", capacity: int = CAPAC
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
     discard(spark, cut)
-    return ranked.mapInArrow(seat, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(seat), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

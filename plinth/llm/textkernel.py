@@ -11,7 +11,9 @@ about n^2 / 2^65 over n of them; callers that need certainty verify on the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +144,29 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[slice,
             lo = hi
 
 
+def lean(task: Callable) -> Callable:
+    """The task, giving free memory back to the system when it ends: Python workers stay alive
+    and would hold the peak of each step that they have run."""
+
+    @functools.wraps(task)
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Gives free memory of this process back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """For index bounds per text, the text of each item."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
