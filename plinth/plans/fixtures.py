@@ -88,17 +88,23 @@ UNION ALL SELECT id || '.field', full_name || '.field', 'field', kind, module, s
 
 #: Relations that queries read as stored tables, as a query of the engine reads an artifact.
 STORED = {NODES, EDGES, CHUNKS, RAW_NODES, RAW_EDGES, CORPORA, GENERATION_DOCS, DECLARATIONS, BOUND_CHUNKS, BOUND_NODES}
-_made: dict[tuple[str, str, str], str] = {}
+_made: dict[tuple[str, ...], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the tables below a folder."""
+    target, fs = scratch.hadoop(spark, sf_dir)
+    return "|".join(sorted(f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(target)))
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
     """The folder of something that is made once per session and tables; made anew if the
-    folder is gone."""
-    key = spark.sparkContext.applicationId, sf_dir, name
+    folder is gone or a table's files have changed."""
+    key = spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir)
     path = _made.get(key)
     if path is not None:
         target, fs = scratch.hadoop(spark, path)

@@ -182,12 +182,16 @@ def index_vocabulary(spark, d):
     return _index(spark, d).term_stats()
 
 
-@query("SELECT 0 AS orphans, true AS same, CAST(count(*) AS BIGINT) AS documents FROM documents")
+@query(f"""WITH t AS (SELECT source_id, source_path, CAST(len({_tok('text')}) + len({_tok('declaration_hint')}) AS BIGINT) AS n FROM {_D})
+SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (WHERE n > 0 AND source_id = 'src2') AS orphans, count(*) FILTER (WHERE n > 0 AND source_path LIKE '%7') AS others, true AS same FROM t""")
 def index_integrity(spark, d):
-    """The stored index has no postings without a document and is what its fingerprint says."""
+    """The stored index against its parts: documents and tokens of all corpora, postings whose
+    documents are missing once some rows of sources are, and its fingerprint."""
     index = _index(spark, d)
-    rows = index.orphans().agg(F.count("*").cast("int").alias("orphans"))
-    return rows.withColumn("same", F.lit(index.fingerprint() == index.meta["fingerprint"])).crossJoin(index.corpora.agg(F.sum("documents").alias("documents")))
+    lost = lambda cond, name: index.orphans(index.sources.where(cond)).agg(F.count("*").alias(name))
+    sums = index.corpora.agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    same = F.lit(index.fingerprint() == index.meta["fingerprint"])
+    return sums.crossJoin(lost("source_id != 'src2'", "orphans")).crossJoin(lost("source_path not like '%7'", "others")).withColumn("same", same)
 
 
 @query(f"SELECT id, CAST(len({_tok('text')}) AS BIGINT) AS dl FROM {_D} WHERE len({_tok('text')}) > 0")
@@ -496,12 +500,15 @@ def axiom_reports(spark, d):
     return rows.select("declaration", "n_lines", F.array_join("axioms", " ").alias("axioms"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'UNKNOWN_NOT_PROOF_EVIDENCE' WHEN 1 THEN 'UNKNOWN_NOT_PROOF_EVIDENCE' ELSE 'NOT_PROOF_EVIDENCE' END AS eligibility FROM events""")
+_CLAIMS = """(SELECT event_id, CASE WHEN event_type = 'click' THEN 'PROOF_CORPUS' WHEN user_id % 3 = 1 THEN 'STATEMENT_CORPUS' WHEN user_id % 3 = 2 THEN 'BENCHMARK_CORPUS' END AS declared FROM {events})"""
+
+
+@query(f"""SELECT event_id, CASE WHEN declared IS NULL OR declared = 'PROOF_CORPUS' THEN 'UNKNOWN_NOT_PROOF_EVIDENCE' WHEN declared IN ('PARTIAL_PROOF_CORPUS', 'STATEMENT_CORPUS', 'BENCHMARK_CORPUS') THEN 'NOT_PROOF_EVIDENCE' END AS eligibility FROM {_CLAIMS.format(events='events')}""")
 def replay_claims(spark, d):
-    i = F.col("event_id")
-    declared = F.when(i % 4 == 1, "PROOF_CORPUS").when(i % 4 == 2, "STATEMENT_CORPUS").when(i % 4 == 3, "BENCHMARK_CORPUS")
-    claimed = F.when(i % 4 == 1, evidence.UNKNOWN_PROOF).when(i % 4 > 1, evidence.NOT_PROOF)
-    return table(spark, d, "events").select("event_id", evidence.replay_claim(declared, claimed, declared.isNotNull()).alias("eligibility"))
+    rows = spark.sql(_CLAIMS.strip("()"), events=table(spark, d, "events"))
+    declared = F.col("declared")
+    claimed = F.when(declared == evidence.PROOF_CORPUS, evidence.UNKNOWN_PROOF).when(declared.isNotNull(), evidence.NOT_PROOF)
+    return rows.select("event_id", evidence.replay_claim(declared, claimed, declared.isNotNull()).alias("eligibility"))
 
 
 @query(f"SELECT sha256(concat_ws(chr(31), '+' || id, '+' || kind, '+' || module)) AS digest FROM {_N}")
@@ -572,20 +579,21 @@ def ordered_listing(spark, d):
     return table(spark, d, "nation").agg(F.lit("git").alias("source"), F.expr("listagg(n_name, ',') within group (order by n_name desc)").alias("children"))
 
 
-_LEAN = "/- a /- nested -/ theorem hidden : x -/\n-- theorem also_hidden\n/-- doc -/ @[simp]\ntheorem shown : y := \"-- /- text\"\nlemma T.next' : z\n"
 _BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+#: Files of two declarations, with notes above the first, a body below it and a comment that
+#: hides others before the second, of as many lines as the document's id and source tell; the
+#: document's text follows and holds no declaration.
+_FILES = """(SELECT source || '/' || doc_id AS source_path, coalesce(text, '') AS t, CAST(doc_id % 3 AS INT) AS a, CAST(doc_id % 4 + length(source) AS INT) AS b, CAST(doc_id % 5 AS INT) AS c, 'first_' || doc_id AS name FROM {documents})"""
+_FIRST = "repeat('-- theorem note' || chr(10), a) || 'theorem ' || name || ' : \"-- /- text\"' || chr(10) || repeat('  body' || chr(10), b)"
+_SECOND = "'/- /- a -/ ' || repeat('theorem hidden : x' || chr(10), c) || '-/' || chr(10) || 'lemma T.' || name || chr(39) || ' : z' || chr(10) || t"
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-#: Whole texts follow the declarations; they hold none themselves.
-@query(f"""WITH f AS (SELECT source || '/' || doc_id AS p, coalesce(text, '') AS t FROM documents), z AS (SELECT *, 5 + len(regexp_extract_all(t, '{_BREAK}')) + CASE WHEN t = '' OR regexp_matches(t, '({_BREAK})$') THEN 0 ELSE 1 END AS last FROM f),
-c AS (SELECT p, 1 AS a, 4 AS b, 'shown' AS h, {_literal(_LEAN[: _LEAN.index("lemma")])} AS x FROM z UNION ALL SELECT p, 5, last, 'T.next' || chr(39), {_literal(_LEAN[_LEAN.index("lemma") :])} || t FROM z)
-SELECT 'src:' || p || ':' || a || ':' || b AS id, 'r1' AS source_revision, p AS source_path, CAST(a AS INT) AS source_start_line, CAST(b AS INT) AS source_end_line, h AS declaration_hint, sha256(x) AS content_sha256 FROM c""")
+@query(f"""WITH f AS {_FILES.format(documents='documents')}, z AS (SELECT *, a + b + c + 3 + len(regexp_extract_all(t, '{_BREAK}')) + CASE WHEN t = '' OR regexp_matches(t, '({_BREAK})$') THEN 0 ELSE 1 END AS last FROM f),
+k AS (SELECT source_path AS p, 1 AS x, a + b + 1 AS y, name AS h, {_FIRST} AS w FROM z UNION ALL SELECT source_path, a + b + 2, last, 'T.' || name || chr(39), {_SECOND} FROM z)
+SELECT 'src:' || p || ':' || x || ':' || y AS id, 'r1' AS source_revision, p AS source_path, CAST(x AS INT) AS source_start_line, CAST(y AS INT) AS source_end_line, h AS declaration_hint, sha256(w) AS content_sha256 FROM k""")
 def comment_aware_chunks(spark, d):
-    files = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path"), F.concat(F.lit(_LEAN), F.coalesce("text", F.lit(""))).alias("text"))
+    rows = spark.sql(_FILES.strip("()"), documents=table(spark, d, "documents"))
+    files = rows.select("source_path", F.expr(f"{_FIRST} || {_SECOND}").alias("text"))
     return chunking.chunk_sources(files, "r1").drop("text")
 
 

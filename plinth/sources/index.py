@@ -6,8 +6,8 @@
     postings/bucket=.../           corpus, term, doc, dl, col, positions; sorted by term
     corpora/                       corpus, documents, tokens
 
-A query reads the buckets of its terms, and of those the row groups that hold them.  A common
-term's postings are dealt over several files of its bucket.  The index is written to a staging
+A query reads the buckets of its terms, and of those the row groups that hold them.  A very
+common term's postings are dealt over files by their number.  The index is written to a staging
 folder, checked there and published whole.
 """
 
@@ -30,8 +30,9 @@ from .adjacency import Adjacency
 from .publish import publish
 
 VERSION = "plinth.index.v1"
-#: Postings that a bucket is to hold, and files that a bucket is dealt over.
-_BUCKET_ROWS, _FILES = 4 << 20, 4
+#: Postings that a bucket is to hold, and a file of a term that has more; and rows of a table that
+#: may travel: such terms fill buckets, so there are few.
+_BUCKET_ROWS, _MOST_HOT = 4 << 20, 1 << 18
 RELATIONS = ("nodes", "edges", "sources", "postings", "corpora")
 #: Fields that only the other kind of source authority may have.
 _GIT_ONLY = {"source_commit", "created_from_authoritative_commit"}
@@ -76,9 +77,12 @@ def _write(spark: SparkSession, relations: dict[str, DataFrame], folder: str, co
     buckets = max(8, -(-total // _BUCKET_ROWS))
     of = lambda c, name: F.transform(c, lambda x, i: F.struct(F.lit(name).alias("col"), i.cast("int").alias("pos"), x.alias("term")))
     flat = sized.select("corpus", "doc", "dl", F.inline(F.concat(of(F.col("h"), "declaration_hint"), of(F.col("t"), "text"))))
-    # one shuffle: by bucket and, as a term may be in a third of all documents, by document
-    salt = F.pmod(F.xxhash64("doc"), F.lit(_FILES)).cast("int")
-    dealt = flat.withColumns({"bucket": bucket_of(F.col("term"), buckets), "salt": salt}).repartition(min(buckets * _FILES, 20_000), "bucket", "salt")
+    # a term may be in most documents: it is dealt over files by its postings
+    hot = flat.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > _BUCKET_ROWS).select("term", F.ceil(F.col("n") / _BUCKET_ROWS).cast("int").alias("files"))
+    few = hot.limit(_MOST_HOT + 1).count() <= _MOST_HOT
+    marked = flat.join(F.broadcast(hot) if few else hot, "term", "left").withColumn("bucket", bucket_of(F.col("term"), buckets))
+    salted = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("files")), F.lit(0)).cast("int")).drop("files")
+    dealt = salted.repartition(int(min(max(buckets, 2 * total // _BUCKET_ROWS), 20_000)), "bucket", "salt")
     posts = dealt.groupBy("bucket", "salt", "corpus", "term", "doc", "dl", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions")).drop("salt")
     posts.sortWithinPartitions("bucket", "term", "doc", "col").write.partitionBy("bucket").parquet(f"{folder}/postings")
     write_text(spark, f"{folder}/buckets.json", json.dumps({"buckets": buckets}))
@@ -154,9 +158,10 @@ class Index:
 
     # ------------------------------------------------------------ checks
 
-    def orphans(self) -> DataFrame:
-        """Documents of postings that sources lack."""
-        return self.postings.select("doc").distinct().join(self.sources.select("doc"), "doc", "left_anti")
+    def orphans(self, known: DataFrame | None = None) -> DataFrame:
+        """Documents of postings that sources lack, or that ``known`` rows of it do."""
+        rows = self.sources if known is None else known
+        return self.postings.select("doc").distinct().join(rows.select("doc"), "doc", "left_anti")
 
     def check_orphans(self) -> None:
         require(self.orphans().select(F.lit("orphan posting").alias("rule"), "doc"), BLOCKED_PROJECTION)

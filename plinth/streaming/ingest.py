@@ -14,7 +14,8 @@ def publish_batch(store: Store, batch: DataFrame, number: int, *, source_id: str
     """Chunks one batch, joins what the active generation has of other files, freezes both as
     a generation and makes it active.
 
-    A file that comes again replaces its former chunks.  A batch that is run again finishes
+    A file that comes again replaces its former chunks; of a file that is in the batch more than
+    once the last row counts.  A batch that is run again finishes
     what is missing: it stages under the same names, and a READY generation is activated
     unless it, or a later one, is already.
     """
@@ -23,7 +24,9 @@ def publish_batch(store: Store, batch: DataFrame, number: int, *, source_id: str
     if store.state(generation) != "READY":
         if store.state(generation) is None:
             store.begin(generation, generation, catalog)
-        rows = chunk_sources(batch, revision)
+        # in the order of the batch's files and their rows
+        last = batch.withColumn("_at", F.monotonically_increasing_id()).groupBy("source_path").agg(F.max_by("text", "_at").alias("text"))
+        rows = chunk_sources(last, revision)
         docs = rows.select(
             F.lit(generation).alias("generation_id"), F.lit(source_id).alias("source_id"), F.concat(F.lit(source_id + "::"), "id").alias("candidate_id"), F.lit(None).cast("string").alias("declaration_id"),
             F.col("id").alias("source_row_id"), "source_path", F.col("source_start_line").alias("source_line"), F.col("declaration_hint").alias("exact_identity"), F.col("text").alias("body_text"),

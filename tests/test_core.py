@@ -298,6 +298,11 @@ def test_streaming_ingest(spark, tmp_path, monkeypatch):
     run()
     hits = lambda q: [h["source_path"] for h in store.search(q).first()["hits"]]
     assert store.active() > first and hits("pin") == ["G.lean"] and hits("thread") == ["F.lean"] and hits("needle") == []
+    # a file twice in a batch: the last row counts
+    twice = [("I.lean", "theorem old : x\n"), ("I.lean", "theorem fresh : x\n")]
+    spark.createDataFrame(twice, "source_path string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert hits("fresh") == ["I.lean"] and hits("old") == [] and hits("pin") == ["G.lean"]
     # a batch that is run again after it was frozen, but before it was activated
     spark.createDataFrame([("H.lean", "theorem bead : x\n")], "source_path string, text string").createOrReplaceTempView("h")
     batch, options = spark.table("h"), {"source_id": "s", "revision": "r", "catalog": "c"}
