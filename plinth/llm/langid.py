@@ -174,7 +174,10 @@ def learn(labelled: DataFrame, settings: Settings | None = None) -> Model:
     rows = labelled_texts(clean.select("text", F.col("lang").cast("string").alias("label")), s.sample)
     # languages take turns, so that every part of the rows has all of them
     order = np.random.default_rng(5).permutation(len(rows))
-    return train([rows[i][0] for i in order], [rows[i][1] for i in order], s)
+    model = train([rows[i][0] for i in order], [rows[i][1] for i in order], s)
+    del rows
+    tk.trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
-from .textkernel import BLOCK_BYTES, Texts, blocks, lean, member
+from .textkernel import BLOCK_BYTES, Texts, blocks, lean, member, trim
 
 CAPACITY = 1024
 END_ID = 2
@@ -438,6 +438,7 @@ def pack(docs: DataFrame, *, doc_id="doc_id", text="text", capacity: int = CAPAC
         before[r["part"]][r["length"]] = histogram[r["length"]]
         histogram[r["length"]] += r["n"]
     places = Places(plan(histogram, capacity))
+    trim()
     handle = spark.sparkContext.broadcast((dict(before), places))
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
