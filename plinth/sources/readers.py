@@ -10,8 +10,9 @@ from pyspark.sql.types import StructType
 
 from ..errors import BLOCKED_ARTIFACT, BLOCKED_BINDING, BLOCKED_MISMATCH, PlinthError
 from ..functions.text import is_hex64, is_inside, without_prefixes
-from ..schemas import RAW_GRAPH
+from ..schemas import RAW_EDGE, RAW_NODE
 from .contract import strict_json
+from .splitjson import BLOCK, read_arrays
 
 __all__ = ["read_bounded", "read_listed", "read_raw_graph", "read_rows", "read_tree", "strict_json", "strict_json_rows"]
 
@@ -21,15 +22,16 @@ def strict_json_rows(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("parsed", F.try_parse_json(column))
 
 
-def read_raw_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Raw nodes and edges of graph documents, one JSON object with both lists per file."""
-    roots = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^[\s\x{FEFF}]+", "")), 1, 1).alias("c"))
-    if roots.where("c is null or c != '{'").limit(1).count():
-        raise PlinthError(BLOCKED_ARTIFACT, "the root of a graph document must be an object")
-    doc = spark.read.schema(RAW_GRAPH).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    if doc.where("nodes is null or edges is null").limit(1).count():
-        raise PlinthError(BLOCKED_ARTIFACT, "nodes and edges of a graph document must be lists")
-    return doc.select(F.inline("nodes")), doc.select(F.inline("edges"))
+def read_raw_graph(spark: SparkSession, path: str, *, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Raw nodes and edges of graph documents, one JSON object with both lists per file.  A
+    document is read by blocks in many tasks."""
+    found = read_arrays(spark, path, ["nodes", "edges"], block=block)
+
+    def rows(name: str, schema: StructType) -> DataFrame:
+        parsed = found.where(F.col("name") == name).select(F.from_json("element", schema, {"mode": "FAILFAST"}).alias("x"))
+        return parsed.select("x.*")
+
+    return rows("nodes", RAW_NODE), rows("edges", RAW_EDGE)
 
 
 def read_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -1,7 +1,9 @@
 """Stored layouts: term index of generations, adjacency of the graph, and the commit log."""
 
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +279,64 @@ def test_lines_of_a_failed_write_do_not_count(spark, tmp_path):
     linesink.write_lines(spark.range(3).withColumn("t", F.lit("x")), F.col("t"), ["id"], f"file://{tmp_path}/l")
     assert [r["value"] for r in linesink.read_lines(spark, f"file://{tmp_path}/l").collect()] == ["x"] * 3
     assert not (tmp_path / "l" / "part-000000-lost.txt").exists()
+
+
+# ---------------------------------------------------------------- split documents
+
+
+def graph_text(r):
+    odd = ['"', "\\", "\\\\", '\\"', "{", "}", "[", "]", ":", ",", "é", "🙂", "\n", "nodes", " "]
+    name = lambda: "".join(r.choice(odd) for _ in range(r.randint(0, 12)))
+    nodes = [{"name": name(), "module": name(), "kind": "thm", "fullName": None if r.random() < 0.2 else name(), "more": {"x": [[1, {"y": "}"}]]}} for _ in range(r.randint(0, 9))]
+    edges = [{"source": name(), "target": name(), "kind": name()} for _ in range(r.randint(0, 9))]
+    members = [("nodes", nodes), ("edges", edges), ("a" + name(), {"nodes": [{"name": "not this"}]}), ("b" + name(), name()), ("c", [1, "x", [2]]), ("d", None)]
+    r.shuffle(members)
+    return json.dumps(dict(members), ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1])), nodes, edges
+
+
+def test_blocks_compose():
+    from plinth.sources import splitjson as sj
+
+    r = random.Random(12)
+    for _ in range(60):
+        text = graph_text(r)[0].encode()
+        raw = np.frombuffer(text, np.uint8)
+        # byte by byte
+        quoted = escaped = False
+        depth, want = 0, []
+        for c in text.decode("latin-1"):
+            want.append((quoted, escaped, depth))
+            if escaped:
+                escaped = False
+            elif quoted and c == "\\":
+                escaped = True
+            elif c == '"':
+                quoted = not quoted
+            elif not quoted:
+                depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(c, 0)
+        for size in (1, 2, 3, 7, 50):
+            state = sj.State()
+            for at in range(0, len(raw), size):
+                assert (state.quoted, state.escaped, state.depth) == want[at], (at, size)
+                state = sj.after(state, sj.effect(raw[at : at + size]))
+
+
+def test_split_graph_documents(spark, tmp_path):
+    from plinth.sources import readers
+
+    r = random.Random(13)
+    for k, block in enumerate((3, 17, 64, 1 << 20)):
+        text, nodes, edges = graph_text(r)
+        (tmp_path / f"{k}.json").write_text(text)
+        n, e = readers.read_raw_graph(spark, f"file://{tmp_path}/{k}.json", block=block)
+        key = lambda rows: sorted(rows, key=str)
+        assert key([(x["name"], x["module"], x["kind"], x["fullName"]) for x in n.collect()]) == key([(x["name"], x["module"], x["kind"], x["fullName"]) for x in nodes])
+        assert key([tuple(x) for x in e.collect()]) == key([(x["source"], x["target"], x["kind"]) for x in edges])
+    # several documents, each in many tasks
+    n, _ = readers.read_raw_graph(spark, f"file://{tmp_path}/*.json", block=40)
+    assert n.rdd.getNumPartitions() > 5
+    for bad in ("[]", "", "null", "{}", '{"nodes": []}', '{"nodes": [], "edges": {}}', '{"nodes": [1], "edges": []}', '{"nodes": [[{"name": "x"}]], "edges": []}', '{"nodes": ["x"], "edges": []}', '{"nodes": [], "edges": [], "nodes": []}', '{"nodes": [], "edges": []} x', '{"nodes": [{"name": 1, "edges": []'):
+        (tmp_path / "bad").write_text(bad)
+        for block in (2, 1 << 20):
+            with pytest.raises(Exception):
+                [x.collect() for x in readers.read_raw_graph(spark, f"file://{tmp_path}/bad", block=block)]
