@@ -1,8 +1,10 @@
 """A data source for members of zip and tar.gz archives.
 
 ``spark.read.format("archive_members").load(path)`` yields archive, path, content, sha256 and
-bytes.  An archive is one partition and is read member by member; a member longer than option
-``mostBytes`` fails instead of filling the memory.  Paths are addresses of any file system
+bytes.  Of a zip or a plain tar only the directory is read first, and all its names are checked;
+its members are dealt to tasks by ranges of about ``splitBytes``, which read them by their
+offsets.  A compressed tar can only be read from its start and is one task.  A member longer than
+option ``mostBytes`` fails instead of filling the memory.  Paths are addresses of any file system
 that Arrow knows, or local ones; a folder or a pattern stands for its files.
 """
 
@@ -10,17 +12,23 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import io
 import posixpath
 import stat
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MOST_BYTES = 1 << 30
+MOST_BYTES, SPLIT_BYTES = 1 << 30, 64 << 20
+_STORED, _DEFLATED = zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED
+_PIECE, _SMALL = 1 << 20, 1 << 12
 
 
 class UnsafeMember(ValueError):
@@ -55,9 +63,11 @@ def check_member(name: str, seen: set[str]) -> None:
 
 
 def opened(path: str):
-    """A file and its size, from an address or a local path."""
+    """A file that can be read at any place, from an address or a local path."""
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    return system.open_input_file(inner)
+    file = system.open_input_file(inner)
+    # the zip reader tries places before the start of very small files
+    return file if file.size() > _SMALL else io.BytesIO(file.read())
 
 
 def listed(path: str) -> list[str]:
@@ -82,27 +92,122 @@ def _read(file, name: str, most: int) -> bytes:
     return content
 
 
-def members(path: str, most: int = MOST_BYTES) -> Iterator[tuple[str, bytes]]:
-    """Regular files of an archive; links, special files and names whose kind contradicts
-    their mark are refused."""
-    names = Names()
+@dataclass(frozen=True)
+class Member:
+    """Where a regular file of an archive lies: of a zip at its local header, of a tar at its
+    content."""
+
+    name: str
+    offset: int
+    size: int
+    packed: int
+    method: int | None
+    crc: int | None
+    utf8: bool = False
+
+
+def _zip_name(info: zipfile.ZipInfo, names: Names) -> bool:
+    """Checks a directory entry; whether it is a file."""
+    kind = stat.S_IFMT(info.external_attr >> 16)
+    if kind not in (0, stat.S_IFREG, stat.S_IFDIR) or (kind == stat.S_IFDIR) > info.is_dir() or (kind == stat.S_IFREG and info.is_dir()):
+        raise UnsafeMember(info.filename)
+    if info.is_dir():
+        if ".." in info.filename.split("/") or info.filename.startswith("/") or "\\" in info.filename:
+            raise UnsafeMember(info.filename)
+        return False
+    names.check(info.filename)
+    return True
+
+
+def directory(path: str) -> list[Member] | None:
+    """The files of an archive, all names checked; None if it can only be read from its start."""
+    names, found = Names(), []
     with opened(path) as file:
         if zipfile.is_zipfile(file):
             file.seek(0)
             with zipfile.ZipFile(file) as z:
                 for info in z.infolist():
-                    kind = stat.S_IFMT(info.external_attr >> 16)
-                    if kind not in (0, stat.S_IFREG, stat.S_IFDIR) or (kind == stat.S_IFDIR) > info.is_dir() or (kind == stat.S_IFREG and info.is_dir()):
-                        raise UnsafeMember(info.filename)
-                    if info.is_dir():
-                        if ".." in info.filename.split("/") or info.filename.startswith("/") or "\\" in info.filename:
-                            raise UnsafeMember(info.filename)
-                        continue
-                    names.check(info.filename)
-                    with z.open(info) as member:
-                        yield info.filename, _read(member, info.filename, most)
-            return
+                    if _zip_name(info, names):
+                        if info.flag_bits & 1 or info.compress_type not in (_STORED, _DEFLATED):
+                            raise UnsafeMember(f"{info.filename} is encrypted or packed in an unknown way")
+                        found.append(Member(info.filename, info.header_offset, info.file_size, info.compress_size, info.compress_type, info.CRC, bool(info.flag_bits & 0x800)))
+            return found
         file.seek(0)
+        try:
+            t = tarfile.open(fileobj=file, mode="r:")
+        except tarfile.ReadError:
+            return None
+        with t:
+            for info in t:
+                if info.isdir():
+                    continue
+                if not info.isreg() or info.issparse():
+                    raise UnsafeMember(info.name)
+                names.check(info.name)
+                found.append(Member(info.name, info.offset_data, info.size, info.size, None, None))
+        return found
+
+
+def ranges(found: list[Member], split: int) -> list[list[Member]]:
+    """The members in order of their place, in runs of about ``split`` bytes."""
+    out: list[list[Member]] = []
+    size = split
+    for m in sorted(found, key=lambda m: m.offset):
+        if size >= split:
+            out.append([])
+            size = 0
+        out[-1].append(m)
+        size += m.packed + 512
+    return out
+
+
+def content_at(file, m: Member, most: int) -> bytes:
+    """A member's bytes, read at its place; sizes, check sum and name must be the directory's."""
+    if m.size > most:
+        raise UnsafeMember(f"{m.name} is longer than {most} bytes")
+    file.seek(m.offset)
+    if m.method is None:
+        data = file.read(m.size)
+        if len(data) != m.size:
+            raise UnsafeMember(f"{m.name} is cut off")
+        return data
+    head = file.read(30)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        raise UnsafeMember(f"{m.name} has no header")
+    name, more = struct.unpack("<HH", head[26:30])
+    if file.read(name).decode("utf-8" if m.utf8 else "cp437", "replace").split("\0")[0] != m.name:
+        raise UnsafeMember(f"{m.name} has another name at its place")
+    file.seek(m.offset + 30 + name + more)
+    opener = zlib.decompressobj(-15) if m.method == _DEFLATED else None
+    out, size, left = [], 0, m.packed
+    while left > 0:
+        data = file.read(min(left, _PIECE))
+        if not data:
+            break
+        left -= len(data)
+        try:
+            out.append(data if opener is None else opener.decompress(data, m.size - size + 1))
+        except zlib.error as e:
+            raise UnsafeMember(f"{m.name} can't be unpacked") from e
+        size += len(out[-1])
+        if size > m.size:
+            break
+    whole = b"".join(out)
+    if len(whole) != m.size or zlib.crc32(whole) != m.crc:
+        raise UnsafeMember(f"{m.name} is not what the directory says")
+    return whole
+
+
+def members(path: str, most: int = MOST_BYTES) -> Iterator[tuple[str, bytes]]:
+    """Regular files of an archive; links, special files and names whose kind contradicts
+    their mark are refused."""
+    found = directory(path)
+    with opened(path) as file:
+        if found is not None:
+            for m in sorted(found, key=lambda m: m.offset):
+                yield m.name, content_at(file, m, most)
+            return
+        names = Names()
         with tarfile.open(fileobj=file, mode="r:*") as t:
             for info in t:
                 if info.isdir():
@@ -114,15 +219,28 @@ def members(path: str, most: int = MOST_BYTES) -> Iterator[tuple[str, bytes]]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, most: int):
-        self.paths, self.most = listed(path), most
+    def __init__(self, path: str, most: int, split: int):
+        self.paths, self.most, self.split = listed(path), most, split
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        found = [(p, directory(p)) for p in self.paths]
+        return [InputPartition((p, part)) for p, held in found for part in ([None] if held is None else ranges(held, self.split))] or [InputPartition((None, []))]
 
     def read(self, partition):
-        for name, content in members(partition.value, self.most):
-            yield partition.value, name, content, hashlib.sha256(content).hexdigest(), len(content)
+        path, part = partition.value
+        if part is None:
+            rows = members(path, self.most)
+        elif not part:
+            return
+        else:
+            rows = self._at(path, part)
+        for name, content in rows:
+            yield path, name, content, hashlib.sha256(content).hexdigest(), len(content)
+
+    def _at(self, path: str, part: list[Member]) -> Iterator[tuple[str, bytes]]:
+        with opened(path) as file:
+            for m in part:
+                yield m.name, content_at(file, m, self.most)
 
 
 class ArchiveMembers(DataSource):
@@ -134,7 +252,7 @@ class ArchiveMembers(DataSource):
         return "archive string, path string, content binary, sha256 string, bytes long"
 
     def reader(self, schema):
-        return _Reader(self.options["path"], int(self.options.get("mostBytes", MOST_BYTES)))
+        return _Reader(self.options["path"], int(self.options.get("mostBytes", MOST_BYTES)), int(self.options.get("splitBytes", SPLIT_BYTES)))
 
 
 def register(spark: SparkSession) -> None:

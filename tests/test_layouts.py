@@ -340,3 +340,49 @@ def test_split_graph_documents(spark, tmp_path):
         for block in (2, 1 << 20):
             with pytest.raises(Exception):
                 [x.collect() for x in readers.read_raw_graph(spark, f"file://{tmp_path}/bad", block=block)]
+
+
+# ---------------------------------------------------------------- split archives
+
+
+def test_archives_in_many_tasks(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from plinth.sources import archives
+
+    r = random.Random(2)
+    files = {f"d{k % 5}/f{k}é.txt": bytes(r.randrange(256) for _ in range(r.choice([0, 5, 3000]))) * r.choice([1, 4]) for k in range(60)}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k, (name, data) in enumerate(files.items()):
+            z.writestr(name, data, zipfile.ZIP_DEFLATED if k % 3 else zipfile.ZIP_STORED)
+        z.writestr("d0/", b"")
+    for mode in ("w", "w:gz"):
+        with tarfile.open(tmp_path / f"a.{mode.replace(':', '')}.tar", mode) as t:
+            for name, data in files.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    archives.register(spark)
+    for name, many in (("a.zip", True), ("a.w.tar", True), ("a.wgz.tar", False)):
+        df = spark.read.format("archive_members").option("splitBytes", 20_000).load(f"file://{tmp_path}/{name}")
+        assert {x["path"]: bytes(x["content"]) for x in df.collect()} == files
+        assert (df.rdd.getNumPartitions() > 3) == many and dict(archives.members(str(tmp_path / name))) == files
+    with zipfile.ZipFile(tmp_path / "e.zip", "w"):
+        pass
+    assert spark.read.format("archive_members").load(f"file://{tmp_path}/e.zip").count() == 0
+    raw = (tmp_path / "a.zip").read_bytes()
+    place = raw.index(b"d1/f1")
+    large = max(archives.directory(str(tmp_path / "a.zip")), key=lambda m: m.packed).offset + 200
+    for bad in (raw[:place] + b"d1/x1" + raw[place + 5 :], raw[:large] + bytes([raw[large] ^ 1]) + raw[large + 1 :]):
+        (tmp_path / "bad.zip").write_bytes(bad)
+        with pytest.raises(archives.UnsafeMember):
+            list(archives.members(str(tmp_path / "bad.zip")))
+    with pytest.raises(archives.UnsafeMember, match="longer"):
+        list(archives.members(str(tmp_path / "a.zip"), 100))
+    with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
+        z.writestr("ok", b"1")
+        z.writestr("../x", b"1")
+    with pytest.raises(Exception, match="x"):
+        spark.read.format("archive_members").load(f"file://{tmp_path}/u.zip").limit(1).collect()
