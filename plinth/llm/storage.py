@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ _own: dict[str, str] = {}
 _noted: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
 _of_stage: dict[tuple[str, str], list[str]] = {}
 _left: dict[str, SparkSession] = {}
+#: Tables that a pipeline stage stores between two collections of the driver's garbage.
+_SWEEP = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +90,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.scratch_path = path
+    noted = _noted.get()
+    if noted is not None and len(noted) % _SWEEP == 0:
+        # a pipeline runs hundreds of jobs in one driver: Spark lets go of the shuffles and
+        # broadcasts of finished ones when their handles are collected
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return stored
 
 
