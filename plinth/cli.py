@@ -236,6 +236,7 @@ def context_command(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 _PINS = ["producer-kind", "producer-tool-repo", "producer-tool-commit", "producer-tool-hash"]
 #: Commands: their function, required options, optional ones with defaults.
+#: Names of commands and of their options.
 COMMANDS = {
     "build-artifact": (build_artifact, ["source-root", "source-repo", "source-commit", "source-subdir", *_PINS, "out"], {"raw-depgraph-receipt": None}),
     "build-source-artifact": (build_source_artifact, ["source", "source-root", "source-container", "raw-depgraph", "raw-depgraph-receipt", *_PINS, "out"], {"materialization-receipt": None, "member-manifest": None}),

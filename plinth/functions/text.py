@@ -65,11 +65,6 @@ def phrases(query: str) -> list[list[str]]:
     return [token_list(term) for term in query_terms(query)]
 
 
-def ends_with_name(full: Column, hint: Column) -> Column:
-    """Equal, or ends with a dot and the hint."""
-    return (full == hint) | F.endswith(full, F.concat(F.lit("."), hint))
-
-
 def in_scope(module: Column, roots: list[str]) -> Column:
     """The module is a root or lies below one, with a dot as the border."""
     hit = F.lit(False)

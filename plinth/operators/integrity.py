@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -126,9 +125,3 @@ def require(violations: DataFrame, code: str = BLOCKED_ARTIFACT) -> None:
     """Raises on the first violation, before any result is used."""
     if (row := violations.first()) is not None:
         raise PlinthError(code, " ".join(str(x) for x in row))
-
-
-def when_whole(check: Callable[[], DataFrame], result: DataFrame) -> DataFrame:
-    """``result`` if ``check`` finds nothing, which is run first."""
-    require(check())
-    return result

@@ -34,6 +34,7 @@ BOUNDARY = "internal_only"
 LEXICAL = "lexical_only"
 REVISION = {V1: "source_commit", V2: "source_revision"}
 AUTHORITATIVE = {V1: "created_from_authoritative_commit", V2: "created_from_authoritative_source"}
+#: Field names of manifests and receipts, here and in the checks below.
 SOURCE_FIELDS = {V1: ["repo", "commit", "subdir"], V2: ["kind", "url", "sha256", "format", "subdir"]}
 PRODUCER_FIELDS = ["kind", "tool_repo", "tool_commit", "tool_hash"]
 ORDER = {"nodes": ["id"], "edges": EDGE_KEY, "sources": ["source_path", "source_start_line", "id"]}
