@@ -3,36 +3,45 @@
     meta.json                      key-values of the projection, with its fingerprint
     nodes/ sources/                relations; sources are numbered in order of path and line
     edges/                         the edges by either end
-    postings/bucket=.../           corpus, term, doc, dl, col, positions; sorted by term
+    postings/bucket=.../           corpus, term, doc, dl, col, first, positions; sorted by term
     corpora/                       corpus, documents, tokens
 
-A query reads the buckets of its terms, and of those the row groups that hold them.  A very
-common term's postings are dealt over files by their number.  The index is written to a staging
-folder, checked there and published whole.
+A query reads the buckets of its terms, and of those the row groups that hold them.  Texts are
+cut into terms once, and the places of a term are gathered within their document, before rows
+move; a bucket that very common terms make large is dealt over files.  The index is written to a
+staging folder, checked there and published whole.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BLOCKED_PROJECTION, PlinthError
 from ..functions.text import tokens
 from ..operators import federation, search
-from ..operators.fingerprint import digest, fingerprint
+from ..operators.fingerprint import content_sum, digest, fingerprint
 from ..operators.integrity import require
 from ..scratch import delete, read_text, write_text
 from . import adjacency
 from .adjacency import Adjacency
 from .publish import publish
 
-VERSION = "plinth.index.v1"
-#: Postings that a bucket is to hold, and a file of a term that has more; and rows of a table that
-#: may travel: such terms fill buckets, so there are few.
-_BUCKET_ROWS, _MOST_HOT = 4 << 20, 1 << 18
+VERSION = "plinth.index.v2"
+#: Postings that a bucket is to hold, and bytes of text that one stands for.
+_BUCKET_ROWS, _POSTING_BYTES = 4 << 20, 6
+#: Tokens whose places are gathered at once.
+_MOST_TOKENS = 1 << 20
+POSTINGS = "corpus string, term string, doc long, dl int, col string, first boolean, positions array<int>, bucket int"
 RELATIONS = ("nodes", "edges", "sources", "postings", "corpora")
 #: Fields that only the other kind of source authority may have.
 _GIT_ONLY = {"source_commit", "created_from_authoritative_commit"}
@@ -66,30 +75,97 @@ def _write(spark: SparkSession, relations: dict[str, DataFrame], folder: str, co
     if "edges" in relations:
         adjacency.build(relations["edges"], f"{folder}/edges")
     own = F.col(corpus).cast("string") if corpus else F.lit("")
-    order = [c for c in ("source_path", "source_start_line", "id") if c in relations["sources"].columns]
-    numbered = relations["sources"].orderBy(*order).withColumn("doc", F.monotonically_increasing_id())
+    sources = relations["sources"]
+    order = [c for c in ("source_path", "source_start_line", "id") if c in sources.columns]
+    # rows that these don't tell apart get numbers by what they hold, so numbers follow the rows
+    numbered = sources.orderBy(*order, F.xxhash64(*sources.columns)).withColumn("doc", F.monotonically_increasing_id())
     numbered.write.parquet(f"{folder}/sources")
     stored = spark.read.parquet(f"{folder}/sources")
-    both = stored.select(own.alias("corpus"), "doc", tokens(F.col("declaration_hint")).alias("h"), tokens(F.col("text")).alias("t"))
-    sized = both.select("corpus", "doc", (F.size("h") + F.size("t")).alias("dl"), "h", "t")
-    sized.groupBy("corpus").agg(F.count("*").alias("documents"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).write.parquet(f"{folder}/corpora")
-    total = spark.read.parquet(f"{folder}/corpora").agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    buckets = max(8, -(-total // _BUCKET_ROWS))
-    of = lambda c, name: F.transform(c, lambda x, i: F.struct(F.lit(name).alias("col"), i.cast("int").alias("pos"), x.alias("term")))
-    flat = sized.select("corpus", "doc", "dl", F.inline(F.concat(of(F.col("h"), "declaration_hint"), of(F.col("t"), "text"))))
-    # a term may be in most documents: it is dealt over files by its postings
-    hot = flat.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > _BUCKET_ROWS).select("term", F.ceil(F.col("n") / _BUCKET_ROWS).cast("int").alias("files"))
-    few = hot.limit(_MOST_HOT + 1).count() <= _MOST_HOT
-    marked = flat.join(F.broadcast(hot) if few else hot, "term", "left").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    salted = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("files")), F.lit(0)).cast("int")).drop("files")
-    dealt = salted.repartition(int(min(max(buckets, 2 * total // _BUCKET_ROWS), 20_000)), "bucket", "salt")
-    posts = dealt.groupBy("bucket", "salt", "corpus", "term", "doc", "dl", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions")).drop("salt")
+    held = F.octet_length(F.coalesce("declaration_hint", F.lit(""))) + F.octet_length(F.coalesce("text", F.lit("")))
+    size = stored.agg(F.sum(held.cast("long")).alias("n")).first()["n"] or 0
+    buckets = max(8, -(-size // (_POSTING_BYTES * _BUCKET_ROWS)))
+    posts = _postings(stored.withColumn("corpus", own), int(buckets))
     posts.sortWithinPartitions("bucket", "term", "doc", "col").write.partitionBy("bucket").parquet(f"{folder}/postings")
     write_text(spark, f"{folder}/buckets.json", json.dumps({"buckets": buckets}))
-
-
-def bucket_of(term, buckets: int):
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    parts = stored.select(own.alias("corpus"), F.lit(1).alias("d"), F.lit(0).alias("t"))
+    if size:
+        kept = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+        parts = parts.unionAll(kept.select("corpus", F.lit(0), F.size("positions")))
+    parts.groupBy("corpus").agg(F.sum("d").alias("documents"), F.sum("t").alias("tokens")).write.parquet(f"{folder}/corpora")
+
+
+def _postings(docs: DataFrame, buckets: int) -> DataFrame:
+    """One row per document, column and term, dealt by bucket; ``first`` marks one row of a
+    document's term.  What moves are packed blocks, each of one bucket and some documents."""
+    cut = docs.select("corpus", "doc", tokens(F.col("declaration_hint")).alias("h"), tokens(F.col("text")).alias("t"))
+    blocks = cut.mapInArrow(lambda batches: _gather(batches, buckets), "bucket int, block binary")
+    # a bucket that is too large for a task is split between blocks
+    return blocks.hint("rebalance", int(min(buckets, 20_000)), F.col("bucket")).mapInArrow(_unpacked, POSTINGS)
+
+
+def _gather(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = np.cumsum(sum(pc.list_value_length(batch[c]).to_numpy() for c in "ht"))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + _MOST_TOKENS, "right")))
+            rows = _places(batch.slice(at, end - at), buckets)
+            if rows.num_rows:
+                yield _packed(rows)
+            at = end
+
+
+def _places(docs: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """The places of each document's terms, in order of bucket, term, document and column."""
+    n = docs.num_rows
+    encoded = pa.concat_arrays([docs[c].flatten() for c in "ht"]).dictionary_encode()
+    bucket = np.array([zlib.crc32(t) % buckets for t in encoded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+    code = encoded.indices.to_numpy().astype(np.int64)
+    lengths = np.concatenate([pc.list_value_length(docs[c]).to_numpy() for c in "ht"])
+    doc, col = np.repeat(np.tile(np.arange(n), 2), lengths), np.repeat(np.repeat([0, 1], n), lengths)
+    pos = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # stable: within a term and document the hint's places come first, all in order
+    order = np.argsort((bucket[code] * len(bucket) + code) * n + doc, kind="stable")
+    code, doc, col = code[order], doc[order], col[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (np.diff(code) != 0) | (np.diff(doc) != 0)
+    apart = new.copy()
+    apart[1:] |= np.diff(col) != 0
+    starts = np.flatnonzero(apart)
+    offsets = np.append(starts, len(code)).astype(np.int32)
+    code, doc, dl = code[starts], doc[starts], (lengths[:n] + lengths[n:]).astype(np.int32)
+    made = {
+        "corpus": docs["corpus"].take(pa.array(doc)), "term": encoded.dictionary.take(pa.array(code)), "doc": docs["doc"].take(pa.array(doc)), "dl": pa.array(dl[doc]),
+        "col": pa.array(["declaration_hint", "text"]).take(pa.array(col[starts])), "first": pa.array(new[starts]),
+        "positions": pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[order].astype(np.int32))), "bucket": pa.array(bucket[code].astype(np.int32)),
+    }
+    return pa.RecordBatch.from_pydict(made)
+
+
+def _packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    bucket = rows["bucket"].to_numpy()
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    blocks = []
+    for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+        part, out = rows.slice(a, b - a), pa.BufferOutputStream()
+        small = pa.RecordBatch.from_pydict({c: part[c].dictionary_encode() if pa.types.is_string(part[c].type) else part[c] for c in rows.schema.names})
+        with pa.ipc.new_stream(out, small.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_batch(small)
+        blocks.append(out.getvalue().to_pybytes())
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[starts]), "block": pa.array(blocks, pa.binary())})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch["block"]:
+            for rows in pa.ipc.open_stream(block.as_buffer()):
+                plain = {c: rows[c].dictionary_decode() if pa.types.is_dictionary(rows[c].type) else rows[c] for c in rows.schema.names}
+                yield pa.RecordBatch.from_pydict(plain)
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def check_provenance(meta: dict) -> None:
@@ -149,6 +225,8 @@ class Index:
     def table(self, name: str) -> DataFrame:
         if name == "edges":
             return self.adjacency.edges
+        if name == "postings":
+            return self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/postings")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -161,22 +239,38 @@ class Index:
     def orphans(self, known: DataFrame | None = None) -> DataFrame:
         """Documents of postings that sources lack, or that ``known`` rows of it do."""
         rows = self.sources if known is None else known
-        return self.postings.select("doc").distinct().join(rows.select("doc"), "doc", "left_anti")
+        # 64 documents a word, so what moves doesn't grow with postings or buckets
+        doc = F.coalesce("doc", F.lit(-1))
+        words = self.postings.groupBy(F.shiftright(doc, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(coalesce(doc, -1) & 63 as int))")).alias("bits"))
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("bits", b) == 1)
+        held = words.select("w", F.explode(bits).alias("b")).select((F.col("w") * 64 + F.col("b")).alias("doc"))
+        return held.join(rows.select("doc"), "doc", "left_anti")
 
     def check_orphans(self) -> None:
         require(self.orphans().select(F.lit("orphan posting").alias("rule"), "doc"), BLOCKED_PROJECTION)
 
     def fingerprint(self, meta: dict | None = None) -> str:
         """Of the logical content: rows in any order and files of any layout give the same.
-        Document numbers stand for the rows' ids."""
-        ids = self.sources.select("doc", F.col("id").alias("_id"))
+        Document numbers stand for the rows' places in their order."""
         parts = {name: fingerprint(self.table(name)).first()["fingerprint"] for name in ("nodes", "edges") if self._has(name)}
         parts["sources"] = fingerprint(self.sources.drop("doc")).first()["fingerprint"]
-        posts = self.postings.join(ids, "doc").select("_id", "corpus", "term", "dl", "col", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
-        parts["postings"], parts["corpora"] = (fingerprint(x).first()["fingerprint"] for x in (posts, self.corpora))
+        parts["postings"] = content_sum(self._ranked_postings()).first()["fingerprint"]
+        parts["corpora"] = fingerprint(self.corpora).first()["fingerprint"]
         own = {k: v for k, v in (self.meta if meta is None else meta).items() if k != "fingerprint"}
         return digest({"meta": own, "relations": parts})
 
+    def _ranked_postings(self) -> DataFrame:
+        """Postings with their document's place among sources: numbers begin anew in each file
+        of sources, so a file's first place is all that is added."""
+        part = F.shiftright("doc", 33)
+        files = self.sources.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+        before = list(accumulate((r["n"] for r in files), initial=0))
+        rows = [(r["part"], n) for r, n in zip(files, before, strict=False)]
+        places = self.spark.createDataFrame(rows, "part long, before long")
+        posts = self.postings.drop("bucket").withColumn("part", part).join(F.broadcast(places), "part", "left")
+        rank = F.col("before") + F.col("doc").bitwiseAND(F.lit((1 << 33) - 1))
+        return posts.withColumn("doc", rank).drop("part", "before")
+
     def _has(self, name: str) -> bool:
         from ..scratch import hadoop
 
@@ -200,8 +294,7 @@ class Index:
 
     def term_stats(self) -> DataFrame:
         """corpus, term, df (documents), cf (occurrences)."""
-        per = self.postings.groupBy("corpus", "term", "doc").agg(F.sum(F.size("positions")).alias("f"))
-        return per.groupBy("corpus", "term").agg(F.count("*").alias("df"), F.sum("f").alias("cf"))
+        return self.postings.groupBy("corpus", "term").agg(F.count_if("first").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
     def scores(self, query: str, mode: str = "discovery", *, per_corpus: bool = False) -> DataFrame:
         """corpus, doc, score, n_terms of the matching documents, as a scan would give."""
