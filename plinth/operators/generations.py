@@ -118,9 +118,9 @@ def corpus_violations(corpora: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def envelope_hits(docs: DataFrame, term: str, limit: int = 10, *, descending: bool = False) -> DataFrame:
-    """One row: the first ``limit`` candidates whose text holds the term, in order, as a list
-    and joined by commas.
+def envelope_hits(docs: DataFrame, term: str, limit: int = 10, *, descending: bool = False, listed: bool = True) -> DataFrame:
+    """One row: all candidates whose text holds the term, in order and joined by commas, and the
+    first ``limit`` of them as a list; that alone without ``listed``.
 
     Bounds: 64 characters, 4 words, 10 results.
     """
@@ -129,11 +129,16 @@ def envelope_hits(docs: DataFrame, term: str, limit: int = 10, *, descending: bo
     if limit is None or not 1 <= limit <= 10:
         raise InputError("limit must be 1..10")
     order = F.desc("candidate_id") if descending else F.asc("candidate_id")
-    rows = docs.where(F.contains("body_text", F.lit(term))).select("candidate_id")
-    # only the first rows ever meet
-    first = rows.where("candidate_id is not null").orderBy(order).limit(limit)
-    listed = F.sort_array(F.collect_list("candidate_id"), asc=not descending)
-    return first.agg(listed.alias("hits")).select(F.array_join("hits", ",").alias("listed"), "hits")
+    rows = docs.where(F.contains("body_text", F.lit(term))).select("candidate_id").where("candidate_id is not null")
+    first = rows.orderBy(order).limit(limit)
+    hits = first.agg(F.sort_array(F.collect_list("candidate_id"), asc=not descending).alias("hits"))
+    if not listed:
+        return hits
+    # ranges of the order are joined by themselves; only their texts meet
+    placed = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    parts = placed.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list("candidate_id"), asc=not descending), ",").alias("text"))
+    whole = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), ",").alias("listed"))
+    return whole.crossJoin(F.broadcast(hits))
 
 
 class Store:
@@ -300,7 +305,7 @@ class Store:
         meta = self.log.read(f"{active}/meta.json")
         named = [F.lit(meta[k]).alias(k) for k in ("generation_id", "catalog_sha256", "generation_content_sha256", "projection_schema_version")]
         corpora = availability(self.table(active, "corpora")).drop("generation_id")
-        hits = envelope_hits(self.table(active, "search_docs"), term, limit).drop("listed")
+        hits = envelope_hits(self.table(active, "search_docs"), term, limit, listed=False)
         return self.spark.range(1).select(*named).join(F.broadcast(corpora), F.lit(True), "left").crossJoin(hits)
 
     def status(self) -> dict:
