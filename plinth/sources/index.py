@@ -34,6 +34,7 @@ from ..operators.integrity import require
 from ..scratch import delete, read_text, write_text
 from . import adjacency
 from .adjacency import Adjacency
+from .blocks import BLOCKS, dealt, packed
 from .publish import publish
 
 VERSION = "plinth.index.v2"
@@ -98,9 +99,8 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
     """One row per document, column and term, dealt by bucket; ``first`` marks one row of a
     document's term.  What moves are packed blocks, each of one bucket and some documents."""
     cut = docs.select("corpus", "doc", tokens(F.col("declaration_hint")).alias("h"), tokens(F.col("text")).alias("t"))
-    blocks = cut.mapInArrow(lambda batches: _gather(batches, buckets), "bucket int, block binary")
-    # a bucket that is too large for a task is split between blocks
-    return blocks.hint("rebalance", int(min(buckets, 20_000)), F.col("bucket")).mapInArrow(_unpacked, POSTINGS)
+    blocks = cut.mapInArrow(lambda batches: _gather(batches, buckets), BLOCKS)
+    return dealt(blocks, buckets, POSTINGS)
 
 
 def _gather(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             end = max(at + 1, int(np.searchsorted(sizes, before + _MOST_TOKENS, "right")))
             rows = _places(batch.slice(at, end - at), buckets)
             if rows.num_rows:
-                yield _packed(rows)
+                yield packed(rows)
             at = end
 
 
@@ -143,27 +143,6 @@ def _places(docs: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(made)
 
 
-def _packed(rows: pa.RecordBatch) -> pa.RecordBatch:
-    bucket = rows["bucket"].to_numpy()
-    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    blocks = []
-    for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
-        part, out = rows.slice(a, b - a), pa.BufferOutputStream()
-        small = pa.RecordBatch.from_pydict({c: part[c].dictionary_encode() if pa.types.is_string(part[c].type) else part[c] for c in rows.schema.names})
-        with pa.ipc.new_stream(out, small.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-            to.write_batch(small)
-        blocks.append(out.getvalue().to_pybytes())
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[starts]), "block": pa.array(blocks, pa.binary())})
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in batch["block"]:
-            for rows in pa.ipc.open_stream(block.as_buffer()):
-                plain = {c: rows[c].dictionary_decode() if pa.types.is_dictionary(rows[c].type) else rows[c] for c in rows.schema.names}
-                yield pa.RecordBatch.from_pydict(plain)
-
-
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
