@@ -8,8 +8,6 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import store
-
 
 def row_digests(df: DataFrame, *columns: str, keep: str | None = None) -> DataFrame:
     """A digest per row over the named columns (with the column ``keep`` as it is); nulls differ
@@ -30,12 +28,14 @@ def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     with the rows, so no task holds more than a bucket.
     """
     spark = df.sparkSession
-    digests = store(row_digests(df, *columns), "digests")
-    rows, levels = digests.count(), 1
+    rows, levels = df.count(), 1
     while _FAN**levels * _BUCKET_ROWS < rows:
         levels += 1
     lead = F.conv(F.substring("digest", 1, 3 * levels), 16, 10).cast("long")
-    state = digests.groupBy(lead.alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("d"))
+    # digests move as bytes, which sort as their texts do
+    digests = row_digests(df, *columns).select(lead.alias("b"), F.unhex("digest").alias("digest"))
+    texts = F.transform(F.sort_array(F.collect_list("digest")), lambda x: F.lower(F.hex(x)))
+    state = digests.groupBy("b").agg(F.sha2(F.array_join(texts, ""), 256).alias("d"))
     for _ in range(levels):
         parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: F.concat((x["b"] % _FAN).cast("string"), F.lit(":"), x["d"])), ",")
         state = state.groupBy(F.floor(F.col("b") / _FAN).alias("up")).agg(F.sha2(parts, 256).alias("d")).withColumnRenamed("up", "b")
