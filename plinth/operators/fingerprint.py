@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,16 +43,21 @@ def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     return empty.join(F.broadcast(state.select("d")), F.lit(True), "left").select(F.lit(rows).cast("long").alias("rows"), F.coalesce("d", "empty").alias("fingerprint"))
 
 
+def digest_sums(digest: Column) -> list[Column]:
+    """Sums over rows of four hashes of a digest as texts, in three parts each so that the sums of
+    any number of rows are exact."""
+    hashes = [F.xxhash64(F.lit(k), digest) for k in range(4)]
+    low, mid = (1 << 22) - 1, (1 << 21) - 1
+    sums = [F.sum(x) for h in hashes for x in (F.shiftright(h, 43), F.shiftright(h, 22).bitwiseAND(F.lit(mid)), h.bitwiseAND(F.lit(low)))]
+    return [F.coalesce(x, F.lit(0)).cast("string") for x in sums]
+
+
 def content_sum(df: DataFrame, *columns: str) -> DataFrame:
     """One row (rows, fingerprint) of a very large relation, without moving a row.
 
-    Four hashes of each row's digest are summed, in three parts each so that the sums of any
-    number of rows are exact; repeated rows count.
+    Four hashes of each row's digest are summed; repeated rows count.
     """
-    hashes = [F.xxhash64(F.lit(k), F.col("digest")) for k in range(4)]
-    low, mid = (1 << 22) - 1, (1 << 21) - 1
-    sums = [F.sum(x) for h in hashes for x in (F.shiftright(h, 43), F.shiftright(h, 22).bitwiseAND(F.lit(mid)), h.bitwiseAND(F.lit(low)))]
-    told = F.concat_ws(",", F.count("*").cast("string"), *[F.coalesce(x, F.lit(0)).cast("string") for x in sums])
+    told = F.concat_ws(",", F.count("*").cast("string"), *digest_sums(F.col("digest")))
     return row_digests(df, *columns).agg(F.count("*").alias("rows"), F.sha2(told, 256).alias("fingerprint"))
 
 

@@ -3,8 +3,8 @@
     meta.json                  key, columns, lower bounds of the ranges, fan, version folder
     <version>/level=<k>/       node, parent, rows, digest; level 0 are the ranges
 
-A range's digest is that of the sums of its rows' SHA-256 values, so it depends on neither order
-nor layout and is made by partial sums.  A node's digest is that of its children's.  Two trees
+A range's digest is that of sums of hashes of its rows' SHA-256 values, so it depends on neither
+order nor layout and is made by partial sums.  A node's digest is that of its children's.  Two trees
 over the same ranges are compared from the top, reading only the children of nodes that differ,
 so one changed row is found by one path.  After a change only the ranges that hold changed keys
 are read again.
@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from ..errors import BLOCKED_PROJECTION, PlinthError
 from ..scratch import delete, read_text, write_text
-from .fingerprint import row_digests
+from .fingerprint import digest_sums, row_digests
 
 #: Rows that a range is to hold at first, ranges at most (their bounds are kept on the driver) and
 #: children of a node.
 _RANGE_ROWS, _MOST_RANGES, _FAN = 1 << 16, 1 << 16, 64
-#: Hexadecimal digits of a digest that are summed together.
-_LIMB = 13
+#: How digests are summed, and bounds that a key is compared with in the JVM.
+_SUMS, _FEW_BOUNDS = "xxhash64x4", 64
 
 
 def split_points(df: DataFrame, key: str, *, range_rows: int = _RANGE_ROWS) -> list[str]:
@@ -43,13 +43,16 @@ def split_points(df: DataFrame, key: str, *, range_rows: int = _RANGE_ROWS) -> l
 
 def range_of(key: Column, bounds: list[str]) -> Column:
     """The number of the range that a key lies in, by code points; null keys lie in the first."""
+    if len(bounds) <= _FEW_BOUNDS:
+        above = [F.coalesce((key.cast("string") >= F.lit(b)).cast("int"), F.lit(0)) for b in bounds[1:]]
+        return sum(above, F.lit(0))
     points = [b.encode() for b in bounds]
 
     @F.pandas_udf("int")
     def find(keys: pd.Series) -> pd.Series:
         return keys.map(lambda k: 0 if k is None else bisect_right(points, k.encode()) - 1).astype("int32")
 
-    return F.lit(0) if len(bounds) == 1 else find(key.cast("string"))
+    return find(key.cast("string"))
 
 
 def _ranges(df: DataFrame, key: str, columns: list[str], bounds: list[str]) -> DataFrame:
@@ -57,8 +60,7 @@ def _ranges(df: DataFrame, key: str, columns: list[str], bounds: list[str]) -> D
     at = unique_name(df, "_node")
     marked = df.withColumn(at, range_of(F.col(key), bounds))
     hashed = row_digests(marked, *columns, keep=at).withColumnRenamed(at, "node")
-    limbs = [F.sum(F.conv(F.substring("digest", k + 1, _LIMB), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(0, 64, _LIMB)]
-    return hashed.groupBy("node").agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", *limbs), 256).alias("digest"))
+    return hashed.groupBy("node").agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", *digest_sums(F.col("digest"))), 256).alias("digest"))
 
 
 def unique_name(df: DataFrame, name: str) -> str:
@@ -74,7 +76,7 @@ def build(df: DataFrame, key: str, folder: str, *, columns: list[str] | None = N
     if len(bounds) > _MOST_RANGES:
         raise ValueError(f"more than {_MOST_RANGES} ranges")
     columns = sorted(columns or df.columns)
-    tree = FingerTree(df.sparkSession, folder, {"key": key, "columns": columns, "bounds": bounds, "fan": fan})
+    tree = FingerTree(df.sparkSession, folder, {"key": key, "columns": columns, "bounds": bounds, "fan": fan, "sums": _SUMS})
     tree._write(_ranges(df, key, columns, bounds))
     return tree
 
@@ -89,6 +91,8 @@ class FingerTree:
             if text is None:
                 raise PlinthError(BLOCKED_PROJECTION, f"no fingerprint tree in {folder}")
             meta = json.loads(text)
+        if meta.get("sums") != _SUMS:
+            raise PlinthError(BLOCKED_PROJECTION, f"the tree in {folder} sums digests in another way")
         self.meta = meta
 
     @property
