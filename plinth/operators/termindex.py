@@ -10,15 +10,20 @@ order of the result, and reading stops once the limit is reached.  Lists of docu
 without an exact identity are apart, as the latter come last.  What a row is exactly, its
 identity and its candidate, are lists too, under names that no word has.
 
-A query reads the buckets of its terms only.  A term of very many documents is dealt over files
-by its count, so neither a task nor a file holds all of it.
+A query reads the buckets of its terms only.  Texts are cut once, and lists move as packed blocks
+of some documents; they are put together by bucket and part of the documents, so neither a task nor
+a file holds all of a term of very many documents.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +35,10 @@ _EXACT = "="
 #: Documents of a span, postings that a bucket or a file is to hold, and spans read at first
 #: when lists are intersected.
 _SPAN, _BUCKET_ROWS, _FIRST_SPANS = 1 << 16, 4 << 20, 8
-#: Rows of a table that may travel: a hot term fills a bucket, so there are few.
-_MOST_HOT = 1 << 18
+#: Spans of a part: lists of a bucket are put together in parts, so no task holds all of a hot
+#: term.  Bytes of text that a posting stands for, and lists that are handed over at once.
+_PART_SPANS, _POSTING_BYTES, _MOST_LISTS = 16, 8, 1 << 14
+BLOCKS = "term string, named boolean, span long, n long, docs array<long>, bucket int"
 
 
 def words(text: Column) -> Column:
@@ -50,19 +57,70 @@ def build(docs: DataFrame, folder: str, *, words: Callable[[Column], Column] = w
     docs.orderBy(*order).withColumn("doc", F.monotonically_increasing_id()).write.parquet(f"{folder}/docs")
     stored = spark.read.parquet(f"{folder}/docs")
     keys = F.array_compact(F.array(*[F.concat(F.lit(_EXACT), F.col(c)) for c in ("exact_identity", "candidate_id")]))
-    flat = stored.select("doc", F.col("exact_identity").isNotNull().alias("named"), F.explode(F.concat(words(F.col("body_text")), F.array_distinct(keys))).alias("term"))
-    counts = flat.groupBy("term").agg(F.count("*").alias("n")).persist()
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    buckets = max(8, -(-total // bucket_rows))
-    hot = counts.where(F.col("n") > bucket_rows).select("term", F.ceil(F.col("n") / bucket_rows).cast("int").alias("files"))
-    few = hot.limit(_MOST_HOT + 1).count() <= _MOST_HOT
-    dealt = flat.withColumn("span", F.floor(F.col("doc") / span)).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    dealt = dealt.join(F.broadcast(hot) if few else hot, "term", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("span"), F.col("files")), F.lit(0))).drop("files")
-    spread = dealt.repartition(int(min(max(buckets, total // bucket_rows), 20_000)), "bucket", "part")
-    blocks = spread.groupBy("bucket", "part", "term", "named", "span").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("doc")).alias("docs")).drop("part")
+    size = stored.agg(F.sum(F.octet_length(F.coalesce("body_text", F.lit(""))).cast("long")).alias("bytes"), F.count("*").alias("docs")).first()
+    buckets = int(max(8, -(-((size["bytes"] or 0) // _POSTING_BYTES + 2 * size["docs"]) // bucket_rows)))
+    cut = stored.select("doc", F.col("exact_identity").isNotNull().alias("named"), F.concat(words(F.col("body_text")), F.array_distinct(keys)).alias("terms"))
+    cut = cut.withColumn("buckets", F.transform("terms", lambda t: bucket_of(t, buckets)))
+    moved = cut.mapInArrow(lambda batches: _gather(batches, span * _PART_SPANS), "bucket int, part long, block binary")
+    spread = moved.repartition(min(buckets, 20_000), "bucket", "part").sortWithinPartitions("bucket", "part")
+    blocks = spread.mapInArrow(lambda batches: _merge(batches, span), BLOCKS)
     blocks.sortWithinPartitions("bucket", "term", "named", "span").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-    counts.unpersist()
-    return {"buckets": int(buckets), "postings": int(total)}
+    total = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return {"buckets": buckets, "postings": int(total)}
+
+
+def _gather(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the lists that a batch's documents have, each of one bucket and of one part of
+    ``width`` document numbers: term, named and the numbers, as differences."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch["terms"]).to_numpy()
+        encoded = batch["terms"].flatten().dictionary_encode()
+        if not len(encoded):
+            continue
+        code, bucket = encoded.indices.to_numpy(), batch["buckets"].flatten().to_numpy()
+        doc = np.repeat(batch["doc"].to_numpy(), lengths)
+        named, part = np.repeat(batch["named"].to_numpy(zero_copy_only=False), lengths), doc // width
+        order = np.lexsort((doc, named, code, part, bucket))
+        code, bucket, doc, named, part = (x[order] for x in (code, bucket, doc, named, part))
+        group = _starts(bucket, part)
+        for a, b in zip(group, [*group[1:], len(code)], strict=True):
+            first = _starts(code[a:b], named[a:b])
+            step = pa.array(np.diff(doc[a:b], prepend=0))
+            docs = pa.ListArray.from_arrays(pa.array(np.append(first, b - a).astype(np.int32)), step)
+            rows = pa.RecordBatch.from_pydict({"term": encoded.dictionary.take(pa.array(code[a:b][first])), "named": pa.array(named[a:b][first]), "docs": docs})
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_batch(rows)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[a])], pa.int32()), "part": pa.array([int(part[a])], pa.int64()), "block": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _merge(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """The lists by spans, of blocks in order of bucket and part."""
+    rows = ((b, p, x) for batch in batches for b, p, x in zip(batch["bucket"].to_pylist(), batch["part"].to_pylist(), batch["block"], strict=True))
+    for (bucket, _), group in groupby(rows, key=lambda r: r[:2]):
+        held = [part for _, _, x in group for part in pa.ipc.open_stream(x.as_buffer())]
+        encoded = pa.concat_arrays([x["term"] for x in held]).dictionary_encode()
+        lengths = np.concatenate([pc.list_value_length(x["docs"]).to_numpy() for x in held])
+        doc = np.concatenate([np.cumsum(x["docs"].flatten().to_numpy()) for x in held])
+        code = np.repeat(encoded.indices.to_numpy(), lengths)
+        named = np.repeat(np.concatenate([x["named"].to_numpy(zero_copy_only=False) for x in held]), lengths)
+        order = np.lexsort((doc, named, code))
+        code, doc, named = code[order], doc[order], named[order]
+        first = _starts(code, named, doc // span)
+        offsets = np.append(first, len(doc)).astype(np.int32)
+        made = {
+            "term": encoded.dictionary.take(pa.array(code[first])), "named": pa.array(named[first]), "span": pa.array(doc[first] // span), "n": pa.array(np.diff(offsets).astype(np.int64)),
+            "docs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc)), "bucket": pa.array(np.full(len(first), bucket, np.int32)),
+        }
+        whole = pa.RecordBatch.from_pydict(made)
+        yield from (whole.slice(k, _MOST_LISTS) for k in range(0, whole.num_rows, _MOST_LISTS))
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -85,8 +143,7 @@ class TermIndex:
 
     @property
     def blocks(self) -> DataFrame:
-        kind = "term string, named boolean, span long, n long, docs array<long>, bucket int"
-        return self.spark.read.schema(kind).parquet(f"{self.folder}/blocks")
+        return self.spark.read.schema(BLOCKS).parquet(f"{self.folder}/blocks")
 
     def lists(self, terms: list[str]) -> DataFrame:
         """Blocks of the terms' lists: their buckets, and there their row groups."""
