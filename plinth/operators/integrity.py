@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import BLOCKED_ARTIFACT, PlinthError
 from ..functions.text import hex_digest, in_scope, module_path
 from ..schemas import EDGE_KEY, ID_PREFIX, RELATIONS
+from ..scratch import sent, store
 from .normalize import duplicates
 
 
@@ -18,7 +19,12 @@ def _rows(df: DataFrame, rule: str, key: Column, broken: Column, detail: str) ->
 
 
 def unique_violations(df: DataFrame, rule: str, keys: list[str]) -> DataFrame:
-    return duplicates(df, *keys).select(F.lit(rule).alias("rule"), F.concat_ws("|", *keys).alias("key"), F.lit("occurs more than once").alias("detail"))
+    """Keys that occur more than once.  Hashes of keys are counted first, which are a fraction of the
+    keys; only the rows of repeated hashes are counted by the keys themselves."""
+    told = df.select(*keys, F.xxhash64(*keys).alias("_h"))
+    twice = store(told.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"), "twice")
+    met = told.join(sent(twice), "_h", "left_semi")
+    return duplicates(met, *keys).select(F.lit(rule).alias("rule"), F.concat_ws("|", *keys).alias("key"), F.lit("occurs more than once").alias("detail"))
 
 
 def id_violations(nodes: DataFrame) -> DataFrame:
