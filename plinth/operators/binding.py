@@ -64,8 +64,9 @@ def bind_by_suffix(nodes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def restrict_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which both ends are there."""
-    ids = nodes.select("id").distinct()
+    """Edges of which both ends are there.  The ids of a partition are hashed, so the far more
+    numerous edges aren't sorted."""
+    ids = nodes.select("id").distinct().hint("shuffle_hash")
     return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*edges.columns)
 
 
