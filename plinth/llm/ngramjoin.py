@@ -37,7 +37,12 @@ PART = 4 / 3
 #: n-gram occurrences a fragment is to hold, and segments and n-grams in a block of a large
 #: fragment.
 FRAGMENT = 300_000
-BLOCK, BLOCK_GRAMS = 2_000, 8_000_000
+BLOCK, BLOCK_GRAMS = 4_000, 4_000_000
+#: Comparisons with one holder of each n-gram; others of one from which on they are counted
+#: together, and n-grams compared at once else.
+_TURNS, _MANY, _AT_ONCE = 3, 16, 1 << 21
+#: Leading bits of the global order by which n-grams are counted to cut it.
+_CUT_BITS = 16
 #: Bytes of a fragment after which a worker gives its memory back.
 _LARGE_FRAME = 4 << 20
 
@@ -118,97 +123,196 @@ def _need(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-class _Forest:
+class _Trees:
+    """Trees of a forest over n items: ``label`` tells the tree of each."""
+
     def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return int(i)
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
-        while not np.array_equal(up := p[p], p):
-            p = up
-        self.parent = p
-        return p
-
-    def join(self, i: int, js: np.ndarray) -> list[int]:
-        """Hangs the trees of ``js`` to that of i; returns the ones that hung apart."""
+        self.label = np.arange(n)
+        self._of: dict[int, list[int]] = {}
+
+    def join(self, x: int, ys: np.ndarray) -> list[int]:
+        """Hangs the trees of ``ys`` to that of x; returns the ones that hung apart."""
         out = []
-        for j in js.tolist():
-            a, b = self.root(i), self.root(j)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                out.append(j)
+        ys = ys[self.label[ys] != self.label[x]]
+        while len(ys):
+            y = int(ys[0])
+            a, b = int(self.label[x]), int(self.label[y])
+            mine, theirs = self._of.pop(a, [a]), self._of.pop(b, [b])
+            if len(mine) < len(theirs):
+                a, b, mine, theirs = b, a, theirs, mine
+            self.label[theirs] = a
+            mine.extend(theirs)
+            self._of[a] = mine
+            out.append(y)
+            ys = ys[self.label[ys] != self.label[x]]
         return out
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    length = ends - starts
+    return np.repeat(starts - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+
+
+class _Holders:
+    """The segments that hold each n-gram; ``token`` ascends.
+
+    Lists of n-grams that a good part of the segments hold are bits, so near copies are
+    counted 64 n-grams at once; these bits take no more room than the lists.
+    """
+
+    def __init__(self, token: np.ndarray, own: np.ndarray, kinds: int, m: int):
+        self.own, self.m = own, m
+        self.edge = np.searchsorted(token, np.arange(kinds + 1))
+        self.often = np.diff(self.edge) * 32 >= max(m, 128)
+        many = np.flatnonzero(self.often)
+        self.bits = np.zeros((-(-len(many) // 64), m), np.uint64)
+        for k in range(len(self.bits)):
+            some = many[64 * k : 64 * k + 64]
+            block = np.zeros((m, 64), bool)
+            block[own[_ranges(self.edge[some], self.edge[some + 1])], np.repeat(np.arange(len(some)), self.edge[some + 1] - self.edge[some])] = True
+            self.bits[k] = np.packbits(block, axis=1).view(np.uint64)[:, 0]
+
+    def common(self, x: int, mine: np.ndarray) -> np.ndarray:
+        """How many n-grams of x, which are ``mine``, each segment holds."""
+        mine = mine[~self.often[mine]]
+        some = np.bincount(self.own[_ranges(self.edge[mine], self.edge[mine + 1])], minlength=self.m)
+        return some + np.bitwise_count(self.bits & self.bits[:, x : x + 1]).sum(axis=0, dtype=np.int64)
+
+
+class _Segments:
+    """The segments of one fragment (or of two of its blocks), and which of them to compare."""
+
+    def __init__(self, frame: pa.Table, percent: int):
+        frame = frame.combine_chunks()
+        self.percent, self.m = percent, frame.num_rows
+        self.n, r, self.block, self.dg, self.front = (frame.column(c).to_numpy() for c in ("n", "r", "block", "dg", "lead"))
+        seg = pa.concat_arrays(frame.column("seg").chunks) if self.m else pa.array([], pa.list_(pa.int64()))
+        self.length = np.diff(seg.offsets.to_numpy()).astype(np.int64)
+        self.first = np.append(0, np.cumsum(self.length))
+        self.rest = r - self.length
+        _, self.token = np.unique(seg.flatten().to_numpy(), return_inverse=True)
+        self.kinds = int(self.token.max(initial=-1)) + 1
+        own = np.repeat(np.arange(self.m), self.length)
+        order = np.argsort(self.token, kind="stable")
+        token, own, place = self.token[order], own[order], np.arange(len(own))[order] - self.first[own[order]]
+        self.all = _Holders(token, own, self.kinds, self.m)
+        front = place < self.front[own]
+        self.lead_token = token[front]
+        self.lead = _Holders(self.lead_token, own[front], self.kinds, self.m)
+        self.two = len(np.unique(self.block)) > 1
+
+    def apt(self, x, y) -> np.ndarray:
+        """Whether sizes allow a link, and the pair is this task's."""
+        n = self.n
+        fit = (100 * n[y] >= self.percent * n[x]) & (100 * n[x] >= self.percent * n[y])
+        return fit & (self.block[x] != self.block[y]) if self.two else fit
+
+    def near(self, x: int) -> np.ndarray:
+        """Whether each segment has an n-gram of both prefixes in common with x."""
+        return self.lead.common(x, self.token[self.first[x] : self.first[x] + self.front[x]]) > 0
+
+    def overlap(self, x: int) -> np.ndarray:
+        """Common n-grams of x with each segment."""
+        return self.all.common(x, self.token[self.first[x] : self.first[x + 1]])
+
+    def overlaps(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Common n-grams of each of these pairs, which ascend by x."""
+        out = np.zeros(len(xs), np.int64)
+        edges = np.append(np.flatnonzero(np.append(True, xs[1:] != xs[:-1])[: len(xs)]), len(xs))
+        often = np.diff(edges) >= _MANY
+        for lo, hi in zip(edges[:-1][often], edges[1:][often], strict=True):
+            out[lo:hi] = self.overlap(int(xs[lo]))[ys[lo:hi]]
+        few = np.flatnonzero(~np.repeat(often, np.diff(edges)))
+        xs, ys = xs[few], ys[few]
+        at = np.append(0, np.cumsum(self.length[xs] + self.length[ys]))
+        lo = 0
+        while lo < len(xs):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _AT_ONCE, side="right")) - 1)
+            keys = []
+            for side in (xs[lo:hi], ys[lo:hi]):
+                pair = np.repeat(np.arange(hi - lo), self.length[side])
+                keys.append(pair * self.kinds + self.token[_ranges(self.first[side], self.first[side + 1])])
+            both = np.sort(np.concatenate(keys))
+            out[few[lo:hi]] = np.bincount(both[1:][both[1:] == both[:-1]] // max(1, self.kinds), minlength=hi - lo)
+            lo = hi
+        return out
+
+    def stars(self, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one holder of each n-gram and its other holders, ascending.  It is the first
+        in an order of the segments, another in each turn, so near copies have few such holders."""
+        order = np.argsort(tk.mix(np.arange(self.m, dtype=np.uint64) + np.uint64(turn << 40)))
+        place = np.argsort(order)
+        held = np.flatnonzero(np.diff(self.lead.edge))
+        hub = np.zeros(self.kinds, np.int64)
+        if len(held):
+            hub[held] = order[np.minimum.reduceat(place[self.lead.own], self.lead.edge[held])]
+        pairs = np.unique(hub[self.lead_token] * self.m + self.lead.own)
+        return pairs // max(1, self.m), pairs % max(1, self.m)
+
+    def apart(self, label: np.ndarray) -> np.ndarray:
+        """Segments to look for others at: of each n-gram with holders in several trees, those
+        outside its largest tree."""
+        key, count = np.unique(self.lead_token * self.m + label[self.lead.own], return_counts=True)
+        token = key // max(1, self.m)
+        order = np.lexsort((count, token))
+        last = np.append(token[1:] != token[:-1], True)[: len(token)]
+        largest = np.full(self.kinds, -1)
+        largest[token[last]] = key[order][last] % max(1, self.m)
+        return np.unique(self.lead.own[label[self.lead.own] != largest[self.lead_token]])
+
+
 def settle(frame: pa.Table, percent: int) -> pa.Table:
     """Partial overlaps of one fragment (or of two of its blocks).
 
     ``frame``: block, dg, n (set size), r (n-grams that some other class has), seg (those in
     this fragment), lead (how many of them, at the front, are in the class's prefix).
     Returns sure links as a forest (sure = True) and pairs that need the other fragments.
+
+    Near copies come together by comparing all holders of an n-gram with one of them; after
+    that only holders in different trees are compared.
     """
-    frame = frame.combine_chunks()
-    m = frame.num_rows
-    n, r, block, dg, lead_n = (frame.column(c).to_numpy() for c in ("n", "r", "block", "dg", "lead"))
-    seg = pa.concat_arrays(frame.column("seg").chunks) if m else pa.array([], pa.list_(pa.int64()))
-    two = len(np.unique(block)) > 1
-    flat = seg.flatten().to_numpy()
-    length = np.diff(seg.offsets.to_numpy()).astype(np.int64)
-    _, token = np.unique(flat, return_inverse=True)
-    first = np.append(0, np.cumsum(length))
-    own = np.repeat(np.arange(m), length)
-    lead = (np.arange(len(flat)) - first[:-1][own]) < lead_n[own]
-    rest = r - length
-    order = np.lexsort((own, token))
-    posting, edge = own[order], np.searchsorted(token[order], np.arange(token.max(initial=-1) + 2))
-    lead_order = order[lead[order]]
-    lead_posting, lead_edge = own[lead_order], np.searchsorted(token[lead_order], np.arange(token.max(initial=-1) + 2))
-    forest = _Forest(m)
-    sure, unsure, held = [], [], 0
-    for x in range(m):
-        mine = token[first[x] : first[x + 1]]
-        front = mine[lead[first[x] : first[x + 1]]]
-        near = [lead_posting[lead_edge[t] : lead_edge[t + 1]] for t in front]
-        if not near or sum(map(len, near)) <= len(near):
-            continue
-        ys = np.unique(np.concatenate(near))
-        ys = ys[ys > x]
-        if two:
-            ys = ys[block[ys] != block[x]]
-        ys = ys[(100 * n[ys] >= percent * n[x]) & (100 * n[x] >= percent * n[ys])]
+    s = _Segments(frame, percent)
+    trees, sure = _Trees(s.m), []
+    for turn in range(_TURNS):
+        xs, ys = s.stars(turn)
+        open_ = (trees.label[xs] != trees.label[ys]) & s.apt(xs, ys)
+        xs, ys = xs[open_], ys[open_]
+        linked = s.overlaps(xs, ys) >= _need(s.n[xs], s.n[ys], percent)
+        for x, y in zip(xs[linked].tolist(), ys[linked].tolist(), strict=True):
+            if trees.label[x] != trees.label[y]:
+                sure += [(x, k) for k in trees.join(x, np.array([y]))]
+    unsure, held = [], 0
+    for x in s.apart(trees.label).tolist():
+        ys = np.flatnonzero(s.near(x) & (trees.label != trees.label[x]))
+        ys = ys[s.apt(x, ys)]
         if not len(ys):
             continue
-        overlap = np.bincount(np.concatenate([posting[edge[t] : edge[t + 1]] for t in mine]), minlength=m)[ys]
-        need = _need(n[x], n[ys], percent)
-        linked = overlap >= need
-        for y in forest.join(x, ys[linked]):
-            sure.append((x, y))
-        open_ = ~linked & (overlap + np.minimum(rest[x], rest[ys]) >= need)
+        overlap = s.overlap(x)[ys]
+        need = _need(s.n[x], s.n[ys], percent)
+        sure += [(x, y) for y in trees.join(x, ys[overlap >= need])]
+        open_ = (trees.label[ys] != trees.label[x]) & (overlap + np.minimum(s.rest[x], s.rest[ys]) >= need)
         if open_.any():
-            unsure.append(np.stack([np.full(int(open_.sum()), x), ys[open_]], 1))
-            held += len(unsure[-1])
+            ys = ys[open_]
+            unsure.append(np.stack([np.minimum(x, ys), np.maximum(x, ys)], 1))
+            held += len(ys)
             if held > 500_000:
                 # what has come together meanwhile needs no more counting
                 late = np.concatenate(unsure)
-                root = forest.roots()
-                unsure = [late[root[late[:, 0]] != root[late[:, 1]]]]
+                unsure = [late[trees.label[late[:, 0]] != trees.label[late[:, 1]]]]
                 held = 0
     pairs = np.array(sure, np.int64).reshape(-1, 2)
-    if unsure:
-        late = np.concatenate(unsure)
-        root = forest.roots()
-        late = late[root[late[:, 0]] != root[late[:, 1]]]
-    else:
-        late = np.zeros((0, 2), np.int64)
-    both = np.concatenate([pairs, late])
-    return pa.table({"x": dg[both[:, 0]], "y": dg[both[:, 1]], "sure": np.arange(len(both)) < len(pairs)})
+    late = np.concatenate([np.zeros((0, 2), np.int64), *unsure])
+    late = np.unique(late[trees.label[late[:, 0]] != trees.label[late[:, 1]]], axis=0)
+    x, y = s.dg[np.concatenate([pairs, late])].T
+    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), "sure": np.arange(len(x)) < len(pairs)})
+
+
+def _cuts(steps: list[tuple[int, int]], fragment: int) -> pa.Table:
+    """The fragment (part) of each step of the global order, from the n-grams of each step."""
+    steps = sorted(map(tuple, steps))
+    before = np.append(0, np.cumsum([count for _, count in steps]))[:-1]
+    return pa.table({"step": pa.array([step for step, _ in steps], pa.int32()), "part": pa.array(before // fragment, pa.int64())})
 
 
 def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, fragment: int = FRAGMENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -238,19 +342,23 @@ def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, f
     some = some.withColumn("near", F.array_min(F.transform(F.slice("grams", 1, F.col("lead")), lambda g: g["near"])))
     some = materialize(some.withColumn("grams", F.col("grams.h")), "join-able")
     discard(spark, rows)
-    mass = some.agg(F.sum("r")).first()[0] or 0
-    cuts = max(1, -(-mass // fragment))
     flat = some.select("dg", "n", "r", "near", "lead", F.posexplode("grams").alias("pos", "h")).select("dg", "n", "r", "near", "h", "pos", (F.col("pos") < F.col("lead")).alias("lead"))
-    # the global order: by the smallest class near an n-gram; fragments are ranges of it
-    order = flat.groupBy("h").agg(F.min("near").alias("near"))
-    part = F.floor(F.shiftrightunsigned("near", 33) * F.lit(cuts) / F.lit(float(1 << 31)))
-    placed = flat.drop("near").join(order, "h").select("dg", "n", "r", "h", "pos", "lead", part.alias("part"))
+    # the global order: by the smallest class near an n-gram; fragments are ranges of it that
+    # hold about as many n-grams
+    order = flat.groupBy("h").agg(F.shiftright(F.min("near"), 64 - _CUT_BITS).cast("int").alias("step"), F.count("*").alias("c"))
+    ordered = materialize(order, "join-order")
+    parts = spark.createDataFrame(_cuts(ordered.groupBy("step").agg(F.sum("c")).collect(), fragment))
+    order = ordered.join(F.broadcast(parts), "step").select("h", "part")
+    placed = flat.drop("near").join(order, "h").select("dg", "n", "r", "h", "pos", "lead", "part")
     segs = placed.groupBy("part", "dg").agg(F.first("n").alias("n"), F.first("r").alias("r"), F.sum(F.col("lead").cast("int")).alias("lead"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("seg"))
     segs = materialize(segs.withColumn("seg", F.col("seg.h")), "join-segments")
-    discard(spark, some)
-    # large fragments are dealt out as pairs of blocks
-    counts = segs.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum(F.size("seg")) / F.lit(block_grams))).alias("blocks"))
-    dealt = segs.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("dg"), F.col("blocks")).cast("int"))
+    discard(spark, some, ordered)
+    # a candidate shares an n-gram of both prefixes, so a fragment compares only segments that
+    # have some; large fragments are dealt out as pairs of blocks.  Their list is short and
+    # travels, as a join by part would leave all blocks of a fragment in one task
+    led = segs.where("lead > 0")
+    counts = led.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum(F.size("seg")) / F.lit(block_grams))).alias("blocks"))
+    dealt = led.join(F.broadcast(counts), "part").withColumn("block", F.pmod(F.xxhash64("dg"), F.col("blocks")).cast("int"))
     other = F.explode(F.expr("sequence(0, cast(blocks as int) - 1)"))
     dealt = dealt.withColumn("with", other).withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plinth.llm import decontam, langid, ngramjoin, packing, quality, textkernel, toxicity
@@ -366,3 +368,68 @@ def test_ngram_join_in_small_blocks(spark, monkeypatch, block, grams):
                 if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                     want[i] = want[j] = min(want[i], want[j])
     assert [got[k] for k in range(40)] == want
+
+
+def near_copies(count, size, changed):
+    """Segments of near copies, as one fragment that holds all their n-grams: ``size`` n-grams,
+    of which each copy lacks up to ``changed``, and has others that two copies have."""
+    r = random.Random(5)
+    held = [set(range(size)) - set(r.sample(range(size), r.randint(0, changed))) for _ in range(count)]
+    for k, one in enumerate(held):
+        one |= {size + k // 2, size + count + r.randrange(count)}
+    often = Counter(h for one in held for h in one)
+    held = [sorted((h for h in one if often[h] > 1), key=lambda h: (often[h], h)) for one in held]
+    n = [len(one) for one in held]
+    lead = [k - -(-85 * k // 100) + 1 for k in n]
+    return held, {"block": pa.array([0] * count, pa.int32()), "dg": pa.array(range(count), pa.int64()), "n": pa.array(n, pa.int64()), "r": pa.array(n, pa.int64()), "lead": pa.array(lead, pa.int64()), "seg": pa.array(held, pa.list_(pa.int64()))}
+
+
+def linked_to(pairs, count):
+    root = list(range(count))
+    for _ in range(count):
+        before = list(root)
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    return root
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_fragment_of_near_copies(blocks):
+    count = 300
+    held, frame = near_copies(count, 120, 16)
+    block = [k % blocks for k in range(count)]
+    got = ngramjoin.settle(pa.table(frame | {"block": pa.array(block, pa.int32())}), 85).to_pylist()
+    sets = [set(one) for one in held]
+    links = [(x, y) for x in range(count) for y in range(x) if (blocks == 1 or block[x] != block[y]) and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])]
+    assert 0 < len(links) < count * (count - 1) // 4 and len(set(linked_to(links, count))) > 1
+    assert all(p["sure"] and p["x"] < p["y"] for p in got) and linked_to([(p["x"], p["y"]) for p in got], count) == linked_to(links, count)
+    assert ngramjoin.settle(pa.table(frame).slice(0, 0), 85).num_rows == 0
+
+
+def test_fragment_of_many_near_copies_takes_no_time_of_all_pairs():
+    _, frame = near_copies(4_000, 300, 40)
+    began = time.process_time()
+    assert ngramjoin.settle(pa.table(frame), 85).num_rows
+    assert time.process_time() - began < 20
+
+
+def test_blocks_of_a_fragment_go_to_tasks_of_their_own(spark, monkeypatch):
+    plans, store = {}, ngramjoin.materialize
+    monkeypatch.setattr(ngramjoin, "materialize", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), store(df, name))[1])
+    monkeypatch.setitem(ngramjoin.class_links.__kwdefaults__, "block", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [f"w{k}" for k in range(60)]
+        d = spark.createDataFrame([(k, " ".join([*words[:k], "x", *words[k:]])) for k in range(20)], "doc_id long, text string")
+        assert {x["component_id"] for x in ngramjoin.similar_groups(d, size=4, percent=85).collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(part#\d+L?, lo#\d+, hi#\d+", plans["join-found"])
+
+
+def test_fragments_hold_as_much_each():
+    # most n-grams are near few classes, whose steps are the first
+    cuts = ngramjoin._cuts([(-32768 + k, 1000 if k < 10 else 1) for k in range(500)][::-1], 1000).to_pylist()
+    assert [c["part"] for c in cuts[:11]] == [*range(10), 10] and max(c["part"] for c in cuts) == 10
