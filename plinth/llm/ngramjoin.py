@@ -38,6 +38,9 @@ PART = 4 / 3
 #: fragment.
 FRAGMENT = 300_000
 BLOCK, BLOCK_GRAMS = 4_000, 4_000_000
+#: Open pairs up to which all are summed at once, and others that a class is summed with first
+#: beyond that.
+FEW, _HUBS = 500_000, 4
 #: Comparisons with one holder of each n-gram; others of one from which on they are counted
 #: together, and n-grams compared at once else.
 _TURNS, _MANY, _AT_ONCE = 3, 16, 1 << 21
@@ -303,7 +306,8 @@ def settle(frame: pa.Table, percent: int) -> pa.Table:
                 held = 0
     pairs = np.array(sure, np.int64).reshape(-1, 2)
     late = np.concatenate([np.zeros((0, 2), np.int64), *unsure])
-    late = np.unique(late[trees.label[late[:, 0]] != trees.label[late[:, 1]]], axis=0)
+    late = late[trees.label[late[:, 0]] != trees.label[late[:, 1]]]
+    late = np.stack(np.divmod(np.unique(late[:, 0] * s.m + late[:, 1]), max(1, s.m)), 1)
     x, y = s.dg[np.concatenate([pairs, late])].T
     return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), "sure": np.arange(len(x)) < len(pairs)})
 
@@ -315,7 +319,7 @@ def _cuts(steps: list[tuple[int, int]], fragment: int) -> pa.Table:
     return pa.table({"step": pa.array([step for step, _ in steps], pa.int32()), "part": pa.array(before // fragment, pa.int64())})
 
 
-def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, fragment: int = FRAGMENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, fragment: int = FRAGMENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, few: int = FEW) -> DataFrame:
     """Links (x, y) between the classes in ``kept`` (column dg) that span their components.
 
     ``texts`` has a column t with at least one text of each of these classes.
@@ -370,12 +374,33 @@ def class_links(texts: DataFrame, kept: DataFrame, size: int, percent: int, *, f
 
     found = dealt.select("part", "lo", "hi", "block", "dg", "n", "r", "lead", "seg").groupBy("part", "lo", "hi").applyInArrow(settled, "x long, y long, sure boolean")
     found = materialize(found, "join-found")
-    pairs = found.where("not sure").select("x", "y").distinct()
+    return _whole(found, segs, percent, few)
+
+
+def _whole(found: DataFrame, segs: DataFrame, percent: int, few: int) -> DataFrame:
+    """Sure links and those of the open pairs that span what links reach."""
+    sure, pairs = found.where("sure").select("x", "y"), found.where("not sure").select("x", "y").distinct()
+    if found.where("not sure").count() <= few:
+        return sure.unionAll(_summed(pairs, segs, percent))
+    # a fragment's end may cut through large groups of near copies: first each class is summed
+    # with few others, which are the same ones all over a group, then what is still apart
+    pairs = materialize(pairs, "join-pairs")
+    both = pairs.unionAll(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    hubs = both.groupBy("x").agg(F.array(*(F.min_by("y", F.xxhash64("y", F.lit(turn))) for turn in range(_HUBS))).alias("hubs"))
+    stars = hubs.select("x", F.explode("hubs").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    links = materialize(sure.unionAll(_summed(stars, segs, percent)), "join-links")
+    reached = small_side(materialize(components(links), "join-reached"))
+    side = lambda name: reached.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    apart = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left").where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y"))
+    return links.unionAll(_summed(apart.select("x", "y"), segs, percent))
+
+
+def _summed(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link by their partial overlaps in all fragments."""
     mine = segs.select(F.col("dg").alias("x"), "part", F.col("n").alias("nx"), F.col("seg").alias("sx"))
     theirs = segs.select(F.col("dg").alias("y"), "part", F.col("n").alias("ny"), F.col("seg").alias("sy"))
     partial = pairs.join(mine, "x").join(theirs, ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).alias("k"))
-    summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.expr(f"100 * k >= {percent} * (nx + ny - k)"))
-    return found.where("sure").select("x", "y").unionAll(summed.select("x", "y"))
+    return partial.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.expr(f"100 * k >= {percent} * (nx + ny - k)")).select("x", "y")
 
 
 class _Groups:

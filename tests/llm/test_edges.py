@@ -433,3 +433,26 @@ def test_fragments_hold_as_much_each():
     # most n-grams are near few classes, whose steps are the first
     cuts = ngramjoin._cuts([(-32768 + k, 1000 if k < 10 else 1) for k in range(500)][::-1], 1000).to_pylist()
     assert [c["part"] for c in cuts[:11]] == [*range(10), 10] and max(c["part"] for c in cuts) == 10
+
+
+def test_groups_cut_by_fragments_are_summed_with_few_first(spark, monkeypatch):
+    # near copies of which half the n-grams lie in each of two fragments: no pair is settled in one
+    counts, store = {}, ngramjoin.materialize
+
+    def noted(df, name):
+        stored = store(df, name)
+        counts[name] = stored.count()
+        return stored
+
+    monkeypatch.setattr(ngramjoin, "materialize", noted)
+    count = 120
+    held, _ = near_copies(count, 120, 16)
+    segs = spark.createDataFrame([(part, x, len(one), [h for h in one if h % 2 == part]) for x, one in enumerate(held) for part in range(2)], "part long, dg long, n long, seg array<long>")
+    found = spark.createDataFrame([(y, x, False) for x in range(count) for y in range(x)], "x long, y long, sure boolean")
+    sets = [set(one) for one in held]
+    links = [(x, y) for x in range(count) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])]
+    for few in (0, 1_000_000):
+        got = [tuple(p) for p in ngramjoin._whole(found, segs, 85, few).collect()]
+        assert {(y, x) for x, y in links} >= set(got) and linked_to(got, count) == linked_to(links, count)
+        assert few or len(got) < len(links) / 2
+    assert counts["join-pairs"] == count * (count - 1) // 2 and counts["join-links"] <= count * ngramjoin._HUBS
